@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .base import map_batches
 
 TABLES, HASHES, WIDTH, PROBES, SEED = 4, 4, 1.3, 72, 11
-BLOCK = 256
-#: Best lists that a task holds before it passes them on.
-HELD = 50_000
+BLOCK = 512
+#: Found pairs that a task holds before it drops all but the best of a query.
+HELD = 200_000
 
 
 def projections(dim: int, table: int, hashes: int, width: float) -> tuple[np.ndarray, np.ndarray]:
@@ -85,19 +85,24 @@ def hashed(rows: DataFrame, probes: int, tables: int, hashes: int, width: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, vs = b.column(0).to_pylist(), [np.array(x) for x in b.column(1).to_pylist()]
-            rows: list[tuple[int, int, int]] = []
-            for i, v in enumerate(vs):
+            n = np.diff(b.column(1).offsets.to_numpy())
+            flat, ends = b.column(1).flatten().to_numpy(), np.cumsum(n)
+            for dim in np.unique(n).tolist():
+                own = np.flatnonzero(n == dim)
+                x = flat[(ends[own] - dim)[:, None] + np.arange(dim)]
+                x = x / np.sqrt((x * x).sum(axis=1))[:, None]
                 for t in range(tables):
-                    a, shift = projections(len(v), t, hashes, width)
-                    at = ((v / np.sqrt((v * v).sum())) @ a + shift) / width
+                    a, shift = projections(dim, t, hashes, width)
+                    at = (x @ a + shift) / width
                     cell = np.floor(at).astype(np.int64)
-                    visits = perturbations(at - cell, probes) if probes > 1 else [np.zeros(hashes, np.int64)]
-                    rows += [(i, t, x) for x in bucket_of(np.stack([cell + d for d in visits])).tolist()]
-            for lo in range(0, len(rows), 4096):
-                part = rows[lo : lo + 4096]
-                at = pa.array([r[0] for r in part])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([len(vs[r[0]]) for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.int64())], names=["id", "v", "dim", "tab", "bucket"])
+                    if probes == 1:
+                        row, bucket = own, bucket_of(cell)
+                    else:
+                        visits = [cell[i] + d for i in range(len(own)) for d in perturbations(at[i] - cell[i], probes)]
+                        row, bucket = np.repeat(own, len(visits) // len(own)), bucket_of(np.stack(visits))
+                    for lo in range(0, len(row), 4096):
+                        at_rows, k = pa.array(row[lo : lo + 4096]), len(row[lo : lo + 4096])
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(at_rows), b.column(1).take(at_rows), pa.array(np.full(k, dim, np.int32)), pa.array(np.full(k, t, np.int32)), pa.array(bucket[lo : lo + 4096])], names=["id", "v", "dim", "tab", "bucket"])
 
     return map_batches(rows.select("id", "v"), run, "id long, v array<double>, dim int, tab int, bucket long")
 
@@ -119,33 +124,40 @@ def best_of(pairs: DataFrame, keep: int) -> DataFrame:
     key = ["dim", "tab", "bucket", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, dict[int, float]] = {}
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def solve(t: pa.Table) -> None:
             side = t["side"].to_numpy()
             n = int((side == 0).sum())
             if not n or n == len(side):
                 return
-            v = t["v"].combine_chunks()
-            x = v.flatten().to_numpy().reshape(len(side), -1)
+            x = t["v"].combine_chunks().flatten().to_numpy().reshape(len(side), -1)
             ids = t["id"].to_numpy()
             norm = np.sqrt((x * x).sum(axis=1))
             unit = x / norm[:, None]
             near = unit[:n] @ unit[n:].T
-            for r in range(n):
-                row = near[r]
-                least = np.partition(row, len(row) - keep)[len(row) - keep] if len(row) > keep else -2.0
-                at = np.flatnonzero(row >= least - 1e-9)  # exact scores decide among these
-                score = (x[n + at] * x[r]).sum(axis=1) / (norm[n + at] * norm[r])
-                mine = best.setdefault(int(ids[r]), {})
-                mine.update(zip(ids[n + at].tolist(), score.tolist(), strict=True))
-                if len(mine) > 4 * keep:
-                    best[int(ids[r])] = dict(sorted(mine.items(), key=lambda kv: (-kv[1], kv[0]))[:keep])
-
-        def emit() -> pa.RecordBatch:
-            rows = [(q, i, s) for q, mine in best.items() for i, s in sorted(mine.items(), key=lambda kv: (-kv[1], kv[0]))[:keep]]
-            best.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query", "id", "score"])
+            m = near.shape[1]
+            least = np.partition(near, m - keep, axis=1)[:, m - keep, None] if m > keep else -2.0
+            r, c = np.nonzero(near >= least - 1e-9)  # exact scores decide among these
+            best.append((ids[r], ids[n + c], (x[n + c] * x[r]).sum(axis=1) / (norm[n + c] * norm[r])))
+
+        def compact() -> None:
+            q, i, s = (np.concatenate(a) for a in zip(*best, strict=True))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            fresh = np.ones(len(q), bool)
+            fresh[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])  # a pair that several buckets found
+            q, i, s = q[fresh], i[fresh], s[fresh]
+            first = np.flatnonzero(np.diff(q, prepend=q[0] - 1))
+            place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+            best[:] = [(q[place < keep], i[place < keep], s[place < keep])]
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            if best:
+                compact()
+                for lo in range(0, len(best[0][0]), 8192):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 8192]) for a in best[0]], names=["query", "id", "score"])
+                best.clear()
 
         held = None
         for b in batches:
@@ -155,11 +167,13 @@ def best_of(pairs: DataFrame, keep: int) -> DataFrame:
             for lo, hi in zip([0, *cuts], cuts, strict=False):
                 solve(t.slice(lo, hi - lo))
             held = t.slice(cuts[-1] if cuts else 0)
-            if len(best) > HELD:
-                yield emit()
+            if sum(len(x[0]) for x in best) > HELD:
+                compact()
+                if len(best[0][0]) > HELD // 2:
+                    yield from emit()
         if held is not None and held.num_rows:
             solve(held)
-        yield emit()
+        yield from emit()
 
     return pairs.repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, "query long, id long, score double")
 
