@@ -145,7 +145,7 @@ def plan(prints: DataFrame, tau: int = TAU) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each part that is probed."""
     n, p, correlation = bit_statistics(prints)
     found = None
-    for m in range(1, tau + 2):
+    for m in range(tau + 1, 0, -1):  # the most parts, hence the fewest probes, where costs tie
         parts = group_bits(correlation, m)
         cost, ts = allot([estimated_cost(x, p, n, tau) for x in parts], tau - m + 1)
         if found is None or cost < found[0]:
