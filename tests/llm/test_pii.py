@@ -1,0 +1,59 @@
+"""Spans against a plain regular-expression version, and redaction."""
+
+import hashlib
+import random
+import re
+
+from riftstats.llm import pii
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def slow_spans(t):
+    out = []
+    for k, p in BASE.items():
+        for m in re.finditer(p, t or ""):
+            g, d = m.group(0), re.sub("[^0-9]", "", m.group(0))
+            if k == "ip" and any(int(x) > 255 for x in g.split(".")) or k == "card" and not (13 <= len(d) <= 19 and luhn(d)) or k == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append(f"{k}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def texts():
+    rng = random.Random(2)
+    out = [None, "", "a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8 300.1.1.1 0255.01.1.1", "4111 1111 1111 1111 and 4111-1111-1111-1111 5", "5 4111111111111111", "+1 (555) 123-4567 +1--2 +49 1234567890123456789", "é " * 50 + "a.b@c.d.e. z", "+1 1.2.3.4 555 666", "x" * 100_000, "1" * 50_000, "a@" * 20_000, "a@b" + ".c" * 20_000, "+1" + "(" * 50_000, "1.2.3.4 " * 2000, "\U0001f600 a@b.cd"]
+    return out + ["".join(rng.choice("ab1234. -@+()é5_%") for _ in range(rng.randrange(80))) for _ in range(1500)]
+
+
+def test_base_spans(spark):
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts())], "doc_id long, text string, spans string, kind string").repartition(4)
+    got = {r.doc_id: r for r in pii.digests(pii.find(df)).collect()}
+    for i, t in enumerate(texts()):
+        want = slow_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
+        assert [x for x in got[i].spans.split(",") if x.split(":")[0] in BASE] == [x for x in want.split(",") if x]
+        assert got[i].n_email == want.count("email:") and got[i].n_card == want.count("card:")
+
+
+def test_added_kinds_and_context(spark):
+    rows = [(0, "IBAN DE89 3704 0044 0532 0130 00 end"), (1, "GB82WEST12345698765432"), (2, "DE88 3704 0044 0532 0130 00"), (3, "Call tel (555) 123-4567 now"), (4, "number (555) 123-4567"), (5, "write to a@b.cd")]
+    got = {r.doc_id: r.pii for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kinds = {i: [s.kind for s in p] for i, p in got.items()}
+    assert kinds == {0: ["iban"], 1: ["iban"], 2: [], 3: ["phone_local"], 4: [], 5: ["email"]}
+    assert got[5][0].score == 1.0
+
+
+def test_redaction(spark):
+    rows = [(1, "mail a@b.cd or 1.2.3.4!", "k"), (2, "+1 1.2.3.4 555 666 é", "k"), (3, "clean text", "k"), (4, None, "k"), (None, "", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii string")
+    got = {r.doc_id: r.text for r in pii.redact(df.drop("pii")).collect()}
+    assert got == {1: "mail <EMAIL> or <IP>!", 2: "<PHONE> é", 3: "clean text", 4: None, None: ""}
+
+
+def test_empty(spark):
+    assert pii.digests(pii.find(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
