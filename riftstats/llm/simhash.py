@@ -185,6 +185,7 @@ def forest(fps_a: np.ndarray, fps_b: np.ndarray, nodes_a: np.ndarray, nodes_b: n
         return i
 
     out = []
+    fps_a, fps_b = fps_a.view(np.uint64), fps_b.view(np.uint64)  # bits of signed numbers are counted by their magnitude
     for i, fp in enumerate(fps_a):
         for j in np.flatnonzero(np.bitwise_count(fps_b ^ fp) <= tau).tolist():
             a, b = int(nodes_a[i]), int(nodes_b[j])
@@ -225,7 +226,7 @@ def links(prints: DataFrame, parts: list[tuple[list[int], int]], tau: int = TAU,
 
         def solve(t: pa.Table) -> list[tuple[int, int]]:
             key = np.stack([t[c].to_numpy() for c in ("part", "key", "i", "j")], axis=1)
-            side, node, fp = (t[c].to_numpy() for c in ("side", "node", "fp"))
+            side, node, fp = (np.ascontiguousarray(t[c].to_numpy()) for c in ("side", "node", "fp"))
             cuts = np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1
             out: list[tuple[int, int]] = []
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(side)], strict=True):
