@@ -62,10 +62,11 @@ def champion_winrates(matches: DataFrame, participants: DataFrame, bans: DataFra
 def tier_scores(rows: DataFrame, bans: DataFrame, keys: list[str], minimum: int, floor: int = 5) -> DataFrame:
     """Scores and grades of champions within each scope `keys` (patch first).
     rows: keys, match_id, champion_id, win."""
-    totals = rows.groupBy(*keys).agg(F.count("*").alias("participants"), F.count_distinct("match_id").alias("n_matches"))
     scoped = rows.select(*keys, "match_id").distinct()
+    totals = scoped.groupBy(*keys).agg(F.count("*").alias("n_matches"))
     banned = scoped.join(bans.select("match_id", "champion_id").distinct(), "match_id").groupBy(*keys, "champion_id").agg(F.count("*").alias("banned"))
-    groups = rows.groupBy(*keys, "champion_id").agg(F.count("*").alias("games"), F.count_if("win").alias("wins")).join(totals, keys)
+    groups = rows.groupBy(*keys, "champion_id").agg(F.count("*").alias("games"), F.count_if("win").alias("wins"))
+    groups = groups.withColumn("participants", F.sum("games").over(Window.partitionBy(*keys))).join(totals, keys)
     kept = keep_enough(groups, effective_minimum(minimum, F.col("participants"), floor), *keys).join(banned, [*keys, "champion_id"], "left")
     scored = kept.select(
         *keys, "champion_id", "games", rate(F.col("wins"), F.col("games")).alias("win_rate"), rate(F.col("games"), F.col("participants")).alias("pick_rate"),
