@@ -121,17 +121,26 @@ def build_items(matches: DataFrame, participants: DataFrame, items: DataFrame, v
     return completed(rows.join(items.where("item_id <> 0").select("match_id", "participant_id", "item_id"), ["match_id", "participant_id"]), versions)
 
 
-def item_frequency(matches: DataFrame, participants: DataFrame, items: DataFrame, versions: DataFrame, ranks: DataFrame | None = None, scope: str | None = None) -> DataFrame:
-    """Share of a champion's games (with a completed item) that have an item."""
-    built = build_items(matches, participants, items, versions, ranks, scope)
+def frequencies(games: DataFrame, n: Column) -> DataFrame:
+    """Of each scope's `n` games with the items of the array `items`, those that
+    have an item. The scope's own total is counted in the same aggregation, as
+    the games of a null item."""
     key = ["patch", "champion_id", "role"]
-    once = built.select(*key, "match_id", "participant_id", "item_id").distinct()
-    eligible = once.select(*key, "match_id", "participant_id").distinct().groupBy(*key).agg(F.count("*").alias("eligible"))
-    counts = once.groupBy(*key, "item_id").agg(F.count("*").alias("games")).join(eligible, key)
+    marked = F.explode(F.array_append(F.array_distinct("items"), F.lit(None).cast("int")))
+    counts = games.select(*key, n.alias("_n"), marked.alias("item_id")).groupBy(*key, "item_id").agg(F.sum("_n").alias("games"))
+    eligible = F.max(F.when(F.col("item_id").isNull(), F.col("games"))).over(Window.partitionBy(*key))
+    counts = counts.withColumn("eligible", eligible).where("item_id is not null")
     share = F.col("games") / F.col("eligible")
     return counts.select(*key, "item_id", "games", "eligible", share.alias("frequency"), (share >= CORE_SHARE).alias("is_core"))
 
 
+def item_frequency(matches: DataFrame, participants: DataFrame, items: DataFrame, versions: DataFrame, ranks: DataFrame | None = None, scope: str | None = None) -> DataFrame:
+    """Share of a champion's games (with a completed item) that have an item."""
+    built = build_items(matches, participants, items, versions, ranks, scope)
+    games = built.groupBy("patch", "champion_id", "role", "match_id", "participant_id").agg(F.collect_set("item_id").alias("items"))
+    return frequencies(games, F.lit(1))
+
+
 def rune_pages(runes: DataFrame, versions: DataFrame, policy: str = "builds") -> DataFrame:
     """One page a participant: styles, primary, secondary and shards, and a key.
 
@@ -182,13 +191,12 @@ def champion_builds(matches: DataFrame, participants: DataFrame, items: DataFram
     games = built.groupBy(*key, "match_id", "participant_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"), F.first("win").alias("win"))
     pages = rune_pages(runes, rune_versions).select("match_id", "participant_id", "rune_key")
     games = games.join(pages, ["match_id", "participant_id"], "left").withColumn("rune_key", F.coalesce("rune_key", F.lit("0:|0:|")))
-    eligible = games.groupBy(*key).agg(F.count("*").alias("eligible"))
-    groups = games.withColumn("item_key", F.concat_ws(",", F.col("items").cast("array<string>"))).groupBy(*key, "item_key", "rune_key").agg(F.count("*").alias("games"), F.count_if("win").alias("wins"), F.first("items").alias("items"))
-    groups = groups.join(eligible, key).where(F.col("eligible") >= effective_minimum(minimum, F.col("eligible"), 3))
+    all_groups = games.withColumn("item_key", F.concat_ws(",", F.col("items").cast("array<string>"))).groupBy(*key, "item_key", "rune_key").agg(F.count("*").alias("games"), F.count_if("win").alias("wins"), F.first("items").alias("items"))
+    groups = all_groups.withColumn("eligible", F.sum("games").over(Window.partitionBy(*key))).where(F.col("eligible") >= effective_minimum(minimum, F.col("eligible"), 3))
     kept = keep_enough(groups, effective_minimum(base, F.col("eligible"), 2), *key)
     order = Window.partitionBy(*key).orderBy(F.desc("wins"), F.desc("games"), "item_key", "rune_key")
     top = kept.withColumn("place", F.row_number().over(order)).where("place <= 3")
-    core = item_frequency(matches, participants, items, versions, ranks, scope).where("is_core").groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("core"))
+    core = frequencies(all_groups, F.col("games")).where("is_core").groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("core"))
     top = top.join(core, key, "left").withColumn("core", F.coalesce("core", F.array().cast("array<int>")))
     rest = F.array_distinct(F.filter("items", lambda x: ~F.array_contains(F.col("core"), x)))
     return top.select(*key, "place", "item_key", "rune_key", "games", "wins", rate(F.col("wins"), F.col("games")).alias("win_rate"), "core", rest.alias("situational"))

@@ -69,7 +69,7 @@ def projections(name: str) -> dict[str, str]:
               cast(8 + l_linenumber as int) as champ_level, cast(8000 + l_partkey % 7000 as int) as gold_earned, cast(l_quantity as int) % 3 as variant
             from (
               select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as pid
-              from (select *, row_number() over (partition by l_orderkey, l_partkey order by l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax) as dup from {{lineitem}}) a
+              from (select *, row_number() over (partition by l_orderkey, l_partkey order by l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax) as dup from (select /*+ REPARTITION(l_orderkey) */ * from {{lineitem}}) l) a
               where dup = 1) b
             join {{matches}} m on b.l_orderkey = m.match_key where pid <= 10""",
         "bans": f"""
