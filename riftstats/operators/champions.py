@@ -158,10 +158,10 @@ def rune_pages(runes: DataFrame, versions: DataFrame, policy: str = "builds") ->
         rows = rows.join(anywhere, "rune_id", "left").withColumn("path_id", F.coalesce("path_id", "any_path", F.lit(0))).withColumn("slot", F.coalesce("slot", "any_slot", F.lit(0)))
     guard = (F.col("path_id") > 0) & (F.col("path_id") < 5000) if policy != "detail" else F.col("path_id") > 0
     pathed = F.when((F.col("path_id") > 0) & (F.col("path_id") < 5000), F.col("path_id"))
-    sizes = Window.partitionBy(*key, "path_id")
-    rows = rows.withColumn("_n", F.when(pathed.isNotNull(), F.count("*").over(sizes)))
-    r = F.struct("tree", "idx", "rune_id", "style_id", "path_id", "slot", F.when(guard, F.col("path_id")).alias("guarded"), pathed.alias("pathed"), F.col("_n").alias("n"))
-    grouped = rows.groupBy(*key).agg(F.array_sort(F.collect_list(r)).alias("r"), F.count_distinct("tree", "idx").alias("places"), F.count("*").alias("n"), F.max((F.col("tree") != 0) | (F.col("style_id") != 0)).alias("own"))
+    r = F.struct("tree", "idx", "rune_id", "style_id", "path_id", "slot", F.when(guard, F.col("path_id")).alias("guarded"), pathed.alias("pathed"))
+    # the few runes of a participant are counted within their array, which needs one shuffle only
+    grouped = rows.groupBy(*key).agg(F.array_sort(F.collect_list(r)).alias("r"), F.count("*").alias("n"), F.max((F.col("tree") != 0) | (F.col("style_id") != 0)).alias("own"))
+    grouped = grouped.withColumn("places", F.size(F.array_distinct(F.transform(F.filter("r", lambda x: x["tree"].isNotNull() & x["idx"].isNotNull()), lambda x: F.struct(x["tree"], x["idx"])))))
     structured = F.col("own") & (F.col("places") == F.col("n"))
 
     def of_tree(t: int) -> Column:
@@ -169,7 +169,8 @@ def rune_pages(runes: DataFrame, versions: DataFrame, policy: str = "builds") ->
 
     ids = lambda a: F.transform(a, lambda x: x["rune_id"])
     style = lambda t: F.coalesce(F.get(F.transform(F.filter(of_tree(t), lambda x: x["style_id"] > 0), lambda x: x["style_id"]), 0), F.get(F.transform(of_tree(t), lambda x: x["guarded"]), 0), F.lit(0))
-    paths = F.array_sort(F.array_distinct(F.transform(F.filter("r", lambda x: x["pathed"].isNotNull()), lambda x: F.struct((-x["n"]).alias("n"), x["pathed"].alias("path")))))
+    known = F.array_distinct(F.transform(F.filter("r", lambda x: x["pathed"].isNotNull()), lambda x: x["pathed"]))
+    paths = F.array_sort(F.transform(known, lambda p: F.struct((-F.size(F.filter("r", lambda x: x["pathed"] == p))).alias("n"), p.alias("path"))))
     grouped = grouped.withColumn("_paths", paths)
     by_slot = lambda keep: ids(F.array_sort(F.transform(F.filter("r", keep), lambda x: F.struct(x["slot"].alias("slot"), x["rune_id"].alias("rune_id")))))
     path = lambda i: F.coalesce(F.get("_paths", i)["path"], F.lit(0))
