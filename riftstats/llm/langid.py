@@ -5,8 +5,15 @@ spectrum), letters only, lower case, white space as one blank. The presence
 kernel of two texts is the number of n-grams that they share over the root of
 the product of their set sizes; n-grams are hashed to DIMS cells. A Nystroem map
 through landmark texts turns it into short vectors, on which one ridge
-regression per language is fitted (one versus the rest); a batch of texts is
-scored by matrix products.
+regression per language is fitted (one versus the rest). The score is linear in
+the shared n-grams, so the landmarks are folded into one weight per n-gram and
+language.
+
+A long text is read in pieces of equal length, at most PIECE characters, and its
+vector is the mean of theirs, in training as in scoring: no set of n-grams fills
+the cells, and the score doesn't fall with the length of a text. Nor does it with
+its shortness: a piece with fewer n-grams than the landmarks have on average
+shares few with any of them, so it counts by the part of its n-grams that is shared.
 
 Landmarks and training rows are a bounded sample (PER_LANG labelled rows of a
 language, by the hash of their id), the landmarks cut to pieces of LANDMARK_CHARS;
@@ -20,6 +27,7 @@ an empty result; other columns are not read.
 """
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,38 +37,39 @@ from pyspark.sql import functions as F
 from .base import small_batches
 
 NGRAMS = (1, 2, 3, 4)
-DIMS = 1 << 13
+BITS = 20
+DIMS = 1 << BITS
 #: Bounds of the sample that is learnt from.
 PER_LANG, LANDMARKS_PER_LANG, LANDMARK_CHARS = 200, 24, 2000
 RIDGE, FLOOR = 1.0, 1e-6
-#: Characters hashed at a time.
-STEP = 1 << 16
+#: Most characters of a piece: some 10,000 different n-grams at most, a
+#: hundredth of the cells.
+PIECE = 1 << 13
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def presence(text: str | None, out: np.ndarray) -> int:
-    """Marks the cells of a text's n-grams in `out`; returns the number of
-    cells, 0 if it has no letter."""
+def pieces(text: str | None) -> Iterator[np.ndarray]:
+    """The distinct cells of the n-grams of each piece of a text, none if it has
+    no letter. n-grams across a border belong to the piece that they begin in."""
     line = " " + " ".join(LETTERS.findall((text or "").lower())) + " "
     if len(line) < 3:
-        return 0
-    code = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    for lo in range(0, len(code), STEP):
-        c = code[lo : lo + STEP + max(NGRAMS) - 1]
-        h = np.zeros(len(c), np.uint64)
-        for n in NGRAMS:
-            if len(c) < n:
+        return
+    code = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    n = -(-len(code) // PIECE)
+    stamp = np.empty(DIMS, np.int32)
+    for k in range(n):
+        c = code[len(code) * k // n : len(code) * (k + 1) // n + max(NGRAMS) - 1].astype(np.uint64)
+        h, cells = np.zeros(len(c), np.uint64), []
+        for i in NGRAMS:
+            if len(c) < i:
                 break
-            h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :]
-            mixed = (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            out[(mixed >> np.uint64(64 - 13)).astype(np.int64)] = 1
-    return int(out.sum())
-
-
-def matrix(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.zeros((len(texts), DIMS), np.float32)
-    size = np.array([presence(t, x[i]) for i, t in enumerate(texts)], np.float64)
-    return x / np.sqrt(np.maximum(size, 1))[:, None].astype(np.float32), size
+            h = h[: len(c) - i + 1] * np.uint64(0x100000001B3) + c[i - 1 :]
+            mixed = (h + np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15)
+            cells.append((mixed >> np.uint64(64 - BITS)).astype(np.int64))
+        every = np.concatenate(cells)
+        place = np.arange(len(every), dtype=np.int32)
+        stamp[every] = place  # the last place of a cell stays
+        yield every[stamp[every] == place]
 
 
 class Model:
@@ -73,27 +82,44 @@ class Model:
             if seen.setdefault(lang, 0) < LANDMARKS_PER_LANG:
                 seen[lang] += 1
                 marks.append(text[:LANDMARK_CHARS])
-        self.marks, _ = matrix(marks)
-        value, vector = np.linalg.eigh((self.marks @ self.marks.T).astype(np.float64))
+        cells = [next(pieces(t), np.zeros(0, np.int64)) for t in marks]
+        known = np.unique(np.concatenate(cells))
+        self.usual = sum(map(len, cells)) / len(cells)  # n-grams of a landmark
+        self.row = np.full(DIMS, len(known), np.int32)  # the last row stands for all other cells
+        self.row[known] = np.arange(len(known), dtype=np.int32)
+        self.weight = np.zeros((len(known) + 1, len(marks)), np.float32)  # of an n-gram for a landmark
+        for i, c in enumerate(cells):
+            self.weight[self.row[c], i] = 1 / np.sqrt(max(len(c), 1))
+        value, vector = np.linalg.eigh((self.weight.T @ self.weight).astype(np.float64))
         keep = value > FLOOR
-        self.map = vector[:, keep] / np.sqrt(value[keep])
-        phi = np.concatenate([self.features(matrix([t for _, t in rows[i : i + 256]])[0]) for i in range(0, len(rows), 256)])
+        to_phi = vector[:, keep] / np.sqrt(value[keep])
+        phi = np.stack([self.mean(t)[0] for _, t in rows]) @ to_phi
+        phi = np.concatenate((phi, np.ones((len(phi), 1))), axis=1)
         y = np.array([[1.0 if lang == x else -1.0 for x in self.langs] for lang, _ in rows])
         weight = 1 / np.array([sum(lang == x for x, _ in rows) for lang, _ in rows])  # languages count alike
         weight *= len(rows) / weight.sum()
         left = phi.T @ (phi * weight[:, None]) + RIDGE * np.eye(phi.shape[1])
-        self.w = np.linalg.solve(left, phi.T @ (y * weight[:, None]))
-
-    def features(self, x: np.ndarray) -> np.ndarray:
-        phi = (x @ self.marks.T).astype(np.float64) @ self.map
-        return np.concatenate((phi, np.ones((len(x), 1))), axis=1)
+        w = np.linalg.solve(left, phi.T @ (y * weight[:, None]))
+        self.weight = self.weight @ (to_phi @ w[:-1])  # of an n-gram for a language
+        self.bias = w[-1]
+
+    def mean(self, text: str | None) -> tuple[np.ndarray, int]:
+        """Mean over the pieces of the weights of their n-grams, each over the root
+        of the number of its n-grams (lower if that is less than a landmark's); and
+        the number of pieces."""
+        total, n = np.zeros(self.weight.shape[1]), 0
+        for cells in pieces(text):
+            rows = self.row[cells]
+            total += self.weight[rows].sum(axis=0, dtype=np.float64) / np.sqrt(len(cells)) * np.sqrt(max(1, self.usual / len(cells)))
+            n += 1
+        return total / max(n, 1), n
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        x, size = matrix(texts)
-        f = self.features(x) @ self.w
+        got = [self.mean(t) for t in texts]
+        none = np.array([n == 0 for _, n in got], bool)
+        f = np.array([m for m, _ in got]).reshape(len(got), len(self.langs)) + self.bias
         best = f.argmax(axis=1)
         score = np.clip((f.max(axis=1) + 1) / 2, 0, 1)
-        none = size == 0
         return ["und" if z else self.langs[b] for b, z in zip(best.tolist(), none.tolist(), strict=True)], np.where(none, 0.0, score)
 
 

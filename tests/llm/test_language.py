@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from riftstats.llm import langid
 
 
@@ -35,3 +36,19 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert langid.identify(df).first().lang_pred == "und"
     assert langid.identify(df.where("false")).count() == 0
+
+
+def test_length_is_no_reason_to_reject(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    joined = {}
+    for r in docs.where("lang is not null and text is not null").orderBy("doc_id").select("lang", "text").collect():
+        joined.setdefault(r.lang, []).append(r.text)
+    langs = sorted(joined)
+    long = spark.createDataFrame([(-1 - i, "\n".join(joined[x])[:3_000_000], None, "s", 0) for i, x in enumerate(langs)], docs.schema)
+    assert all(r.n > 2_000_000 for r in long.selectExpr("length(text) n").collect())
+    short = docs.where("length(text) < 200 and text rlike '[a-zA-Z]'")
+    small = docs.where("doc_id % 5 = 0").unionByName(short.where("doc_id % 5 <> 0"))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, small.unionByName(long), "").select("doc_id").collect()}
+    assert kept >= {-1 - i for i in range(len(langs))} and kept >= {r.doc_id for r in short.select("doc_id").collect()}
+    got = {r.doc_id: r for r in langid.identify(small.unionByName(long)).where("doc_id < 0").collect()}
+    assert [got[-1 - i].lang_pred for i in range(len(langs))] == langs and min(r.score for r in got.values()) > 0.8
