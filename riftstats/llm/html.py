@@ -42,6 +42,8 @@ EPOCHS, BATCH, RATE, SEED = 14, 30, 0.02, 5
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset("script style noscript template textarea title svg math iframe object select option button head".split())
+#: Tags that may stand in a head; any other ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Words in tags, classes and ids of parts that aren't main text.
 BOILERPLATE = frozenset("nav menu navbar header masthead footer aside sidebar ad ads advert advertisement banner sponsored promo cookie consent notice notices alert popup modal form newsletter subscribe signup login search share social related recommended breadcrumb breadcrumbs comment comments commentlist reply replies disqus widget copyright".split())
 MAIN = frozenset("article main".split())
@@ -70,9 +72,17 @@ def blocks(page: str | None) -> list[Block]:
             run.clear()
         linked = 0
 
+    def pop() -> str:
+        nonlocal silent
+        tag, _ = stack.pop()
+        silent -= tag in SILENT
+        return tag
+
     for m in TOKEN.finditer(page or ""):
         _, end, tag, attrs, text = m.groups()
         if text is not None:
+            if stack and stack[-1][0] == "head" and text.strip():
+                pop()
             if not silent:
                 run.append(text)
                 linked += len(text) * (link > 0)
@@ -90,16 +100,15 @@ def blocks(page: str | None) -> list[Block]:
         link = 0
         if end:
             if any(t == tag for t, _ in stack):
-                while stack:
-                    t, _ = stack.pop()
-                    silent -= t in SILENT
-                    if t == tag:
-                        break
+                while pop() != tag:
+                    pass
             continue
+        if stack and stack[-1][0] == "head" and tag not in HEAD:
+            pop()
         if tag in VOID or attrs.endswith("/"):
             continue
         while stack and (stack[-1][0] == "p" or (tag == stack[-1][0] and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
-            stack.pop()
+            pop()
         if tag == "body":
             silent = 0
             stack = [s for s in stack if s[0] not in SILENT]

@@ -57,6 +57,12 @@ def test_blocks():
     assert got == [("Site", True), ("Menu", True), ("Buy & win", True), ("Head <1>", False), ("First bold text. Next", False), ("Unclosed.", False), ("Last café.", False), ("I like it", True), ("Side", True), ("Name", True), ("© me", True)]
     assert html.blocks(None) == html.blocks("") == html.blocks("<!-- x --><p> </p>") == []
     assert [t for _, t, _ in html.blocks("a<p>b<script>x")] == ["a", "b"]
+    texts = lambda page: [t for _, t, _ in html.blocks(page)]
+    assert texts("<p>a<select><option>A<option>B<option>C</select><p>b") == ["a", "b"]
+    assert texts("<html><head><title>t</title><meta charset=x><link href=y><style>s</style><h1>a</h1><p>b") == ["a", "b"]
+    assert texts("<head><title>t</title>\n a <b>b</b><p>c</p></head>d<body>e") == ["a b", "c", "d", "e"]
+    assert texts("<head><select><option>A<option>B</select><p>a") == ["a"]
+    assert texts("<head>\n<title>t</title>\n</head>\n<body>a") == ["a"]
 
 
 def test_extraction_of_held_out_pages(spark):
