@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -34,21 +35,28 @@ def new_matches(lines: DataFrame, sink: str, checkpoint: str, watermark: str = "
     return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-STATE = "failures int, last_attempt_at long, last_success_at long"
+STATE = "last_attempt_at long, last_success_at long, failed_at array<long>"
 OUT = "match_id string, failures int, last_attempt_at long, last_success_at long, status int, next_attempt_at long"
 
 
 def fetch_state(attempts: DataFrame) -> DataFrame:
-    """State of each match after each batch of attempts (match_id, at, ok); the
-    attempts of a batch are taken in the order of their time."""
+    """State of each match after each batch of attempts (match_id, at, ok), whatever
+    the order in which they come: kept are the last success, the failures after it
+    and the latest attempt."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        failures, last, good = state.get if state.exists else (0, None, None)
+        last, good, failed = state.get if state.exists else (None, None, [])
+        failed = np.array(failed, np.int64)
         for f in frames:
-            for row in f.sort_values("at").itertuples():
-                last = int(row.at)
-                failures, good = (0, last) if row.ok else (failures + 1, good)
-        state.update((failures, last, good))
+            at, ok = f["at"].to_numpy(np.int64), f["ok"].to_numpy(bool)
+            last = max([int(at.max())] + [last] * (last is not None))
+            if ok.any():
+                good = max([int(at[ok].max())] + [good] * (good is not None))
+            failed = np.concatenate((failed, at[~ok]))
+            if good is not None:
+                failed = failed[failed > good]
+        state.update((last, good, failed.tolist()))
+        failures = len(failed)
         status = 1 if not failures else 3 if failures >= MAX_MATCH_FAILURES else 2
         wait = MATCH_DELAYS[min(failures, len(MATCH_DELAYS)) - 1] * 1000 if status == 2 else None
         yield pd.DataFrame({"match_id": [key[0]], "failures": [failures], "last_attempt_at": [last], "last_success_at": pd.array([good], "Int64"), "status": [status], "next_attempt_at": pd.array([None if wait is None else last + wait], "Int64")})
@@ -62,26 +70,32 @@ def arrivals(matches: DataFrame, width: str = "30 minutes", slide: str = "15 min
     return timed.groupBy(F.window("at", width, slide), "patch").agg(F.count("*").alias("arrivals")).select(F.unix_millis("window.start").alias("window_start"), "patch", "arrivals")
 
 
-ENDED = "puuid string, platform_region string, ended_game_id long, observed_at long"
+LAST = ["puuid", "platform_region", "state", "game_id", "observed_at"]
 
 
-def game_ended(snapshots: DataFrame) -> DataFrame:
-    """Transitions from a game to offline, per player; the rows of a batch are
-    sorted, a row older than the last one seen of its player is dropped."""
+def game_ended(snapshots: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drains snapshots and returns the transitions from a game to offline, per
+    player. Spark sorts the rows of a batch behind the last row that its
+    predecessors saw of the player; older rows are dropped. A batch that is run
+    again overwrites what it wrote."""
+    key = ["puuid", "platform_region"]
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        was, game, seen = state.get if state.exists else ("", 0, -1)
-        out = []
-        for row in pd.concat(list(frames)).sort_values(["observed_at", "event_id"]).itertuples():
-            if row.observed_at < seen:
-                continue
-            if was == "in_game" and row.state == "offline":
-                out.append((*key, int(game), int(row.observed_at)))
-            was, game, seen = row.state, int(row.game_id), int(row.observed_at)
-        state.update((was, game, seen))
-        yield pd.DataFrame(out, columns=["puuid", "platform_region", "ended_game_id", "observed_at"])
-
-    return snapshots.groupBy("puuid", "platform_region").applyInPandasWithState(step, ENDED, "was string, game long, seen long", "append", "NoTimeout")
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*LAST, "event_id", F.lit(1).alias("_new"))
+        if n:
+            last = spark.read.parquet(f"{checkpoint}/last/{n - 1}")
+            seen = last.select(*key, F.col("observed_at").alias("_seen"))
+            rows = rows.join(seen, key, "left").where("_seen is null or observed_at >= _seen").drop("_seen")
+            rows = rows.unionByName(last.select(*LAST, F.lit(None).cast(batch.schema["event_id"].dataType).alias("event_id"), F.lit(0).alias("_new")))
+        order = Window.partitionBy(*key).orderBy("_new", "observed_at", "event_id")
+        rows = rows.withColumns({"_was": F.lag("state").over(order), "_game": F.lag("game_id").over(order), "_next": F.lead("_new").over(order)})
+        rows.where("_next is null").select(*LAST).write.mode("overwrite").parquet(f"{checkpoint}/last/{n}")
+        ended = rows.where("_was = 'in_game' and state = 'offline'").select(*key, F.col("_game").cast("long").alias("ended_game_id"), "observed_at")
+        ended.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    drained(snapshots.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start())
+    return snapshots.sparkSession.read.parquet(path).drop("batch")
 
 
 def drained(query: StreamingQuery) -> None:
