@@ -63,13 +63,47 @@ def current_ranks(t: Tables):
     return t.ranks.where("wins % 3 <> 0")
 
 
+def renamed(df, only, prefix: str, key: str = "puuid"):
+    """All rows, those that don't fulfil `only` under a key that the other side
+    doesn't have."""
+    return df.withColumn(key, F.when(F.expr(only), F.col(key)).otherwise(F.concat(F.lit(prefix), key)))
+
+
+def all_current_ranks(t: Tables):
+    return renamed(t.ranks, "wins % 3 <> 0", "C_")
+
+
+def all_incoming_ranks(t: Tables):
+    changed = t.ranks.withColumn("league_points", F.col("league_points") + F.when(F.col("wins") % 4 == 0, 7).otherwise(0))
+    return renamed(changed, "wins % 2 = 0", "N_")
+
+
 def rank_history(t: Tables):
-    return I.rank_history(current_ranks(t), incoming_ranks(t), t.ranks.where("wins % 8 = 0").select("puuid", "queue_type", *I.RANK_VALUES))
+    had = t.ranks.withColumn("losses", F.when(F.col("wins") % 8 == 0, F.col("losses")).otherwise(F.col("losses") + 1))
+    return I.rank_history(all_current_ranks(t), all_incoming_ranks(t), had.select("puuid", "queue_type", *I.RANK_VALUES))
+
+
+def upsert_all_summoners(t: Tables):
+    current = renamed(t.summoners, "summoner_id % 3 <> 0", "C_")
+    incoming = t.summoners.withColumn("game_name", F.concat(F.lit("  "), "game_name", F.lit("2 "))).withColumn("updated_at", F.col("updated_at") + F.when(F.col("summoner_id") % 4 == 0, -1000).otherwise(1000))
+    return I.upsert_summoners(current, renamed(incoming, "summoner_id % 2 = 0", "N_"), t.participants)
+
+
+def match_sides(t: Tables):
+    """Matches there and incoming: all rows, those that aren't to meet there under
+    another id, those that aren't to be inserted in no queue."""
+    there = renamed(t.matches, "match_key % 5 = 0", "OLD_", "match_id")
+    queue = F.when(F.col("match_key") % 3 == 0, 0).otherwise(F.col("queue_id"))
+    return there, t.matches.withColumn("queue_id", queue).select("match_id", "match_date", "patch", "queue_id", "queue_type")
 
 
 def insert_new_matches(t: Tables):
-    incoming = t.matches.where("match_key % 3 <> 0").select("match_id", "match_date", "patch", "queue_id", "queue_type")
-    return I.insert_new_matches(t.matches.where("match_key % 5 = 0"), incoming.unionByName(incoming))
+    there, incoming = match_sides(t)
+    return I.insert_new_matches(there, incoming.unionByName(incoming))
+
+
+def versions(t: Tables):
+    return t.matches.select(F.concat("patch", F.lit(".7.8")).alias("version"))
 
 
 def with_lost_puuids(t: Tables):
@@ -123,7 +157,7 @@ QUERIES: dict[str, Query] = {
         oracle(("matches",), "q AS (SELECT match_id, CASE WHEN queue_id <> 0 THEN queue_id ELSE coalesce(try_cast(queue_type AS int), 0) END AS queue_id FROM matches) SELECT match_id, queue_id, CASE queue_id WHEN 420 THEN 'RANKED_SOLO_DUO' WHEN 440 THEN 'RANKED_FLEX' ELSE 'ARAM' END AS queue_family, CASE queue_id WHEN 420 THEN 'Ranked Solo/Duo' WHEN 440 THEN 'Ranked Flex' ELSE 'ARAM' END AS queue_label FROM q"),
     ),
     "patch_dimension": (
-        lambda t: I.patch_dimension(t.matches.where("match_key % 50 = 0").select(F.concat("patch", F.lit(".7.8")).alias("version")), t.matches, t.patches.where("patch not in ('8.1', '5.2')"), NOW),
+        lambda t: I.patch_dimension(versions(t), t.matches, t.patches.where("patch not in ('8.1', '5.2')"), NOW),
         oracle(("matches", "patches"), f"one AS (SELECT 1) SELECT patch, CASE WHEN patch IN ('8.1', '5.2') THEN {NOW} ELSE released_at END AS released_at, patch = (SELECT arg_max(patch, cast(split_part(patch, '.', 1) as int) * 100 + cast(split_part(patch, '.', 2) as int)) FROM patches) AS is_active FROM patches"),
     ),
     "rune_versions": (
@@ -148,6 +182,17 @@ QUERIES: dict[str, Query] = {
         oracle(("ranks",), """cur AS (SELECT * FROM ranks WHERE wins % 3 <> 0), inc AS (SELECT puuid, queue_type, tier, division, league_points + CASE WHEN wins % 4 = 0 THEN 7 ELSE 0 END AS league_points, wins, losses FROM ranks WHERE wins % 2 = 0)
           SELECT coalesce(i.puuid, c.puuid) AS puuid, coalesce(i.queue_type, c.queue_type) AS queue_type, coalesce(i.tier, c.tier) AS tier, coalesce(i.division, c.division) AS division, coalesce(i.league_points, c.league_points) AS league_points, coalesce(i.wins, c.wins) AS wins, coalesce(i.losses, c.losses) AS losses, CASE WHEN c.puuid IS NULL THEN 'inserted' WHEN i.puuid IS NULL THEN 'kept' WHEN i.league_points = c.league_points THEN 'same' ELSE 'updated' END AS change FROM cur c FULL JOIN inc i ON c.puuid = i.puuid AND c.queue_type = i.queue_type"""),
     ),
+    "upsert_all_summoners": (
+        upsert_all_summoners,
+        oracle(("summoners", "participants", "matches"), """bo AS (SELECT CASE WHEN summoner_id % 3 = 0 THEN 'C_' ELSE '' END || puuid AS puuid, game_name, tag_line, platform_region, updated_at FROM summoners UNION ALL SELECT CASE WHEN summoner_id % 2 = 1 THEN 'N_' ELSE '' END || puuid, game_name || '2', tag_line, platform_region, updated_at + CASE WHEN summoner_id % 4 = 0 THEN -1000 ELSE 1000 END FROM summoners),
+          nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY puuid ORDER BY updated_at DESC) AS n FROM bo) WHERE n = 1)
+          SELECT puuid, game_name, tag_line, platform_region, updated_at, false AS is_stub, upper(game_name) AS name_key, upper(tag_line) AS tag_key FROM nw UNION ALL SELECT DISTINCT puuid, NULL, NULL, NULL, 0, true, NULL, NULL FROM participants WHERE puuid NOT IN (SELECT puuid FROM nw)"""),
+    ),
+    "upsert_all_ranks": (
+        lambda t: I.upsert_ranks(all_current_ranks(t), all_incoming_ranks(t)),
+        oracle(("ranks",), """cur AS (SELECT * REPLACE (CASE WHEN wins % 3 = 0 THEN 'C_' ELSE '' END || puuid AS puuid) FROM ranks), inc AS (SELECT * REPLACE (CASE WHEN wins % 2 = 1 THEN 'N_' ELSE '' END || puuid AS puuid, league_points + CASE WHEN wins % 4 = 0 THEN 7 ELSE 0 END AS league_points) FROM ranks)
+          SELECT coalesce(i.puuid, c.puuid) AS puuid, coalesce(i.queue_type, c.queue_type) AS queue_type, coalesce(i.tier, c.tier) AS tier, coalesce(i.division, c.division) AS division, coalesce(i.league_points, c.league_points) AS league_points, coalesce(i.wins, c.wins) AS wins, coalesce(i.losses, c.losses) AS losses, CASE WHEN c.puuid IS NULL THEN 'inserted' WHEN i.puuid IS NULL THEN 'kept' WHEN i.league_points = c.league_points THEN 'same' ELSE 'updated' END AS change FROM cur c FULL JOIN inc i ON c.puuid = i.puuid AND c.queue_type = i.queue_type"""),
+    ),
     "rank_history": (rank_history, oracle(("ranks",), "one AS (SELECT 1) SELECT puuid, queue_type, tier, division, league_points, wins, losses FROM ranks WHERE wins % 3 <> 0 AND wins % 4 = 0 AND wins % 8 <> 0")),
     "insert_new_matches": (insert_new_matches, oracle(("matches",), "one AS (SELECT 1) SELECT match_id, match_date, patch, queue_id, queue_type FROM matches WHERE match_key % 3 <> 0 AND match_key % 5 <> 0 AND queue_id <> 0")),
     "timeline_snapshots": (

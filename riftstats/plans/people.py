@@ -42,9 +42,8 @@ def match_detail(t: Tables):
     return got.select("match_id", "match_date", "duration", "patch", "queue_id", text.alias("participants"))
 
 
-def wanted(t: Tables):
-    """Look-ups of every 7th player, spelt in several ways."""
-    s = t.summoners.where("summoner_id % 7 = 0")
+def wanted(s):
+    """Look-ups of players, spelt in several ways."""
     k = F.col("summoner_id") % 3
     return s.select(F.col("summoner_id").alias("request"), F.when(k == 0, F.concat(F.lit(" "), F.lower("game_name"))).when(k == 1, F.col("game_name")).otherwise(F.upper("game_name")).alias("game_name"), F.col("tag_line"), F.when(F.col("platform_region") == "NA1", "n-a").otherwise(F.lower("platform_region")).alias("platform"))
 
@@ -103,6 +102,13 @@ def last_runs(t: Tables):
     return m.select(F.col("match_id").alias("scope"), F.when(F.col("match_key") % 2 == 0, "8.2").otherwise(F.col("patch")).alias("patch"), (F.lit(NOW) - F.col("match_key") * 3_600_000 * 4).alias("ran_at"))
 
 
+def all_last_runs(t: Tables):
+    """A run record of each role and queue: the patch and time of its last match."""
+    rows = t.participants.join(t.matches, "match_id")
+    scope = F.concat(F.when(F.col("team_position") == "", "UNKNOWN").otherwise(F.col("team_position")), F.lit("/"), "queue_type")
+    return rows.groupBy(scope.alias("scope")).agg(F.max_by("patch", F.struct("match_date", "match_id")).alias("patch"), F.max("match_date").alias("ran_at"))
+
+
 def leagues(t: Tables):
     top = t.ranks.where("tier in ('MASTER', 'GRANDMASTER', 'CHALLENGER')")
     return top.select(F.concat(F.lit(" "), "puuid", F.lit(" ")).alias("puuid"), "league_points")
@@ -150,9 +156,13 @@ QUERIES: dict[str, Query] = {
           FROM summoners s LEFT JOIN (SELECT * FROM ranks WHERE queue_type = 'RANKED_SOLO_5x5') a ON s.puuid = a.puuid LEFT JOIN (SELECT * FROM ranks WHERE queue_type = 'RANKED_FLEX_SR') b ON s.puuid = b.puuid LEFT JOIN ov ON s.puuid = ov.puuid LEFT JOIN ch ON s.puuid = ch.puuid LEFT JOIN rc ON s.puuid = rc.puuid"""),
     ),
     "find_by_name": (
-        lambda t: P.find_by_name(wanted(t), t.summoners),
+        lambda t: P.find_by_name(wanted(t.summoners.where("summoner_id % 7 = 0")), t.summoners),
         oracle(("summoners",), "one AS (SELECT 1) SELECT a.summoner_id AS request, arg_min(b.puuid, (1, -b.updated_at, b.puuid)) AS puuid, 1 AS priority FROM summoners a JOIN summoners b ON upper(a.game_name) = upper(b.game_name) AND upper(a.tag_line) = upper(b.tag_line) AND a.platform_region = b.platform_region WHERE a.summoner_id % 7 = 0 GROUP BY 1"),
     ),
+    "find_all_by_name": (
+        lambda t: P.find_by_name(wanted(t.summoners), t.summoners),
+        oracle(("summoners",), "one AS (SELECT 1) SELECT a.summoner_id AS request, arg_min(b.puuid, (1, -b.updated_at, b.puuid)) AS puuid, 1 AS priority FROM summoners a JOIN summoners b ON upper(a.game_name) = upper(b.game_name) AND upper(a.tag_line) = upper(b.tag_line) AND a.platform_region = b.platform_region GROUP BY 1"),
+    ),
     "queue_facets": (
         lambda t: P.queue_facets(t.matches, t.participants),
         oracle(RR, f"fc AS (SELECT p.puuid, CASE WHEN m.queue_id > 0 THEN 'id:' || cast(m.queue_id as string) ELSE 'type:' || m.queue_type END AS facet, {LABEL.format('(' + QID + ')')} AS label FROM {FROM_HIST}) SELECT puuid, facet, label, count(*) AS games FROM fc GROUP BY 1, 2, 3"),
@@ -189,6 +199,12 @@ QUERIES: dict[str, Query] = {
         oracle(("matches",), f"""lr AS (SELECT match_id AS scope, CASE WHEN match_key % 2 = 0 THEN '8.2' ELSE patch END AS last_patch, {NOW} - match_key * 14400000 AS ran_at, match_key * 14400000 AS age, (SELECT count(*) FROM matches WHERE patch = '8.2' AND status = 1 AND fetched_at > {NOW - 259_200_000} AND fetched_at <= {NOW}) AS arrivals FROM matches WHERE match_key < 5),
           dc AS (SELECT *, CASE WHEN age < 3600000 THEN 'cooldown' WHEN last_patch <> '8.2' THEN 'patch_changed' WHEN age >= 43200000 THEN 'stale' WHEN arrivals >= 10 THEN 'threshold' ELSE 'not_enough_matches' END AS reason FROM lr) SELECT scope, last_patch, ran_at, arrivals, reason, reason NOT IN ('cooldown', 'not_enough_matches') AS run FROM dc"""),
     ),
+    "refresh_all_decisions": (
+        lambda t: K.refresh_decision(K.match_arrivals(t.matches, NOW, 60 * 24 * 3), all_last_runs(t), "8.2", NOW, threshold=10),
+        oracle(RR, f"""lr AS (SELECT CASE WHEN p.team_position = '' THEN 'UNKNOWN' ELSE p.team_position END || '/' || m.queue_type AS scope, arg_max(m.patch, (m.match_date, m.match_id)) AS last_patch, max(m.match_date) AS ran_at FROM participants p JOIN matches m ON p.match_id = m.match_id GROUP BY 1),
+          ar AS (SELECT *, {NOW} - ran_at AS age, (SELECT count(*) FROM matches WHERE patch = '8.2' AND status = 1 AND fetched_at > {NOW - 259_200_000} AND fetched_at <= {NOW}) AS arrivals FROM lr),
+          dc AS (SELECT *, CASE WHEN age < 3600000 THEN 'cooldown' WHEN last_patch <> '8.2' THEN 'patch_changed' WHEN age >= 43200000 THEN 'stale' WHEN arrivals >= 10 THEN 'threshold' ELSE 'not_enough_matches' END AS reason FROM ar) SELECT scope, last_patch, ran_at, arrivals, reason, reason NOT IN ('cooldown', 'not_enough_matches') AS run FROM dc"""),
+    ),
     "stale_players": (
         lambda t: K.stale_players(t.summoners, t.favorites, 50),
         oracle(("summoners", "favorites"), """ol AS (SELECT puuid, platform_region, game_name, tag_line, updated_at FROM summoners ORDER BY updated_at, puuid LIMIT 150), bo AS (SELECT * FROM ol UNION SELECT s.puuid, s.platform_region, s.game_name, s.tag_line, s.updated_at FROM summoners s JOIN favorites f ON s.puuid = f.puuid AND s.platform_region = f.platform_region),
