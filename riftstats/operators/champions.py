@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import EMERALD_PLUS, GRADES, SUCCESS, effective_minimum, grade_of, grade_value, rate, tier_scope, wilson
-from .scope import in_tiers, ranked_rows, solo_ranks, visible_matches
+from .scope import in_region, in_tiers, ranked_rows, solo_ranks, visible_matches
 
 #: Item classes that aren't completed builds, and items that are
 #: left out where the patch's metadata is incomplete.
@@ -29,19 +29,19 @@ def current_patch(patches: DataFrame, matches: DataFrame) -> DataFrame:
     return active.crossJoin(latest).select(F.coalesce("active", "latest").alias("patch"))
 
 
-def role_ranks(matches: DataFrame, participants: DataFrame, ranks: DataFrame) -> DataFrame:
+def role_ranks(matches: DataFrame, participants: DataFrame, ranks: DataFrame, summoners: DataFrame | None = None, region: str | None = None) -> DataFrame:
     """Place of a champion among those of its role and tier."""
-    rows = ranked_rows(matches, participants).join(solo_ranks(ranks), "puuid")
+    rows = in_region(ranked_rows(matches, participants), summoners, region).join(solo_ranks(ranks), "puuid")
     groups = rows.groupBy("patch", F.col("team_position").alias("role"), F.col("tier").alias("rank_tier"), "champion_id").agg(F.count("*").alias("games"), F.count_if("win").alias("wins"))
     scope = Window.partitionBy("patch", "role", "rank_tier")
     order = scope.orderBy((F.col("wins") / F.col("games")).desc(), F.desc("games"), "champion_id")
     return groups.withColumn("role_rank", F.row_number().over(order)).withColumn("role_population", F.count("*").over(scope))
 
 
-def champion_winrates(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame, minimum: int = 100, scope: str | None = None) -> DataFrame:
+def champion_winrates(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame, minimum: int = 100, scope: str | None = None, summoners: DataFrame | None = None, region: str | None = None) -> DataFrame:
     """Win, pick and ban rates by champion, role and tier. The pick rate is the
     share of the champion's own rows; the ban rate looks at the group's matches."""
-    rows = ranked_rows(matches, participants).join(solo_ranks(ranks), "puuid", "left").withColumn("rank_tier", F.coalesce("tier", F.lit("UNRANKED")))
+    rows = in_region(ranked_rows(matches, participants), summoners, region).join(solo_ranks(ranks), "puuid", "left").withColumn("rank_tier", F.coalesce("tier", F.lit("UNRANKED")))
     if tiers := tier_scope(scope):
         rows = rows.where(F.col("rank_tier").isin(tiers))
     banned = bans.select("match_id", "champion_id").distinct().withColumn("banned", F.lit(True))
@@ -52,7 +52,7 @@ def champion_winrates(matches: DataFrame, participants: DataFrame, bans: DataFra
     own = Window.partitionBy("patch", "champion_id")
     groups = groups.withColumn("total", F.sum("games").over(own))
     kept = keep_enough(groups, effective_minimum(minimum, F.col("total"), 3), "patch", "champion_id")
-    place = role_ranks(matches, participants, ranks).select("patch", "role", "rank_tier", "champion_id", "role_rank", "role_population")
+    place = role_ranks(matches, participants, ranks, summoners, region).select("patch", "role", "rank_tier", "champion_id", "role_rank", "role_population")
     return kept.join(place, ["patch", "role", "rank_tier", "champion_id"], "left").select(
         "patch", "champion_id", "role", "rank_tier", "games", "wins", rate(F.col("wins"), F.col("games")).alias("win_rate"), rate(F.col("games"), F.col("total")).alias("pick_rate"),
         rate(F.col("banned_matches"), F.col("group_matches")).alias("ban_rate"), "role_rank", "role_population",
@@ -254,21 +254,28 @@ def analytics_grid(matches: DataFrame, participants: DataFrame, bans: DataFrame,
     return tier_scores(rows.select("patch", "role", "rank_scope", "match_id", "champion_id", "win"), bans, ["patch", "role", "rank_scope"], minimum)
 
 
-def pro_rows(matches: DataFrame, participants: DataFrame, roster: DataFrame, summoners: DataFrame) -> DataFrame:
+#: Platforms of a region of the roster; others are their own.
+ROSTER_PLATFORMS = {"NA": ["NA1"], "EUW": ["EUW1"], "KR": ["KR"], "CN": ["CN1", "CN2"]}
+
+
+def pro_rows(matches: DataFrame, participants: DataFrame, roster: DataFrame, summoners: DataFrame, region: str | None = None, role: str | None = None) -> DataFrame:
+    name = (region or "").strip().upper()
+    if name not in ("", "ALL"):
+        roster = roster.where(F.upper("platform_region").isin(ROSTER_PLATFORMS.get(name, [name])))
     named = roster.where("is_active").join(summoners.select("puuid", "game_name", "tag_line"), "puuid", "left")
     full = F.when(F.col("tag_line").isNotNull(), F.concat("game_name", F.lit("#"), "tag_line")).otherwise(F.col("game_name"))
     named = named.select("puuid", F.coalesce("pro_name", full).alias("player"), "team_name", F.col("platform_region").alias("platform"))
-    return ranked_rows(matches, participants).join(named, "puuid")
+    return ranked_rows(matches, participants, role=role).join(named, "puuid")
 
 
 def item_lists(items: DataFrame) -> DataFrame:
     return items.where("item_id <> 0").groupBy("match_id", "participant_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
 
 
-def pro_recent_matches(matches: DataFrame, participants: DataFrame, roster: DataFrame, summoners: DataFrame, items: DataFrame, n: int = 25) -> DataFrame:
+def pro_recent_matches(matches: DataFrame, participants: DataFrame, roster: DataFrame, summoners: DataFrame, items: DataFrame, n: int = 25, region: str | None = None, role: str | None = None) -> DataFrame:
     """The newest n ranked games of roster players per champion and patch."""
     order = Window.partitionBy("patch", "champion_id").orderBy(F.desc("match_date"), F.desc("match_id"), "participant_id")
-    rows = pro_rows(matches, participants, roster, summoners).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    rows = pro_rows(matches, participants, roster, summoners, region, role).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
     return rows.join(item_lists(items), ["match_id", "participant_id"], "left").select("patch", "champion_id", "place", "match_id", "participant_id", "match_date", "player", "team_name", "team_position", "win", F.coalesce("items", F.array().cast("array<int>")).alias("items"))
 
 

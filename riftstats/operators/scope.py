@@ -28,6 +28,15 @@ def ranked_rows(matches: DataFrame, participants: DataFrame, patch: str | None =
     return rows.join(own.select("match_id", "patch", "match_date", "duration"), "match_id")
 
 
+def in_region(rows: DataFrame, summoners: DataFrame | None, region: str | None) -> DataFrame:
+    """Rows of players of a region or platform (either is accepted); all if none
+    is named."""
+    name = (region or "").strip().upper()
+    if name in ("", "ALL"):
+        return rows
+    return rows.join(summoners.where((F.upper("region") == name) | (F.upper("platform_region") == name)).select("puuid").distinct(), "puuid", "left_semi")
+
+
 def in_tiers(rows: DataFrame, ranks: DataFrame | None, scope: str | None) -> DataFrame:
     """Rows of players whose solo rank is in the scope; all if it names none."""
     tiers = tier_scope(scope)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ..operators.ingest import MATCH_DELAYS, MAX_MATCH_FAILURES, short_patch
+from ..functions.exprs import OUTSIDE_RETENTION
+from ..operators.ingest import DAY, MATCH_DELAYS, MAX_MATCH_FAILURES, RETENTION_DAYS, short_patch
 from ..sources.raw import parse
 
 
@@ -35,19 +36,22 @@ def new_matches(lines: DataFrame, sink: str, checkpoint: str, watermark: str = "
     return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-STATE = "last_attempt_at long, last_success_at long, failed_at array<long>"
+STATE = "match_date long, last_attempt_at long, last_success_at long, failed_at array<long>"
 OUT = "match_id string, failures int, last_attempt_at long, last_success_at long, status int, next_attempt_at long"
 
 
-def fetch_state(attempts: DataFrame) -> DataFrame:
-    """State of each match after each batch of attempts (match_id, at, ok), whatever
+def fetch_state(attempts: DataFrame, now_ms: int | None = None) -> DataFrame:
+    """State of each match after each batch of attempts (match_id, at, ok, and with
+    now_ms, which puts old matches outside of retention, match_date), whatever
     the order in which they come: kept are the last success, the failures after it
     and the latest attempt."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        last, good, failed = state.get if state.exists else (None, None, [])
+        date, last, good, failed = state.get if state.exists else (None, None, None, [])
         failed = np.array(failed, np.int64)
         for f in frames:
+            if now_ms is not None:
+                date = max([int(f["match_date"].max())] + [date] * (date is not None))
             at, ok = f["at"].to_numpy(np.int64), f["ok"].to_numpy(bool)
             last = max([int(at.max())] + [last] * (last is not None))
             if ok.any():
@@ -55,9 +59,11 @@ def fetch_state(attempts: DataFrame) -> DataFrame:
             failed = np.concatenate((failed, at[~ok]))
             if good is not None:
                 failed = failed[failed > good]
-        state.update((last, good, failed.tolist()))
+        state.update((date, last, good, failed.tolist()))
         failures = len(failed)
         status = 1 if not failures else 3 if failures >= MAX_MATCH_FAILURES else 2
+        if date is not None and now_ms - date > RETENTION_DAYS * DAY:
+            status = OUTSIDE_RETENTION
         wait = MATCH_DELAYS[min(failures, len(MATCH_DELAYS)) - 1] * 1000 if status == 2 else None
         yield pd.DataFrame({"match_id": [key[0]], "failures": [failures], "last_attempt_at": [last], "last_success_at": pd.array([good], "Int64"), "status": [status], "next_attempt_at": pd.array([None if wait is None else last + wait], "Int64")})
 

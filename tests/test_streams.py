@@ -48,6 +48,22 @@ def test_fetch_state_in_any_order(spark, tmp_path, small_frames, files):
     assert set(last.values()) == want
 
 
+def test_fetch_state_outside_retention(spark, tmp_path):
+    day = 86_400_000
+    rows = spark.createDataFrame([("old", -731 * day, 0, False), ("new", -729 * day, 0, False)], "match_id string, match_date long, at long, ok boolean")
+    got = S.run_to_table(S.fetch_state(stream(rows, tmp_path), 0), spark, f"{tmp_path}/out", f"{tmp_path}/state", "update")
+    assert {tuple(r) for r in got.select(*COLUMNS).collect()} == {tuple(r) for r in I.fold_fetch_attempts(rows, 0).select(*COLUMNS).collect()}
+    assert {r.match_id: r.status for r in got.collect()} == {"old": 4, "new": 2}
+
+
+def test_fetch_attempts_go_on_from_a_state(spark):
+    rows = log(spark)
+    want = sorted(tuple(r) for r in I.fold_fetch_attempts(rows, 0).collect())
+    first = I.fold_fetch_attempts(rows.where("at <= 200 and match_id <> 'm3'"), 0)
+    assert sorted(tuple(r) for r in I.fold_fetch_attempts(rows, 0, state=first).collect()) == want
+    assert sorted(tuple(r) for r in I.fold_fetch_attempts(rows.where("false"), 0, state=I.fold_fetch_attempts(rows, 0)).collect()) == want
+
+
 def snapshots(spark):
     rows = [(f"p{p}", "NA1", ("in_game", "offline", "lobby")[(t * t + p) % 3 if t % 4 else 1], t // 3, t * 10, t) for p in range(5) for t in range(60, 0, -1)]
     return spark.createDataFrame(rows, "puuid string, platform_region string, state string, game_id long, observed_at long, event_id long")

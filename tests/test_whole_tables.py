@@ -2,6 +2,7 @@
 
 import pytest
 
+from riftstats.operators import champions as C
 from riftstats.plans import landing, people, registry
 from riftstats.sources.fixtures import Tables
 
@@ -27,3 +28,19 @@ def test_every_row_comes_out(tables):
     for name, table in (("upsert_all_ranks", tables.ranks), ("upsert_all_summoners", tables.summoners)):
         assert bare(table).exceptAll(bare(run(name))).count() == 0, name
     assert run("refresh_all_decisions").count() > 5
+
+
+def test_regions(tables):
+    t = tables
+    own = t.summoners.where("platform_region = 'NA1'").select("puuid")
+    rows = t.participants.join(own, "puuid", "left_semi")
+    plain = lambda df: sorted(map(str, df.collect()))
+    for f, more in ((C.role_ranks, (t.ranks,)), (C.champion_winrates, (t.bans, t.ranks, 5))):
+        got = plain(f(t.matches, t.participants, *more, summoners=t.summoners, region=" na1"))
+        assert got and got == plain(f(t.matches, rows, *more))
+        assert plain(f(t.matches, t.participants, *more, summoners=t.summoners, region="AMERICAS")) != got
+    pro = lambda **k: C.pro_recent_matches(t.matches, t.participants, t.pro_roster, t.summoners, t.items, **k)
+    china = t.pro_roster.where("platform_region in ('CN1', 'CN2')")
+    got = plain(pro(region="cn"))
+    assert got and got == plain(C.pro_recent_matches(t.matches, t.participants, china, t.summoners, t.items))
+    assert {r.team_position for r in pro(role="jungle").collect()} == {"JUNGLE"}
