@@ -1,17 +1,22 @@
 """Personal data spans with DataFrame functions only.
 
 Per kind a regular expression proposes leftmost non-overlapping spans, a
-validator confirms them (value ranges, Luhn, mod-97, digit counts) and words
-before the span adjust its score. `split` and `regexp_extract_all` by the same
-expression give the gaps and the matches in turn, so offsets are running sums of
-lengths and no Python is needed. The patterns are possessive and anchored to the
-start of a run, so a very long run of letters or digits is read once.
-
-The four base kinds (email, ip, card, phone) are kept whatever their score. Two
-kinds are added and kept only from MIN_SCORE on: `iban` (mod-97 confirmed) and
-`phone_local` (no plus sign; needs a context word before it).
-
-Cases: a null, empty or clean text has no spans and the counts 0; the digest of
+validator confirms them (value ranges, Luhn, mod-97, digit counts, entropy) and
+words within CONTEXT_CHARS before and after the span adjust its score: words of
+the kind raise it, words of examples and checksums lower it. `split` and
+`regexp_extract_all` by the same expression give the gaps and the matches in
+turn, so offsets are running sums of lengths and no Python is needed. The
+patterns are possessive and anchored to the start of a run, so a very long run
+of letters or digits is read once.
+
+The four base kinds (email, ip, card, phone) are kept whatever their score. Three
+kinds are added and kept only from MIN_SCORE on: `iban` (mod-97 confirmed),
+`phone_local` (no plus sign; needs a context word) and `secret` (a run of 20 to
+256 characters of keys, with letters and digits and the entropy of a random
+string; needs a context word).
+
+Cases: a null, empty or clean text has no spans and the counts 0; a text of any
+length is read whole (offsets are summed, never cut out of the text again); the digest of
 no spans is that of the empty string; repeated rows give repeated results; null
 ids are carried; an empty table gives an empty result; other columns pass
 through `find` untouched unless they are named as its outputs, which it replaces.
@@ -24,6 +29,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import free_name
+
 #: The kinds in their order, with the pattern of each.
 LOCAL = r"A-Za-z0-9._%+-"
 PATTERNS = {
@@ -33,10 +40,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
     "phone_local": r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,256}+(?![A-Za-z0-9_/+-])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Score of a confirmed proposal alone, and what a context word adds.
-START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "phone_local": 0.3}
+START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "phone_local": 0.3, "secret": 0.3}
 CONTEXT = {
     "email": r"(?i)\b(e-?mail|mail|contact|write)\b",
     "ip": r"(?i)\b(ip|host|server|address|login)\b",
@@ -44,10 +52,16 @@ CONTEXT = {
     "phone": r"(?i)\b(phone|tel|call|mobile|fax)\b",
     "iban": r"(?i)\b(iban|account|bank|transfer)\b",
     "phone_local": r"(?i)\b(phone|tel|call|mobile|fax)\b",
+    "secret": r"(?i)(\b|_)(token|secret|key|api_?key|password|passwd|pwd|bearer|credentials?|authorization)\b",
 }
-CONTEXT_BONUS, CONTEXT_CHARS, MIN_SCORE = 0.3, 40, 0.5
+#: Not within an address such as "a@mail.example.com".
+DOUBT = r"(?i)(?<![\w.@-])(example|sample|dummy|placeholder|commit|checksum|digest|md5|sha[0-9]*)(?![\w@-]|\.\w)"
+CONTEXT_BONUS, DOUBT_MALUS, CONTEXT_CHARS, MIN_SCORE = 0.3, 0.2, 40, 0.5
+#: Least bits a character of a secret.
+SECRET_ENTROPY = 2.8
 #: Proposals whose offsets are summed up together.
 CHUNK = 256
+MOST_NEAR = CONTEXT_CHARS // 5
 
 
 def _digits(c: Column) -> Column:
@@ -68,6 +82,13 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(turned, F.lit(0), step) == 1
 
 
+def entropy(c: Column) -> Column:
+    """Bits a character, from the counts of the distinct characters."""
+    n = F.length(c)
+    bits = lambda a, x: a - F.when(x == "", 0.0).otherwise((share := (n - F.length(F.replace(c, x, F.lit("")))) / n) * F.log2(share))
+    return F.aggregate(F.array_distinct(F.split(c, "")), F.lit(0.0), bits)
+
+
 def confirmed(kind: str, match: Column) -> Column:
     if kind == "email":
         return F.lit(True)
@@ -80,6 +101,8 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.length(_digits(match)).between(9, 15)
     if kind == "iban":
         return mod97(match)
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (entropy(match) >= SECRET_ENTROPY)
     return F.lit(True)
 
 
@@ -93,21 +116,36 @@ def spans_of(text: Column, kind: str) -> Column:
     """array<struct<kind, start, end, score>> of the confirmed spans; start
     counts code points from 0, end is exclusive. Offsets are summed up within
     chunks of CHUNK proposals and then over the chunks, so that a text with very
-    many spans doesn't copy its list again for each."""
+    many spans doesn't copy its list again for each. Every match has five
+    characters at least, so the next MOST_NEAR gaps and matches hold the context
+    behind it."""
     empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
     gaps = F.split(text, PATTERNS[kind], -1)
     matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
 
     def step(a: Column, x: Column) -> Column:
         at = a["at"] + F.length(x["gap"])
-        near = F.lower(F.right(x["gap"], F.lit(CONTEXT_CHARS)))
-        score = F.least(F.lit(1.0), F.lit(START[kind]) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0))
+        near = F.concat(x["before"], F.lit(" "), x["after"])
+        score = F.lit(START[kind]) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0) - F.when(near.rlike(DOUBT), DOUBT_MALUS).otherwise(0.0)
+        score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 2)
         ok = F.coalesce(confirmed(kind, x["match"]), F.lit(False))
         if kind not in BASE:
             ok = ok & (score >= MIN_SCORE)
         one = F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(x["match"])).alias("end"), score.alias("score"))
         return F.struct((at + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"), F.when(x["match"].isNotNull() & ok, F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
 
+    def with_context(pairs: Column) -> Column:
+        last, first = (lambda c: F.right(c, F.lit(CONTEXT_CHARS))), (lambda c: F.left(c, F.lit(CONTEXT_CHARS)))
+        match = lambda x: F.coalesce(x["match"], F.lit(""))
+
+        def one(x: Column, i: Column) -> Column:
+            lo = F.greatest(F.lit(0), i - MOST_NEAR)
+            before = F.array_join(F.transform(F.slice(pairs, lo + 1, i - lo), lambda y: F.concat(last(y["gap"]), last(match(y)))), "")
+            after = F.array_join(F.transform(F.slice(pairs, i + 2, F.lit(MOST_NEAR)), lambda y: F.concat(first(y["gap"]), first(match(y)))), "")
+            return F.struct(x["gap"], x["match"], last(F.concat(before, last(x["gap"]))).alias("before"), first(after).alias("after"))
+
+        return F.transform(pairs, one)
+
     def chunk(pairs: Column, c: Column) -> Column:
         return F.aggregate(F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
 
@@ -117,15 +155,16 @@ def spans_of(text: Column, kind: str) -> Column:
         return bound(starts, lambda by: F.flatten(F.transform(chunks, lambda c, i: F.transform(c["out"], lambda s: move(s, F.get(by, i))))))
 
     pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    pairs = bound(pairs, with_context)
     chunks = bound(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.ceil(F.size(p) / CHUNK).cast("int") - 1), lambda c: chunk(p, c)))
     return F.when(text.rlike(PATTERNS[kind]), bound(chunks, shifted)).otherwise(empty)
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds `pii`: array<struct<kind, start, end, score>> in the order of
+def find(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
+    """Adds `out`: array<struct<kind, start, end, score>> in the order of
     the kinds, then of start."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("pii", F.concat(*[spans_of(text, k) for k in PATTERNS]))
+    return docs.withColumn(out, F.concat(*[spans_of(text, k) for k in PATTERNS]))
 
 
 def joined(spans: Column) -> Column:
@@ -135,15 +174,18 @@ def joined(spans: Column) -> Column:
 def digests(found: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores")
+    added = [count(k) for k in PATTERNS if k not in BASE]
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), *added, F.size("pii").cast("long").alias("n_spans"), scores)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by <KIND>; spans that overlap
-    become one, named by the first. A text without spans is left as it is."""
-    kept = docs.columns
-    found = find(docs, text_col)
-    ordered = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    become one, named by the first. A text without spans is left as it is, and so
+    is every other column, whatever its name."""
+    kept, spans = docs.columns, free_name(docs, "pii")
+    found = find(docs, text_col, spans)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col(text_col)
 
@@ -153,4 +195,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(a["out"]).alias("out"))
 
     clean = F.aggregate(ordered, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("pii") > 0, clean).otherwise(text)).select(*kept)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).select(*kept)

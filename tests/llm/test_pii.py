@@ -1,6 +1,7 @@
 """Spans against a plain regular-expression version, and redaction."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -24,6 +25,28 @@ def slow_spans(t):
     return ",".join(out)
 
 
+def mod97(t):
+    flat = t.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
+def entropy(t):
+    return -sum((n := t.count(c) / len(t)) * math.log2(n) for c in set(t))
+
+
+def slow_added(t):
+    """Spans of the added kinds, with the context cut out of the text."""
+    out = []
+    for k, start in (("iban", 0.8), ("phone_local", 0.3), ("secret", 0.3)):
+        for m in re.finditer(pii.PATTERNS[k], t or ""):
+            g, near = m.group(0), t[max(0, m.start() - 40) : m.start()] + " " + t[m.end() : m.end() + 40]
+            score = start + 0.3 * bool(re.search(pii.CONTEXT[k], near)) - 0.2 * bool(re.search(pii.DOUBT, near))
+            fine = mod97(g) if k == "iban" else k != "secret" or (any(c.isdigit() for c in g) and any(c.isalpha() for c in g) and entropy(g) >= pii.SECRET_ENTROPY)
+            if fine and round(score, 2) >= 0.5:
+                out.append((k, m.start(), m.end(), min(1.0, round(score, 2))))
+    return out
+
+
 def texts():
     rng = random.Random(2)
     out = [None, "", "a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8 300.1.1.1 0255.01.1.1", "4111 1111 1111 1111 and 4111-1111-1111-1111 5", "5 4111111111111111", "+1 (555) 123-4567 +1--2 +49 1234567890123456789", "é " * 50 + "a.b@c.d.e. z", "+1 1.2.3.4 555 666", "x" * 100_000, "1" * 50_000, "a@" * 20_000, "a@b" + ".c" * 20_000, "+1" + "(" * 50_000, "1.2.3.4 " * 2000, "\U0001f600 a@b.cd"]
@@ -48,10 +71,33 @@ def test_added_kinds_and_context(spark):
     assert got[5][0].score == 1.0
 
 
+def keyed_texts():
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    out = [f'token = "{key(40)}"', f"{key(40)} is the secret", f"commit {key(40)} of the key", f"commit {key(40)}", key(40), "password: " + "a1" * 20, "key " + "x" * 40, f"key {key(257)}", f"key {key(256)}", f"{key(24)} {key(24)} {key(30)} token", "tel " + "555 123-4567 " * 9]
+    words = ["token", "key", "commit", "tel", "555 123-4567", "DE89 3704 0044 0532 0130 00", "a", "é", "sample", "iban"]
+    return out + [" ".join(rng.choice([*words, key(rng.randrange(18, 50))]) for _ in range(rng.randrange(20))) for _ in range(400)]
+
+
+def test_added_kinds_against_brute_force(spark):
+    df = spark.createDataFrame(list(enumerate(keyed_texts())), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.pii for r in pii.find(df).collect()}
+    for i, t in enumerate(keyed_texts()):
+        assert [tuple(s) for s in got[i] if s.kind not in BASE] == slow_added(t), t
+    assert [len(slow_added(t)) for t in keyed_texts()[:9]] == [1, 1, 0, 0, 0, 0, 0, 0, 1]
+
+
+def test_every_planted_secret_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lower(text) rlike 'token = \"[0-9a-f]{40}'")
+    assert docs.count() >= 10
+    assert pii.redact(docs).where("lower(text) rlike 'token = \"[0-9a-f]{40}' or not text like '%<SECRET>%'").count() == 0
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.cd or 1.2.3.4!", "k"), (2, "+1 1.2.3.4 555 666 é", "k"), (3, "clean text", "k"), (4, None, "k"), (None, "", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii string")
-    got = {r.doc_id: r.text for r in pii.redact(df.drop("pii")).collect()}
+    assert pii.redact(df).schema == df.schema and {r.pii for r in pii.redact(df).collect()} == {"k"}
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert got == {1: "mail <EMAIL> or <IP>!", 2: "<PHONE> é", 3: "clean text", 4: None, None: ""}
 
 
