@@ -7,10 +7,14 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to a Python worker: with whole documents the
 #: default of 10,000 would make the memory of a task grow with document length.
 ARROW_ROWS = 256
+#: Rows of a few numbers or one digest that are sent to every executor at most;
+#: beyond it such a table is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def checked_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table for a join: written out and counted, and marked for
+    broadcasting if it has at most `rows` rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
     return df.mapInArrow(f, schema)

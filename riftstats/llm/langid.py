@@ -28,6 +28,7 @@ an empty result; other columns are not read.
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,13 +46,20 @@ RIDGE, FLOOR = 1.0, 1e-6
 #: Most characters of a piece: some 10,000 different n-grams at most, a
 #: hundredth of the cells.
 PIECE = 1 << 13
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def letters() -> re.Pattern:
+    """Runs of letters: word characters that aren't digits, the underscore or one
+    of the signs that count as numbers only, such as \u00bd, \u00b2 or \u2167."""
+    signs = [c for c in range(0x20000) if not chr(c).isalpha() and chr(c).isnumeric()]
+    return re.compile(rf"[^\W\d_{''.join(map(chr, signs))}]+")
 
 
 def pieces(text: str | None) -> Iterator[np.ndarray]:
     """The distinct cells of the n-grams of each piece of a text, none if it has
     no letter. n-grams across a border belong to the piece that they begin in."""
-    line = " " + " ".join(LETTERS.findall((text or "").lower())) + " "
+    line = " " + " ".join(letters().findall((text or "").lower())) + " "
     if len(line) < 3:
         return
     code = np.frombuffer(line.encode("utf-32-le"), np.uint32)

@@ -13,8 +13,14 @@ within any "WARC/1.1" of a payload and header values have it escaped; every
 block is checked against its Content-Length. Single-segment records are decoded
 where they are read; only the parts of segmented ones are shuffled, by origin.
 
+A response's record id is made of its page's id and its digest, so that every
+WARC-Refers-To of a revisit names a record of the archives; revisits and
+continuations are numbered by task. The reader takes archives of text records,
+as the writer makes them; whole files are compressed, not single records.
+
 Cases: a null payload is empty; an empty or short payload is always a response;
-repeated rows of the response's id are responses too, other repeats revisit it;
+repeated rows of the response's id are responses too (equal records with one id),
+other repeats revisit it;
 rows with a null id are never the response of others: they are responses if
 alone with their payload or if all ids of the group are null, else revisits; a
 very long payload is read in segments and only its own parts meet in a group;
@@ -26,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -33,11 +40,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_batches, shared_dir
+from .base import checked_side, map_batches, shared_dir
 
 SEGMENT_BYTES, CHUNK_BYTES, MIN_BYTES = 32 << 10, 8 << 10, 100
 MARK = "WARC/1.1\r\n"
 END = "\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records of one archive file at most.
 FILE_RECORDS = 500_000
 
@@ -87,22 +95,29 @@ def header(pairs: list[tuple[str, str | int]]) -> str:
     return MARK + "".join(f"{k}: {v}\r\n" for k, v in pairs) + "\r\n"
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, own: str) -> Iterator[str]:
-    """The records of one page, each without the closing END."""
+def record_id(page_id: int | None, digest: str, own: str) -> str:
+    """Id of a page's response; one without a page id goes by its number."""
+    return f"<urn:page:{own if page_id is None else page_id}:{digest}>"
+
+
+def records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, own: str, date: str) -> Iterator[str]:
+    """The records of one page, each without the closing END. own: a number that
+    no other page of the archives has; date: WARC-Date of all records."""
     kind = "revisit" if refers_to is not None else "response"
-    head = [("WARC-Record-ID", f"<urn:page:{own}>"), ("WARC-Type", kind), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
+    origin = f"<urn:page:{own}>" if kind == "revisit" else record_id(page_id, digest, own)
+    head = [("WARC-Record-ID", origin), ("WARC-Type", kind), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if page_id is not None:
         head.append(("X-Page-Id", page_id))
     if url:
         head.append(("WARC-Target-URI", safe(url)))
     if kind == "revisit":
         block = f"HTTP/1.1 200 OK\r\nContent-Length: {len(payload)}\r\n\r\n"
-        yield header([*head, ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("Content-Length", len(block))]) + block
+        yield header([*head, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest, own)), ("Content-Length", len(block))]) + block
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     cuts = list(cut_points(block, SEGMENT_BYTES))
     for n, (lo, hi) in enumerate(cuts, 1):
-        part = head if n == 1 else [("WARC-Record-ID", f"<urn:page:{own}:{n}>"), ("WARC-Type", "continuation"), ("WARC-Segment-Origin-ID", f"<urn:page:{own}>")]
+        part = head if n == 1 else [("WARC-Record-ID", f"<urn:page:{own}:{n}>"), ("WARC-Type", "continuation"), ("WARC-Date", date), ("WARC-Segment-Origin-ID", origin)]
         if len(cuts) > 1:
             part = [*part, ("WARC-Segment-Number", n)]
         if n == len(cuts) > 1:
@@ -111,19 +126,19 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, r
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, refers_to of every page."""
+    """page_id, url, payload, digest, refers_to of every page. Only digests that
+    repeat are joined to the pages, so payloads are shuffled only where these are
+    too many to be sent out."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    first = (
-        pages.select(F.col("page_id").cast("long").alias("page_id"), payload.alias("payload")).where(F.octet_length("payload") >= MIN_BYTES)
-        .groupBy(F.sha2("payload", 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    )
+    first = rows.where(F.octet_length("payload") >= MIN_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    return rows.join(checked_side(first), "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str) -> None:
+def write(pages: DataFrame, path: str, date: datetime | None = None) -> None:
     """Writes the archives of all pages to the folder `path`."""
+    when = (date or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
@@ -131,7 +146,7 @@ def write(pages: DataFrame, path: str) -> None:
             lines, held = [], 0
             for page_id, url, payload, digest, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n += 1
-                for text in records(page_id, url, payload, digest, refers, f"{page_id}-{task}-{n}"):
+                for text in records(page_id, url, payload, digest, refers, f"{page_id}-{task}-{n}", when):
                     lines.append(text)
                     held += len(text)
                     if held > 8 << 20:
@@ -160,7 +175,7 @@ def parse(text: str) -> tuple[dict[str, str], bytes]:
 def decoded(fields: dict[str, str], block: bytes) -> tuple[int | None, str, int | None, int, str, bytes | None]:
     """(page_id, record_type, refers_to, payload_bytes, payload_digest, payload)
     of a whole record; the payload of a response is held against its digest."""
-    number = lambda v: int(v.removeprefix("<urn:page:").rstrip(">"))
+    number = lambda v: int(v.removeprefix("<urn:page:").split(":")[0])
     page_id = int(fields["X-Page-Id"]) if "X-Page-Id" in fields else None
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     head, _, body = block.partition(b"\r\n\r\n")
@@ -220,6 +235,12 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     return single.unionByName(map_batches(grouped.select("segments", "total"), joined, OUT))
 
 
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """The header fields of every record, as a map."""
+    lines = spark.read.option("lineSep", MARK).text(path).where("value != ''")
+    return lines.select(F.str_to_map(F.substring_index("value", END, 1), F.lit("\r\n"), F.lit(": ")).alias("fields"))
+
+
 def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
     """Writes the pages to archives in the shared folder and reads them back."""
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"

@@ -1,5 +1,6 @@
 """Held-out accuracy of language ID, and odd rows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -13,6 +14,51 @@ def test_held_out_accuracy(spark):
     assert n > 100 and right >= 0.97 * n
 
 
+def test_signs_that_are_no_letters(spark):
+    assert all(not list(langid.pieces(t)) for t in ("\u00bd \u00b2", "\u2460\u2461", "\u2167", "12 _ !", "\u0663"))
+    base = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("el perro y el gato", "es")] * 20)]
+    df = spark.createDataFrame([*base, (100, "\u00bd \u2461", None), (101, "\u2167", None)], "doc_id long, text string, lang string")
+    assert [(r.lang_pred, r.score) for r in langid.identify(df).where("doc_id >= 100").collect()] == [("und", 0.0)] * 2
+
+
+def test_against_plain_kernel_ridge(spark):
+    """Exact n-gram sets, the kernel matrix and the ridge system written out."""
+    rows = [(r.lang, r.text[:600]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and text is not null").orderBy("doc_id").limit(120).collect()]
+    model = langid.Model(rows)
+
+    def grams(text):
+        line = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return {line[i : i + n] for n in langid.NGRAMS for i in range(len(line) - n + 1)} if line.strip() else set()
+
+    marks, seen = [], {}
+    for lang, text in rows:
+        if seen.setdefault(lang, 0) < langid.LANDMARKS_PER_LANG:
+            seen[lang] += 1
+            marks.append(grams(text))
+    usual = np.mean([len(m) for m in marks])
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+    short = lambda a: np.sqrt(max(1, usual / max(1, len(a))))
+    value, vector = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    keep = value > langid.FLOOR
+    to_phi = vector[:, keep] / np.sqrt(value[keep])
+    phi = lambda text: np.append(np.array([kernel(g, m) for m in marks]) * short(g) @ to_phi, 1) if (g := grams(text)) else None
+    x = np.stack([phi(t) if grams(t) else np.append(np.zeros(keep.sum()), 1) for _, t in rows])
+    y = np.array([[1.0 if lang == z else -1.0 for z in model.langs] for lang, _ in rows])
+    c = 1 / np.array([sum(lang == z for z, _ in rows) for lang, _ in rows])
+    c *= len(rows) / c.sum()
+    w = np.linalg.solve(x.T @ (x * c[:, None]) + langid.RIDGE * np.eye(x.shape[1]), x.T @ (y * c[:, None]))
+    texts = [r.text[:3000] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").limit(150).collect()]
+    langs, score = model(texts)
+    for text, lang, s in zip(texts, langs, score, strict=True):
+        p = phi(text)
+        if p is None:
+            assert lang == "und" and s == 0
+            continue
+        f = p @ w
+        assert abs(s - np.clip((f.max() + 1) / 2, 0, 1)) < 0.02  # n-grams share cells now and then
+        assert lang == model.langs[int(f.argmax())] or np.diff(np.sort(f)[-2:])[0] < 0.05
+
+
 def test_labels_and_ids_are_no_inputs(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.fit(df)

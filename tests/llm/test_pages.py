@@ -1,6 +1,7 @@
 """WARC round trips, HTML extraction and URL verdicts."""
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -32,10 +33,23 @@ def test_warc_round_trip(spark):
             assert hashlib.sha256(r.payload).hexdigest() == r.payload_digest
 
 
+def test_references_name_records(spark, tmp_path):
+    _, df = pages(spark)
+    warc.write(df, f"{tmp_path}/w")
+    fields = [r.fields for r in warc.headers(spark, f"{tmp_path}/w").collect()]
+    responses = {f["WARC-Record-ID"] for f in fields if f["WARC-Type"] == "response"}
+    revisits = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3 and all(f["WARC-Refers-To"] in responses and f["WARC-Profile"] == warc.PROFILE for f in revisits)
+    assert all(f["WARC-Segment-Origin-ID"] in responses for f in fields if f["WARC-Type"] == "continuation")
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"]) for f in fields)
+    ids = [f["WARC-Record-ID"] for f in fields]
+    assert len(ids) - len(set(ids)) == 1  # the row that is there twice
+
+
 def test_segments_and_framing():
     payload = ("é" * 50_000 + "WARC/1.1\r\n" * 5).encode()
     assert warc.unchunked(warc.chunked(payload)) == payload and warc.unchunked(warc.chunked(b"")) == b""
-    parts = list(warc.records(5, "u", payload, hashlib.sha256(payload).hexdigest(), None, "5-0-1"))
+    parts = list(warc.records(5, "u", payload, hashlib.sha256(payload).hexdigest(), None, "5-0-1", "2020-01-01T00:00:00Z"))
     assert len(parts) > 2 and all(p.count("WARC/1.1") == 1 for p in parts)
     got = [warc.parse(p.removeprefix(warc.MARK) + warc.END) for p in parts]
     assert sum(len(b) for _, b in got) == int(got[-1][0]["WARC-Segment-Total-Length"])
@@ -112,6 +126,59 @@ def test_urls(spark):
     assert all(r.verdict == verdict[r.rule] for r in got if r.rule) and {r.verdict for r in got} <= {"allow", "block"}
 
 
+def grown(lines):
+    """A tree of a debug string as a function of the features."""
+    line = lines.pop(0).strip()
+    if line.startswith("Predict: "):
+        value = float(line.removeprefix("Predict: "))
+        return lambda x: value
+    at, bound = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+    low = grown(lines)
+    assert lines.pop(0).strip().startswith("Else")
+    high = grown(lines)
+    return lambda x: low(x) if x[int(at)] <= float(bound) else high(x)
+
+
+def test_verdicts_of_trees_against_brute_force(spark):
+    """Features, suffix statistics by fold and the trees' sum, row by row."""
+    kinds = {"net": "http://a{0}.net/p{0}", "de": "https://b{0}.example.com/de/{0}?x=1", "fr": "http://c{0}.org/fr/{0}", "en": "http://d{0}.example.net/en/", "com": "https://shop-{0}.com/{0}/{0}?a=1&b={0}#t", "org": "http://e{0}.org/es/x"}
+    pages = [(i, list(kinds.values())[i % 6].format(i * 37)) for i in range(600)] + [(600, None), (601, ""), (None, "http://x.com/")]
+    df = spark.createDataFrame(pages, "page_id long, url string").repartition(3)
+    rows = urls.featured(urls.ruled(urls.parsed(df)))
+    _, trees = urls.trained(rows)
+    fold = {r.host: r.fold for r in rows.select("host", "fold").collect()}
+    parts = []
+    for i, u in pages:
+        host, path, rule = slow_rule(u)
+        ruling = {h + p: v for v, h, p in urls.RULES}.get(rule)
+        parts.append((i, u or "", host, path, ruling, host.rsplit(".", 1)[-1]))
+    lines = [x for x in trees.toDebugString.split("\n")[1:] if x.strip()]
+    forest = []
+    while lines:
+        weight = float(re.search(r"weight ([\d.]+)", lines.pop(0)).group(1))
+        forest.append((weight, grown(lines)))
+    assert len(forest) == urls.TREES
+    got = {(r.page_id, r.host): r for r in urls.judged(df).collect()}
+    seen = set()
+    for i, u, host, path, ruling, suffix in parts:
+        peers = [p for p in parts if p[5] == suffix]
+        others = [p for p in peers if p[4] and (ruling is None or fold[p[2]] != fold[host])]
+        share = (sum(p[4] == "block" for p in others) + 1) / (len(others) + 2)
+        counts = [u.count(c) / max(1, len(u)) for c in dict.fromkeys(u)]
+        x = [len(u), len(host), len(path), path.count("/"), host.count(".") + 1, sum(c in "0123456789" for c in u) / max(1, len(u)), host.count("-"), -sum(c * math.log2(c) for c in counts), u.count("=") + u.count("&"), "?" in u, "#" in u, u.startswith("https"), math.log1p(len(peers)), share]
+        p = 1 / (1 + math.exp(-2 * sum(w * tree(x) for w, tree in forest)))
+        r = got[i, host]
+        assert r.verdict == (ruling or ("block" if p >= 0.5 else "allow"))
+        assert r.score is None if ruling else abs(r.score - p) < 1e-6
+        seen.add((ruling is None, r.verdict))
+    assert len(seen) >= 3
+
+
+def test_url_sample_is_bounded(spark):
+    rows = spark.range(50_000).selectExpr("id page_id", "'http://same.net/' url", "case when id % 2 = 0 then 'block' else 'allow' end ruling")
+    assert urls.sampled(rows, 1000).count() == 1000
+
+
 def test_urls_with_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "http://a.com/x"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in urls.judged(df).collect()} == {"allow"}
