@@ -63,15 +63,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(total * 2 > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every document."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """doc_id, key (the id if no other column is named) and fp (the fingerprint's
+    bits as a long) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "key", "fp"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), text_col), run, "doc_id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(key_col or id_col).cast("long").alias("key"), text_col)
+    return map_batches(own, run, "doc_id long, key long, fp long")
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -275,18 +277,29 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp and component_id of every document."""
-    each = cut(fingerprints(docs, id_col, text_col))
-    named = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def grouped(each: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
+    """fp, root and component_id of every distinct fingerprint of `each`."""
+    prints = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     # rows whose ids are all null need a node of their own: the fingerprint stands in
-    prints = cut(named.select("fp", "least"))
-    nodes = prints.select("fp", F.col("fp").alias("node"))
-    edges = links(nodes, plan(prints, tau), tau, block)
-    root = components(edges)
+    root = components(links(prints.select("fp", F.col("fp").alias("node")), plan(prints, tau), tau, block))
     group = prints.join(root, prints.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = group.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(group.join(first, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return group.join(first, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, block: int = BLOCK) -> DataFrame:
+    """doc_id, fp and component_id of every document."""
+    each = cut(fingerprints(docs, id_col, text_col))
+    return each.join(grouped(each, tau, block), "fp").select("doc_id", "fp", "component_id")
+
+
+def survivors(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, block: int = BLOCK) -> DataFrame:
+    """(key) of one row of each component: that of the smallest id, then of the
+    smallest key; of a component without ids the smallest key."""
+    each = cut(fingerprints(docs, id_col, text_col, key_col))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    prints = each.groupBy("fp").agg(first.alias("first"))
+    return prints.join(grouped(each, tau, block), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.key")
 
 
 def hexed(fp: str = "fp") -> F.Column:

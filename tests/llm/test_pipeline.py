@@ -1,6 +1,7 @@
 """The pipeline against the stages' brute-force versions."""
 
 import importlib.util
+from collections import Counter
 
 import pytest
 from tokenizers import Tokenizer
@@ -54,6 +55,23 @@ def test_odd_documents(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id or -1 for r in docs.collect()) == [-1, 4, 6]
+    assert Counter(r.doc_id for r in docs.collect())[6] == 1
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_clashing_columns_and_rows(spark):
+    """Columns that the stages use names of, ids with several texts, and no ids."""
+    one, two = "some words of a first text about a house", "other phrases on ships and trains at sea"
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(1, one), (1, two), (None, one), (7, two), (None, bench), (9, "a third text that stands alone here, to the end")]
+    names = ["pii", "language", "_language", "_n", "place", "row_key", "key", "fp", "root", "component_id", "item_id", "score"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *[f"{n}!" for n in names]) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema == docs.schema, name
+        docs = out
+    got = docs.collect()
+    assert all(r[n] == f"{n}!" for r in got for n in names)
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, one), (1, two), (9, rows[-1][1])])
