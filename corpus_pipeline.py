@@ -18,28 +18,37 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riftstats.llm import bpe, decontaminate, langid, pii, simhash
-from riftstats.llm.base import shared_dir, table
+from riftstats.llm.base import checked_side, free_name, shared_dir, table
 
 #: A document is rejected if it has no letter or if no language scores this.
 LEAST_SCORE = 0.3
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a key of id and text in a column of the name returned."""
+    key = free_name(docs, "row_key")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = langid.annotated(docs, "_language")
-    return scored.where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LEAST_SCORE)).select(*docs.columns)
+    out = free_name(docs, "language")
+    scored = langid.annotated(docs, out)
+    return scored.where((F.col(f"{out}.lang_pred") != "und") & (F.col(f"{out}.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows, key = keyed(docs)
+    firsts = simhash.survivors(rows, key)
+    place = free_name(rows, "place")
+    kept = rows.join(firsts.select(F.col("key").alias(key)), key, "left_semi")
+    once = kept.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy("doc_id")))
+    return once.where(F.col(place) == 1).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rows, key = keyed(docs)
+    hits = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=key)
+    return rows.join(checked_side(hits.select(F.col("doc_id").alias(key)).distinct()), key, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
