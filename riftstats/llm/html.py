@@ -1,22 +1,28 @@
 """Main text of HTML pages by a recurrent block labeller.
 
 A page becomes the sequence of its leaf blocks. Each block has a vector of its
-tag path (tags, classes and ids, hashed), of its words (hashed) and of a few
-measures; a bidirectional LSTM in numpy reads the whole sequence and labels
-every block as main text or not.
+tag path (tags, classes and ids, hashed), of its words (hashed), of a few
+measures and of its place among the page's elements: whether it lies in the
+element that directly holds most of the page's unlinked text, how deep, and how
+much text its own element holds. A bidirectional LSTM in numpy reads the whole
+sequence and labels every block as main text or not; its label is the decision.
 
 It is trained on the driver from at most TRAIN_PAGES pages of the table (by hash
-of their id, none beyond TRAIN_CHARS) that mark their article themselves: blocks
+of id and page, none beyond TRAIN_CHARS) that mark their article themselves: blocks
 inside <article> or <main>, but in none of the parts that BOILERPLATE names, are
-main text. Each page is also shown with other wrappers: the article's tag
-renamed or left out, and blocks wrapped as menus, headers, sidebars, notices,
-adverts, forms and comments inside and outside of the article.
+main text. BOILERPLATE labels the training blocks and is no input. Each page is
+also shown in other forms: the article's tag renamed or left out, blocks of the
+article put into quotes, lists and sections, and menus, headers, sidebars,
+notices, adverts, forms and comments inside and outside of the article; in half
+of these forms every class name is replaced by a made-up one and elements such as
+<nav> and <footer> by <div>, so that names are not all that is learnt.
 
 Cases: a null or empty page, or one of markup only, has an empty text and 0
 characters; if no page of the sample marks an article the labels fall back to
-blocks outside BOILERPLATE; unclosed tags and cut-off pages are read as far as
-they go; repeated rows give repeated results; null ids are carried; an empty
-table gives an empty result; other columns are not read.
+blocks outside BOILERPLATE; a page of any length is read whole; unclosed tags and
+cut-off pages are read as far as they go; repeated rows give repeated results;
+null ids are carried; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -35,8 +41,8 @@ from pyspark.sql import functions as F
 from .base import map_batches
 
 TRAIN_PAGES, TRAIN_CHARS = 150, 200_000
-PATH_DIMS, WORD_DIMS, EXTRA, HIDDEN = 48, 24, 6, 16
-EPOCHS, BATCH, RATE, SEED = 14, 30, 0.02, 5
+PATH_DIMS, WORD_DIMS, EXTRA, HIDDEN = 96, 64, 13, 16
+EPOCHS, BATCH, RATE, SEED, FORMS = 14, 30, 0.02, 5, 4
 #: Elements that don't end a block, that hold no text, and that
 #: are closed by the start of a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -52,36 +58,38 @@ NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 SPACE = re.compile(r"\s+")
 SPLIT = re.compile(r"[^a-z0-9]+")
 
-Block = tuple[tuple[str, ...], str, int]
+#: An open element: its number on the page, its tag and the words of its names.
+Element = tuple[int, str, tuple[str, ...]]
+#: Open elements from the outermost, text, characters inside links.
+Block = tuple[tuple[Element, ...], str, int]
 
 
 def blocks(page: str | None) -> list[Block]:
-    """(path, text, characters inside links) of the leaf blocks in page order.
-    The path holds the open block elements, each as "tag" and "tag.name"."""
+    """The leaf blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
     run: list[str] = []
-    linked = link = silent = 0
+    linked = link = silent = count = 0
 
     def close() -> None:
         nonlocal linked
         if run:
             text = SPACE.sub(" ", entities.unescape("".join(run))).strip()
             if text:
-                out.append((tuple(x for _, names in stack for x in names), text, linked))
+                out.append((tuple(stack), text, linked))
             run.clear()
         linked = 0
 
     def pop() -> str:
         nonlocal silent
-        tag, _ = stack.pop()
+        tag = stack.pop()[1]
         silent -= tag in SILENT
         return tag
 
     for m in TOKEN.finditer(page or ""):
         _, end, tag, attrs, text = m.groups()
         if text is not None:
-            if stack and stack[-1][0] == "head" and text.strip():
+            if stack and stack[-1][1] == "head" and text.strip():
                 pop()
             if not silent:
                 run.append(text)
@@ -99,37 +107,39 @@ def blocks(page: str | None) -> list[Block]:
         close()
         link = 0
         if end:
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for _, t, _ in stack):
                 while pop() != tag:
                     pass
             continue
-        if stack and stack[-1][0] == "head" and tag not in HEAD:
+        if stack and stack[-1][1] == "head" and tag not in HEAD:
             pop()
         if tag in VOID or attrs.endswith("/"):
             continue
-        while stack and (stack[-1][0] == "p" or (tag == stack[-1][0] and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
+        while stack and (stack[-1][1] == "p" or (tag == stack[-1][1] and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
             pop()
         if tag == "body":
             silent = 0
-            stack = [s for s in stack if s[0] not in SILENT]
+            stack = [s for s in stack if s[1] not in SILENT]
         names = {n for g in NAMES.findall(attrs) for x in g if x for n in SPLIT.split(x.lower()) if n}
-        stack.append((tag, (tag, *sorted(f"{tag}.{n}" for n in names))))
+        count += 1
+        stack.append((count, tag, tuple(sorted(names))))
         silent += tag in SILENT
     close()
     return out
 
 
-def boilerplate(path: tuple[str, ...]) -> bool:
-    return any(x.split(".")[-1] in BOILERPLATE for x in path)
+def boilerplate(path: tuple[Element, ...]) -> bool:
+    return any(tag in BOILERPLATE or not BOILERPLATE.isdisjoint(names) for _, tag, names in path)
 
 
 def labelled(page: str) -> list[tuple[Block, bool]] | None:
     """The blocks with the labels that the page's own markup gives them, None if
     it marks no article."""
     got = blocks(page)
-    if not any(x in MAIN for path, _, _ in got for x in path):
+    inside = [any(tag in MAIN for _, tag, _ in path) for path, _, _ in got]
+    if not any(inside):
         return None
-    return [(b, any(x in MAIN for x in b[0]) and not boilerplate(b[0])) for b in got]
+    return [(b, i and not boilerplate(b[0])) for b, i in zip(got, inside, strict=True)]
 
 
 class Words(dict):
@@ -140,20 +150,47 @@ class Words(dict):
         return n
 
 
+#: Elements that hold one text; their parent is what gathers texts.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre figcaption label legend caption".split())
+
+
+def holder(path: tuple[Element, ...]) -> int:
+    """Place in the path of the element that gathers the block and its likes."""
+    i = len(path) - 1
+    while i > 0 and path[i][1] in LEAVES:
+        i -= 1
+    return i
+
+
 def vectors(page: list[Block], words: Words) -> np.ndarray:
     x = np.zeros((len(page), PATH_DIMS + WORD_DIMS + EXTRA), np.float32)
     cells: dict[str, int] = {}
+    holders = [holder(path) for path, _, _ in page]
+    own = [path[i][0] if path else 0 for (path, _, _), i in zip(page, holders, strict=True)]
+    held: dict[int, int] = {}
+    number: dict[int, int] = {}
+    for n, (_, text, linked) in zip(own, page, strict=True):
+        held[n] = held.get(n, 0) + max(0, len(text) - linked)
+        number[n] = number.get(n, 0) + 1
+    total = max(1, sum(held.values()))
+    top = max(held, key=lambda n: (held[n], -n))
+    like = next((tuple(e[1:] for e in path[: i + 1]) for (path, _, _), i, n in zip(page, holders, own, strict=True) if n == top), ())
     for i, (path, text, linked) in enumerate(page):
-        for j, name in enumerate(path):
-            if name.count("."):  # a class or id counts by its word, whatever the tag
-                name = name.split(".")[-1]
-            n = cells.get(name)
-            if n is None:
-                n = cells[name] = zlib.crc32(name.encode()) % PATH_DIMS
-            x[i, n] = 1.0 if j < len(path) - 1 else 1.5
+        for j, (_, tag, names) in enumerate(path):
+            for name in (tag, *names):
+                n = cells.get(name)
+                if n is None:
+                    n = cells[name] = zlib.crc32(name.encode()) % PATH_DIMS
+                x[i, n] = 1.0 if j < len(path) - 1 else 1.5
         parts = text.split(" ")
-        x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount(np.fromiter(map(words.__getitem__, parts), np.int64, len(parts)), minlength=WORD_DIMS) / np.sqrt(len(parts)) * 0.3
-        x[i, -EXTRA:] = (min(np.log1p(len(text)) / 6, 2), min(linked / len(text), 1), text[-1] in ".!?…:\"'»”", i / len(page), any(n.split(".")[-1] in BOILERPLATE for n in path), 1)
+        counts = np.bincount(np.fromiter(map(words.__getitem__, parts), np.int64, len(parts)), minlength=WORD_DIMS)
+        x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts * (0.6 / np.sqrt(counts @ counts))
+        at = next((j for j, e in enumerate(path) if e[0] == top), -1)
+        depth = holders[i] - at
+        x[i, -EXTRA:] = (
+            min(np.log1p(len(text)) / 6, 2), min(linked / len(text), 1), text[-1] in ".!?…:\"'»”", i / len(page), 1, at >= 0, own[i] == top, min(depth, 4) / 4 if at >= 0 else 1,
+            tuple(e[1:] for e in path[: holders[i] + 1]) == like, held[own[i]] / total, np.log1p(number[own[i]]) / 4, len(parts) <= 3, path[-1][1] in LEAVES if path else 0,
+        )
     return x
 
 
@@ -268,25 +305,67 @@ class Labeller:
                     q -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
 
-WRAPPERS = [("nav",), ("header",), ("header", "header.site"), ("footer",), ("aside",), ("aside", "aside.sidebar"), ("form",), ("div", "div.ad"), ("div", "div.ads"), ("div", "div.advert"), ("div", "div.comments"), ("section", "section.comments"), ("div", "div.comment"), ("div", "div.notice"), ("div", "div.cookie"), ("div", "div.banner"), ("div", "div.menu"), ("div", "div.related"), ("div", "div.share"), ("div", "div.sidebar"), ("ul", "ul.nav"), ("div", "div.promo"), ("div", "div.newsletter")]
-ARTICLES = [(), ("main",), ("div", "div.content"), ("div", "div.post"), ("section",), ("div", "div.entry"), ("main", "article")]
+#: Parts that aren't main text, as (tag, class) from the outermost, and texts that stand in them.
+WRAPPERS = [[("nav", "")], [("header", "")], [("header", "site")], [("footer", "")], [("aside", "")], [("aside", "sidebar")], [("form", "")], [("div", "ad")], [("div", "ads")], [("div", "advert")], [("div", "comments")], [("section", "comments")], [("div", "comment")], [("div", "notice")], [("div", "cookie")], [("div", "banner")], [("div", "menu")], [("div", "related")], [("div", "share")], [("div", "sidebar")], [("ul", "nav")], [("div", "promo")], [("div", "newsletter")], [("div", "comments"), ("div", "comment")]]
+ARTICLES = [None, ("main", ""), ("div", "content"), ("div", "post"), ("section", ""), ("div", "entry"), ("div", ""), ("div", "text")]
+QUOTES = [[("blockquote", "")], [("ul", ""), ("li", "")], [("ol", ""), ("li", "")], [("section", "")], [("figure", ""), ("figcaption", "")], [("pre", "")], [("table", ""), ("tr", ""), ("td", "")]]
+PHRASES = [
+    "Sign up for our newsletter", "Subscribe now", "Sign in", "Log in or register", "Enter your email address", "Search", "Home", "Menu", "About us", "Contact", "Privacy policy", "Terms of use", "All rights reserved", "We use cookies to improve our site", "Accept all cookies", "Share this", "Follow us",
+    "Read more", "Related articles", "You may also like", "Most read", "Advertisement", "Sponsored", "Buy now and save", "Leave a reply", "Post a comment", "Great article, thanks for sharing", "I agree with this, well said", "I think you are wrong about this", "First comment", "Posted by a reader two days ago", "Reply", "Comments", "Tags",
+    "Previous", "Next", "Back to top", "Skip to content", "Print this page", "Newsletter abonnieren", "Impressum", "Datenschutz", "Anmelden", "Mentions légales", "Connexion", "Abonnez-vous", "Aviso legal", "Suscríbete", "Iniciar sesión",
+]
+
+
+def made_up(rng: random.Random) -> str:
+    return "".join(rng.choice("bcdfghklmnprstvwxz") + rng.choice("aeiou") for _ in range(rng.randrange(1, 5)))
 
 
 def shown_otherwise(page: list[tuple[Block, bool]], others: list[str], rng: random.Random) -> list[tuple[Block, bool]]:
-    """The page under other wrappers, with some of its own or other texts put
-    in as parts that aren't main text."""
+    """Another form of the page: other wrappers and names, and some of its own or
+    other texts put in as parts that aren't main text."""
+    fresh = 10**6
+    foreign = rng.random() < 0.5
+    spelt: dict[str, str] = {}
+
+    def made(steps: list[tuple[str, str]]) -> tuple[Element, ...]:
+        nonlocal fresh
+        out = []
+        for tag, name in steps:
+            fresh += 1
+            out.append((fresh, tag, (name,) if name else ()))
+        return tuple(out)
+
+    def renamed(e: Element) -> Element:
+        tag = "div" if foreign and e[1] in ("nav", "header", "footer", "aside", "form") else e[1]
+        names = tuple(spelt.setdefault(n, made_up(rng)) for n in e[2]) if foreign else e[2]
+        return (e[0], tag, names or ((spelt.setdefault(e[1], made_up(rng)),) if tag != e[1] else ()))
+
     article = rng.choice(ARTICLES)
-    out = []
+    instead = made([article]) if article else ()
+    out: list[tuple[Block, bool]] = []
     for (path, text, linked), main in page:
-        at = next((i for i, x in enumerate(path) if x in MAIN), None)
-        out.append(((path if at is None or not main else (*path[:at], *article, *path[at + 1 :]), text, linked), main))
-    for _ in range(rng.randrange(1, 4)):
-        wrap, where = rng.choice(WRAPPERS), rng.randrange(len(out) + 1)
-        near = out[min(where, len(out) - 1)][0][0][:-1]
-        inner = rng.choice([(), ("p",), ("ul", "li"), ("div", "p")])
-        some = [((*near, *wrap, *inner), rng.choice(others), 0) for _ in range(rng.randrange(1, 5))]
-        out[where:where] = [((p, t, len(t) if rng.random() < 0.3 else 0), False) for p, t, _ in some]
-    return out
+        at = next((i for i, e in enumerate(path) if e[1] in MAIN), None)
+        out.append(((path if at is None or not main else (*path[:at], *instead, *path[at + 1 :]), text, linked), main))
+    mains = [i for i, (_, main) in enumerate(out) if main]
+    for _ in range(rng.randrange(3)):  # parts of the article in elements of their own
+        if len(mains) > 2:
+            lo = rng.randrange(1, len(mains))
+            quote = made(rng.choice(QUOTES))
+            for i in mains[lo : lo + rng.randrange(1, 4)]:
+                (path, text, linked), main = out[i]
+                out[i] = (((*path[: holder(path) + 1], *quote), text, linked), main)
+    for _ in range(rng.randrange(2, 6)):
+        where = rng.randrange(len(out) + 1)
+        near = out[min(where, len(out) - 1)][0][0]
+        near = near[: holder(near) + 1] if rng.random() < 0.6 else near[:2]
+        wrap = made(rng.choice(WRAPPERS))
+        leaf = rng.choice([[], [("p", "")], [("p", "")], [("ul", ""), ("li", "")], [("div", ""), ("p", "")]])
+        some = []
+        for _ in range(rng.randrange(1, 5)):
+            text = rng.choice(PHRASES) if rng.random() < 0.5 else rng.choice(others)
+            some.append((((*near, *wrap, *made(leaf)), text, len(text) if rng.random() < 0.3 else 0), False))
+        out[where:where] = some
+    return [((tuple(map(renamed, path)), text, linked), main) for (path, text, linked), main in out]
 
 
 def fit(rows: list[str]) -> Labeller:
@@ -299,15 +378,23 @@ def fit(rows: list[str]) -> Labeller:
         return model
     rng, words = random.Random(SEED), Words()
     texts = [b[1] for p in pages for b, _ in p]
-    shown = [*pages, *(shown_otherwise(p, texts, rng) for p in pages)]
+    shown = [*pages, *(shown_otherwise(p, texts, rng) for _ in range(FORMS) for p in pages)]
     model.train([vectors([b for b, _ in p], words) for p in shown], [np.array([y for _, y in p], np.float32) for p in shown])
     return model
 
 
+def sample(pages: DataFrame, id_col: str, html_col: str) -> list[str]:
+    """At most TRAIN_PAGES pages. Keys are chosen first, so that no more than
+    these pages ever leave their tasks."""
+    rows = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) <= TRAIN_CHARS)).select(F.xxhash64(F.col(id_col).cast("string"), html_col).alias("k"), F.col(html_col).alias("page"))
+    keys = sorted({r.k for r in rows.select("k").orderBy("k").limit(TRAIN_PAGES).collect()})
+    found = {r.k: r.page for r in rows.where(F.col("k").isin(keys)).groupBy("k").agg(F.first("page").alias("page")).collect()} if keys else {}
+    return [found[k] for k in keys]
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    sample = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) <= TRAIN_CHARS)).select(html_col, F.col(id_col).alias("_id")).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id", F.xxhash64(html_col)).limit(TRAIN_PAGES)
-    model = pages.sparkSession.sparkContext.broadcast(fit([r[0] for r in sample.collect()]))
+    model = pages.sparkSession.sparkContext.broadcast(fit(sample(pages, id_col, html_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
