@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, map_batches
+from .base import BROADCAST_ROWS, cut, map_batches
 
 BITS, TAU, SHINGLE, SEED = 64, 3, 3, 42
 #: Distinct fingerprints of one key that are joined pairwise; larger keys are
@@ -76,9 +76,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(own, run, "doc_id long, key long, fp long")
 
 
-def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of fingerprints, each bit's frequency and the bits' correlation,
-    over all of them. The tasks send 64 x 64 sums each, added up by Spark."""
+def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of fingerprints and the frequency of each pair of set bits, over
+    all of them. The tasks send 64 x 64 sums each, added up by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, both = 0, np.zeros((BITS, BITS))
@@ -96,9 +96,14 @@ def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     both = np.zeros((BITS, BITS))
     for at, x in sums.items():
         both[at // BITS, at % BITS] = both[at % BITS, at // BITS] = x / max(n, 1)
-    p = np.diag(both).copy()
+    return n, both
+
+
+def correlation_of(both: np.ndarray) -> np.ndarray:
+    """Absolute correlation of the bits."""
+    p = np.diag(both)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    return n, p, np.abs((both - np.outer(p, p)) / np.outer(spread, spread))
+    return np.abs((both - np.outer(p, p)) / np.outer(spread, spread))
 
 
 def group_bits(correlation: np.ndarray, m: int) -> list[list[int]]:
@@ -119,14 +124,33 @@ def group_bits(correlation: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
-def estimated_cost(part: list[int], p: np.ndarray, n: int, tau: int) -> list[float]:
+def distance_shares(part: list[int], both: np.ndarray, tau: int) -> list[float]:
+    """Shares of pairs of fingerprints that differ in 0..t bits of a part, for
+    t = 0..tau. The mean and the variance of the number of differing bits follow
+    from the pair frequencies of all fingerprints, whatever the correlation of
+    the bits; a beta-binomial law has both."""
+    at = np.ix_(part, part)
+    p, w = np.diag(both)[part], len(part)
+    p11 = both[at]
+    p10, p01 = p[:, None] - p11, p[None, :] - p11
+    joint = 2 * (p11 * (1 - p11 - p10 - p01) + p10 * p01)  # both bits differ
+    differ = 2 * p * (1 - p)
+    np.fill_diagonal(joint, differ)
+    mean = float(differ.sum())
+    variance = float((joint - np.outer(differ, differ)).sum())
+    rate = min(max(mean / w, 1e-9), 1 - 1e-9)
+    spread = (variance / (w * rate * (1 - rate)) - 1) / max(1, w - 1)
+    spread = min(max(spread, 1e-6), 1 - 1e-6)
+    a, b = rate * (1 / spread - 1), (1 - rate) * (1 / spread - 1)
+    beta = lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+    share = [math.comb(w, k) * math.exp(beta(k + a, w - k + b) - beta(a, b)) if k <= w else 0.0 for k in range(tau + 1)]
+    return [min(1.0, x) for x in np.cumsum(share).tolist()]
+
+
+def estimated_cost(part: list[int], both: np.ndarray, n: int, tau: int) -> list[float]:
     """Probes and expected candidates of all queries for thresholds -1..tau."""
-    near = np.zeros(tau + 1)
-    near[0] = 1.0
-    for b in part:
-        differ = 2 * p[b] * (1 - p[b])
-        near = near * (1 - differ) + np.concatenate(([0.0], near[:-1])) * differ
-    return [0.0] + [n * sum(math.comb(len(part), d) for d in range(t + 1)) + n * float(n) * float(near[: t + 1].sum()) for t in range(tau + 1)]
+    near = distance_shares(part, both, tau)
+    return [0.0] + [n * sum(math.comb(len(part), d) for d in range(t + 1)) + n * float(n) * near[t] for t in range(tau + 1)]
 
 
 def allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
@@ -145,11 +169,11 @@ def allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 def plan(prints: DataFrame, tau: int = TAU) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each part that is probed."""
-    n, p, correlation = bit_statistics(prints)
-    found = None
+    n, both = bit_statistics(prints)
+    correlation, found = correlation_of(both), None
     for m in range(tau + 1, 0, -1):  # the most parts, hence the fewest probes, where costs tie
         parts = group_bits(correlation, m)
-        cost, ts = allot([estimated_cost(x, p, n, tau) for x in parts], tau - m + 1)
+        cost, ts = allot([estimated_cost(x, both, n, tau) for x in parts], tau - m + 1)
         if found is None or cost < found[0]:
             found = (cost, [(x, t) for x, t in zip(parts, ts, strict=True) if t >= 0])
     return found[1]
@@ -256,22 +280,35 @@ def links(prints: DataFrame, parts: list[tuple[list[int], int]], tau: int = TAU,
     return cold.unionByName(dealt.mapInArrow(run, "u long, v long")).distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def with_least(rows: DataFrame, n: int, sent: int = BROADCAST_ROWS) -> DataFrame:
+    """rows (u, v, ...) with m, the least v of the same u. n: number of rows at
+    most. Where that is few, all minima are sent out; beyond it those of the u
+    with the most rows, which are at most `sent` in number, so that no u has more
+    than 2 n / sent rows in the task of the shuffled rest."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    if n <= sent:
+        return rows.join(F.broadcast(least.select("u", "m")), "u")
+    most = -(-n // sent)
+    hubs = F.broadcast(least.where(F.col("degree") > most).select("u", "m"))
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("degree") <= most).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(rest)
+
+
+def components(edges: DataFrame, most: int = 60, sent: int = BROADCAST_ROWS) -> DataFrame:
     """(node, root) of every node that has a link: the least node that it
     reaches. Alternates large-star and small-star steps until nothing changes."""
     edges = cut(edges.select("u", "v"))
-    state = None
+    n, state = edges.count(), None
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
+        large = with_least(both, 2 * n, sent).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        small = with_least(large, n, sent)
+        edges = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
         edges = cut(edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == now:
             break
-        state = now
+        n, state = now[0], now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -282,9 +319,8 @@ def grouped(each: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
     prints = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     # rows whose ids are all null need a node of their own: the fingerprint stands in
     root = components(links(prints.select("fp", F.col("fp").alias("node")), plan(prints, tau), tau, block))
-    group = prints.join(root, prints.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = group.groupBy("root").agg(F.min("least").alias("component_id"))
-    return group.join(first, "root").select("fp", "root", "component_id")
+    group = cut(prints.join(root, prints.fp == root.node, "left").select(F.coalesce("root", "fp").alias("u"), F.col("least").alias("v"), "fp"))
+    return with_least(group, group.count()).select("fp", F.col("u").alias("root"), F.col("m").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, block: int = BLOCK) -> DataFrame:

@@ -86,9 +86,45 @@ def test_long_text_in_parts(monkeypatch):
 
 
 def test_thresholds_fill_the_pigeonholes():
-    p = np.full(64, 0.5)
+    both = np.full((64, 64), 0.25) + np.eye(64) * 0.25
     for m in range(1, 5):
         parts = simhash.group_bits(np.eye(64), m)
         assert sorted(b for x in parts for b in x) == list(range(64))
-        cost, ts = simhash.allot([simhash.estimated_cost(x, p, 1000, 3) for x in parts], 3 - m + 1)
+        cost, ts = simhash.allot([simhash.estimated_cost(x, both, 1000, 3) for x in parts], 3 - m + 1)
         assert sum(ts) == 3 - m + 1 and cost > 0
+
+
+def test_estimates_follow_correlated_bits(spark):
+    """Against the counted pairs: where bits go together, and where they don't."""
+    rng = np.random.default_rng(3)
+    base = rng.random((600, 64)) < 0.5
+    base[:, 1:16] = base[:, :1] ^ (rng.random((600, 15)) < 0.1)
+    fps = np.packbits(base, axis=1, bitorder="little").view("<u8")[:, 0]
+    n, both = simhash.bit_statistics(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(3))
+    assert n == 600 and np.allclose(both, base.T.astype(float) @ base / 600)
+    for part in (list(range(16)), list(range(20, 36))):
+        differ = (base[:, None, part] ^ base[None, :, part]).sum(axis=2)
+        for t, share in enumerate(simhash.distance_shares(part, both, 3)):
+            assert abs(share - (differ <= t).mean()) < 0.1
+    together, apart = simhash.distance_shares(list(range(16)), both, 3)[2], simhash.distance_shares(list(range(20, 36)), both, 3)[2]
+    assert together > 20 * apart
+
+
+@pytest.mark.parametrize("sent", [10, 10**6])
+def test_hubs(spark, sent):
+    """A hub, chains and a ring; with few minima sent out and with all."""
+    rng = random.Random(8)
+    pairs = [(i, 5000) for i in range(300)] + [(6000 + i, 6001 + i) for i in range(40)] + [(7000 + i, 7000 + (i + 1) % 30) for i in range(30)] + [(9000 + rng.randrange(60), 9000 + rng.randrange(60)) for _ in range(50)]
+    pairs = [(max(p), min(p)) for p in pairs if p[0] != p[1]]
+    up = {x: x for p in pairs for x in p}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "u long, v long").repartition(4), sent=sent).collect()}
+    assert got == {x: root(x) for x in up if root(x) != x}
