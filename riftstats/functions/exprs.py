@@ -22,6 +22,7 @@ QUEUE_FAMILIES = {
 QUEUE_LABELS = {420: "Ranked Solo/Duo", 440: "Ranked Flex", 400: "Normal Draft", 430: "Normal Blind", 490: "Quickplay", 450: "ARAM", 700: "Clash", 1700: "Arena"}
 EMERALD_PLUS = ["EMERALD", "DIAMOND", "MASTER", "GRANDMASTER", "CHALLENGER"]
 TIERS = ["IRON", "BRONZE", "SILVER", "GOLD", "PLATINUM", "EMERALD", "DIAMOND", "MASTER", "GRANDMASTER", "CHALLENGER"]
+ROLES = ["TOP", "JUNGLE", "MIDDLE", "BOTTOM", "UTILITY"]
 GRADES = ["S", "A", "B", "C", "D"]
 
 
@@ -55,8 +56,16 @@ def effective_minimum(configured: int | Column, available: Column, floor: int) -
 
 
 def adaptive_minimum(released_ms: Column, now_ms: int, steady: int = 100, early: int = 40, hours: int = 72) -> Column:
-    """The configured minimum, lower in a patch's first hours."""
-    return F.when(F.lit(now_ms) < released_ms + hours * 3_600_000, F.least(F.lit(early), F.lit(steady))).otherwise(F.lit(max(1, steady)))
+    """The configured minimum, lower in a patch's first hours; a patch whose
+    release isn't known is past them."""
+    steady = max(1, steady)
+    return F.when(F.lit(now_ms) < released_ms + max(0, hours) * 3_600_000, min(max(1, early), steady)).otherwise(steady)
+
+
+def patch_order(patch: Column) -> Column:
+    """A value by which patches sort as numbers: 9.2 before 14.1."""
+    part = lambda i: F.coalesce(F.split_part(patch, F.lit("."), F.lit(i)).try_cast("int"), F.lit(-1))
+    return F.struct(part(1).alias("major"), part(2).alias("minor"), patch.alias("text"))
 
 
 def wilson(wins: Column, games: Column, z: float = 1.96) -> Column:
@@ -125,6 +134,11 @@ def matchup_verdict(win_rate: Column) -> Column:
     return F.when(win_rate >= 0.52, "favorable").when(win_rate <= 0.48, "unfavorable").otherwise("even")
 
 
+def match_platform(match_id: Column) -> Column:
+    """Platform code in front of a match id."""
+    return F.upper(F.split_part(match_id, F.lit("_"), F.lit(1)))
+
+
 def role_alias(role: Column) -> Column:
     r = F.upper(F.trim(role))
     return F.when(r.isNull() | r.isin("", "NONE"), "UNKNOWN").when(r == "SUPPORT", "UTILITY").otherwise(r)

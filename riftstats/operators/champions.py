@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import EMERALD_PLUS, GRADES, SUCCESS, effective_minimum, grade_of, grade_value, rate, tier_scope, wilson
-from .scope import in_region, in_tiers, ranked_rows, solo_ranks, visible_matches
+from ..functions.exprs import EMERALD_PLUS, GRADES, ROLES, SUCCESS, adaptive_minimum, effective_minimum, grade_of, grade_of_rate, grade_value, matchup_verdict, patch_order, rate, tier_scope, wilson
+from .scope import in_region, in_tiers, marked_tiers, ranked_rows, solo_ranks, visible_matches
 
 #: Item classes that aren't completed builds, and items that are
 #: left out where the patch's metadata is incomplete.
 EXCLUDED_TAGS = ["consumable", "trinket", "vision"]
 EXCLUDED_ITEMS = [3340, 3363, 3364, 2055, 2003, 2010, 2031, 2033, 2138, 2139, 2140, 1001, 1004, 1011, 1018, 1026, 1027, 1028, 1029, 1031, 1033, 1035, 1036, 1037, 1038, 1042, 1043, 1052, 1053, 1054, 1055, 1056, 1057, 1058, 1082, 1083, 2420, 2421, 2422, 3024, 3052, 3070]
 CORE_SHARE, COVERAGE = 0.70, 0.90
-ROLES = ["TOP", "JUNGLE", "MIDDLE", "BOTTOM", "UTILITY"]
+#: Digits that a score has before it is ranked, so that equal scores tie.
+SCORE_DIGITS = 12
+
+
+@dataclass(frozen=True)
+class Sample:
+    """Games that a group needs: `steady`, but `early` in the first `hours` of a
+    patch if the patches' releases (patch, released_at) and the time are given."""
+
+    steady: int = 100
+    early: int = 40
+    hours: int = 72
+    patches: DataFrame | None = None
+    now_ms: int | None = None
+
+    def on(self, groups: DataFrame) -> DataFrame:
+        """Groups (with their patch) and their minimum in `_minimum`."""
+        if self.patches is None or self.now_ms is None:
+            return groups.withColumn("_minimum", F.lit(max(1, self.steady)))
+        released = self.patches.select("patch", F.col("released_at").alias("_released"))
+        wanted = adaptive_minimum(F.col("_released"), self.now_ms, self.steady, self.early, self.hours)
+        return groups.join(released, "patch", "left").withColumn("_minimum", wanted).drop("_released")
+
+
+def sample_of(minimum: int | Sample) -> Sample:
+    return minimum if isinstance(minimum, Sample) else Sample(minimum)
 
 
 def keep_enough(groups: DataFrame, minimum: Column, *scope: str) -> DataFrame:
@@ -38,7 +65,7 @@ def role_ranks(matches: DataFrame, participants: DataFrame, ranks: DataFrame, su
     return groups.withColumn("role_rank", F.row_number().over(order)).withColumn("role_population", F.count("*").over(scope))
 
 
-def champion_winrates(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame, minimum: int = 100, scope: str | None = None, summoners: DataFrame | None = None, region: str | None = None) -> DataFrame:
+def champion_winrates(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame, minimum: int | Sample = 100, scope: str | None = None, summoners: DataFrame | None = None, region: str | None = None) -> DataFrame:
     """Win, pick and ban rates by champion, role and tier. The pick rate is the
     share of the champion's own rows; the ban rate looks at the group's matches."""
     rows = in_region(ranked_rows(matches, participants), summoners, region).join(solo_ranks(ranks), "puuid", "left").withColumn("rank_tier", F.coalesce("tier", F.lit("UNRANKED")))
@@ -51,7 +78,7 @@ def champion_winrates(matches: DataFrame, participants: DataFrame, bans: DataFra
     )
     own = Window.partitionBy("patch", "champion_id")
     groups = groups.withColumn("total", F.sum("games").over(own))
-    kept = keep_enough(groups, effective_minimum(minimum, F.col("total"), 3), "patch", "champion_id")
+    kept = keep_enough(sample_of(minimum).on(groups), effective_minimum(F.col("_minimum"), F.col("total"), 3), "patch", "champion_id")
     place = role_ranks(matches, participants, ranks, summoners, region).select("patch", "role", "rank_tier", "champion_id", "role_rank", "role_population")
     return kept.join(place, ["patch", "role", "rank_tier", "champion_id"], "left").select(
         "patch", "champion_id", "role", "rank_tier", "games", "wins", rate(F.col("wins"), F.col("games")).alias("win_rate"), rate(F.col("games"), F.col("total")).alias("pick_rate"),
@@ -59,29 +86,45 @@ def champion_winrates(matches: DataFrame, participants: DataFrame, bans: DataFra
     )
 
 
-def tier_scores(rows: DataFrame, bans: DataFrame, keys: list[str], minimum: int, floor: int = 5) -> DataFrame:
-    """Scores and grades of champions within each scope `keys` (patch first).
-    rows: keys, match_id, champion_id, win."""
-    scoped = rows.select(*keys, "match_id").distinct()
-    totals = scoped.groupBy(*keys).agg(F.count("*").alias("n_matches"))
-    banned = scoped.join(bans.select("match_id", "champion_id").distinct(), "match_id").groupBy(*keys, "champion_id").agg(F.count("*").alias("banned"))
-    groups = rows.groupBy(*keys, "champion_id").agg(F.count("*").alias("games"), F.count_if("win").alias("wins"))
-    groups = groups.withColumn("participants", F.sum("games").over(Window.partitionBy(*keys))).join(totals, keys)
-    kept = keep_enough(groups, effective_minimum(minimum, F.col("participants"), floor), *keys).join(banned, [*keys, "champion_id"], "left")
+def tier_scores(rows: DataFrame, bans: DataFrame, minimum: int | Sample, floor: int = 5) -> DataFrame:
+    """Scores and grades of champions within each patch and scope.
+    rows: patch, match_id, champion_id, win, scopes (array of structs, those that
+    the row counts in). One pass: the rows of a match meet once with its bans, and
+    each scope's matches are counted as those of a null champion."""
+    keys = ["patch", *rows.schema["scopes"].dataType.elementType.names]
+    plays = rows.groupBy("patch", "match_id").agg(F.collect_list(F.struct("scopes", "champion_id", "win")).alias("played"))
+    lost = bans.groupBy("match_id").agg(F.collect_set("champion_id").alias("banned"))
+    seen = F.array_distinct(F.flatten(F.transform("played", lambda x: x["scopes"])))
+    entry = lambda s, champion, win: F.struct(s.alias("s"), champion.cast("int").alias("champion_id"), win.cast("boolean").alias("win"))
+    banned = F.array_append(F.coalesce("banned", F.array().cast("array<int>")), F.lit(None).cast("int"))
+    entries = F.concat(
+        F.flatten(F.transform("played", lambda x: F.transform(x["scopes"], lambda s: entry(s, x["champion_id"], F.coalesce(x["win"], F.lit(False)))))),
+        F.flatten(F.transform(seen, lambda s: F.transform(banned, lambda c: entry(s, c, F.lit(None))))),
+    )
+    counts = plays.join(lost, "match_id", "left").select("patch", F.explode(entries).alias("e")).groupBy("patch", "e.s", "e.champion_id").agg(F.count("e.win").alias("games"), F.count_if("e.win").alias("wins"), F.count_if(F.col("e.win").isNull()).alias("banned"))
+    whole = Window.partitionBy(*keys)
+    groups = counts.select("patch", "s.*", "champion_id", "games", "wins", "banned").withColumn("n_matches", F.max(F.when(F.col("champion_id").isNull(), F.col("banned"))).over(whole)).withColumn("participants", F.sum("games").over(whole)).where("games > 0")
+    kept = keep_enough(sample_of(minimum).on(groups), effective_minimum(F.col("_minimum"), F.col("participants"), floor), *keys)
+    share = rate(F.col("games"), F.col("participants"))
     scored = kept.select(
-        *keys, "champion_id", "games", rate(F.col("wins"), F.col("games")).alias("win_rate"), rate(F.col("games"), F.col("participants")).alias("pick_rate"),
-        rate(F.coalesce("banned", F.lit(0)), F.col("n_matches")).alias("ban_rate"), (wilson(F.col("wins"), F.col("games")) * 0.70 + rate(F.col("games"), F.col("participants")) * 0.30).alias("score"),
+        *keys, "champion_id", "games", rate(F.col("wins"), F.col("games")).alias("win_rate"), share.alias("pick_rate"), rate(F.col("banned"), F.col("n_matches")).alias("ban_rate"),
+        F.round(wilson(F.col("wins"), F.col("games")) * 0.70 + share * 0.30, SCORE_DIGITS).alias("score"),
     )
-    scope = Window.partitionBy(*keys)
-    order = scope.orderBy(F.desc("score"), "champion_id")
-    place = (F.row_number().over(order) - 1) / F.count("*").over(scope)
+    order = whole.orderBy(F.desc("score"), "champion_id")
+    place = (F.row_number().over(order) - 1) / F.count("*").over(whole)
     return scored.withColumn("place", F.row_number().over(order)).withColumn("grade", grade_of(place))
 
 
-def tier_list(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame | None = None, role: str = "ALL", scope: str | None = None, minimum: int = 100) -> DataFrame:
+def tier_list(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame | None = None, role: str = "ALL", scope: str | None = None, minimum: int | Sample = 100) -> DataFrame:
     """Graded champions of every patch, for one role or all together."""
     rows = in_tiers(ranked_rows(matches, participants, role=role), ranks, scope)
-    return tier_scores(rows.select("patch", F.lit(role.upper()).alias("role"), "match_id", "champion_id", "win"), bans, ["patch", "role"], minimum)
+    return tier_scores(rows.select("patch", "match_id", "champion_id", "win", F.array(F.struct(F.lit(role.upper()).alias("role"))).alias("scopes")), bans, minimum)
+
+
+def tier_lists_by_role(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame | None = None, scope: str | None = None, minimum: int | Sample = 100) -> DataFrame:
+    """The tier lists of the five roles in one pass."""
+    rows = in_tiers(ranked_rows(matches, participants), ranks, scope).where(F.col("team_position").isin(ROLES))
+    return tier_scores(rows.select("patch", "match_id", "champion_id", "win", F.array(F.struct(F.col("team_position").alias("role"))).alias("scopes")), bans, minimum)
 
 
 def previous_patches(patches: DataFrame) -> DataFrame:
@@ -101,24 +144,27 @@ def tier_movement(tiers: DataFrame, patches: DataFrame, compat: bool = False) ->
     return joined.select(*tiers.columns, was.alias("previous_grade"), movement.alias("movement"))
 
 
-def completed(items: DataFrame, versions: DataFrame) -> DataFrame:
-    """Items (scope columns and item_id) that are completed builds. Where the
-    patch's metadata knows less than COVERAGE of the distinct items of a scope,
-    unknown items stay unless they are on the exclusion list.
-    items: patch, champion_id, role, participant key columns, item_id."""
+def item_flags(versions: DataFrame) -> DataFrame:
+    """(patch, flags): for each patch the map of its known items to whether they
+    are completed builds. A patch has some hundreds of items."""
     is_built = F.col("in_store") & (F.col("price_total") > 0) & (F.size("builds_into") == 0) & (F.size("builds_from") > 0) & ~F.arrays_overlap(F.transform("tags", lambda t: F.lower(t)), F.array(*[F.lit(t) for t in EXCLUDED_TAGS]))
-    known = versions.select("item_id", "patch", F.coalesce(is_built, F.lit(False)).alias("_built"), F.lit(1).alias("_known"))
-    rows = items.join(known, ["item_id", "patch"], "left")
-    scope = ["patch", "champion_id", "role"]
-    cover = rows.select(*scope, "item_id", "_known").distinct().groupBy(*scope).agg((F.count("_known") / F.count("*")).alias("_cover"))
-    rows = rows.join(cover, scope)
-    keep = F.when(F.col("_known").isNotNull(), F.col("_built")).otherwise((F.col("_cover") < COVERAGE) & ~F.col("item_id").isin(EXCLUDED_ITEMS))
-    return rows.where(keep).drop("_built", "_known", "_cover")
+    once = versions.groupBy("patch", "item_id").agg(F.max(F.coalesce(is_built, F.lit(False))).alias("built"))
+    return once.groupBy("patch").agg(F.map_from_entries(F.collect_list(F.struct("item_id", "built"))).alias("flags"))
 
 
-def build_items(matches: DataFrame, participants: DataFrame, items: DataFrame, versions: DataFrame, ranks: DataFrame | None = None, scope: str | None = None) -> DataFrame:
-    rows = in_tiers(ranked_rows(matches, participants), ranks, scope).select("patch", "champion_id", F.col("team_position").alias("role"), "match_id", "participant_id", "win")
-    return completed(rows.join(items.where("item_id <> 0").select("match_id", "participant_id", "item_id"), ["match_id", "participant_id"]), versions)
+def build_games(matches: DataFrame, participants: DataFrame, items: DataFrame, versions: DataFrame, ranks: DataFrame | None = None, scope: str | None = None) -> DataFrame:
+    """Ranked games with the sorted list `items` of their completed items; games
+    without one are left out. Where the patch's metadata knows less than COVERAGE
+    of the distinct items that a champion's games of a role hold, unknown items
+    count unless they are on the exclusion list."""
+    key, scoped = ["match_id", "participant_id"], ["patch", "champion_id", "role"]
+    rows = in_tiers(ranked_rows(matches, participants), ranks, scope).select("patch", "champion_id", F.col("team_position").alias("role"), *key, "win")
+    games = rows.join(item_lists(items), key).join(item_flags(versions), "patch", "left")
+    is_known = lambda i: F.map_contains_key(F.coalesce("flags", F.create_map().cast("map<int,boolean>")), i)
+    seen = games.select(*scoped, F.explode(F.array_distinct("items")).alias("item_id"), "flags").groupBy(*scoped, "item_id").agg(F.max(is_known(F.col("item_id"))).alias("known"))
+    cover = seen.groupBy(*scoped).agg((F.count_if("known") / F.count("*")).alias("cover"))
+    keep = lambda i: F.when(is_known(i), F.try_element_at("flags", i)).otherwise((F.col("cover") < COVERAGE) & ~i.isin(EXCLUDED_ITEMS))
+    return games.join(cover, scoped).withColumn("items", F.filter("items", keep)).where(F.size("items") > 0).drop("flags", "cover")
 
 
 def frequencies(games: DataFrame, n: Column) -> DataFrame:
@@ -136,9 +182,7 @@ def frequencies(games: DataFrame, n: Column) -> DataFrame:
 
 def item_frequency(matches: DataFrame, participants: DataFrame, items: DataFrame, versions: DataFrame, ranks: DataFrame | None = None, scope: str | None = None) -> DataFrame:
     """Share of a champion's games (with a completed item) that have an item."""
-    built = build_items(matches, participants, items, versions, ranks, scope)
-    games = built.groupBy("patch", "champion_id", "role", "match_id", "participant_id").agg(F.collect_set("item_id").alias("items"))
-    return frequencies(games, F.lit(1))
+    return frequencies(build_games(matches, participants, items, versions, ranks, scope), F.lit(1))
 
 
 def rune_pages(runes: DataFrame, versions: DataFrame, policy: str = "builds") -> DataFrame:
@@ -154,7 +198,7 @@ def rune_pages(runes: DataFrame, versions: DataFrame, policy: str = "builds") ->
     meta = versions.select("rune_id", "patch", "path_id", "slot")
     rows = runes.join(meta, ["rune_id", "patch"], "left")
     if not strict:
-        anywhere = versions.groupBy("rune_id").agg(F.max_by("path_id", "patch").alias("any_path"), F.max_by("slot", "patch").alias("any_slot"))
+        anywhere = versions.groupBy("rune_id").agg(F.max_by("path_id", patch_order(F.col("patch"))).alias("any_path"), F.max_by("slot", patch_order(F.col("patch"))).alias("any_slot"))
         rows = rows.join(anywhere, "rune_id", "left").withColumn("path_id", F.coalesce("path_id", "any_path", F.lit(0))).withColumn("slot", F.coalesce("slot", "any_slot", F.lit(0)))
     guard = (F.col("path_id") > 0) & (F.col("path_id") < 5000) if policy != "detail" else F.col("path_id") > 0
     pathed = F.when((F.col("path_id") > 0) & (F.col("path_id") < 5000), F.col("path_id"))
@@ -185,15 +229,14 @@ def rune_pages(runes: DataFrame, versions: DataFrame, policy: str = "builds") ->
     return page.withColumn("rune_key", F.concat(F.col("primary_style").cast("string"), F.lit(":"), text("primary"), F.lit("|"), F.col("sub_style").cast("string"), F.lit(":"), text("sub"), F.lit("|"), text("shards")))
 
 
-def champion_builds(matches: DataFrame, participants: DataFrame, items: DataFrame, versions: DataFrame, runes: DataFrame, rune_versions: DataFrame, ranks: DataFrame | None = None, scope: str | None = None, minimum: int = 100, base: int = 30) -> DataFrame:
+def champion_builds(matches: DataFrame, participants: DataFrame, items: DataFrame, versions: DataFrame, runes: DataFrame, rune_versions: DataFrame, ranks: DataFrame | None = None, scope: str | None = None, minimum: int | Sample = 100, base: int = 30) -> DataFrame:
     """Top three builds (completed items and runes) of a champion and role."""
     key = ["patch", "champion_id", "role"]
-    built = build_items(matches, participants, items, versions, ranks, scope)
-    games = built.groupBy(*key, "match_id", "participant_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"), F.first("win").alias("win"))
+    games = build_games(matches, participants, items, versions, ranks, scope)
     pages = rune_pages(runes, rune_versions).select("match_id", "participant_id", "rune_key")
     games = games.join(pages, ["match_id", "participant_id"], "left").withColumn("rune_key", F.coalesce("rune_key", F.lit("0:|0:|")))
     all_groups = games.withColumn("item_key", F.concat_ws(",", F.col("items").cast("array<string>"))).groupBy(*key, "item_key", "rune_key").agg(F.count("*").alias("games"), F.count_if("win").alias("wins"), F.first("items").alias("items"))
-    groups = all_groups.withColumn("eligible", F.sum("games").over(Window.partitionBy(*key))).where(F.col("eligible") >= effective_minimum(minimum, F.col("eligible"), 3))
+    groups = sample_of(minimum).on(all_groups.withColumn("eligible", F.sum("games").over(Window.partitionBy(*key)))).where(F.col("eligible") >= effective_minimum(F.col("_minimum"), F.col("eligible"), 3)).drop("_minimum")
     kept = keep_enough(groups, effective_minimum(base, F.col("eligible"), 2), *key)
     order = Window.partitionBy(*key).orderBy(F.desc("wins"), F.desc("games"), "item_key", "rune_key")
     top = kept.withColumn("place", F.row_number().over(order)).where("place <= 3")
@@ -205,17 +248,22 @@ def champion_builds(matches: DataFrame, participants: DataFrame, items: DataFram
 
 def lane_matchups(matches: DataFrame, participants: DataFrame, snapshots: DataFrame, ranks: DataFrame | None = None, scope: str | None = None, minimum: int = 30) -> DataFrame:
     """Champions against those of the same position in the other team, with the
-    gold and experience difference at the snapshot where both are known."""
-    rows = ranked_rows(matches, participants).select("patch", "match_id", F.col("team_position").alias("role"), "team_id", "champion_id", "participant_id", "puuid", "win")
-    own = in_tiers(rows, ranks, scope)
-    snap = snapshots.select("match_id", "participant_id", "gold", "xp", "derived_at")
-    a = own.join(snap, ["match_id", "participant_id"], "left").alias("a")
-    b = rows.join(snap, ["match_id", "participant_id"], "left").select("match_id", "role", F.col("team_id").alias("other_team"), F.col("champion_id").alias("opponent_id"), F.col("gold").alias("other_gold"), F.col("xp").alias("other_xp")).alias("b")
-    pairs = a.join(b, ["match_id", "role"]).where("team_id <> other_team")
-    both = F.col("gold").isNotNull() & F.col("other_gold").isNotNull()
+    gold and experience difference at the snapshot where both are known. The ten
+    players of a match are paired within its row; only the champion's side has to
+    be in the rank scope."""
+    rows = marked_tiers(ranked_rows(matches, participants), ranks, scope, "own")
+    player = F.struct("participant_id", "team_position", "team_id", "champion_id", "win", "own")
+    sides = rows.groupBy("patch", "match_id").agg(F.collect_list(player).alias("players"))
+    snap = snapshots.groupBy("match_id").agg(F.collect_list(F.struct("participant_id", "gold", "xp", "derived_at")).alias("snaps"))
+    at = lambda x: F.get(F.filter("snaps", lambda s: s["participant_id"] == x["participant_id"]), 0).alias("at")
+    sides = sides.join(snap, "match_id", "left").withColumn("players", F.transform("players", lambda x: F.struct(x["team_position"].alias("role"), x["team_id"].alias("team_id"), x["champion_id"].alias("champion_id"), x["win"].alias("win"), x["own"].alias("own"), at(x))))
+    facing = lambda a: F.filter("players", lambda b: (b["role"] == a["role"]) & (b["team_id"] != a["team_id"]))
+    pairs = F.flatten(F.transform(F.filter("players", lambda x: x["own"]), lambda a: F.transform(facing(a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = sides.select("patch", F.explode(pairs).alias("p")).select("patch", F.col("p.a.champion_id").alias("champion_id"), F.col("p.a.role").alias("role"), F.col("p.b.champion_id").alias("opponent_id"), F.col("p.a.win").alias("win"), F.col("p.a.at").alias("x"), F.col("p.b.at").alias("y"))
+    both = F.col("x.gold").isNotNull() & F.col("y.gold").isNotNull()
     groups = pairs.groupBy("patch", "champion_id", "role", "opponent_id").agg(
-        F.count("*").alias("games"), F.count_if("win").alias("wins"), F.count_if(both).alias("timeline_games"), F.avg(F.when(both, F.col("gold") - F.col("other_gold"))).alias("gold_diff"),
-        F.avg(F.when(both, F.col("xp") - F.col("other_xp"))).alias("xp_diff"), F.max("derived_at").alias("derived_at"),
+        F.count("*").alias("games"), F.count_if("win").alias("wins"), F.count_if(both).alias("timeline_games"), F.avg(F.when(both, F.col("x.gold") - F.col("y.gold"))).alias("gold_diff"),
+        F.avg(F.when(both, F.col("x.xp") - F.col("y.xp"))).alias("xp_diff"), F.max("x.derived_at").alias("derived_at"),
     )
     total = F.sum("games").over(Window.partitionBy("patch", "champion_id", "role"))
     groups = groups.withColumn("_total", total)
@@ -223,6 +271,11 @@ def lane_matchups(matches: DataFrame, participants: DataFrame, snapshots: DataFr
     return kept.select("patch", "champion_id", "role", "opponent_id", "games", "wins", (F.col("games") - F.col("wins")).alias("losses"), rate(F.col("wins"), F.col("games")).alias("win_rate"), "timeline_games", "gold_diff", "xp_diff", "derived_at")
 
 
+def matchup_verdicts(matchups: DataFrame) -> DataFrame:
+    """Matchups with the label of their win rate, as a page shows them."""
+    return matchups.select("patch", "champion_id", "role", "opponent_id", "games", "win_rate", matchup_verdict(F.col("win_rate")).alias("verdict"))
+
+
 def counters_and_favorable(matchups: DataFrame, n: int = 5) -> DataFrame:
     """The n worst matchups below 48 % and the n best above 52 %."""
     own = Window.partitionBy("patch", "champion_id", "role")
@@ -245,13 +298,21 @@ def popular_champions(matches: DataFrame, participants: DataFrame, n: int = 100,
     return top.withColumn("place", F.row_number().over(Window.partitionBy("patch", "role").orderBy(*order))).where(F.col("place") <= per_role).drop("_n")
 
 
-def analytics_grid(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame, minimum: int = 100) -> DataFrame:
+def analytics_grid(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame, minimum: int | Sample = 100) -> DataFrame:
     """Tier lists of every role and of all roles, for each tier, EMERALD_PLUS and
     all players, in one pass: each row counts in each scope that it belongs to."""
     rows = ranked_rows(matches, participants).join(solo_ranks(ranks), "puuid", "left")
-    scopes = F.array_compact(F.array(F.lit("ALL"), F.col("tier"), F.when(F.col("tier").isin(EMERALD_PLUS), "EMERALD_PLUS")))
-    rows = rows.withColumn("rank_scope", F.explode(scopes)).withColumn("role", F.explode(F.array(F.lit("ALL"), F.col("team_position"))))
-    return tier_scores(rows.select("patch", "role", "rank_scope", "match_id", "champion_id", "win"), bans, ["patch", "role", "rank_scope"], minimum)
+    tiers = F.array_compact(F.array(F.lit("ALL"), F.col("tier"), F.when(F.col("tier").isin(EMERALD_PLUS), "EMERALD_PLUS")))
+    roles = F.array(F.lit("ALL"), F.col("team_position"))
+    scopes = F.flatten(F.transform(roles, lambda r: F.transform(tiers, lambda t: F.struct(r.alias("role"), t.alias("rank_scope")))))
+    return tier_scores(rows.select("patch", "match_id", "champion_id", "win", scopes.alias("scopes")), bans, minimum)
+
+
+def of_popular(mart: DataFrame, popular: DataFrame, per_role: int = 12) -> DataFrame:
+    """The rows of a mart (win rates, builds, matchups) for the first champions of
+    each patch and role."""
+    first = popular.where(F.col("place") <= per_role).select("patch", "champion_id", "role")
+    return mart.join(first, ["patch", "champion_id", "role"], "left_semi")
 
 
 #: Platforms of a region of the roster; others are their own.
@@ -279,14 +340,14 @@ def pro_recent_matches(matches: DataFrame, participants: DataFrame, roster: Data
     return rows.join(item_lists(items), ["match_id", "participant_id"], "left").select("patch", "champion_id", "place", "match_id", "participant_id", "match_date", "player", "team_name", "team_position", "win", F.coalesce("items", F.array().cast("array<int>")).alias("items"))
 
 
-def pro_top_players(matches: DataFrame, participants: DataFrame, roster: DataFrame, summoners: DataFrame, n: int = 10) -> DataFrame:
-    groups = pro_rows(matches, participants, roster, summoners).groupBy("patch", "champion_id", "player", "team_name").agg(F.count("*").alias("games"), F.count_if("win").alias("wins"))
+def pro_top_players(matches: DataFrame, participants: DataFrame, roster: DataFrame, summoners: DataFrame, n: int = 10, region: str | None = None, role: str | None = None) -> DataFrame:
+    groups = pro_rows(matches, participants, roster, summoners, region, role).groupBy("patch", "champion_id", "player", "team_name").agg(F.count("*").alias("games"), F.count_if("win").alias("wins"))
     order = Window.partitionBy("patch", "champion_id").orderBy(F.desc("games"), F.desc(F.col("wins") / F.col("games")), "player", "team_name")
     return groups.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).withColumn("win_rate", F.col("wins") / F.col("games"))
 
 
-def pro_common_builds(matches: DataFrame, participants: DataFrame, roster: DataFrame, summoners: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    rows = pro_rows(matches, participants, roster, summoners).join(item_lists(items), ["match_id", "participant_id"]).withColumn("item_key", F.concat_ws(",", F.col("items").cast("array<string>")))
+def pro_common_builds(matches: DataFrame, participants: DataFrame, roster: DataFrame, summoners: DataFrame, items: DataFrame, n: int = 10, region: str | None = None, role: str | None = None) -> DataFrame:
+    rows = pro_rows(matches, participants, roster, summoners, region, role).join(item_lists(items), ["match_id", "participant_id"]).withColumn("item_key", F.concat_ws(",", F.col("items").cast("array<string>")))
     groups = rows.groupBy("patch", "champion_id", "item_key").agg(F.count("*").alias("games"), F.count_if("win").alias("wins"))
     order = Window.partitionBy("patch", "champion_id").orderBy(F.desc("games"), F.desc(F.col("wins") / F.col("games")), "item_key")
     return groups.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).withColumn("win_rate", F.col("wins") / F.col("games"))
@@ -311,7 +372,7 @@ def tier_board(tiers: DataFrame, top: int = 8, trending: int = 3) -> DataFrame:
     own = Window.partitionBy("patch", "role")
     rank = F.row_number().over(own.orderBy(F.desc(grade_value(F.col("grade"))), F.desc("score"), "champion_id"))
     trend = F.row_number().over(own.orderBy(F.desc("win_rate"), F.desc("games"), "champion_id"))
-    return clean.select("patch", "role", "champion_id", "grade", "games", "win_rate", rank.alias("global_rank"), trend.alias("trend_rank")).withColumn("is_top", F.col("global_rank") <= top).withColumn("is_trending", F.col("trend_rank") <= trending)
+    return clean.select("patch", "role", "champion_id", "grade", "games", "win_rate", rank.alias("global_rank"), trend.alias("trend_rank")).withColumn("rate_grade", grade_of_rate(F.col("win_rate"))).withColumn("is_top", F.col("global_rank") <= top).withColumn("is_trending", F.col("trend_rank") <= trending)
 
 
 def main_role(winrates: DataFrame) -> DataFrame:
@@ -331,8 +392,12 @@ def matchup_index(role_tiers: DataFrame, n: int = 120, per_role: int = 48) -> Da
 
 
 def unit_win_percents(matches: DataFrame, participants: DataFrame, items: DataFrame, runes: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Games and win rate of every item and rune by champion, lane and tier."""
-    rows = ranked_rows(matches, participants).join(solo_ranks(ranks), "puuid", "left").select("patch", "champion_id", F.col("team_position").alias("lane"), F.coalesce("tier", F.lit("UNRANKED")).alias("rank_tier"), "match_id", "participant_id", "win")
+    """Games and win rate of every item and rune by champion, lane and tier. A
+    participant's units become one set each before they meet the games."""
     key = ["match_id", "participant_id"]
-    units = items.select(*key, F.lit("item").alias("kind"), F.col("item_id").alias("unit")).unionByName(runes.select(*key, F.lit("rune").alias("kind"), F.col("rune_id").alias("unit"))).where("unit > 0").distinct()
-    return rows.join(units, key).groupBy("patch", "champion_id", "lane", "rank_tier", "kind", "unit").agg(F.count("*").alias("games"), (F.count_if("win") / F.count("*")).alias("win_rate"))
+    rows = ranked_rows(matches, participants).join(solo_ranks(ranks), "puuid", "left").select("patch", "champion_id", F.col("team_position").alias("lane"), F.coalesce("tier", F.lit("UNRANKED")).alias("rank_tier"), *key, "win")
+    held = items.where("item_id > 0").groupBy(*key).agg(F.collect_set(F.struct(F.lit("item").alias("kind"), F.col("item_id").alias("unit"))).alias("i"))
+    chosen = runes.where("rune_id > 0").groupBy(*key).agg(F.collect_set(F.struct(F.lit("rune").alias("kind"), F.col("rune_id").alias("unit"))).alias("r"))
+    none = F.array().cast("array<struct<kind:string,unit:int>>")
+    units = rows.join(held, key, "left").join(chosen, key, "left").select("patch", "champion_id", "lane", "rank_tier", "win", F.explode(F.concat(F.coalesce("i", none), F.coalesce("r", none))).alias("u"))
+    return units.groupBy("patch", "champion_id", "lane", "rank_tier", "u.kind", "u.unit").agg(F.count("*").alias("games"), (F.count_if("win") / F.count("*")).alias("win_rate"))

@@ -43,3 +43,12 @@ def in_tiers(rows: DataFrame, ranks: DataFrame | None, scope: str | None) -> Dat
     if tiers is None:
         return rows
     return rows.join(solo_ranks(ranks).where(F.col("tier").isin(tiers)).select("puuid"), "puuid", "left_semi")
+
+
+def marked_tiers(rows: DataFrame, ranks: DataFrame | None, scope: str | None, out: str) -> DataFrame:
+    """All rows, with whether the player's solo rank is in the scope."""
+    tiers = tier_scope(scope)
+    if tiers is None:
+        return rows.withColumn(out, F.lit(True))
+    own = solo_ranks(ranks).where(F.col("tier").isin(tiers)).select("puuid", F.lit(True).alias(out))
+    return rows.join(own, "puuid", "left").withColumn(out, F.coalesce(out, F.lit(False)))

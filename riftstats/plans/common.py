@@ -17,7 +17,7 @@ RANKED = "rr AS (SELECT p.match_id, p.participant_id, p.team_id, p.puuid, p.cham
 SOLO = "solo AS (SELECT puuid, tier FROM ranks WHERE queue_type = 'RANKED_SOLO_5x5')"
 
 
-def EFF(conf: int, avail: str, floor: int) -> str:  # noqa: N802
+def EFF(conf: int | str, avail: str, floor: int) -> str:  # noqa: N802
     return f"greatest(1, least({conf}, {avail}, greatest({floor}, ceil(0.15 * {avail}))))"
 
 

@@ -10,6 +10,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.exprs import ROLES, TIERS
+
 
 class Dialect:
     def __init__(self, name: str):
@@ -33,10 +35,9 @@ class Dialect:
         return f"(select cast(unnest(range({lo}, {hi + 1})) as int) n)" if self.duck else f"(select cast(id as int) n from range({lo}, {hi + 1}))"
 
 
+#: Platforms and the region of each.
 PLATFORMS = ["NA1", "EUW1", "KR", "CN1", "CN2", "BR1"]
 REGIONS = ["AMERICAS", "EUROPE", "ASIA", "ASIA", "ASIA", "AMERICAS"]
-TIERS = ["IRON", "BRONZE", "SILVER", "GOLD", "PLATINUM", "EMERALD", "DIAMOND", "MASTER", "GRANDMASTER", "CHALLENGER"]
-ROLES = ["TOP", "JUNGLE", "MIDDLE", "BOTTOM", "UTILITY"]
 DAY = 86_400_000
 #: Inputs of each projection, driver tables or other projections.
 NEEDS = {

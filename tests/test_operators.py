@@ -162,3 +162,52 @@ def test_matchups_mirror(spark):
     b = m.select("patch", "role", F.col("opponent_id").alias("champion_id"), F.col("champion_id").alias("opponent_id"), "losses")
     j = a.join(b, ["patch", "role", "champion_id", "opponent_id"])
     assert j.where("wins <> losses").count() == 0 and j.count() > 0
+
+
+def test_scores_are_rounded_before_they_rank(spark):
+    """Three lost games of 64: the score is 0.0140625, whatever the order of the
+    operations; equal scores tie and go by champion."""
+    rows = spark.createDataFrame([("8.1", f"m{i}", c, w, [("JUNGLE",)]) for i, (c, w) in enumerate([(40, False)] * 3 + [(39, False)] * 3 + [(7, i % 2 == 0) for i in range(58)])], "patch string, match_id string, champion_id int, win boolean, scopes array<struct<role:string>>")
+    got = {r.champion_id: r for r in C.tier_scores(rows, spark.createDataFrame([("m0", 40)], "match_id string, champion_id int"), 1).collect()}
+    assert got[40].score == got[39].score == 0.0140625 and got[39].place == got[40].place - 1
+    assert got[40].ban_rate == 1 / 64 and got[7].ban_rate == 0
+
+
+def test_minimum_of_a_new_patch(spark):
+    groups = spark.createDataFrame([("9.1",), ("9.2",), ("none",)], "patch string")
+    patches = spark.createDataFrame([("9.1", 0), ("9.2", 10 * 3_600_000)], "patch string, released_at long")
+    at = lambda hours, **more: {r.patch: r._minimum for r in C.Sample(patches=patches, now_ms=hours * 3_600_000, **more).on(groups).collect()}
+    assert at(71) == {"9.1": 40, "9.2": 40, "none": 100} and at(72) == {"9.1": 100, "9.2": 40, "none": 100}
+    assert at(1, early=500) == {"9.1": 100, "9.2": 100, "none": 100} and at(1, hours=0) == {"9.1": 100, "9.2": 40, "none": 100}
+    assert {r._minimum for r in C.Sample(60).on(groups).collect()} == {60}
+
+
+def test_a_rune_of_any_patch_is_that_of_the_latest(spark):
+    runes = spark.createDataFrame([("m", 1, 0, 0, 7, 0, "15.1")], "match_id string, participant_id int, tree int, idx int, rune_id int, style_id int, patch string")
+    versions = spark.createDataFrame([(7, "9.2", 8100, 1), (7, "14.1", 8200, 2)], "rune_id int, patch string, path_id int, slot int")
+    assert C.rune_pages(runes, versions, "history").first().primary_style == 8200
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_plans_shuffle_no_more_than_they_need(spark):
+    """Shuffles of the plans over landed tables, as planned before any is found
+    small enough to be sent out; what is reused counts each time."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        none = lambda ddl: spark.createDataFrame([], ddl)
+        m = none("match_id string, match_date long, duration int, patch string, queue_id int, queue_type string, status int")
+        p = none("match_id string, participant_id int, team_id int, puuid string, champion_id int, team_position string, win boolean")
+        items, bans = none("match_id string, participant_id int, slot int, item_id int"), none("match_id string, champion_id int")
+        runes = none("match_id string, participant_id int, tree int, idx int, rune_id int, style_id int, patch string")
+        ranks = none("puuid string, queue_type string, tier string")
+        snaps = none("match_id string, participant_id int, gold int, xp int, derived_at long")
+        # players and matches by match, bans or snapshots by match, the counts, the scopes
+        assert exchanges(C.tier_list(m, p, bans)) <= 5
+        assert exchanges(C.lane_matchups(m, p, snaps)) <= 5
+        # players and matches, players by tier (2), three tables by participant, the counts
+        assert exchanges(C.unit_win_percents(m, p, items, runes, ranks)) <= 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
