@@ -48,18 +48,33 @@ RIDGE, FLOOR = 1.0, 1e-6
 PIECE = 1 << 13
 
 
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
 @lru_cache(maxsize=1)
-def letters() -> re.Pattern:
-    """Runs of letters: word characters that aren't digits, the underscore or one
-    of the signs that count as numbers only, such as \u00bd, \u00b2 or \u2167."""
-    signs = [c for c in range(0x20000) if not chr(c).isalpha() and chr(c).isnumeric()]
-    return re.compile(rf"[^\W\d_{''.join(map(chr, signs))}]+")
+def numerals() -> np.ndarray:
+    """Whether a code point is a sign that counts as a number only, such as \u00bd,
+    \u00b2 or \u2167: word characters, but neither digits nor letters."""
+    out = np.zeros(0x110000, bool)
+    out[[c for c in range(0x20000) if chr(c).isnumeric() and not chr(c).isalpha()]] = True
+    return out
+
+
+def letter_runs(text: str | None) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    low = (text or "").lower()
+    if not low.isascii():
+        code = np.frombuffer(low.encode("utf-32-le"), np.uint32)
+        sign = numerals()[code]
+        if sign.any():
+            low = np.where(sign, np.uint32(32), code).tobytes().decode("utf-32-le")
+    return LETTERS.findall(low)
 
 
 def pieces(text: str | None) -> Iterator[np.ndarray]:
     """The distinct cells of the n-grams of each piece of a text, none if it has
     no letter. n-grams across a border belong to the piece that they begin in."""
-    line = " " + " ".join(letters().findall((text or "").lower())) + " "
+    line = " " + " ".join(letter_runs(text)) + " "
     if len(line) < 3:
         return
     code = np.frombuffer(line.encode("utf-32-le"), np.uint32)
