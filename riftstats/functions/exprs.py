@@ -59,7 +59,9 @@ def adaptive_minimum(released_ms: Column, now_ms: int, steady: int = 100, early:
     """The configured minimum, lower in a patch's first hours; a patch whose
     release isn't known is past them."""
     steady = max(1, steady)
-    return F.when(F.lit(now_ms) < released_ms + max(0, hours) * 3_600_000, min(max(1, early), steady)).otherwise(steady)
+    if hours <= 0:
+        return F.lit(steady)
+    return F.when(F.lit(now_ms) < released_ms + hours * 3_600_000, min(max(1, early), steady)).otherwise(steady)
 
 
 def patch_order(patch: Column) -> Column:

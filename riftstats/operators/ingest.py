@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import OUTSIDE_RETENTION, PERMANENT_FAILURE, SUCCESS, TEMPORARY_FAILURE, UNFETCHED, blank_to_null, in_history_scope, queue_family, queue_label, ranked_solo
+from ..functions.exprs import OUTSIDE_RETENTION, PERMANENT_FAILURE, RANKED_SOLO, SUCCESS, TEMPORARY_FAILURE, UNFETCHED, blank_to_null, in_history_scope, match_platform, patch_order, queue_family, queue_label
 
 DAY = 86_400_000
 MATCH_DELAYS, MAX_MATCH_FAILURES, RETENTION_DAYS = [30, 60, 120, 300], 5, 730
@@ -18,20 +18,38 @@ def short_patch(version: Column) -> Column:
     return F.concat_ws(".", F.slice(F.split(version, r"\."), 1, 2))
 
 
+def match_headers(raw: DataFrame) -> DataFrame:
+    """One row a raw match, as fetched."""
+    m = raw.select(F.inline(F.array("m")))
+    return m.select(F.col("matchId").alias("match_id"), F.col("gameCreation").alias("match_date"), F.col("gameDuration").alias("duration"), short_patch(F.col("gameVersion")).alias("patch"), F.col("queueId").alias("queue_id"), queue_label(F.col("queueId")).alias("queue_type"), F.lit(SUCCESS).alias("status"), F.col("endOfGameResult").alias("end_of_game_result"), F.size("participants").alias("n_participants"))
+
+
+#: Names of a participant's columns and the fields that they come from.
+PARTICIPANT_FIELDS = {
+    "participant_id": "participantId", "team_id": "teamId", "champion_id": "championId", "win": "win", "kills": "kills", "deaths": "deaths", "assists": "assists", "champ_level": "champLevel", "gold_earned": "goldEarned", "damage": "totalDamageDealtToChampions",
+    "vision_score": "visionScore", "minions": "totalMinionsKilled", "neutral": "neutralMinionsKilled", "spell1": "summoner1Id", "spell2": "summoner2Id",
+}
+
+
 def match_facts(raw: DataFrame, known: DataFrame, mode: str = "strict") -> DataFrame:
     """Participants of raw matches. strict: a match with a blank or unknown
     puuid, or with other counts than it lists, is left out as a whole; lenient:
     blank ones are dropped and unknown ones marked as stubs."""
     m = raw.select(F.inline(F.array("m"))).withColumn("n_listed", F.size("participantIds"))
-    rows = m.select("matchId", "gameCreation", "gameDuration", "gameVersion", "queueId", "n_listed", F.explode("participants").alias("p"))
-    rows = rows.withColumn("puuid", blank_to_null(F.col("p.puuid"))).join(known.select("puuid", F.lit(True).alias("is_known")), "puuid", "left")
+    position = F.coalesce(blank_to_null(F.col("p.teamPosition")), blank_to_null(F.col("p.individualPosition")))
+    rows = m.select("matchId", "gameCreation", "gameDuration", "gameVersion", "queueId", "endOfGameResult", "n_listed", F.explode("participants").alias("p"))
+    rows = rows.select(
+        F.col("matchId").alias("match_id"), F.col("gameCreation").alias("match_date"), F.col("gameDuration").alias("duration"), short_patch(F.col("gameVersion")).alias("patch"), F.col("queueId").alias("queue_id"), F.col("endOfGameResult").alias("end_of_game_result"), "n_listed",
+        blank_to_null(F.col("p.puuid")).alias("puuid"), position.alias("team_position"), *[F.col(f"p.{field}").alias(name) for name, field in PARTICIPANT_FIELDS.items()],
+    )
+    rows = rows.join(known.select("puuid").distinct().withColumn("_known", F.lit(True)), "puuid", "left").withColumn("is_stub", F.col("_known").isNull())
     if mode == "strict":
-        bad = rows.groupBy("matchId").agg((F.max(F.col("puuid").isNull() | F.col("is_known").isNull()) | (F.count("*") != F.max("n_listed"))).alias("bad")).where("bad")
-        rows = rows.join(bad, "matchId", "left_anti")
+        whole = Window.partitionBy("match_id")
+        bad = F.max(F.col("puuid").isNull() | F.col("is_stub")).over(whole) | (F.count("*").over(whole) != F.col("n_listed"))
+        rows = rows.withColumn("_bad", bad).where("not _bad").drop("_bad")
     else:
         rows = rows.where("puuid is not null")
-    position = F.coalesce(blank_to_null(F.col("p.teamPosition")), blank_to_null(F.col("p.individualPosition")))
-    return rows.select(F.col("matchId").alias("match_id"), F.col("gameCreation").alias("match_date"), F.col("gameDuration").alias("duration"), short_patch(F.col("gameVersion")).alias("patch"), F.col("queueId").alias("queue_id"), F.col("p.participantId").alias("participant_id"), "puuid", F.col("p.teamId").alias("team_id"), F.col("p.championId").alias("champion_id"), position.alias("team_position"), F.col("p.win").alias("win"), F.col("is_known").isNull().alias("is_stub"))
+    return rows.drop("n_listed", "_known")
 
 
 def participant_runes(raw: DataFrame) -> DataFrame:
@@ -70,8 +88,7 @@ def patch_dimension(versions: DataFrame, matches: DataFrame, patches: DataFrame,
     seen = versions.select(short_patch(F.col("version")).alias("patch")).unionByName(matches.select("patch")).where("patch is not null and patch <> ''").distinct()
     new = seen.join(patches, "patch", "left_anti").select("patch", F.lit(now_ms).cast("long").alias("released_at"))
     every = patches.select("patch", "released_at").unionByName(new)
-    major, minor = F.split_part("patch", F.lit("."), F.lit(1)).cast("int"), F.split_part("patch", F.lit("."), F.lit(2)).cast("int")
-    newest = every.agg(F.max_by("patch", F.struct(major, minor)).alias("newest"))
+    newest = every.agg(F.max_by("patch", patch_order(F.col("patch"))).alias("newest"))
     return every.crossJoin(F.broadcast(newest)).select("patch", "released_at", (F.col("patch") == F.col("newest")).alias("is_active"))
 
 
@@ -84,28 +101,35 @@ def upserted(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFr
     return joined.select(*keys, *[F.when(F.col("_n").isNull(), F.col(f"c.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in values], change.alias("change"))
 
 
-def rune_versions(styles: DataFrame, current: DataFrame, patch: str) -> DataFrame:
-    """Path and slot of every rune of the style document of a patch, over the
-    current rows. styles: place, style_id, slots array<struct<kind, runes>>.
-    Stat slots count on their own over all styles, the others within a style;
-    the first occurrence of a rune counts."""
-    slots = styles.select("place", "style_id", F.posexplode("slots").alias("pos", "s")).withColumn("stat", F.col("s.kind") == "kStatMod")
-    within = Window.partitionBy("style_id", "stat").orderBy("pos")
-    over = Window.partitionBy("stat").orderBy("place", "pos")
-    slots = slots.withColumn("slot", F.when(F.col("stat"), F.row_number().over(over)).otherwise(F.row_number().over(within)) - 1)
-    runes = slots.select("place", "pos", "slot", F.when(F.col("stat"), SHARD_PATH).otherwise(F.col("style_id")).alias("path_id"), F.posexplode("s.runes").alias("i", "rune_id"))
-    first = Window.partitionBy("rune_id").orderBy("place", "pos", "i")
-    rows = runes.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("rune_id", F.lit(patch).alias("patch"), "path_id", "slot")
-    return upserted(current.select("rune_id", "patch", "path_id", "slot"), rows, ["rune_id", "patch"])
+def rune_versions(perks: DataFrame, styles: DataFrame, current: DataFrame) -> DataFrame:
+    """Runes of each patch with name, description, path and slot, over the current
+    rows. perks: patch, rune_id, key, name, short_desc, long_desc, tooltip; styles:
+    patch, place, style_id, style_name, slots array<struct<kind, runes>>. Stat
+    slots and others count on their own within a style; the first occurrence of a
+    rune counts; a rune that no style has gets path and slot 0. A missing name is
+    made from the id; the description is the first text that isn't blank."""
+    slots = styles.select("patch", "place", "style_id", "style_name", F.posexplode("slots").alias("pos", "s")).withColumn("stat", F.lower("s.kind") == "kstatmod")
+    within = Window.partitionBy("patch", "place", "style_id", "stat").orderBy("pos")
+    slots = slots.withColumn("slot", F.row_number().over(within) - 1)
+    path, name = F.when(F.col("stat"), SHARD_PATH).otherwise(F.col("style_id")), F.when(F.col("stat"), "Stat Mods").otherwise(F.col("style_name"))
+    runes = slots.select("patch", "place", "pos", "slot", path.alias("path_id"), name.alias("path_name"), F.posexplode("s.runes").alias("i", "rune_id")).where("rune_id <> 0")
+    first = Window.partitionBy("patch", "rune_id").orderBy("place", "pos", "i")
+    placed = runes.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("patch", "rune_id", "path_id", "path_name", "slot")
+    text = F.coalesce(blank_to_null(F.col("short_desc")), blank_to_null(F.col("long_desc")), F.col("tooltip"), F.lit(""))
+    rows = perks.join(placed, ["patch", "rune_id"], "left").select(
+        "rune_id", "patch", "key", F.coalesce(blank_to_null(F.col("name")), F.concat(F.lit("Rune "), F.col("rune_id").cast("string"))).alias("name"), text.alias("description"),
+        F.coalesce("path_id", F.lit(0)).alias("path_id"), "path_name", F.coalesce("slot", F.lit(0)).alias("slot"),
+    )
+    return upserted(current.select(*rows.columns), rows, ["rune_id", "patch"])
 
 
-def item_versions(raw_items: DataFrame, current: DataFrame, patch: str) -> DataFrame:
-    """Items of a patch with clean lists and defaults, over the current rows."""
+def item_versions(raw_items: DataFrame, current: DataFrame) -> DataFrame:
+    """Items of each patch with clean lists and defaults, over the current rows."""
     ids = lambda c: F.array_sort(F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<int>")), lambda x: x > 0)))
     words = F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "")
     lower = F.transform(words, lambda t: F.lower(t))
     tags = F.array_sort(F.filter(words, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1))
-    rows = raw_items.where("item_id > 0").select("item_id", F.lit(patch).alias("patch"), F.coalesce("in_store", F.lit(True)).alias("in_store"), F.coalesce("price_total", F.lit(0)).alias("price_total"), ids(F.col("builds_into")).alias("builds_into"), ids(F.col("builds_from")).alias("builds_from"), tags.alias("tags"))
+    rows = raw_items.where("item_id > 0").select("item_id", "patch", F.coalesce("in_store", F.lit(True)).alias("in_store"), F.coalesce("price_total", F.lit(0)).alias("price_total"), ids(F.col("builds_into")).alias("builds_into"), ids(F.col("builds_from")).alias("builds_from"), tags.alias("tags"))
     return upserted(current.select(*rows.columns), rows, ["item_id", "patch"])
 
 
@@ -152,14 +176,16 @@ def insert_new_matches(existing: DataFrame, incoming: DataFrame, patch: str | No
 
 def timeline_snapshots(matches: DataFrame, participants: DataFrame, frames: DataFrame, minute: int = 15) -> DataFrame:
     """The last frame up to the minute mark, else the earliest, of each
-    participant, with flags of how it was got."""
+    participant, with flags of how it was got. All three tables meet by match."""
     mark = minute * 60_000
-    f = frames.groupBy("match_id").agg(F.max(F.when(F.col("timestamp_ms") <= mark, F.col("timestamp_ms"))).alias("before"), F.min("timestamp_ms").alias("first"))
-    chosen = f.select("match_id", F.coalesce("before", "first").alias("timestamp_ms"), F.col("before").isNull().alias("after"))
-    who = participants.select("match_id", "puuid", F.col("participant_id").alias("by_puuid"))
-    rows = frames.join(chosen, ["match_id", "timestamp_ms"]).join(who, ["match_id", "puuid"], "left").withColumn("participant_id", F.coalesce("participant_id", "by_puuid")).where("participant_id is not null")
+    whole = Window.partitionBy("match_id")
+    before = F.max(F.when(F.col("timestamp_ms") <= mark, F.col("timestamp_ms"))).over(whole)
+    rows = frames.withColumns({"_before": before, "_first": F.min("timestamp_ms").over(whole)}).where(F.col("timestamp_ms") == F.coalesce("_before", "_first"))
+    who = participants.groupBy("match_id").agg(F.collect_list(F.struct("puuid", "participant_id")).alias("who"))
+    by_puuid = F.get(F.transform(F.filter("who", lambda w: w["puuid"] == F.col("puuid")), lambda w: w["participant_id"]), 0)
+    rows = rows.join(who, "match_id", "left").withColumn("participant_id", F.coalesce("participant_id", by_puuid)).where("participant_id is not null")
     rows = rows.join(matches.select("match_id", "duration"), "match_id")
-    how = F.when(F.col("after"), "AFTER_TARGET").when(F.col("timestamp_ms") == mark, "EXACT").otherwise("PRIOR_FRAME")
+    how = F.when(F.col("_before").isNull(), "AFTER_TARGET").when(F.col("timestamp_ms") == mark, "EXACT").otherwise("PRIOR_FRAME")
     flags = F.concat_ws("|", how, F.when(F.col("duration") < minute * 60, "SHORT_GAME"))
     return rows.select("match_id", "participant_id", F.lit(minute).alias("minute_mark"), F.col("total_gold").alias("gold"), "xp", "cs", "level", "timestamp_ms", flags.alias("quality_flags"))
 
@@ -217,6 +243,35 @@ def fold_fetch_attempts(attempts: DataFrame, now_ms: int, delays: list[int] = MA
     return got.withColumn("status", status).withColumn("next_attempt_at", F.when(F.col("status") == TEMPORARY_FAILURE, F.col("last_attempt_at") + wait * 1000))
 
 
+#: Status of a timeline that isn't wanted; the longest wait in
+#: seconds; platforms that have a regional route.
+NOT_APPLICABLE, MAX_TIMELINE_FAILURES, MAX_TIMELINE_DELAY = 4, 4, 300
+ROUTED_PLATFORMS = ["BR1", "EUN1", "EUW1", "JP1", "KR", "LA1", "LA2", "ME1", "NA1", "OC1", "PBE1", "PH2", "RU", "SG2", "TH2", "TR1", "TW2", "VN2"]
+
+
+def fold_timeline_attempts(attempts: DataFrame, most: int = MAX_TIMELINE_FAILURES) -> DataFrame:
+    """Timeline state of each match after its log of attempts (match_id, queue_id,
+    at, ok). Matches outside of ranked solo are not applicable; a match id whose
+    platform has no route fails for good; the first success is final, so is the
+    `most`-th failure before it; the n-th failure waits 30 seconds times 2^(n-1),
+    300 at most."""
+    failures = F.count_if(~F.col("ok")).over(Window.partitionBy("match_id").orderBy("at", "ok").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = attempts.withColumn("_nth", failures)
+    got = rows.groupBy("match_id").agg(
+        F.max("queue_id").alias("queue_id"), F.min("at").alias("_began"), F.max("at").alias("_last"), F.min(F.when(F.col("ok"), F.col("at"))).alias("_ok"),
+        F.min(F.when(~F.col("ok") & (F.col("_nth") == most), F.col("at"))).alias("_out"), F.count_if(~F.col("ok")).alias("_failed"),
+    )
+    ranked = F.coalesce(F.col("queue_id") == RANKED_SOLO, F.lit(False))
+    routed = match_platform(F.col("match_id")).isin(ROUTED_PLATFORMS)
+    out = F.col("_out").isNotNull() & (F.col("_ok").isNull() | (F.col("_out") < F.col("_ok")))
+    status = F.when(~ranked, NOT_APPLICABLE).when(~routed | out, PERMANENT_FAILURE).when(F.col("_ok").isNotNull(), SUCCESS).otherwise(TEMPORARY_FAILURE)
+    count = F.when(~ranked, 0).when(~routed | out, most).when(F.col("_ok").isNotNull(), 0).otherwise(F.col("_failed"))
+    last = F.when(~ranked, F.col("_last")).when(~routed, F.col("_began")).when(out, F.col("_out")).when(F.col("_ok").isNotNull(), F.col("_ok")).otherwise(F.col("_last"))
+    got = got.select("match_id", status.alias("status"), count.cast("int").alias("retry_count"), last.alias("last_attempt_at"))
+    wait = F.least(F.lit(MAX_TIMELINE_DELAY), 30 * F.pow(F.lit(2), F.col("retry_count") - 1)).cast("long")
+    return got.withColumn("next_attempt_at", F.when(F.col("status") == TEMPORARY_FAILURE, F.col("last_attempt_at") + wait * 1000))
+
+
 def advance_cursors(cursors: DataFrame, runs: DataFrame) -> DataFrame:
     """Backfill cursors after one run each: they only move back, stand still if
     the run stopped early or failed, and count runs that brought nothing.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import kda, rate, tier_score
-from .scope import solo_ranks, visible_matches
+from .scope import visible_matches
 
 #: Seconds until a player in a state is looked at again.
 POLL_SECONDS = {"lobby": 30, "in_game": 60, "ended": 30}
@@ -47,15 +47,20 @@ def live_games(raw: DataFrame, players: DataFrame) -> DataFrame:
     return rows.select("puuid", "state", "game_id", "queue_id", "started_at", "game_length", F.col("p.puuid").alias("participant_puuid"), F.col("p.teamId").alias("team_id"), F.col("p.championId").alias("champion_id"))
 
 
-def live_participants(live: DataFrame, ranks: DataFrame, matches: DataFrame, participants: DataFrame, winrates: DataFrame, compat: bool = False) -> DataFrame:
-    """Players of live games (game_id, team_id, puuid, champion_id) with tier,
-    win rate and KDA over all queues, and the champion's win rate."""
+def live_participants(live: DataFrame, summoners: DataFrame, ranks: DataFrame, matches: DataFrame, participants: DataFrame, winrates: DataFrame, compat: bool = False) -> DataFrame:
+    """Players of live games (game_id, team_id, puuid, champion_id) with the newest
+    summoner row of their puuid, its solo tier, division and points, win rate and
+    KDA over all queues (null without such a row), and the champion's win rate."""
     scale = 100.0 if compat else 1.0
+    known = summoners.groupBy("puuid").agg(F.max_by("game_name", F.struct("updated_at", "summoner_id")).alias("game_name"), F.lit(True).alias("_known"))
+    solo = ranks.where(F.col("queue_type") == "RANKED_SOLO_5x5").select("puuid", "tier", "division", "league_points")
     played = participants.join(visible_matches(matches).select("match_id"), "match_id", "left_semi")
     kills, deaths, assists = F.avg("kills"), F.avg("deaths"), F.avg("assists")
     stats = played.groupBy("puuid").agg((scale * F.count_if("win") / F.count("*")).alias("recent_win_rate"), kda(kills, assists, deaths).alias("recent_kda"))
     champion = winrates.groupBy("champion_id").agg((F.sum(F.col("win_rate") * F.col("games")) / F.sum("games")).alias("champion_win_rate"))
-    return live.join(solo_ranks(ranks), "puuid", "left").join(stats, "puuid", "left").join(champion, "champion_id", "left")
+    rows = live.join(known, "puuid", "left").join(solo, "puuid", "left").join(stats, "puuid", "left").join(champion, "champion_id", "left")
+    own = lambda c: F.when(F.col("_known"), F.col(c)).alias(c)
+    return rows.select(*live.columns, "game_name", *map(own, ("tier", "division", "league_points", "recent_win_rate", "recent_kda")), "champion_win_rate")
 
 
 def live_team_analysis(rows: DataFrame) -> DataFrame:

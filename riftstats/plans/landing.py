@@ -25,42 +25,47 @@ def known(t: Tables):
     return t.summoners.where("summoner_id % 500 <> 7").select("puuid")
 
 
-def perk_styles(t: Tables):
-    """The style document of a patch, from its rune rows: four slots a style,
-    then three stat slots that each style repeats."""
-    v = t.rune_versions.where("patch = '8.2'")
-    slots = v.where("path_id <> 5000").groupBy("path_id", "slot").agg(F.array_sort(F.collect_list("rune_id")).alias("runes"))
-    styles = slots.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "runes"))), lambda s: F.struct(F.lit("kMixedRegularSplashable").alias("kind"), s["runes"].alias("runes"))).alias("slots"))
-    stat = v.where("path_id = 5000").groupBy(F.floor(F.col("slot") / 3).alias("row")).agg(F.array_sort(F.collect_list("rune_id")).alias("runes"))
-    stats = stat.agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "runes"))), lambda s: F.struct(F.lit("kStatMod").alias("kind"), s["runes"].alias("runes"))).alias("stats"))
-    return styles.crossJoin(stats).select(((F.col("path_id") - 8000) / 100).cast("int").alias("place"), F.col("path_id").alias("style_id"), F.concat("slots", "stats").alias("slots"))
+def held_runes(t: Tables):
+    """The runes that participants hold in each patch."""
+    return t.runes.select("patch", "rune_id").distinct()
 
 
-def rune_versions(t: Tables):
-    current = t.rune_versions.where("patch = '8.1' or (patch = '8.2' and rune_id % 3 <> 0)").withColumn("slot", F.when((F.col("patch") == "8.2") & (F.col("rune_id") % 5 == 0), 99).otherwise(F.col("slot")))
-    return I.rune_versions(perk_styles(t), current, "8.2")
+def perks(t: Tables):
+    """Perk documents of the held runes, some texts of which are missing."""
+    r = F.col("rune_id")
+    text = lambda name, n: F.when(r % n == 0, F.lit(" ")).when(r % n == 1, F.lit(None)).otherwise(F.concat(F.lit(f"{name} "), r))
+    return held_runes(t).select("patch", "rune_id", F.concat(F.lit("k"), r).alias("key"), text("rune", 7).alias("name"), text("short", 3).alias("short_desc"), text("long", 4).alias("long_desc"), F.when(r % 5 != 0, F.concat(F.lit("tip "), r)).alias("tooltip"))
 
 
-def item_versions(t: Tables):
-    v = t.item_versions.where("patch = '8.2'")
-    dirty = v.select("item_id", F.when(F.col("in_store"), F.lit(None)).otherwise(F.lit(False)).alias("in_store"), F.when(F.col("price_total") > 0, F.col("price_total")).alias("price_total"), F.concat("builds_into", F.array(F.lit(0)), "builds_into").alias("builds_into"), F.concat("builds_from", F.array(F.lit(-1))).alias("builds_from"), F.concat(F.transform("tags", lambda x: F.concat(F.lit(" "), x)), F.array(F.lit("")), F.transform("tags", lambda x: F.upper(x))).alias("tags"))
-    current = t.item_versions.where("patch = '8.1' or (patch = '8.2' and item_id % 4 <> 0)").withColumn("price_total", F.when(F.col("item_id") % 6 == 0, F.col("price_total") + 1).otherwise(F.col("price_total")))
-    got = I.item_versions(dirty, current, "8.2")
-    return got.withColumns({c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("builds_into", "builds_from", "tags")})
-
-
-def upsert_summoners(t: Tables):
-    current = t.summoners.where("summoner_id % 3 <> 0")
-    incoming = t.summoners.where("summoner_id % 2 = 0").withColumn("game_name", F.concat(F.lit("  "), "game_name", F.lit("2 "))).withColumn("updated_at", F.col("updated_at") + F.when(F.col("summoner_id") % 4 == 0, -1000).otherwise(1000))
-    return I.upsert_summoners(current, incoming, t.participants)
+def perk_styles(t: Tables):
+    """Style documents of each patch from the held runes: the slots of a style,
+    then stat slots that each style repeats; each 11th rune is in none."""
+    v = held_runes(t).where("rune_id % 11 <> 0").withColumn("path", F.when(F.col("rune_id") < 8000, 5000).otherwise(F.col("rune_id") - F.col("rune_id") % 100)).withColumn("row", F.when(F.col("rune_id") < 8000, F.floor((F.col("rune_id") - 5001) / 3)).otherwise(F.floor(F.col("rune_id") % 100 / 10)))
+    rows = v.groupBy("patch", "path", "row").agg(F.array_sort(F.collect_list("rune_id")).alias("runes"))
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.struct("row", "runes"))), lambda s: F.struct(F.lit(kind).alias("kind"), s["runes"].alias("runes")))
+    styles = rows.where("path <> 5000").groupBy("patch", "path").agg(listed("kMixedRegularSplashable").alias("slots"))
+    stats = rows.where("path = 5000").groupBy("patch").agg(listed("KSTATMOD").alias("stats"))
+    return styles.join(stats, "patch").select("patch", ((F.col("path") - 8000) / 100).cast("int").alias("place"), F.col("path").cast("int").alias("style_id"), F.concat(F.lit("path "), "path").alias("style_name"), F.concat("slots", "stats").alias("slots"))
 
 
-def incoming_ranks(t: Tables):
-    return t.ranks.where("wins % 2 = 0").withColumn("league_points", F.col("league_points") + F.when(F.col("wins") % 4 == 0, 7).otherwise(0))
+def rune_versions(t: Tables):
+    """All patches; of the current rows some are missing, some differ and some are
+    of runes that nobody holds."""
+    r = F.col("rune_id")
+    now = I.rune_versions(perks(t), perk_styles(t), t.spark.createDataFrame([], "rune_id int, patch string, key string, name string, description string, path_id int, path_name string, slot int"))
+    there = now.drop("change").where("rune_id % 3 <> 0").withColumn("name", F.when(r % 5 == 0, F.lit("old name")).otherwise(F.col("name")))
+    gone = t.patches.select(F.lit(9999).alias("rune_id"), "patch", F.lit("k").alias("key"), F.lit("n").alias("name"), F.lit("d").alias("description"), F.lit(0).alias("path_id"), F.lit(None).cast("string").alias("path_name"), F.lit(0).alias("slot"))
+    return I.rune_versions(perks(t), perk_styles(t), there.unionByName(gone))
 
 
-def current_ranks(t: Tables):
-    return t.ranks.where("wins % 3 <> 0")
+def item_versions(t: Tables):
+    """All patches, of each the known items that participants hold in it."""
+    held = t.items.join(t.matches.select("match_id", "patch"), "match_id").select("patch", "item_id").distinct()
+    v = t.item_versions.join(held, ["patch", "item_id"], "left_semi")
+    dirty = v.select("item_id", "patch", F.when(F.col("in_store"), F.lit(None)).otherwise(F.lit(False)).alias("in_store"), F.when(F.col("price_total") > 0, F.col("price_total")).alias("price_total"), F.concat("builds_into", F.array(F.lit(0)), "builds_into").alias("builds_into"), F.concat("builds_from", F.array(F.lit(-1))).alias("builds_from"), F.concat(F.transform("tags", lambda x: F.concat(F.lit(" "), x)), F.array(F.lit("")), F.transform("tags", lambda x: F.upper(x))).alias("tags"))
+    current = t.item_versions.where("item_id % 4 <> 0").withColumn("price_total", F.when(F.col("item_id") % 6 == 0, F.col("price_total") + 1).otherwise(F.col("price_total")))
+    got = I.item_versions(dirty, current)
+    return got.withColumns({c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("builds_into", "builds_from", "tags")})
 
 
 def renamed(df, only, prefix: str, key: str = "puuid"):
@@ -69,21 +74,21 @@ def renamed(df, only, prefix: str, key: str = "puuid"):
     return df.withColumn(key, F.when(F.expr(only), F.col(key)).otherwise(F.concat(F.lit(prefix), key)))
 
 
-def all_current_ranks(t: Tables):
+def current_ranks(t: Tables):
     return renamed(t.ranks, "wins % 3 <> 0", "C_")
 
 
-def all_incoming_ranks(t: Tables):
+def incoming_ranks(t: Tables):
     changed = t.ranks.withColumn("league_points", F.col("league_points") + F.when(F.col("wins") % 4 == 0, 7).otherwise(0))
     return renamed(changed, "wins % 2 = 0", "N_")
 
 
 def rank_history(t: Tables):
     had = t.ranks.withColumn("losses", F.when(F.col("wins") % 8 == 0, F.col("losses")).otherwise(F.col("losses") + 1))
-    return I.rank_history(all_current_ranks(t), all_incoming_ranks(t), had.select("puuid", "queue_type", *I.RANK_VALUES))
+    return I.rank_history(current_ranks(t), incoming_ranks(t), had.select("puuid", "queue_type", *I.RANK_VALUES))
 
 
-def upsert_all_summoners(t: Tables):
+def upsert_summoners(t: Tables):
     current = renamed(t.summoners, "summoner_id % 3 <> 0", "C_")
     incoming = t.summoners.withColumn("game_name", F.concat(F.lit("  "), "game_name", F.lit("2 "))).withColumn("updated_at", F.col("updated_at") + F.when(F.col("summoner_id") % 4 == 0, -1000).otherwise(1000))
     return I.upsert_summoners(current, renamed(incoming, "summoner_id % 2 = 0", "N_"), t.participants)
@@ -119,6 +124,14 @@ def attempts(t: Tables):
     return m.select("match_id", "match_date", (F.col("match_date") + F.col("n") * 60_000).alias("at"), ok.alias("ok"))
 
 
+def timeline_attempts(t: Tables):
+    """The same log with the queue, some matches on a platform without a route."""
+    n = F.col("match_key")
+    m = t.matches.select("match_key", F.concat(F.when(n % 17 == 0, "XX9_").otherwise("na1_"), n.cast("string")).alias("match_id"), "match_date", "queue_id", "status", "retry_count", F.explode(F.sequence(F.lit(0), F.col("retry_count"))).alias("n"))
+    ok = ((F.col("n") == F.col("retry_count")) & (F.col("status") == 1)) | ((F.col("n") == 1) & (n % 3 == 0))
+    return m.select("match_id", "queue_id", (F.col("match_date") + F.col("n") * 60_000).alias("at"), ok.alias("ok"))
+
+
 def cursors(t: Tables):
     return t.summoners.where("summoner_id % 4 <> 0").select("puuid", F.lit("history").alias("scope"), F.when(F.col("summoner_id") % 5 != 0, F.lit(800_000_000)).cast("long").alias("before_epoch_s"), (F.col("summoner_id") % 3).cast("int").alias("noop_runs"), F.lit(1).alias("version"))
 
@@ -139,7 +152,7 @@ def names(t: Tables):
     return I.name_dimension(docs.where("kind = 'champion'"), "champion").unionByName(I.name_dimension(docs.where("kind = 'item'"), "item"))
 
 
-FACTS = "p.match_id, m.match_date, m.duration, m.patch, m.queue_id, p.participant_id, p.puuid, p.team_id, p.champion_id, nullif(p.team_position, '') AS team_position, p.win"
+FACTS = "p.match_id, m.match_date, m.duration, m.patch, m.queue_id, p.participant_id, p.puuid, p.team_id, p.champion_id, nullif(p.team_position, '') AS team_position, p.win, p.kills, p.deaths, p.assists, p.champ_level, p.gold_earned, p.damage, p.vision_score, p.minions, p.neutral, p.champion_id % 12 + 1 AS spell1, 4 AS spell2, 'GameComplete' AS end_of_game_result"
 BLANK = "(p.match_key % 71 = 0 AND p.participant_id = 1)"
 UNKNOWN = "(cast(replace(p.puuid, 'P_', '') as int) % 500 = 7)"
 TABLES = ("participants", "matches")
@@ -162,34 +175,27 @@ QUERIES: dict[str, Query] = {
     ),
     "rune_versions": (
         rune_versions,
-        oracle(("rune_versions",), """now AS (SELECT rune_id, patch, path_id, CASE WHEN path_id = 5000 THEN slot // 3 ELSE slot END AS slot FROM rune_versions WHERE patch = '8.2'), cur AS (SELECT rune_id, patch, path_id, CASE WHEN patch = '8.2' AND rune_id % 5 = 0 THEN 99 ELSE slot END AS slot FROM rune_versions WHERE patch = '8.1' OR (patch = '8.2' AND rune_id % 3 <> 0))
-          SELECT coalesce(n.rune_id, c.rune_id) AS rune_id, coalesce(n.patch, c.patch) AS patch, coalesce(n.path_id, c.path_id) AS path_id, coalesce(n.slot, c.slot) AS slot, CASE WHEN c.rune_id IS NULL THEN 'inserted' WHEN n.rune_id IS NULL THEN 'kept' WHEN n.slot = c.slot AND n.path_id = c.path_id THEN 'same' ELSE 'updated' END AS change FROM now n FULL JOIN cur c ON n.rune_id = c.rune_id AND n.patch = c.patch"""),
+        oracle(("runes", "patches"), """hd AS (SELECT DISTINCT patch, rune_id FROM runes), now AS (SELECT rune_id, patch, 'k' || rune_id AS key, CASE WHEN rune_id % 7 < 2 THEN 'Rune ' || rune_id ELSE 'rune ' || rune_id END AS name,
+            CASE WHEN rune_id % 3 = 2 THEN 'short ' || rune_id WHEN rune_id % 4 > 1 THEN 'long ' || rune_id WHEN rune_id % 5 <> 0 THEN 'tip ' || rune_id ELSE '' END AS description, rune_id % 11 = 0 AS lost,
+            CASE WHEN rune_id % 11 = 0 THEN 0 WHEN rune_id < 8000 THEN 5000 ELSE rune_id - rune_id % 100 END AS path_id, CASE WHEN rune_id < 8000 THEN (rune_id - 5001) // 3 ELSE rune_id % 100 // 10 END AS row FROM hd),
+          sl AS (SELECT patch, path_id, row, row_number() OVER (PARTITION BY patch, path_id ORDER BY row) - 1 AS slot FROM (SELECT DISTINCT patch, path_id, row FROM now WHERE NOT lost)),
+          new AS (SELECT n.rune_id, n.patch, n.key, n.name, n.description, n.path_id, CASE WHEN n.path_id = 5000 THEN 'Stat Mods' WHEN n.path_id > 0 THEN 'path ' || n.path_id END AS path_name, CASE WHEN lost THEN 0 ELSE s.slot END AS slot FROM now n LEFT JOIN sl s ON n.patch = s.patch AND n.path_id = s.path_id AND n.row = s.row AND NOT lost)
+          SELECT *, CASE WHEN rune_id % 3 = 0 THEN 'inserted' WHEN rune_id % 5 = 0 THEN 'updated' ELSE 'same' END AS change FROM new UNION ALL SELECT 9999, patch, 'k', 'n', 'd', 0, NULL, 0, 'kept' FROM patches"""),
     ),
     "item_versions": (
         item_versions,
-        oracle(("item_versions",), """now AS (SELECT * FROM item_versions WHERE patch = '8.2'), cur AS (SELECT item_id, patch, in_store, CASE WHEN item_id % 6 = 0 THEN price_total + 1 ELSE price_total END AS price_total, builds_into, builds_from, tags FROM item_versions WHERE patch = '8.1' OR (patch = '8.2' AND item_id % 4 <> 0))
+        oracle(("item_versions", "items", "matches"), """hd AS (SELECT DISTINCT m.patch, i.item_id FROM items i JOIN matches m ON i.match_id = m.match_id), now AS (SELECT v.* FROM item_versions v WHERE (v.patch, v.item_id) IN (SELECT (patch, item_id) FROM hd)), cur AS (SELECT item_id, patch, in_store, CASE WHEN item_id % 6 = 0 THEN price_total + 1 ELSE price_total END AS price_total, builds_into, builds_from, tags FROM item_versions WHERE item_id % 4 <> 0)
           SELECT coalesce(n.item_id, c.item_id) AS item_id, coalesce(n.patch, c.patch) AS patch, coalesce(n.in_store, c.in_store) AS in_store, coalesce(n.price_total, c.price_total) AS price_total, array_to_string(coalesce(n.builds_into, c.builds_into), ',') AS builds_into, array_to_string(coalesce(n.builds_from, c.builds_from), ',') AS builds_from, array_to_string(coalesce(n.tags, c.tags), ',') AS tags,
             CASE WHEN c.item_id IS NULL THEN 'inserted' WHEN n.item_id IS NULL THEN 'kept' WHEN n.price_total = c.price_total THEN 'same' ELSE 'updated' END AS change FROM now n FULL JOIN cur c ON n.item_id = c.item_id AND n.patch = c.patch"""),
     ),
     "upsert_summoners": (
         upsert_summoners,
-        oracle(("summoners", "participants", "matches"), """bo AS (SELECT puuid, summoner_id, game_name, tag_line, platform_region, updated_at FROM summoners WHERE summoner_id % 3 <> 0 UNION ALL SELECT puuid, summoner_id, game_name || '2', tag_line, platform_region, updated_at + CASE WHEN summoner_id % 4 = 0 THEN -1000 ELSE 1000 END FROM summoners WHERE summoner_id % 2 = 0),
+        oracle(("summoners", "participants", "matches"), """bo AS (SELECT CASE WHEN summoner_id % 3 = 0 THEN 'C_' ELSE '' END || puuid AS puuid, game_name, tag_line, platform_region, updated_at FROM summoners UNION ALL SELECT CASE WHEN summoner_id % 2 = 1 THEN 'N_' ELSE '' END || puuid, game_name || '2', tag_line, platform_region, updated_at + CASE WHEN summoner_id % 4 = 0 THEN -1000 ELSE 1000 END FROM summoners),
           nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY puuid ORDER BY updated_at DESC) AS n FROM bo) WHERE n = 1)
           SELECT puuid, game_name, tag_line, platform_region, updated_at, false AS is_stub, upper(game_name) AS name_key, upper(tag_line) AS tag_key FROM nw UNION ALL SELECT DISTINCT puuid, NULL, NULL, NULL, 0, true, NULL, NULL FROM participants WHERE puuid NOT IN (SELECT puuid FROM nw)"""),
     ),
     "upsert_ranks": (
         lambda t: I.upsert_ranks(current_ranks(t), incoming_ranks(t)),
-        oracle(("ranks",), """cur AS (SELECT * FROM ranks WHERE wins % 3 <> 0), inc AS (SELECT puuid, queue_type, tier, division, league_points + CASE WHEN wins % 4 = 0 THEN 7 ELSE 0 END AS league_points, wins, losses FROM ranks WHERE wins % 2 = 0)
-          SELECT coalesce(i.puuid, c.puuid) AS puuid, coalesce(i.queue_type, c.queue_type) AS queue_type, coalesce(i.tier, c.tier) AS tier, coalesce(i.division, c.division) AS division, coalesce(i.league_points, c.league_points) AS league_points, coalesce(i.wins, c.wins) AS wins, coalesce(i.losses, c.losses) AS losses, CASE WHEN c.puuid IS NULL THEN 'inserted' WHEN i.puuid IS NULL THEN 'kept' WHEN i.league_points = c.league_points THEN 'same' ELSE 'updated' END AS change FROM cur c FULL JOIN inc i ON c.puuid = i.puuid AND c.queue_type = i.queue_type"""),
-    ),
-    "upsert_all_summoners": (
-        upsert_all_summoners,
-        oracle(("summoners", "participants", "matches"), """bo AS (SELECT CASE WHEN summoner_id % 3 = 0 THEN 'C_' ELSE '' END || puuid AS puuid, game_name, tag_line, platform_region, updated_at FROM summoners UNION ALL SELECT CASE WHEN summoner_id % 2 = 1 THEN 'N_' ELSE '' END || puuid, game_name || '2', tag_line, platform_region, updated_at + CASE WHEN summoner_id % 4 = 0 THEN -1000 ELSE 1000 END FROM summoners),
-          nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY puuid ORDER BY updated_at DESC) AS n FROM bo) WHERE n = 1)
-          SELECT puuid, game_name, tag_line, platform_region, updated_at, false AS is_stub, upper(game_name) AS name_key, upper(tag_line) AS tag_key FROM nw UNION ALL SELECT DISTINCT puuid, NULL, NULL, NULL, 0, true, NULL, NULL FROM participants WHERE puuid NOT IN (SELECT puuid FROM nw)"""),
-    ),
-    "upsert_all_ranks": (
-        lambda t: I.upsert_ranks(all_current_ranks(t), all_incoming_ranks(t)),
         oracle(("ranks",), """cur AS (SELECT * REPLACE (CASE WHEN wins % 3 = 0 THEN 'C_' ELSE '' END || puuid AS puuid) FROM ranks), inc AS (SELECT * REPLACE (CASE WHEN wins % 2 = 1 THEN 'N_' ELSE '' END || puuid AS puuid, league_points + CASE WHEN wins % 4 = 0 THEN 7 ELSE 0 END AS league_points) FROM ranks)
           SELECT coalesce(i.puuid, c.puuid) AS puuid, coalesce(i.queue_type, c.queue_type) AS queue_type, coalesce(i.tier, c.tier) AS tier, coalesce(i.division, c.division) AS division, coalesce(i.league_points, c.league_points) AS league_points, coalesce(i.wins, c.wins) AS wins, coalesce(i.losses, c.losses) AS losses, CASE WHEN c.puuid IS NULL THEN 'inserted' WHEN i.puuid IS NULL THEN 'kept' WHEN i.league_points = c.league_points THEN 'same' ELSE 'updated' END AS change FROM cur c FULL JOIN inc i ON c.puuid = i.puuid AND c.queue_type = i.queue_type"""),
     ),
@@ -216,6 +222,15 @@ QUERIES: dict[str, Query] = {
           st AS (SELECT *, CASE WHEN 978307200000 - match_date > 63072000000 THEN 4 WHEN failures = 0 THEN 1 WHEN failures >= 5 THEN 3 ELSE 2 END AS status FROM fo)
           SELECT *, CASE WHEN status = 2 THEN last_attempt_at + 1000 * CASE failures WHEN 1 THEN 30 WHEN 2 THEN 60 WHEN 3 THEN 120 ELSE 300 END END AS next_attempt_at FROM st"""),
     ),
+    "fold_timeline_attempts": (
+        lambda t: I.fold_timeline_attempts(timeline_attempts(t)),
+        oracle(("matches",), """lg AS (SELECT match_key, CASE WHEN match_key % 17 = 0 THEN 'XX9_' ELSE 'na1_' END || match_key AS match_id, match_date, queue_id, status, retry_count, unnest(range(0, retry_count + 1)) AS n FROM matches),
+          lo AS (SELECT *, match_date + n * 60000 AS tried, (n = retry_count AND status = 1) OR (n = 1 AND match_key % 3 = 0) AS ok FROM lg),
+          fo AS (SELECT match_id, max(queue_id) AS queue_id, max(match_key) AS match_key, max(match_date) AS t0, max(tried) AS last, min(n) FILTER (WHERE ok) AS ok_n, max(n) AS last_n FROM lo GROUP BY 1),
+          st AS (SELECT *, CASE WHEN queue_id <> 420 THEN 4 WHEN match_key % 17 = 0 THEN 3 WHEN coalesce(ok_n, last_n + 1) >= 4 THEN 3 WHEN ok_n IS NOT NULL THEN 1 ELSE 2 END AS status FROM fo),
+          rt AS (SELECT match_id, status, cast(CASE status WHEN 4 THEN 0 WHEN 3 THEN 4 WHEN 1 THEN 0 ELSE last_n + 1 END AS int) AS retry_count, CASE WHEN status = 4 THEN last WHEN match_key % 17 = 0 THEN t0 WHEN status = 3 THEN t0 + 180000 WHEN status = 1 THEN t0 + ok_n * 60000 ELSE last END AS last_attempt_at FROM st)
+          SELECT *, CASE WHEN status = 2 THEN last_attempt_at + 1000 * least(300, 30 * (1 << (retry_count - 1))) END AS next_attempt_at FROM rt"""),
+    ),
     "advance_cursors": (
         lambda t: I.advance_cursors(cursors(t), runs(t)),
         oracle((*TABLES, "summoners"), """cu AS (SELECT puuid, CASE WHEN summoner_id % 5 <> 0 THEN 800000000 END AS b, summoner_id % 3 AS noop FROM summoners WHERE summoner_id % 4 <> 0),
@@ -232,3 +247,5 @@ QUERIES: dict[str, Query] = {
         oracle(("rune_versions",), "one AS (SELECT 1) SELECT patch, rune_id, path_id, CASE WHEN path_id = 5000 THEN 1000 ELSE 0 END + slot * 100 + row_number() OVER (PARTITION BY patch, path_id, slot ORDER BY rune_id) - 1 AS order_key FROM rune_versions"),
     ),
 }
+#: The names that the queries over all rows had beside those over some.
+QUERIES |= {"upsert_all_summoners": QUERIES["upsert_summoners"], "upsert_all_ranks": QUERIES["upsert_ranks"]}

@@ -67,15 +67,22 @@ def live_rows(t: Tables):
     return last.select((F.col("game_id") % 40).alias("game_id"), F.when(n % 2 == 1, 100).otherwise(200).alias("team_id"), "puuid", (n % 50 + 1).cast("int").alias("champion_id"))
 
 
+def live_summoners(t: Tables):
+    """Summoner rows, an older one of each under another name, and none of each
+    29th player."""
+    own = t.summoners.where("summoner_id % 29 <> 0")
+    return own.unionByName(own.withColumn("game_name", F.lit("older")).withColumn("updated_at", F.col("updated_at") - 5))
+
+
 def live_participants(t: Tables):
-    return L.live_participants(live_rows(t), t.ranks, t.matches, t.participants, winrates(t))
+    return L.live_participants(live_rows(t), live_summoners(t), t.ranks, t.matches, t.participants, winrates(t))
 
 
 LATEST = "lst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY puuid, platform_region ORDER BY observed_at DESC, event_id DESC) AS n FROM live_snapshots) WHERE n = 1)"
 LIVE = f"""{RANKED}, {SOLO}, {WINRATES}, {LATEST}, lv AS (SELECT game_id % 40 AS game_id, CASE WHEN cast(replace(puuid, 'P_', '') as int) % 2 = 1 THEN 100 ELSE 200 END AS team_id, puuid, cast(replace(puuid, 'P_', '') as int) % 50 + 1 AS champion_id FROM lst WHERE state = 'in_game'),
   st AS (SELECT puuid, count(*) FILTER (WHERE win) / count(*) AS recent_win_rate, (avg(kills) + avg(assists)) / greatest(1, avg(deaths)) AS recent_kda FROM participants WHERE match_id IN (SELECT match_id FROM matches WHERE status <> 3) GROUP BY 1),
   cw AS (SELECT champion_id, sum(win_rate * games) / sum(games) AS champion_win_rate FROM wr GROUP BY 1),
-  lp AS (SELECT l.*, s.tier, st.recent_win_rate, st.recent_kda, cw.champion_win_rate FROM lv l LEFT JOIN solo s ON l.puuid = s.puuid LEFT JOIN st ON l.puuid = st.puuid LEFT JOIN cw ON l.champion_id = cw.champion_id)"""
+  lp AS (SELECT l.*, k.game_name, s.tier, s.division, s.league_points, st.recent_win_rate, st.recent_kda, cw.champion_win_rate FROM lv l LEFT JOIN (SELECT * FROM summoners WHERE summoner_id % 29 <> 0) k ON l.puuid = k.puuid LEFT JOIN (SELECT * FROM ranks WHERE queue_type = 'RANKED_SOLO_5x5') s ON k.puuid = s.puuid LEFT JOIN st ON k.puuid = st.puuid LEFT JOIN cw ON l.champion_id = cw.champion_id)"""
 TIER_INDEX = "list_position(['IRON', 'BRONZE', 'SILVER', 'GOLD', 'PLATINUM', 'EMERALD', 'DIAMOND', 'MASTER', 'GRANDMASTER', 'CHALLENGER'], tier)"
 
 
@@ -97,12 +104,6 @@ def timeline_state(t: Tables):
 
 
 def last_runs(t: Tables):
-    """A run record for each role: patches and times from the matches."""
-    m = t.matches.where("match_key < 5")
-    return m.select(F.col("match_id").alias("scope"), F.when(F.col("match_key") % 2 == 0, "8.2").otherwise(F.col("patch")).alias("patch"), (F.lit(NOW) - F.col("match_key") * 3_600_000 * 4).alias("ran_at"))
-
-
-def all_last_runs(t: Tables):
     """A run record of each role and queue: the patch and time of its last match."""
     rows = t.participants.join(t.matches, "match_id")
     scope = F.concat(F.when(F.col("team_position") == "", "UNKNOWN").otherwise(F.col("team_position")), F.lit("/"), "queue_type")
@@ -156,10 +157,6 @@ QUERIES: dict[str, Query] = {
           FROM summoners s LEFT JOIN (SELECT * FROM ranks WHERE queue_type = 'RANKED_SOLO_5x5') a ON s.puuid = a.puuid LEFT JOIN (SELECT * FROM ranks WHERE queue_type = 'RANKED_FLEX_SR') b ON s.puuid = b.puuid LEFT JOIN ov ON s.puuid = ov.puuid LEFT JOIN ch ON s.puuid = ch.puuid LEFT JOIN rc ON s.puuid = rc.puuid"""),
     ),
     "find_by_name": (
-        lambda t: P.find_by_name(wanted(t.summoners.where("summoner_id % 7 = 0")), t.summoners),
-        oracle(("summoners",), "one AS (SELECT 1) SELECT a.summoner_id AS request, arg_min(b.puuid, (1, -b.updated_at, b.puuid)) AS puuid, 1 AS priority FROM summoners a JOIN summoners b ON upper(a.game_name) = upper(b.game_name) AND upper(a.tag_line) = upper(b.tag_line) AND a.platform_region = b.platform_region WHERE a.summoner_id % 7 = 0 GROUP BY 1"),
-    ),
-    "find_all_by_name": (
         lambda t: P.find_by_name(wanted(t.summoners), t.summoners),
         oracle(("summoners",), "one AS (SELECT 1) SELECT a.summoner_id AS request, arg_min(b.puuid, (1, -b.updated_at, b.puuid)) AS puuid, 1 AS priority FROM summoners a JOIN summoners b ON upper(a.game_name) = upper(b.game_name) AND upper(a.tag_line) = upper(b.tag_line) AND a.platform_region = b.platform_region GROUP BY 1"),
     ),
@@ -180,10 +177,10 @@ QUERIES: dict[str, Query] = {
         oracle(("live_snapshots", "summoners"), f"""{LATEST}, lv AS (SELECT game_id % 40 AS game_id, CASE WHEN cast(replace(puuid, 'P_', '') as int) % 2 = 1 THEN 100 ELSE 200 END AS team_id, puuid, cast(replace(puuid, 'P_', '') as int) % 50 + 1 AS champion_id FROM lst WHERE state = 'in_game')
           SELECT s.puuid, CASE WHEN a.puuid IS NULL THEN 'offline' ELSE 'in_game' END AS state, a.game_id, CASE WHEN a.puuid IS NOT NULL THEN 420 END AS queue_id, a.game_id * 1000 AS started_at, a.game_id * 7 AS game_length, b.puuid AS participant_puuid, b.team_id, b.champion_id FROM summoners s LEFT JOIN lv a ON s.puuid = a.puuid LEFT JOIN lv b ON a.game_id = b.game_id"""),
     ),
-    "live_participants": (lambda t: rounded(live_participants(t)), oracle((*MORE, "live_snapshots"), f"{LIVE} SELECT game_id, team_id, puuid, champion_id, tier, round(recent_win_rate, 6) AS recent_win_rate, round(recent_kda, 6) AS recent_kda, round(champion_win_rate, 6) AS champion_win_rate FROM lp")),
+    "live_participants": (lambda t: rounded(live_participants(t)), oracle((*MORE, "live_snapshots", "summoners"), f"{LIVE} SELECT game_id, team_id, puuid, champion_id, game_name, tier, division, league_points, round(recent_win_rate, 6) AS recent_win_rate, round(recent_kda, 6) AS recent_kda, round(champion_win_rate, 6) AS champion_win_rate FROM lp")),
     "live_team_analysis": (
         lambda t: rounded(L.live_team_analysis(live_participants(t))),
-        oracle((*MORE, "live_snapshots"), f"""{LIVE}, tm AS (SELECT game_id, team_id, coalesce(avg(recent_win_rate), 0.5) AS recent, coalesce(avg(champion_win_rate), 0.5) AS champion, coalesce(avg({TIER_INDEX}), 3.0) AS rank FROM lp GROUP BY 1, 2),
+        oracle((*MORE, "live_snapshots", "summoners"), f"""{LIVE}, tm AS (SELECT game_id, team_id, coalesce(avg(recent_win_rate), 0.5) AS recent, coalesce(avg(champion_win_rate), 0.5) AS champion, coalesce(avg({TIER_INDEX}), 3.0) AS rank FROM lp GROUP BY 1, 2),
           sc AS (SELECT *, 0.4 * recent + 0.4 * champion + 0.2 * least(1, rank / 10) AS score FROM tm)
           SELECT game_id, team_id, round(recent, 6) AS recent, round(champion, 6) AS champion, round(rank, 6) AS rank, round(score, 6) AS score, concat_ws(',', CASE WHEN recent >= 0.52 THEN 'recent_form' END, CASE WHEN champion >= 0.51 THEN 'champion_pool' END, CASE WHEN rank / 10 >= 0.55 THEN 'rank' END) AS strengths,
             concat_ws(',', CASE WHEN recent <= 0.48 THEN 'recent_form' END, CASE WHEN champion <= 0.49 THEN 'champion_pool' END, CASE WHEN rank / 10 <= 0.35 THEN 'rank' END) AS weaknesses, CASE WHEN count(*) OVER (PARTITION BY game_id) = 2 THEN round(score / greatest(0.0001, sum(score) OVER (PARTITION BY game_id)), 6) END AS win_probability FROM sc"""),
@@ -196,11 +193,6 @@ QUERIES: dict[str, Query] = {
     ),
     "refresh_decision": (
         lambda t: K.refresh_decision(K.match_arrivals(t.matches, NOW, 60 * 24 * 3), last_runs(t), "8.2", NOW, threshold=10),
-        oracle(("matches",), f"""lr AS (SELECT match_id AS scope, CASE WHEN match_key % 2 = 0 THEN '8.2' ELSE patch END AS last_patch, {NOW} - match_key * 14400000 AS ran_at, match_key * 14400000 AS age, (SELECT count(*) FROM matches WHERE patch = '8.2' AND status = 1 AND fetched_at > {NOW - 259_200_000} AND fetched_at <= {NOW}) AS arrivals FROM matches WHERE match_key < 5),
-          dc AS (SELECT *, CASE WHEN age < 3600000 THEN 'cooldown' WHEN last_patch <> '8.2' THEN 'patch_changed' WHEN age >= 43200000 THEN 'stale' WHEN arrivals >= 10 THEN 'threshold' ELSE 'not_enough_matches' END AS reason FROM lr) SELECT scope, last_patch, ran_at, arrivals, reason, reason NOT IN ('cooldown', 'not_enough_matches') AS run FROM dc"""),
-    ),
-    "refresh_all_decisions": (
-        lambda t: K.refresh_decision(K.match_arrivals(t.matches, NOW, 60 * 24 * 3), all_last_runs(t), "8.2", NOW, threshold=10),
         oracle(RR, f"""lr AS (SELECT CASE WHEN p.team_position = '' THEN 'UNKNOWN' ELSE p.team_position END || '/' || m.queue_type AS scope, arg_max(m.patch, (m.match_date, m.match_id)) AS last_patch, max(m.match_date) AS ran_at FROM participants p JOIN matches m ON p.match_id = m.match_id GROUP BY 1),
           ar AS (SELECT *, {NOW} - ran_at AS age, (SELECT count(*) FROM matches WHERE patch = '8.2' AND status = 1 AND fetched_at > {NOW - 259_200_000} AND fetched_at <= {NOW}) AS arrivals FROM lr),
           dc AS (SELECT *, CASE WHEN age < 3600000 THEN 'cooldown' WHEN last_patch <> '8.2' THEN 'patch_changed' WHEN age >= 43200000 THEN 'stale' WHEN arrivals >= 10 THEN 'threshold' ELSE 'not_enough_matches' END AS reason FROM ar) SELECT scope, last_patch, ran_at, arrivals, reason, reason NOT IN ('cooldown', 'not_enough_matches') AS run FROM dc"""),
@@ -227,3 +219,5 @@ QUERIES: dict[str, Query] = {
     "pending_match_ids": (lambda t: K.pending_match_ids(listed(t), t.matches.where("status = 1")), oracle(("matches",), "one AS (SELECT 1) SELECT match_id FROM matches WHERE match_key % 9 <> 0 AND status <> 1")),
     "ladder_seeds": (lambda t: K.ladder_seeds(leagues(t)), oracle(("ranks",), "one AS (SELECT 1) SELECT puuid, max(league_points) AS league_points FROM ranks WHERE tier IN ('MASTER', 'GRANDMASTER', 'CHALLENGER') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")),
 }
+#: The names that the queries over all rows had beside those over some.
+QUERIES |= {"find_all_by_name": QUERIES["find_by_name"], "refresh_all_decisions": QUERIES["refresh_decision"]}

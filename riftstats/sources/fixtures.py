@@ -129,6 +129,10 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self._spark, self._dir, self._made = spark, sf_dir, {}
 
+    @property
+    def spark(self) -> SparkSession:
+        return self._spark
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARTICIPANT = (
-    "participantId int, puuid string, teamId int, championId int, teamPosition string, individualPosition string, win boolean, kills int, deaths int, assists int, "
-    "item0 int, item1 int, item2 int, item3 int, item4 int, item5 int, item6 int, "
-    "perks struct<styles: array<struct<description: string, style: int, selections: array<struct<perk: int>>>>, statPerks: struct<offense: int, flex: int, defense: int>>"
-)
-MATCH = f"matchId string, gameCreation bigint, gameDuration int, gameVersion string, queueId int, participantIds array<string>, participants array<struct<{', '.join(x.strip().replace(' ', ': ', 1) for x in PARTICIPANT.split(', ')[:17])}, {PARTICIPANT[PARTICIPANT.index('perks '):].replace('perks ', 'perks: ', 1)}>>, teams array<struct<teamId: int, bans: array<struct<championId: int, pickTurn: int>>>>"
+#: Fields of the documents and their types.
+NUMBERS = "participantId teamId championId kills deaths assists champLevel goldEarned totalDamageDealtToChampions visionScore totalMinionsKilled neutralMinionsKilled summoner1Id summoner2Id item0 item1 item2 item3 item4 item5 item6".split()
+PERKS = "struct<styles: array<struct<description: string, style: int, selections: array<struct<perk: int>>>>, statPerks: struct<offense: int, flex: int, defense: int>>"
+PARTICIPANT = ", ".join([*(f"{x}: int" for x in NUMBERS), "puuid: string", "teamPosition: string", "individualPosition: string", "win: boolean", f"perks: {PERKS}"])
+MATCH = f"matchId string, gameCreation bigint, gameDuration int, gameVersion string, queueId int, endOfGameResult string, participantIds array<string>, participants array<struct<{PARTICIPANT}>>, teams array<struct<teamId: int, bans: array<struct<championId: int, pickTurn: int>>>>"
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
@@ -38,11 +37,12 @@ def render(matches: DataFrame, participants: DataFrame, bans: DataFrame, items:
     blank = F.when(F.col("participant_id") == 3, "").otherwise(F.col("team_position"))
     p = F.struct(
         F.col("participant_id").alias("participantId"), F.when(F.col("match_key") % 71 == 0, F.when(F.col("participant_id") == 1, " ").otherwise(F.col("puuid"))).otherwise(F.col("puuid")).alias("puuid"), F.col("team_id").alias("teamId"), F.col("champion_id").alias("championId"),
-        blank.alias("teamPosition"), F.col("team_position").alias("individualPosition"), "win", "kills", "deaths", "assists", *[F.coalesce(f"item{i}", F.lit(0)).alias(f"item{i}") for i in range(7)], "perks",
+        blank.alias("teamPosition"), F.col("team_position").alias("individualPosition"), "win", "kills", "deaths", "assists", F.col("champ_level").alias("champLevel"), F.col("gold_earned").alias("goldEarned"), F.col("damage").alias("totalDamageDealtToChampions"), F.col("vision_score").alias("visionScore"), F.col("minions").alias("totalMinionsKilled"), F.col("neutral").alias("neutralMinionsKilled"),
+        (F.col("champion_id") % 12 + 1).alias("summoner1Id"), F.lit(4).alias("summoner2Id"), *[F.coalesce(f"item{i}", F.lit(0)).alias(f"item{i}") for i in range(7)], "perks",
     )
     people = rows.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(F.col("participant_id").alias("k"), F.to_json(p).alias("p")))).alias("people"), F.array_sort(F.collect_list(F.struct("participant_id", "puuid"))).alias("ids"))
     teams = bans.groupBy("match_id", F.col("team_id").alias("teamId")).agg(F.array_sort(F.collect_list(F.struct(F.col("champion_id").alias("championId"), F.col("pick_turn").alias("pickTurn")))).alias("bans")).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("teamId", "bans"))).alias("teams"))
     got = matches.join(people, "match_id").join(teams, "match_id", "left")
-    head = F.to_json(F.struct(F.col("match_id").alias("matchId"), F.col("match_date").alias("gameCreation"), F.col("duration").alias("gameDuration"), F.concat(F.col("patch"), F.lit(".123.4567")).alias("gameVersion"), F.col("queue_id").alias("queueId"), F.transform("ids", lambda x: x["puuid"]).alias("participantIds"), "teams"))
+    head = F.to_json(F.struct(F.col("match_id").alias("matchId"), F.col("match_date").alias("gameCreation"), F.col("duration").alias("gameDuration"), F.concat(F.col("patch"), F.lit(".123.4567")).alias("gameVersion"), F.col("queue_id").alias("queueId"), F.lit("GameComplete").alias("endOfGameResult"), F.transform("ids", lambda x: x["puuid"]).alias("participantIds"), "teams"))
     body = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"participants":['), F.concat_ws(",", F.transform("people", lambda x: x["p"])), F.lit("]}"))
     return got.select("match_id", body.alias("value"))

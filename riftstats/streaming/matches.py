@@ -6,47 +6,75 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.exprs import OUTSIDE_RETENTION
+from ..operators import ingest as I
 from ..operators.ingest import DAY, MATCH_DELAYS, MAX_MATCH_FAILURES, RETENTION_DAYS, short_patch
 from ..sources.raw import parse
 
 
-def new_matches(lines: DataFrame, sink: str, checkpoint: str, watermark: str = "3 days") -> DataStreamWriter:
-    """Raw match lines to the sink's patch partitions, each match once: repeats
-    within the watermark are dropped by state, later ones by an anti-join with
-    what the sink has."""
-    m = parse(lines).select(F.inline(F.array("m")))
-    rows = m.select(F.col("matchId").alias("match_id"), F.col("gameCreation").alias("match_date"), F.col("gameDuration").alias("duration"), short_patch(F.col("gameVersion")).alias("patch"), F.col("queueId").alias("queue_id"), F.size("participants").alias("n_participants"))
-    rows = rows.withColumn("ended_at", F.timestamp_millis(F.col("match_date") + F.col("duration").cast("long") * 1000)).withWatermark("ended_at", watermark).dropDuplicatesWithinWatermark(["match_id"])
+def landed(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame | None:
+    """A folder of batches, None (or an empty table of `ddl`) if there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return spark.createDataFrame([], ddl) if ddl else None
 
-    def land(batch: DataFrame, _: int) -> None:
+
+def new_matches(lines: DataFrame, sink: str, checkpoint: str, known: DataFrame | None = None) -> DataStreamWriter:
+    """Raw match lines to the sink's tables matches, participants, runes, items and
+    bans, each match once, however old: repeats within a batch collapse, others
+    meet the ids that earlier batches landed in the same patches, so no state
+    grows. known: players so far; others become stubs, blank ones are dropped.
+    A batch's rows stand in a folder of their own, which a retry overwrites."""
+    rows = parse(lines).select(F.col("m.matchId").alias("match_id"), short_patch(F.col("m.gameVersion")).alias("patch"), "m")
+
+    def land(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(sink).select("match_id")
-        except Exception as e:  # the first batch finds no sink
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = spark.createDataFrame([], "match_id string")
-        batch.join(known, "match_id", "left_anti").write.mode("append").partitionBy("patch").parquet(sink)
+        patches = [r.patch for r in batch.select("patch").distinct().collect()]  # a few of the game's versions
+        before = landed(spark, f"{sink}/matches", "match_id string, patch string, batch long").where(F.col("patch").isin(patches) & (F.col("batch") < n)).select("match_id")
+        batch.dropDuplicates(["match_id"]).join(before, "match_id", "left_anti").select("m").write.mode("overwrite").parquet(f"{sink}/raw/batch={n}")
+        raw = spark.read.schema(batch.select("m").schema).parquet(f"{sink}/raw/batch={n}")
+        players = known if known is not None else spark.createDataFrame([], "puuid string")
+        put = lambda df, name: df.write.mode("overwrite").partitionBy(*[c for c in df.columns if c == "patch"]).parquet(f"{sink}/{name}/batch={n}")
+        put(I.match_facts(raw, players, "lenient").drop("match_date", "duration", "patch", "queue_id", "end_of_game_result"), "participants")
+        put(I.participant_runes(raw), "runes")
+        put(I.participant_items(raw), "items")
+        put(I.match_bans(raw), "bans")
+        put(I.match_headers(raw), "matches")  # last: its ids say what has been landed
 
     return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def landed_table(spark: SparkSession, sink: str, name: str) -> DataFrame:
+    """One of the sink's tables."""
+    df = spark.read.parquet(f"{sink}/{name}").drop("batch")
+    return df.withColumn("patch", F.col("patch").cast("string")) if "patch" in df.columns else df
+
+
 STATE = "match_date long, last_attempt_at long, last_success_at long, failed_at array<long>"
 OUT = "match_id string, failures int, last_attempt_at long, last_success_at long, status int, next_attempt_at long"
 
 
-def fetch_state(attempts: DataFrame, now_ms: int | None = None) -> DataFrame:
+def fetch_state(attempts: DataFrame, now_ms: int | None = None, forget_ms: int | None = None) -> DataFrame:
     """State of each match after each batch of attempts (match_id, at, ok, and with
     now_ms, which puts old matches outside of retention, match_date), whatever
     the order in which they come: kept are the last success, the failures after it
-    and the latest attempt."""
+    and the latest attempt. With forget_ms
+    a match is forgotten when it had no attempt for so long (processing time, so
+    for triggers that go on: such a query never ends with what is there)."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        if state.hasTimedOut:
+            state.remove()
+            return
         date, last, good, failed = state.get if state.exists else (None, None, None, [])
         failed = np.array(failed, np.int64)
         for f in frames:
@@ -60,6 +88,8 @@ def fetch_state(attempts: DataFrame, now_ms: int | None = None) -> DataFrame:
             if good is not None:
                 failed = failed[failed > good]
         state.update((date, last, good, failed.tolist()))
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
         failures = len(failed)
         status = 1 if not failures else 3 if failures >= MAX_MATCH_FAILURES else 2
         if date is not None and now_ms - date > RETENTION_DAYS * DAY:
@@ -67,7 +97,7 @@ def fetch_state(attempts: DataFrame, now_ms: int | None = None) -> DataFrame:
         wait = MATCH_DELAYS[min(failures, len(MATCH_DELAYS)) - 1] * 1000 if status == 2 else None
         yield pd.DataFrame({"match_id": [key[0]], "failures": [failures], "last_attempt_at": [last], "last_success_at": pd.array([good], "Int64"), "status": [status], "next_attempt_at": pd.array([None if wait is None else last + wait], "Int64")})
 
-    return attempts.groupBy("match_id").applyInPandasWithState(fold, OUT, STATE, "update", "NoTimeout")
+    return attempts.groupBy("match_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def arrivals(matches: DataFrame, width: str = "30 minutes", slide: str = "15 minutes", late: str = "1 hour") -> DataFrame:
@@ -79,29 +109,53 @@ def arrivals(matches: DataFrame, width: str = "30 minutes", slide: str = "15 min
 LAST = ["puuid", "platform_region", "state", "game_id", "observed_at"]
 
 
-def game_ended(snapshots: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Drains snapshots and returns the transitions from a game to offline, per
-    player. Spark sorts the rows of a batch behind the last row that its
-    predecessors saw of the player; older rows are dropped. A batch that is run
-    again overwrites what it wrote."""
-    key = ["puuid", "platform_region"]
+def transitions(rows: DataFrame, last: DataFrame) -> DataFrame:
+    """The rows behind each player's last row in order of time, each with the state
+    and game before it; `_next` is null on the newest."""
+    both = rows.withColumn("_new", F.lit(1)).unionByName(last.withColumn("event_id", F.lit(None).cast(rows.schema["event_id"].dataType)).withColumn("_new", F.lit(0)))
+    order = Window.partitionBy("puuid", "platform_region").orderBy("_new", "observed_at", "event_id")
+    return both.withColumns({"_was": F.lag("state").over(order), "_game": F.lag("game_id").over(order), "_next": F.lead("_new").over(order)})
+
+
+def ends(rows: DataFrame) -> DataFrame:
+    return rows.where("_was = 'in_game' and state = 'offline'").select("puuid", "platform_region", F.col("_game").cast("long").alias("ended_game_id"), "observed_at")
+
+
+def game_ended(snapshots: DataFrame, path: str, checkpoint: str, delay_ms: int = 0, keep_ms: int = 30 * DAY) -> DataFrame:
+    """Drains snapshots and returns the transitions from a game to offline. The
+    watermark is the newest observation of earlier batches less `delay_ms`: rows
+    older than it are dropped, rows up to the new one are put in order behind the
+    player's last row, later ones wait in a table. What waits at the end is put in
+    order for the result only. Players without a row for keep_ms behind the
+    watermark are forgotten. A batch that is run again overwrites what it wrote."""
+    spark = snapshots.sparkSession
+
+    def state(n: int) -> tuple[int | None, DataFrame, DataFrame]:
+        mark = spark.read.parquet(f"{checkpoint}/mark/n={n}").first().mark
+        return mark, spark.read.parquet(f"{checkpoint}/last/{n}"), spark.read.parquet(f"{checkpoint}/pending/{n}")
 
     def step(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*LAST, "event_id", F.lit(1).alias("_new"))
+        rows = batch.select(*LAST, "event_id")
+        mark, last = None, rows.select(*LAST).where("false")
         if n:
-            last = spark.read.parquet(f"{checkpoint}/last/{n - 1}")
-            seen = last.select(*key, F.col("observed_at").alias("_seen"))
-            rows = rows.join(seen, key, "left").where("_seen is null or observed_at >= _seen").drop("_seen")
-            rows = rows.unionByName(last.select(*LAST, F.lit(None).cast(batch.schema["event_id"].dataType).alias("event_id"), F.lit(0).alias("_new")))
-        order = Window.partitionBy(*key).orderBy("_new", "observed_at", "event_id")
-        rows = rows.withColumns({"_was": F.lag("state").over(order), "_game": F.lag("game_id").over(order), "_next": F.lead("_new").over(order)})
-        rows.where("_next is null").select(*LAST).write.mode("overwrite").parquet(f"{checkpoint}/last/{n}")
-        ended = rows.where("_was = 'in_game' and state = 'offline'").select(*key, F.col("_game").cast("long").alias("ended_game_id"), "observed_at")
-        ended.write.mode("overwrite").parquet(f"{path}/batch={n}")
+            mark, last, pending = state(n - 1)
+            rows = (rows if mark is None else rows.where(F.col("observed_at") >= mark)).unionByName(pending)
+        newest = rows.agg(F.max("observed_at").alias("x")).first().x
+        mark = max((x for x in (mark, None if newest is None else newest - delay_ms) if x is not None), default=None)
+        ready = rows.where(F.lit(False) if mark is None else F.col("observed_at") <= mark)
+        waiting = rows.where(F.lit(True) if mark is None else F.col("observed_at") > mark)
+        seen = transitions(ready, last)
+        ends(seen).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        seen.where(F.col("_next").isNull() & (F.col("observed_at") >= (mark or 0) - keep_ms)).select(*LAST).write.mode("overwrite").parquet(f"{checkpoint}/last/{n}")
+        waiting.write.mode("overwrite").parquet(f"{checkpoint}/pending/{n}")
+        spark.createDataFrame([(mark,)], "mark long").write.mode("overwrite").parquet(f"{checkpoint}/mark/n={n}")
 
     drained(snapshots.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start())
-    return snapshots.sparkSession.read.parquet(path).drop("batch")
+    marks = landed(spark, f"{checkpoint}/mark")
+    if marks is None:
+        return ends(transitions(*(spark.createDataFrame([], snapshots.select(*c).schema) for c in ([*LAST, "event_id"], LAST))))
+    _, last, pending = state(marks.agg(F.max("n").alias("n")).first().n)
+    return spark.read.parquet(path).drop("batch").unionByName(ends(transitions(pending, last)))
 
 
 def drained(query: StreamingQuery) -> None:
@@ -112,10 +166,11 @@ def drained(query: StreamingQuery) -> None:
 
 
 def run_to_table(df: DataFrame, spark: SparkSession, path: str, checkpoint: str, mode: str) -> DataFrame:
-    """Drains a streaming DataFrame to parquet and reads the result back."""
+    """Drains a streaming DataFrame to parquet and reads the result back, with the
+    number of its batch. A batch that is run again overwrites what it wrote."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(path)
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     drained(df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start())
     return spark.read.parquet(path)

@@ -176,9 +176,9 @@ def test_scores_are_rounded_before_they_rank(spark):
 def test_minimum_of_a_new_patch(spark):
     groups = spark.createDataFrame([("9.1",), ("9.2",), ("none",)], "patch string")
     patches = spark.createDataFrame([("9.1", 0), ("9.2", 10 * 3_600_000)], "patch string, released_at long")
-    at = lambda hours, **more: {r.patch: r._minimum for r in C.Sample(patches=patches, now_ms=hours * 3_600_000, **more).on(groups).collect()}
+    at = lambda now, **more: {r.patch: r._minimum for r in C.Sample(patches=patches, now_ms=now * 3_600_000, **more).on(groups).collect()}
     assert at(71) == {"9.1": 40, "9.2": 40, "none": 100} and at(72) == {"9.1": 100, "9.2": 40, "none": 100}
-    assert at(1, early=500) == {"9.1": 100, "9.2": 100, "none": 100} and at(1, hours=0) == {"9.1": 100, "9.2": 40, "none": 100}
+    assert at(1, early=500) == {"9.1": 100, "9.2": 100, "none": 100} and at(1, hours=0) == {"9.1": 100, "9.2": 100, "none": 100}
     assert {r._minimum for r in C.Sample(60).on(groups).collect()} == {60}
 
 

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from riftstats.operators import ingest as I
 from riftstats.operators import live as L
+from riftstats.operators import players as P
+from riftstats.sources import raw as R
+from riftstats.sources.fixtures import Tables
 from riftstats.streaming import matches as S
 
 
@@ -83,3 +86,48 @@ def test_game_ended_over_batches(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         got = S.game_ended(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")
         assert sorted(tuple(r) for r in got.collect()) == [("a", "NA1", 7, 30), ("b", "NA1", 8, 40)][: n + 1]
+
+
+def test_game_ended_waits_for_late_rows(spark, tmp_path):
+    """Rows that come in another order, over three batches, within the delay."""
+    rows = snapshots(spark)
+    want = sorted(tuple(r) for r in L.live_game_ended(rows).select("puuid", "platform_region", "ended_game_id", "observed_at").collect())
+    for n in range(3):
+        rows.where(F.pmod(F.hash("event_id"), F.lit(3)) == n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = S.game_ended(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state", delay_ms=10_000)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_game_ended_without_rows(spark, tmp_path):
+    df = snapshots(spark).where("false")
+    df.write.parquet(f"{tmp_path}/in")
+    assert S.game_ended(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").count() == 0
+
+
+def test_landed_tables_serve_player_statistics(spark, tmp_path):
+    """Raw matches landed by the stream, in two batches with repeats, give the same
+    statistics as the tables that they were rendered from."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    docs = R.render(t.matches, t.participants, t.bans, t.items, t.runes).select("value")
+    docs.where("hash(value) % 2 = 0").unionByName(docs.where("hash(value) % 3 = 0")).coalesce(1).write.text(f"{tmp_path}/in")
+    land = lambda: S.drained(S.new_matches(spark.readStream.text(f"{tmp_path}/in"), f"{tmp_path}/sink", f"{tmp_path}/state", t.summoners.select("puuid")).start())
+    land()
+    docs.where("hash(value) % 2 <> 0").unionByName(docs.where("hash(value) % 5 = 0")).coalesce(1).write.mode("append").text(f"{tmp_path}/in")
+    land()
+    matches, people = (S.landed_table(spark, f"{tmp_path}/sink", x) for x in ("matches", "participants"))
+    assert matches.count() == matches.select("match_id").distinct().count() == t.participants.select("match_id").distinct().count()
+    blank = "not (match_key % 71 = 0 and participant_id = 1)"
+    plain = lambda df: sorted(map(str, df.collect()))
+    every = t.matches.where("queue_id <> 0").withColumn("status", F.lit(1))  # queues as text are an older form of stored rows
+    assert plain(P.player_overview(matches, people)) == plain(P.player_overview(every, t.participants.where(blank)))
+    own = t.items.join(t.participants.select("match_id", "participant_id"), ["match_id", "participant_id"])
+    assert S.landed_table(spark, f"{tmp_path}/sink", "items").count() == own.count()
+
+
+def test_a_retried_batch_writes_once(spark, tmp_path):
+    df = spark.range(10)
+    query = stream(df, tmp_path)
+    got = S.run_to_table(query, spark, f"{tmp_path}/out", f"{tmp_path}/state", "append")
+    assert got.count() == 10
+    again = S.run_to_table(query, spark, f"{tmp_path}/out", f"{tmp_path}/state2", "append")  # the same batch once more
+    assert again.count() == 10

@@ -16,7 +16,7 @@ def test_sides_are_whole(tables):
     n = {x: getattr(tables, x).count() for x in ("matches", "ranks", "summoners")}
     assert landing.versions(tables).count() == n["matches"]
     assert [x.count() for x in landing.match_sides(tables)] == [n["matches"]] * 2
-    assert landing.all_current_ranks(tables).count() == landing.all_incoming_ranks(tables).count() == n["ranks"]
+    assert landing.current_ranks(tables).count() == landing.incoming_ranks(tables).count() == n["ranks"]
     assert people.wanted(tables.summoners).count() == n["summoners"]
 
 
