@@ -3,33 +3,42 @@
 The test items are the indexed texts, the passages of every document the
 queries. A posting holds an item's BM25 weight for a term divided by the item's
 score against itself, so one threshold fits items of all lengths. Postings are
-cut into blocks of items with each block's largest weight; a passage's upper
-bounds per block add up, blocks below the threshold are skipped (for a whole
-batch of passages at once), and only the rest is scored exactly. Every item at
-or above the threshold is then verified: the five-word shingles of its question
-(first two thirds of its words) and of its answer (the rest) must both occur in
-the document around the passage.
-
-The index is built by Spark and sent out in shards of at most SHARD_WORDS
-postings, whatever the size of the benchmark; every passage meets every shard.
+cut into blocks of items with each block's largest weight. For each passage the
+terms are put in order of their largest weights; those whose weights together
+stay below the threshold can't make a hit, so only the blocks of the others, from
+the pivot on, are visited. A block is left as soon as its bounds, with what the
+skipped terms can add at most, stay below the threshold; then the skipped terms'
+own bounds for the block are added, and only what still reaches the threshold is
+scored exactly. Every item at or above the threshold is then verified: the
+five-word shingles of its question (first two thirds of its words) and of its
+answer (the rest) must both occur in the document around the passage.
+
+The index is built by Spark and sent out in shards of at most some SHARD_WORDS
+postings, whatever the size of the benchmark, one after another; every passage
+meets every shard. Passages are taken in lots of CELLS block bounds at most, so
+neither the benchmark nor a long document sets the memory of a task.
 
 Cases: null or empty texts and items give no rows; items of fewer than five
-words are verified by their whole word sequence; repeated documents give
-repeated rows, repeated items one row each; an empty table gives an empty
-result; a null doc_id is carried as null; other columns are not read.
+words are verified by their whole word sequence; items are known by id and words,
+so repeated items give one row each document, items of one id with different
+words a row each, and those without an id rows with a null item_id; repeated
+documents give repeated rows; documents of any length are searched whole, in
+passages; an empty table gives an empty result; a null doc_id is carried as null;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_batches
+from .base import cut, map_batches
 
 #: BM25 constants, share of an item's own score that a passage must reach, share
 #: of question and of answer shingles that must be found.
@@ -38,6 +47,9 @@ THRESHOLD, OVERLAP = 0.5, 0.5
 SHINGLE = 5
 #: Items in a block; postings in a shard, which bounds what is sent out.
 BLOCK_ITEMS, SHARD_WORDS = 32, 2_000_000
+#: Bounds of (passage, block) held at a time; cells of the table of entries by
+#: term and block that is held instead of searching for them.
+CELLS, TABLE_CELLS = 1 << 20, 1 << 23
 #: Least words in a passage; it is twice the longest item if that is more.
 PASSAGE = 128
 WORD = re.compile(r"\w+")
@@ -48,13 +60,14 @@ def words_of(text: str | None) -> list[str]:
 
 
 def tokenised(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id and its words, by the same rule as the passages."""
+    """key, item_id and words of every distinct item, by the same rule as the passages."""
 
     @F.pandas_udf("array<string>")
     def split(text):  # noqa: ANN001, ANN202
         return text.map(words_of)
 
-    return items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), split(text_col).alias("words")).where(F.size("words") > 0)
+    rows = items.select(F.col(id_col).cast("long").alias("id"), split(text_col).alias("words")).where(F.size("words") > 0)
+    return rows.select(F.xxhash64("id", "words").alias("item_id"), "id", "words").dropDuplicates(["item_id"])
 
 
 def postings(items: DataFrame) -> DataFrame:
@@ -68,31 +81,53 @@ def postings(items: DataFrame) -> DataFrame:
     return scored.join(own, "item_id").select("term", "item_id", (F.col("w") / F.col("own")).alias("w"))
 
 
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges lo..hi one after another, and each range's length."""
+    n = hi - lo
+    ends = np.cumsum(n)
+    return np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0), n
+
+
 class Index:
-    """One shard: postings by term, in blocks of BLOCK_ITEMS items."""
+    """One shard: postings by term, in blocks of BLOCK_ITEMS items. Made on the
+    driver from the arrays of its postings; workers unpickle it once."""
 
-    def __init__(self, rows: list[tuple[str, int, float]], texts: dict[int, list[str]], passage: int):
+    def __init__(self, term: list[str], item: np.ndarray, weight: np.ndarray, texts: dict[int, list[str]], passage: int):
         self.items = sorted(texts)
-        number = {x: i for i, x in enumerate(self.items)}
-        self.term = {t: i for i, t in enumerate(dict.fromkeys(r[0] for r in rows))}
-        term = np.array([self.term[r[0]] for r in rows])
-        item = np.array([number[r[1]] for r in rows])
-        weight = np.array([r[2] for r in rows])
-        order = np.lexsort((item, term))
-        self.item, self.weight = item[order].astype(np.int64), weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(self.term) + 1))
+        self.words = [texts[x] for x in self.items]
+        self.term = {t: i for i, t in enumerate(dict.fromkeys(term))}
+        terms = np.fromiter(map(self.term.__getitem__, term), np.int64, len(term))
+        items = np.searchsorted(np.array(self.items, np.int64), np.asarray(item, np.int64))
+        order = np.lexsort((items, terms))
+        terms, self.item, self.weight = terms[order], items[order], np.asarray(weight, np.float64)[order]
         self.n_blocks = -(-len(self.items) // BLOCK_ITEMS)
-        key = term[order] * self.n_blocks + self.item // BLOCK_ITEMS
-        at = np.flatnonzero(np.diff(key, prepend=-1))
-        self.block = (key[at] % self.n_blocks).astype(np.int64)
-        self.most = np.maximum.reduceat(self.weight, at)
-        self.first_block = np.searchsorted(key[at] // self.n_blocks, np.arange(len(self.term) + 1))
+        key = terms * self.n_blocks + self.item // BLOCK_ITEMS
+        self.first = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))  # postings of an entry (term, block)
+        self.entry = key[self.first[:-1]]
+        self.block = self.entry % self.n_blocks
+        self.most = np.maximum.reduceat(self.weight, self.first[:-1])
+        self.first_entry = np.searchsorted(self.entry // self.n_blocks, np.arange(len(self.term) + 1))
+        self.term_most = np.maximum.reduceat(self.most, self.first_entry[:-1])
+        self.table = None
+        if len(self.term) * self.n_blocks <= TABLE_CELLS:
+            self.table = np.full(len(self.term) * self.n_blocks, -1, np.int32)
+            self.table[self.entry] = np.arange(len(self.entry))
         self.passage = passage
-        self.parts = []
-        for x in self.items:
-            w = texts[x]
-            cut = max(1, len(w) * 2 // 3)
-            self.parts.append((self.shingles(w[:cut]), self.shingles(w[cut:]) or self.shingles(w), len(w)))
+
+    def entry_of(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Numbers of the entries of (term, block), -1 where there is none."""
+        key = term * self.n_blocks + block
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.entry, key), len(self.entry) - 1)
+        return np.where(self.entry[at] == key, at, -1)
+
+    @lru_cache(maxsize=4096)  # noqa: B019
+    def parts(self, i: int) -> tuple[set[str], set[str], int]:
+        """Shingles of an item's question and answer, and its length."""
+        w = self.words[i]
+        cut = max(1, len(w) * 2 // 3)
+        return self.shingles(w[:cut]), self.shingles(w[cut:]) or self.shingles(w), len(w)
 
     @staticmethod
     def shingles(w: list[str]) -> set[str]:
@@ -101,6 +136,47 @@ class Index:
         n = min(SHINGLE, len(w))
         return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
 
+    def scored(self, passage: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
+        """(passage, item's number, score) of the items at or above the threshold,
+        for the terms of some passages, in order of passage."""
+        if not len(passage):
+            return []
+        base, nb = int(passage[0]), self.n_blocks
+        most = self.term_most[term]
+        order = np.lexsort((most, passage))
+        passage, term, most = passage[order] - base, term[order], most[order]
+        n = int(passage[-1]) + 1
+        begin = np.searchsorted(passage, np.arange(n + 1))
+        total = np.concatenate(([0.0], np.cumsum(most)))
+        so_far = total[1:] - total[begin[passage]]
+        skipped = so_far < THRESHOLD - 1e-9
+        could_add = np.bincount(passage[skipped], most[skipped], minlength=n)
+        # bounds of the blocks that a term from the pivot on stands in
+        some = ~skipped
+        at, count = spread(self.first_entry[term[some]], self.first_entry[term[some] + 1])
+        bound = np.bincount(np.repeat(passage[some], count) * nb + self.block[at], self.most[at], minlength=n * nb)
+        cell = np.flatnonzero(bound)
+        cell = cell[bound[cell] + could_add[cell // nb] >= THRESHOLD - 1e-9]
+        if not len(cell):
+            return []
+        # what the skipped terms add in the blocks that are left
+        n_skipped = np.bincount(passage[skipped], minlength=n)
+        whose = cell // nb
+        at, count = spread(begin[whose], begin[whose] + n_skipped[whose])  # the skipped terms stand first
+        entry = self.entry_of(term[at], np.repeat(cell % nb, count))
+        more = np.bincount(np.repeat(np.arange(len(cell)), count), np.where(entry >= 0, self.most[entry], 0.0), minlength=len(cell))
+        cell = cell[bound[cell] + more >= THRESHOLD - 1e-9]
+        # exact scores
+        whose = cell // nb
+        at, count = spread(begin[whose], begin[whose + 1])
+        entry = self.entry_of(term[at], np.repeat(cell % nb, count))
+        who, entry = np.repeat(whose, count)[entry >= 0], entry[entry >= 0]
+        at, count = spread(self.first[entry], self.first[entry + 1])
+        key, back = np.unique(np.repeat(who, count) * len(self.items) + self.item[at], return_inverse=True)
+        score = np.bincount(back, self.weight[at], minlength=len(key))
+        hit = score >= THRESHOLD
+        return [(k // len(self.items) + base, k % len(self.items), s) for k, s in zip(key[hit].tolist(), score[hit].tolist(), strict=True)]
+
     def search(self, docs: list[list[str]]) -> Iterator[tuple[int, int, float, float, float]]:
         """(document's place, item_id, best score, question and answer overlap)."""
         get, step = self.term.get, self.passage // 2
@@ -122,34 +198,14 @@ class Index:
         if not len(pair):
             return
         passage, term = pair // len(self.term), pair % len(self.term)
-        # upper bounds of all (passage, block)
-        n = self.first_block[term + 1] - self.first_block[term]
-        ends = np.cumsum(n)
-        at = np.repeat(self.first_block[term] - (ends - n), n) + np.arange(ends[-1])
-        cell = np.repeat(passage, n) * self.n_blocks + self.block[at]
-        bound = np.bincount(cell, self.most[at], minlength=0)
-        alive = np.flatnonzero(bound >= THRESHOLD)
-        if not len(alive):
-            return
-        # exact scores in the blocks that are left
-        keep = np.zeros(len(bound), bool)
-        keep[alive] = True
-        some = np.isin(passage, alive // self.n_blocks)
-        passage, term = passage[some], term[some]
-        n = self.first[term + 1] - self.first[term]
-        ends = np.cumsum(n)
-        at = np.repeat(self.first[term] - (ends - n), n) + np.arange(ends[-1])
-        whose, item = np.repeat(passage, n), self.item[at]
-        ok = keep[whose * self.n_blocks + item // BLOCK_ITEMS]
-        key, back = np.unique(whose[ok] * len(self.items) + item[ok], return_inverse=True)
-        score = np.bincount(back, self.weight[at][ok])
         best: dict[tuple[int, int], tuple[float, set[int]]] = {}
-        for k, s in zip(key[score >= THRESHOLD].tolist(), score[score >= THRESHOLD].tolist(), strict=True):
-            p, i = divmod(k, len(self.items))
-            was = best.get((int(doc_of[p]), i), (0.0, set()))
-            best[int(doc_of[p]), i] = (max(s, was[0]), was[1] | {p})
+        cuts = np.searchsorted(passage, np.arange(0, len(doc_of), max(1, CELLS // self.n_blocks)))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(passage)], strict=True):
+            for p, i, s in self.scored(passage[lo:hi], term[lo:hi]):
+                was = best.get((int(doc_of[p]), i), (0.0, set()))
+                best[int(doc_of[p]), i] = (max(s, was[0]), was[1] | {p})
         for (d, i), (s, ps) in best.items():
-            question, answer, length = self.parts[i]
+            question, answer, length = self.parts(i)
             found: set[str] = set()
             for p in ps:
                 around = docs[d][max(0, int(start_of[p]) - length) : int(start_of[p]) + self.passage + length]
@@ -164,27 +220,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified
     hit; documents without one have no row."""
     spark = docs.sparkSession
-    items = tokenised(benchmark, item_id, item_text)
+    items = cut(tokenised(benchmark, item_id, item_text))
     size = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)), F.max(F.size("words"))).first()
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     if not size[0]:
         return spark.createDataFrame([], schema)
     shards = -(-size[0] // SHARD_WORDS)
     shard = F.pmod(F.xxhash64("item_id"), F.lit(shards))
-    weights = postings(items)
+    weights = cut(postings(items))
     out = None
     for s in range(shards):
-        rows = [tuple(r) for r in weights.where(shard == s).collect()]
-        texts = {r["item_id"]: r["words"] for r in items.where(shard == s).collect()}
-        sent = spark.sparkContext.broadcast((rows, texts, max(PASSAGE, 2 * size[1])))
+        rows = weights.where(shard == s).select("term", "item_id", "w").toArrow()
+        own = items.where(shard == s).collect()
+        if not own:
+            continue
+        index = Index(rows["term"].to_pylist(), rows["item_id"].to_numpy(), rows["w"].to_numpy(), {r["item_id"]: r["words"] for r in own}, max(PASSAGE, 2 * size[1]))
+        sent = spark.sparkContext.broadcast((index, {r["item_id"]: r["id"] for r in own}))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            index = Index(*sent.value)
+            index, ids = sent.value
             for b in batches:
                 keys = b.column(0).to_pylist()
                 hits = list(index.search([words_of(t) for t in b.column(1).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([pa.array([keys[h[0]] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()), *(pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[h[0]] for h in hits], pa.int64()), pa.array([ids[h[1]] for h in hits], pa.int64()), *(pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = map_batches(docs.select(F.col(id_col).cast("long"), text_col), run, schema) if rows else None
-        out = out.unionByName(found) if out is not None and found is not None else out if found is None else found
+        found = map_batches(docs.select(F.col(id_col).cast("long"), text_col), run, schema)
+        if shards > 1:  # one shard at a time is held anywhere
+            found = cut(found)
+            sent.unpersist(blocking=True)
+        out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)

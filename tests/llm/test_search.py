@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from riftstats.llm import ann, decontaminate
 
@@ -97,7 +98,8 @@ def test_block_bounds_lose_nothing():
     terms = sorted({t for w in texts.values() for t in w})
     weight = {(t, i): (1 + rng.random()) for i, w in texts.items() for t in set(w)}
     own = {i: sum(weight[t, i] for t in set(w)) for i, w in texts.items()}
-    index = decontaminate.Index([(t, i, weight[t, i] / own[i]) for t in terms for i in texts if (t, i) in weight], texts, 128)
+    rows = [(t, i, weight[t, i] / own[i]) for t in terms for i in texts if (t, i) in weight]
+    index = decontaminate.Index(*zip(*rows, strict=True), texts, 128)
     docs = [words(rng, 40) + texts[d] for d in range(30)]
     found = {(d, i) for d, i, *_ in index.search(docs)}
     for d, w in enumerate(docs):
@@ -107,6 +109,62 @@ def test_block_bounds_lose_nothing():
                 assert (d, i) in found
 
 
+@pytest.mark.parametrize("table", [0, decontaminate.TABLE_CELLS])
+def test_scores_of_a_large_index(monkeypatch, table):
+    """100,000 items in 3,125 blocks: the items at or above the threshold and
+    their scores are those of plain BM25, passage by passage; no more than CELLS
+    bounds are held, with the table of entries and without."""
+    monkeypatch.setattr(decontaminate, "TABLE_CELLS", table)
+    monkeypatch.setattr(decontaminate, "CELLS", 4 * 3125)
+    rng = np.random.default_rng(3)
+    n, vocabulary = 100_000, 4000 if not table else 2000
+    counts = rng.integers(6, 14, n)
+    item = np.repeat(np.arange(n), counts)
+    term = (vocabulary * rng.random(len(item)) ** 3).astype(int)  # a few common terms, many rare ones
+    pair = np.unique(item * vocabulary + term)
+    item, term = pair // vocabulary, pair % vocabulary
+    idf = np.log(1 + n / np.bincount(term, minlength=vocabulary).clip(1))[term]
+    weight = idf / np.bincount(item, idf)[item]
+    texts = {i: [] for i in range(n)}
+    for i, t in zip(item.tolist(), term.tolist(), strict=True):
+        texts[i].append(f"t{t}")
+    index = decontaminate.Index([f"t{t}" for t in term.tolist()], item, weight, texts, 128)
+    assert index.n_blocks == 3125 and (index.table is None) == (table == 0)
+    passages = [sorted(set(rng.integers(0, vocabulary, 30).tolist()) | set(term[item == rng.integers(n)].tolist())) for _ in range(25)]
+    rows = [(p, index.term[f"t{t}"]) for p, ts in enumerate(passages) for t in ts if f"t{t}" in index.term]
+    rows.sort()
+    got = {}
+    for lo in range(0, 25, 4):
+        part = [r for r in rows if lo <= r[0] < lo + 4]
+        got |= {(p, index.items[i]): s for p, i, s in index.scored(*map(np.array, zip(*part, strict=True)))}
+    want = {}
+    for p, ts in enumerate(passages):
+        some = np.isin(term, ts)
+        score = np.bincount(item[some], weight[some], minlength=n)
+        want |= {(p, int(i)): score[i] for i in np.flatnonzero(score >= decontaminate.THRESHOLD)}
+    assert len(want) > 25 and set(got) == set(want)
+    assert max(abs(got[x] - want[x]) for x in want) < 1e-9
+
+
+def test_items_are_known_by_id_and_words(spark):
+    one, two, three = ("the first long question of an item with its answer", "another wholly different question and its other reply", "a third text without any number that is contaminated")
+    bench = spark.createDataFrame([(1, one), (1, two), (1, one), (None, three)], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"x y z {one} u"), (11, f"x {two} z"), (12, f"{three}"), (13, "clean words only in this one")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id or -1) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == [(10, 1), (11, 1), (12, -1)]
+
+
+def test_shards_find_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    bench = spark.createDataFrame([(i, " ".join(words(rng, 20))) for i in range(60)], "item_id long, text string")
+    texts = [r.text for r in bench.collect()]
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 50)) + " " + texts[i] + " " + " ".join(words(rng, 300))) for i in range(60)], "doc_id long, text string").repartition(3)
+    plain = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.contaminated(docs, bench).collect())
+    want = plain()
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 300)
+    assert len(want) >= 60 and plain() == want
+
+
 def test_decontamination_empty(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, bench).count() == 0
