@@ -7,6 +7,14 @@ of the PROBES - 1 likeliest perturbations, in the order of their estimated
 success (the squared distances to the cell borders, smallest first). Candidates
 of all tables are reranked by the exact cosine in double precision.
 
+Unless they are given, TABLES, HASHES, WIDTH and PROBES come from the data: the
+true neighbours of TUNED_QUERIES queries (by hash of their id) are found among all
+vectors in one pass, and the settings of a grid are played through on them and on
+TUNED_OTHERS other vectors. Of those that find TUNED_RECALL of the neighbours the
+one with the least expected work for the table's size is taken: near duplicates
+need many hashes and few probes, vectors without neighbours few hashes and many
+probes. With the table the grid's deepest settings become the cheapest.
+
 The work of a bucket is cut into units of at most BLOCK candidates and BLOCK
 queries, so one bucket never sets the size of a task, and a unit passes on no
 more than the best of each query. Equal vectors are collapsed first: of each
@@ -24,16 +32,23 @@ candidates; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import map_batches
+from .base import cut, map_batches
 
-TABLES, HASHES, WIDTH, PROBES, SEED = 4, 4, 1.3, 72, 11
+SEED = 11
+#: The grid of settings, and the sample that they are tried on.
+TABLE_COUNTS, HASH_COUNTS, WIDTHS = (2, 4, 6), (2, 3, 4, 5, 6), (0.6, 1.0, 1.5)
+TUNED_QUERIES, TUNED_OTHERS, TUNED_RECALL = 64, 1000, 0.96
+#: Work of a visit of a bucket, in reranked candidates.
+VISIT_WORK = 20
 BLOCK = 512
 #: Found pairs that a task holds before it drops all but the best of a query.
 HELD = 200_000
@@ -107,6 +122,89 @@ def hashed(rows: DataFrame, probes: int, tables: int, hashes: int, width: float)
     return map_batches(rows.select("id", "v"), run, "id long, v array<double>, dim int, tab int, bucket long")
 
 
+class Setting(NamedTuple):
+    tables: int
+    hashes: int
+    width: float
+    probes: int
+
+
+#: For tables with nothing to tune on.
+PLAIN = Setting(4, 4, 1.3, 72)
+
+
+def unit_rows(rows: list) -> np.ndarray:
+    x = np.array(rows, np.float64)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def visit_ranks(at: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The number of visits of a query (its position in cells, `at`) before that of
+    each of `cells`; more than 3 to the hashes where it never comes."""
+    own = np.floor(at)
+    frac = at - own
+    k = len(at)
+    steps = np.stack(np.meshgrid(*[np.array([0, -1, 1])] * k, indexing="ij"), axis=-1).reshape(-1, k)
+    cost = np.where(steps < 0, frac**2, np.where(steps > 0, (1 - frac) ** 2, 0.0)).sum(axis=1)
+    delta = cells - own
+    near = np.abs(delta).max(axis=1) <= 1
+    price = np.where(delta < 0, frac**2, np.where(delta > 0, (1 - frac) ** 2, 0.0)).sum(axis=1)
+    return np.where(near, np.searchsorted(np.sort(cost), price - 1e-12), 3**k + 1)
+
+
+def tuned(index: DataFrame, queries: DataFrame, k: int) -> Setting:
+    """The cheapest setting of the grid that finds enough of the true neighbours of
+    the sampled queries; the most thorough one if none does."""
+    place = F.xxhash64("id")
+    sample = queries.withColumn("dim", F.size("v")).orderBy(place, "id").limit(TUNED_QUERIES).collect()
+    if not sample:
+        return PLAIN
+    dim = Counter(r["dim"] for r in sample).most_common(1)[0][0]
+    asked = [(r["id"], list(r["v"])) for r in sample if r["dim"] == dim]
+    same = index.where(F.size("v") == dim)
+    n = same.count()
+    others = [list(r["v"]) for r in same.where(F.pmod(place, F.lit(1 << 20)) < max(1, int(2 * TUNED_OTHERS / max(n, 1) * (1 << 20)))).limit(TUNED_OTHERS).select("v").collect()]
+    sent = index.sparkSession.sparkContext.broadcast((np.array([i for i, _ in asked]), unit_rows([v for _, v in asked])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = unit_rows(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1))
+            near = np.where(ids[:, None] == b.column(0).to_numpy()[None, :], -2.0, q @ x.T)
+            best = np.argsort(-near, axis=1)[:, :k]
+            row = np.repeat(np.arange(len(ids)), best.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(near[row, best.ravel()]), b.column(1).take(pa.array(best.ravel()))], names=["q", "near", "v"])
+
+    best = map_batches(same.select("id", "v"), run, "q int, near double, v array<double>").where("near > -2")
+    # k rows a query and batch; Spark keeps the k best of each query
+    first = best.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near")))).where(F.col("n") <= k).collect()
+    if not first or not others:
+        return PLAIN
+    q, pool = sent.value[1], unit_rows(others)
+    true, whose = unit_rows([list(r["v"]) for r in first]), np.array([r["q"] for r in first])
+    found: list[tuple[float, float, Setting]] = []
+    for hashes in HASH_COUNTS:
+        for width in WIDTHS:
+            hit, work = [], []
+            for t in range(max(TABLE_COUNTS)):
+                a, shift = projections(dim, t, hashes, width)
+                at, near, far = (q @ a + shift) / width, np.floor((true @ a + shift) / width), np.floor((pool @ a + shift) / width)
+                rank = np.zeros(len(true))
+                for i in range(len(q)):
+                    rank[whose == i] = visit_ranks(at[i], near[whose == i]) if (whose == i).any() else 0
+                hit.append(rank)
+                work.append(np.concatenate([visit_ranks(at[i], far) for i in range(0, len(q), 2)]))  # half of them will do
+            for tables in TABLE_COUNTS:
+                least, all_work = np.min(hit[:tables], axis=0), np.sort(np.concatenate(work[:tables]))
+                for probes in sorted({min(p, 3**hashes) for p in (1, 2, 4, 8, 16, 27, 48, 81, 120, 180, 243)}):
+                    reranked = np.searchsorted(all_work, probes) / len(range(0, len(q), 2)) / len(pool) * n
+                    found.append((float((least < probes).mean()), reranked + VISIT_WORK * tables * probes, Setting(tables, hashes, width, probes)))
+    good = [f for f in found if f[0] >= TUNED_RECALL]
+    return min(good, key=lambda f: (f[1], f[2]))[2] if good else max(found, key=lambda f: (f[0], -f[1]))[2]
+
+
 def units(index: DataFrame, queries: DataFrame, block: int) -> DataFrame:
     """Both sides dealt to (dim, tab, bucket, i, j): candidates to block i of
     their bucket and all blocks j of queries, and the other way round."""
@@ -178,13 +276,16 @@ def best_of(pairs: DataFrame, keep: int) -> DataFrame:
     return pairs.repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, "query long, id long, score double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", setting: Setting | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query, a row
-    with the query's own id excepted. Queries are rows like those of vectors."""
+    with the query's own id excepted. Queries are rows like those of vectors.
+    Settings are tuned to the data if none are given."""
     same = Window.partitionBy("v").orderBy("id")
     index = valid(vectors, id_col, vec_col).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("id", "v")
     asked = valid(queries, id_col, vec_col)
     once = asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+    index = cut(index)
+    tables, hashes, width, probes = setting or tuned(index, once, k)
     found = best_of(units(hashed(index, 1, tables, hashes, width), hashed(once, probes, tables, hashes, width), block), k + 1)
     merged = found.groupBy("query", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")

@@ -48,6 +48,33 @@ def test_recall_and_scores(spark):
             assert abs(s - np.dot(at[q], at[i]) / math.sqrt(np.dot(at[q], at[q]) * np.dot(at[i], at[i]))) < 1e-12 and i != q
 
 
+@pytest.mark.parametrize("n", [300, 1500, 6000])
+def test_recall_at_three_sizes(spark, n):
+    """Random vectors and groups of close ones, with the settings that are tuned
+    to each table."""
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(n, 16))
+    base[: n // 2] = base[rng.integers(0, n // 20, n // 2)] + 0.1 * rng.normal(size=(n // 2, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>").repartition(4)
+    got: dict = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    near = unit[::50] @ unit.T
+    near[np.arange(len(near)), np.arange(0, n, 50)] = -2
+    top = np.argsort(-near, axis=1)[:, :5]
+    assert sum(len(set(top[i].tolist()) & got.get(i * 50, set())) for i in range(len(top))) >= 0.9 * top.size
+
+
+def test_order_of_visits():
+    rng = np.random.default_rng(5)
+    for k in (1, 2, 4):
+        at = rng.normal(size=k) * 3
+        steps = ann.perturbations(at - np.floor(at), 3**k)
+        assert ann.visit_ranks(at, np.stack([np.floor(at) + s for s in steps])).tolist() == list(range(3**k))
+        assert (ann.visit_ranks(at, np.floor(at)[None, :] + 2) > 3**k).all()
+
+
 def test_copies_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(2)
     same = [float(x) for x in rng.normal(size=8)]
@@ -55,7 +82,7 @@ def test_copies_ties_and_bad_vectors(spark):
     df = spark.createDataFrame([(i, v, 0, "x") for i, v in vs], SCHEMA)
     for block in (512, 3):
         got: dict = {}
-        for r in ann.nearest(df, df.where("vec_id in (0, 3, 39, 100, 101, 102, 105)"), probes=81, block=block).orderBy("query_id", "rank").collect():
+        for r in ann.nearest(df, df.where("vec_id in (0, 3, 39, 100, 101, 102, 105)"), setting=ann.Setting(4, 4, 1.3, 81), block=block).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.vec_id)
         assert got == {0: [1, 2, 3, 4, 5], 3: [0, 1, 2, 4, 5], 39: [0, 1, 2, 3, 4]}
 
