@@ -29,14 +29,18 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batch size, which Spark reads when a plan runs, so it
+    can't be put back here; later queries get smaller batches, not other results."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. It is the cluster's setting;
-    a local one is made only where there is none (tests)."""
+    a local one is made only for a local session without it (tests)."""
     got = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         got = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(got)

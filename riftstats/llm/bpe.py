@@ -6,7 +6,8 @@ active pairs are applied in ascending rank, each merge rewrites its positions
 and enters the pairs it creates into the index. A merge only makes symbols of a
 higher rank, so one ascending pass gives what merging word by word gives.
 
-Cases: a null or empty text has no tokens and decodes to the empty string;
+Cases: a null or empty text has no tokens and decodes to the empty string; a text
+of any length is encoded whole (its words are those of one slice or more);
 repeated rows give repeated results; a null doc_id is carried as null; an empty
 table gives an empty result; other columns of the input are not read.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -62,6 +64,7 @@ class WordBpe:
         self.keys, self.rank_of = keys[order], order
         self.rank = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.special_start = os.path.commonprefix(list(self.special))  # a text without it has no special token
         space, letter, number = latin_classes()
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
         self.beyond = re.compile(f"[^\x00-{chr(LAST)}]")
@@ -209,7 +212,7 @@ class Encoder:
 
     def add(self, text: str | None) -> None:
         text = text or ""
-        pieces = self.bpe.special_split.split(text) if self.bpe.special_split and "<|" in text else [text]
+        pieces = self.bpe.special_split.split(text) if self.bpe.special_split and self.bpe.special_start in text else [text]
         words = self.bpe.split(pieces[0])
         for i, piece in enumerate(pieces[1:], 1):
             words += [piece] if i % 2 else self.bpe.split(piece)

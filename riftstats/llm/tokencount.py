@@ -5,7 +5,8 @@ that come out as one token are proved shortcuts and are broadcast (the size is
 that of the vocabulary). A pre-token found there counts one at once; only the
 rest is merged, and remembered in a bounded table.
 
-Cases: a null or empty text has 0 bytes and 0 tokens; special strings count as
+Cases: a null or empty text has 0 bytes and 0 tokens; a text of any length is
+counted whole, pre-token by pre-token; special strings count as
 one token each, as the library takes them; repeated rows, null ids and extra
 columns are carried or ignored as in bpe; an empty table gives an empty result.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,6 +99,12 @@ class ByteBpe:
         return frozenset(out)
 
 
+@lru_cache(maxsize=2)
+def load(path: str) -> ByteBpe:
+    """The vocabulary of a file, read once a worker."""
+    return ByteBpe(path)
+
+
 class Counter:
     def __init__(self, bpe: ByteBpe, whole: frozenset[str]):
         self.bpe, self.whole = bpe, whole
@@ -139,10 +147,10 @@ class Counter:
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text."""
     sc = docs.sparkSession.sparkContext
-    whole = sc.broadcast(ByteBpe(path).whole())
+    whole = sc.broadcast(load(path).whole())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counter(ByteBpe(path), whole.value)
+        count = Counter(load(path), whole.value)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([count(t) for t in texts], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])

@@ -319,3 +319,17 @@ def test_urls_are_native(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = urls.judged(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_warc_against_sql(spark):
+    import duckdb
+
+    from riftstats.llm import queries
+
+    con = duckdb.connect()
+    con.execute("create view pages as select * from '/root/testdata/sf0.01/pages.parquet'")
+    df = queries.op3_warc(spark, "/root/testdata/sf0.01")
+    want = con.sql(queries.oracle_sql()["op3_warc"])
+    assert sorted(df.columns) == sorted(want.columns)
+    key = lambda r: tuple(str(r[c]) for c in df.columns)
+    assert sorted(map(key, df.collect())) == sorted(key(dict(zip(want.columns, r, strict=True))) for r in want.fetchall())
