@@ -39,10 +39,10 @@ class Dialect:
 PLATFORMS = ["NA1", "EUW1", "KR", "CN1", "CN2", "BR1"]
 REGIONS = ["AMERICAS", "EUROPE", "ASIA", "ASIA", "ASIA", "AMERICAS"]
 DAY = 86_400_000
-#: Inputs of each projection, driver tables or other projections.
+#: Inputs of each projection, driver tables or earlier projections.
 NEEDS = {
-    "matches": ["orders"], "participants": ["lineitem", "matches"], "bans": ["matches"], "items": ["participants"], "item_versions": ["patches"], "runes": ["participants", "matches"],
-    "rune_versions": ["patches"], "frames": ["participants"], "summoners": ["part"], "ranks": ["part"], "pro_roster": ["part"], "patches": ["matches"], "live_snapshots": ["events"], "favorites": ["customer"], "preferences": ["customer"],
+    "matches": ["orders"], "participants": ["lineitem", "matches"], "bans": ["matches"], "patches": ["matches"], "items": ["participants"], "item_versions": ["patches"], "runes": ["participants", "matches"],
+    "rune_versions": ["patches"], "frames": ["participants"], "summoners": ["part"], "ranks": ["part"], "pro_roster": ["part"], "live_snapshots": ["events"], "favorites": ["customer"], "preferences": ["customer"],
 }
 
 
@@ -123,11 +123,12 @@ def projections(name: str) -> dict[str, str]:
 
 
 class Tables:
-    """The projections of a driver folder as lazily made DataFrames."""
+    """The projections of a driver folder as lazily made DataFrames; those that a
+    folder `landed` has, but for `without`, are read from there."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, landed: str | None = None, without: str | None = None):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self._spark, self._dir, self._made = spark, sf_dir, {}
+        self._spark, self._dir, self._landed, self._without, self._made = spark, sf_dir, landed, without, {}
 
     @property
     def spark(self) -> SparkSession:
@@ -137,7 +138,9 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._made:
-            if name in NEEDS:
+            if name in NEEDS and self._landed and name != self._without:
+                self._made[name] = self._spark.read.parquet(f"{self._landed}/{name}")
+            elif name in NEEDS:
                 self._made[name] = self._spark.sql(projections("spark")[name], **{x: getattr(self, x) for x in NEEDS[name]})
             else:
                 self._made[name] = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
