@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 256
 #: Rows of a few numbers or one digest that are sent to every executor at most;
 #: beyond it such a table is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

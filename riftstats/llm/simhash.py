@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import BROADCAST_ROWS, cut, map_batches
+from .base import cut, map_batches
 
 BITS, TAU, SHINGLE, SEED = 64, 3, 3, 42
 #: Distinct fingerprints of one key that are joined pairwise; larger keys are
 #: cut into blocks of this size.
 BLOCK = 64
+#: Least neighbours of nodes that are sent to every executor at most.
+SENT_ROWS = 100_000
 #: Words handled at a time, so a text's length doesn't set the memory.
 WORDS = 1 << 17
 
@@ -280,7 +282,7 @@ def links(prints: DataFrame, parts: list[tuple[list[int], int]], tau: int = TAU,
     return cold.unionByName(dealt.mapInArrow(run, "u long, v long")).distinct()
 
 
-def with_least(rows: DataFrame, n: int, sent: int = BROADCAST_ROWS) -> DataFrame:
+def with_least(rows: DataFrame, n: int, sent: int = SENT_ROWS) -> DataFrame:
     """rows (u, v, ...) with m, the least v of the same u. n: number of rows at
     most. Where that is few, all minima are sent out; beyond it those of the u
     with the most rows, which are at most `sent` in number, so that no u has more
@@ -294,7 +296,7 @@ def with_least(rows: DataFrame, n: int, sent: int = BROADCAST_ROWS) -> DataFrame
     return rows.join(hubs, "u").unionByName(rest)
 
 
-def components(edges: DataFrame, most: int = 60, sent: int = BROADCAST_ROWS) -> DataFrame:
+def components(edges: DataFrame, most: int = 60, sent: int = SENT_ROWS) -> DataFrame:
     """(node, root) of every node that has a link: the least node that it
     reaches. Alternates large-star and small-star steps until nothing changes."""
     edges = cut(edges.select("u", "v"))
