@@ -36,9 +36,12 @@ def history_sql(where: str, lo: int, hi: int) -> str:
       FROM hs h LEFT JOIN it i ON h.match_id = i.match_id AND h.participant_id = i.participant_id LEFT JOIN pages g ON h.match_id = g.match_id AND h.participant_id = g.participant_id WHERE place > {lo} AND place <= {hi}""")
 
 
+DETAIL = ["team_id", "team_position", "win", "kills", "deaths", "assists", "damage", "gold_earned"]
+
+
 def match_detail(t: Tables):
     got = P.match_detail(t.matches, t.participants, t.items, t.runes, t.rune_versions)
-    text = F.concat_ws(";", F.transform("participants", lambda p: F.concat_ws(":", p["participant_id"].cast("string"), p["puuid"], p["champion_id"].cast("string"), F.concat_ws(",", p["items"].cast("array<string>")), p["primary_style"].cast("string"), p["sub_style"].cast("string"))))
+    text = F.concat_ws(";", F.transform("participants", lambda p: F.concat_ws(":", p["participant_id"].cast("string"), p["puuid"], p["champion_id"].cast("string"), F.concat_ws(",", p["items"].cast("array<string>")), p["primary_style"].cast("string"), p["sub_style"].cast("string"), *[p[c].cast("string") for c in DETAIL], F.concat_ws("/", *[F.concat_ws(",", p[c].cast("array<string>")) for c in ("primary", "sub", "shards")]))))
     return got.select("match_id", "match_date", "duration", "patch", "queue_id", text.alias("participants"))
 
 
@@ -137,7 +140,7 @@ QUERIES: dict[str, Query] = {
     "match_detail": (
         match_detail,
         oracle((*RR, "items", "runes"), f"""{pages_sql('detail')}, it AS (SELECT match_id, participant_id, array_to_string((list(item_id ORDER BY slot, item_id) || [0, 0, 0, 0, 0, 0, 0])[1:7], ',') AS items FROM items GROUP BY 1, 2)
-          SELECT m.match_id, m.match_date, m.duration, m.patch, m.queue_id, string_agg(concat_ws(':', p.participant_id, p.puuid, p.champion_id, i.items, g.primary_style, g.sub_style), ';' ORDER BY p.participant_id) AS participants
+          SELECT m.match_id, m.match_date, m.duration, m.patch, m.queue_id, string_agg(concat_ws(':', p.participant_id, p.puuid, p.champion_id, i.items, g.primary_style, g.sub_style, {', '.join(f'p.{c}' for c in DETAIL)}, regexp_replace(replace(g.rune_key, '|', '/'), '[0-9]+:', '', 'g')), ';' ORDER BY p.participant_id) AS participants
           FROM matches m JOIN participants p ON m.match_id = p.match_id LEFT JOIN it i ON p.match_id = i.match_id AND p.participant_id = i.participant_id LEFT JOIN pages g ON p.match_id = g.match_id AND p.participant_id = g.participant_id WHERE m.status <> 3 GROUP BY 1, 2, 3, 4, 5"""),
     ),
     "lane_alignment": (
