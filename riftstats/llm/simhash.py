@@ -304,6 +304,8 @@ def components(edges: DataFrame, most: int = 60, sent: int = SENT_ROWS) -> DataF
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both, 2 * n, sent).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        if n > sent:  # with_least reads its rows more than once then
+            large = cut(large)
         small = with_least(large, n, sent)
         edges = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
         edges = cut(edges)
