@@ -146,7 +146,7 @@ def runs(t: Tables):
 def names(t: Tables):
     """Name documents of champions (by summoner number) and items."""
     c = t.participants.select("champion_id").distinct().select(F.lit("champion").alias("kind"), F.col("champion_id").alias("i"))
-    i = t.item_versions.select("item_id").distinct().select(F.lit("item").alias("kind"), F.col("item_id").alias("i"))
+    i = t.items.select("item_id").distinct().select(F.lit("item").alias("kind"), F.col("item_id").alias("i"))
     entry = F.struct(F.when(F.col("i") % 3 != 0, F.col("i").cast("string")).alias("id"), F.when(F.col("i") % 7 == 0, F.lit(" ")).otherwise(F.concat("kind", F.lit(" "), "i")).alias("name"))
     docs = c.unionByName(i).groupBy("kind").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("string"), entry)))).alias("body"))
     return I.name_dimension(docs.where("kind = 'champion'"), "champion").unionByName(I.name_dimension(docs.where("kind = 'item'"), "item"))
@@ -240,11 +240,11 @@ QUERIES: dict[str, Query] = {
     ),
     "name_dimensions": (
         names,
-        oracle((*TABLES, "item_versions", "patches"), "nm AS (SELECT 'champion' AS kind, champion_id AS id FROM participants UNION SELECT 'item', item_id FROM item_versions) SELECT kind, id, CASE WHEN id % 7 = 0 THEN '#' || cast(id as string) ELSE kind || ' ' || cast(id as string) END AS name FROM nm"),
+        oracle((*TABLES, "items"), "nm AS (SELECT 'champion' AS kind, champion_id AS id FROM participants UNION SELECT 'item', item_id FROM items) SELECT kind, id, CASE WHEN id % 7 = 0 THEN '#' || cast(id as string) ELSE kind || ' ' || cast(id as string) END AS name FROM nm"),
     ),
     "rune_order": (
-        lambda t: I.rune_order(t.rune_versions),
-        oracle(("rune_versions",), "one AS (SELECT 1) SELECT patch, rune_id, path_id, CASE WHEN path_id = 5000 THEN 1000 ELSE 0 END + slot * 100 + row_number() OVER (PARTITION BY patch, path_id, slot ORDER BY rune_id) - 1 AS order_key FROM rune_versions"),
+        lambda t: I.rune_order(t.rune_versions.join(held_runes(t), ["patch", "rune_id"], "left_semi")),
+        oracle(("rune_versions", "runes"), "held AS (SELECT * FROM rune_versions WHERE (patch, rune_id) IN (SELECT (patch, rune_id) FROM runes)) SELECT patch, rune_id, path_id, CASE WHEN path_id = 5000 THEN 1000 ELSE 0 END + slot * 100 + row_number() OVER (PARTITION BY patch, path_id, slot ORDER BY rune_id) - 1 AS order_key FROM held"),
     ),
 }
 #: The names that the queries over all rows had beside those over some.
