@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import EMERALD_PLUS, GRADES, ROLES, SUCCESS, adaptive_minimum, effective_minimum, grade_of, grade_of_rate, grade_value, matchup_verdict, patch_order, rate, tier_scope, wilson
-from .scope import in_region, in_tiers, marked_tiers, ranked_rows, solo_ranks, visible_matches
+from .scope import in_region, in_tiers, marked_tiers, ranked_rows, shared, solo_ranks, visible_matches
 
 #: Item classes that aren't completed builds, and items that are
 #: left out where the patch's metadata is incomplete.
@@ -152,26 +152,33 @@ def item_flags(versions: DataFrame) -> DataFrame:
     return once.groupBy("patch").agg(F.map_from_entries(F.collect_list(F.struct("item_id", "built"))).alias("flags"))
 
 
-def build_games(matches: DataFrame, participants: DataFrame, items: DataFrame, versions: DataFrame, ranks: DataFrame | None = None, scope: str | None = None) -> DataFrame:
-    """Ranked games with the sorted list `items` of their completed items; games
-    without one are left out. Where the patch's metadata knows less than COVERAGE
-    of the distinct items that a champion's games of a role hold, unknown items
-    count unless they are on the exclusion list."""
-    key, scoped = ["match_id", "participant_id"], ["patch", "champion_id", "role"]
-    rows = in_tiers(ranked_rows(matches, participants), ranks, scope).select("patch", "champion_id", F.col("team_position").alias("role"), *key, "win")
-    games = rows.join(item_lists(items), key).join(item_flags(versions), "patch", "left")
+SCOPE = ["patch", "champion_id", "role"]
+
+
+def build_groups(matches: DataFrame, participants: DataFrame, items: DataFrame, versions: DataFrame, pages: DataFrame | None = None, ranks: DataFrame | None = None, scope: str | None = None) -> DataFrame:
+    """Ranked games and wins by champion, role, the sorted list `items` of completed
+    items and, with the participants' `pages`, their rune_key; games without a
+    completed item are left out. Where the patch's metadata knows less than
+    COVERAGE of the distinct items that a champion's games of a role hold, unknown
+    items count unless they are on the exclusion list."""
+    key, by = ["match_id", "participant_id"], [*SCOPE, "items"]
+    rows = in_tiers(ranked_rows(matches, participants), ranks, scope).select("patch", "champion_id", F.col("team_position").alias("role"), *key, "win").join(item_lists(items), key)
+    if pages is not None:
+        rows, by = rows.join(pages.select(*key, "rune_key"), key, "left").withColumn("rune_key", F.coalesce("rune_key", F.lit("0:|0:|"))), [*by, "rune_key"]
+    groups = shared(rows.groupBy(*by).agg(F.count("*").alias("games"), F.count_if("win").alias("wins")).join(item_flags(versions), "patch", "left"))
     is_known = lambda i: F.map_contains_key(F.coalesce("flags", F.create_map().cast("map<int,boolean>")), i)
-    seen = games.select(*scoped, F.explode(F.array_distinct("items")).alias("item_id"), "flags").groupBy(*scoped, "item_id").agg(F.max(is_known(F.col("item_id"))).alias("known"))
-    cover = seen.groupBy(*scoped).agg((F.count_if("known") / F.count("*")).alias("cover"))
+    seen = groups.select(*SCOPE, F.explode(F.array_distinct("items")).alias("item_id"), "flags").groupBy(*SCOPE, "item_id").agg(F.max(is_known(F.col("item_id"))).alias("known"))
+    cover = seen.groupBy(*SCOPE).agg((F.count_if("known") / F.count("*")).alias("cover"))
     keep = lambda i: F.when(is_known(i), F.try_element_at("flags", i)).otherwise((F.col("cover") < COVERAGE) & ~i.isin(EXCLUDED_ITEMS))
-    return games.join(cover, scoped).withColumn("items", F.filter("items", keep)).where(F.size("items") > 0).drop("flags", "cover")
+    kept = groups.join(cover, SCOPE).withColumn("items", F.filter("items", keep)).where(F.size("items") > 0)
+    return kept.groupBy(*by).agg(F.sum("games").alias("games"), F.sum("wins").alias("wins"))
 
 
 def frequencies(games: DataFrame, n: Column) -> DataFrame:
     """Of each scope's `n` games with the items of the array `items`, those that
     have an item. The scope's own total is counted in the same aggregation, as
     the games of a null item."""
-    key = ["patch", "champion_id", "role"]
+    key = SCOPE
     marked = F.explode(F.array_append(F.array_distinct("items"), F.lit(None).cast("int")))
     counts = games.select(*key, n.alias("_n"), marked.alias("item_id")).groupBy(*key, "item_id").agg(F.sum("_n").alias("games"))
     eligible = F.max(F.when(F.col("item_id").isNull(), F.col("games"))).over(Window.partitionBy(*key))
@@ -182,7 +189,7 @@ def frequencies(games: DataFrame, n: Column) -> DataFrame:
 
 def item_frequency(matches: DataFrame, participants: DataFrame, items: DataFrame, versions: DataFrame, ranks: DataFrame | None = None, scope: str | None = None) -> DataFrame:
     """Share of a champion's games (with a completed item) that have an item."""
-    return frequencies(build_games(matches, participants, items, versions, ranks, scope), F.lit(1))
+    return frequencies(build_groups(matches, participants, items, versions, None, ranks, scope), F.col("games"))
 
 
 def rune_pages(runes: DataFrame, versions: DataFrame, policy: str = "builds") -> DataFrame:
@@ -231,11 +238,8 @@ def rune_pages(runes: DataFrame, versions: DataFrame, policy: str = "builds") ->
 
 def champion_builds(matches: DataFrame, participants: DataFrame, items: DataFrame, versions: DataFrame, runes: DataFrame, rune_versions: DataFrame, ranks: DataFrame | None = None, scope: str | None = None, minimum: int | Sample = 100, base: int = 30) -> DataFrame:
     """Top three builds (completed items and runes) of a champion and role."""
-    key = ["patch", "champion_id", "role"]
-    games = build_games(matches, participants, items, versions, ranks, scope)
-    pages = rune_pages(runes, rune_versions).select("match_id", "participant_id", "rune_key")
-    games = games.join(pages, ["match_id", "participant_id"], "left").withColumn("rune_key", F.coalesce("rune_key", F.lit("0:|0:|")))
-    all_groups = games.withColumn("item_key", F.concat_ws(",", F.col("items").cast("array<string>"))).groupBy(*key, "item_key", "rune_key").agg(F.count("*").alias("games"), F.count_if("win").alias("wins"), F.first("items").alias("items"))
+    key = SCOPE
+    all_groups = shared(build_groups(matches, participants, items, versions, rune_pages(runes, rune_versions), ranks, scope).withColumn("item_key", F.concat_ws(",", F.col("items").cast("array<string>"))))
     groups = sample_of(minimum).on(all_groups.withColumn("eligible", F.sum("games").over(Window.partitionBy(*key)))).where(F.col("eligible") >= effective_minimum(F.col("_minimum"), F.col("eligible"), 3)).drop("_minimum")
     kept = keep_enough(groups, effective_minimum(base, F.col("eligible"), 2), *key)
     order = Window.partitionBy(*key).orderBy(F.desc("wins"), F.desc("games"), "item_key", "rune_key")

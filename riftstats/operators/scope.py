@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.exprs import SUCCESS, ranked_solo, tier_scope, visible
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """df, written once to the folder that driver and executors share if the session
+    names one (spark.checkpoint.dir), so that a plan that reads it several times
+    doesn't compute it again; df itself otherwise."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        if not (folder := spark.conf.get("spark.checkpoint.dir", "")):
+            return df
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def visible_matches(matches: DataFrame) -> DataFrame:
     return matches.where(visible())
 
