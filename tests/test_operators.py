@@ -184,8 +184,8 @@ def test_minimum_of_a_new_patch(spark):
 
 def test_a_rune_of_any_patch_is_that_of_the_latest(spark):
     runes = spark.createDataFrame([("m", 1, 0, 0, 7, 0, "15.1")], "match_id string, participant_id int, tree int, idx int, rune_id int, style_id int, patch string")
-    versions = spark.createDataFrame([(7, "9.2", 8100, 1), (7, "14.1", 8200, 2)], "rune_id int, patch string, path_id int, slot int")
-    assert C.rune_pages(runes, versions, "history").first().primary_style == 8200
+    versions = spark.createDataFrame([(7, "9.2", 100, 1), (7, "14.1", 200, 2)], "rune_id int, patch string, path_id int, slot int")
+    assert C.rune_pages(runes, versions, "history").first().primary_style == 200
 
 
 def exchanges(df):
