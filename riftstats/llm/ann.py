@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, map_batches
+from .base import checked_side, cut, map_batches
 
 SEED = 11
 #: The grid of settings, and the sample that they are tried on.
@@ -210,6 +210,7 @@ def units(index: DataFrame, queries: DataFrame, block: int) -> DataFrame:
     their bucket and all blocks j of queries, and the other way round."""
     key = ["dim", "tab", "bucket"]
     sizes = index.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("ni")).join(queries.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("nj")), key)
+    sizes = checked_side(sizes)  # a bucket with a large part of the rows isn't dealt to one task where the sizes are few
     spread = F.abs(F.xxhash64("id"))
     a = index.join(sizes, key).withColumn("i", (spread % F.col("ni")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("side", F.lit(1))
     b = queries.join(sizes, key).withColumn("j", (spread % F.col("nj")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("side", F.lit(0))
