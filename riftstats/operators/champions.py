@@ -165,7 +165,7 @@ def build_groups(matches: DataFrame, participants: DataFrame, items: DataFrame,
     rows = in_tiers(ranked_rows(matches, participants), ranks, scope).select("patch", "champion_id", F.col("team_position").alias("role"), *key, "win").join(item_lists(items), key)
     if pages is not None:
         rows, by = rows.join(pages.select(*key, "rune_key"), key, "left").withColumn("rune_key", F.coalesce("rune_key", F.lit("0:|0:|"))), [*by, "rune_key"]
-    groups = shared(rows.groupBy(*by).agg(F.count("*").alias("games"), F.count_if("win").alias("wins")).join(item_flags(versions), "patch", "left"))
+    groups = shared(rows.groupBy(*by).agg(F.count("*").alias("games"), F.count_if("win").alias("wins"))).join(item_flags(versions), "patch", "left")
     is_known = lambda i: F.map_contains_key(F.coalesce("flags", F.create_map().cast("map<int,boolean>")), i)
     seen = groups.select(*SCOPE, F.explode(F.array_distinct("items")).alias("item_id"), "flags").groupBy(*SCOPE, "item_id").agg(F.max(is_known(F.col("item_id"))).alias("known"))
     cover = seen.groupBy(*SCOPE).agg((F.count_if("known") / F.count("*")).alias("cover"))
