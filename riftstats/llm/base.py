@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -53,6 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a table of its own to the shared folder and read from there:
+    for results that are read several times and need columns and compression."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checked_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A narrow table for a join: written out and counted, and marked for
     broadcasting if it has at most `rows` rows."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html, langid, pii, simhash, tokencount, urls, warc
+from . import align, ann, bpe, decontaminate, html, langid, packing, pii, search, simhash, tokencount, urls, warc
 from .base import table
 
 
@@ -55,8 +55,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_nearest, op3_warc, op4_language, op5_html, op6_pii, op7_urls, op8_simhash, op9_decontamination, op10_token_counts)
+    own = (op1_bpe, op2_nearest, op3_warc, op4_language, op5_html, op6_pii, op7_urls, op8_simhash, op9_decontamination, op10_token_counts, op11_search, op12_packing, op13_alignment)
     return {f.__name__: f for f in own}
 
 
@@ -66,5 +78,15 @@ WARC_SQL = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_b
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f"""
 
 
+SEARCH_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+  c AS (SELECT r, doc_id, words, cast(len(words) AS BIGINT) AS n FROM d WHERE len(words) > 0), t AS (SELECT cast(count(*) AS BIGINT) AS docs, cast(sum(n) AS BIGINT) AS total FROM c),
+  p AS (SELECT r, doc_id, term, 10 + (90 * n * docs) // total AS m, cast(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, n, unnest(words) AS term FROM c), t GROUP BY 1, 2, 3, 4),
+  q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+  w AS (SELECT term, cast(floor(1000 * ln(cast(2 * max(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, t GROUP BY term),
+  s AS (SELECT q.item_id, p.r, p.doc_id, cast(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * p.m))) AS BIGINT) AS score FROM q JOIN p ON q.term = p.term JOIN w ON q.term = w.term GROUP BY 1, 2, 3),
+  k AS (SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": WARC_SQL}
+    return {"op3_warc": WARC_SQL, "op11_search": SEARCH_SQL}
