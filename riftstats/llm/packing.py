@@ -11,8 +11,10 @@ f(j) the least cost of cutting at place p(j),
                                    min over powers of two q with p(i) = p(j) - q of f(i)),
 
 so the inner minimum is kept in a monotone queue. Places to cut at are the ends
-of documents and sentences; where none comes for LONGEST tokens, and in the last
-width of tokens of a partition, each token is one.
+of documents and, at most one in STEP tokens, the ends of sentences; where none
+comes for LONGEST tokens there is one in STEP tokens, and in the last width of tokens
+of a partition each token is one. Powers of two below LEAST_POWER are looked at
+there only: they cost more sequences than padding saves.
 
 A task holds CHUNK tokens (or one document, if that is longer): the sequences
 that end well before the last place are final, the rest goes on with the next
@@ -41,9 +43,10 @@ from .bytebpe import load
 
 #: Costs in tokens of padding.
 SEQUENCE, SENTENCE, WORD = 8, 4, 12
-#: Tokens without a place to cut after which each token is one; tokens that are
-#: packed together.
-LONGEST, CHUNK = 96, 400_000
+#: Tokens in which one place to cut is enough; tokens without a sentence's end after
+#: which there are others; the least length of a short sequence before the last
+#: ones; tokens that are packed together.
+STEP, LONGEST, LEAST_POWER, CHUNK = 16, 96, 256, 400_000
 #: Marks that end a sentence and what may close it behind them.
 MARKS, CLOSERS = (b".", b"!", b"?"), b"\"')]"
 
@@ -57,45 +60,46 @@ class Places:
         self.space = np.array([t[:1] in (b" ", b"\n", b"\t", b"\r") for t in tokens] + [False])
 
     def sentences(self, ids: np.ndarray) -> np.ndarray:
-        """Places within a document's ids at which a sentence has ended."""
+        """Places at which a sentence has ended."""
         known = np.minimum(ids, len(self.stop) - 1)
         return np.flatnonzero((self.stop[known[:-1]] & self.space[known[1:]]) | self.line[known[:-1]]) + 1
 
 
-def cuts(ends: np.ndarray, costs: np.ndarray, width: int) -> list[int]:
+def cuts(ends: np.ndarray, costs: np.ndarray, width: int, tail: int = 0) -> list[int]:
     """Numbers of the places at which the least costly sequences end. ends: rising
-    places, the first above 0, no two further apart than width."""
-    powers = [1 << k for k in range(width.bit_length()) if 1 << k < width]
+    places, the first above 0, no two further apart than width. tail: from where on
+    sequences may have any power of two as their length."""
     n = len(ends)
-    at = [0, *ends.tolist()]
-    pen = [0, *costs.tolist()]
-    full = np.array(at)
+    full = np.concatenate(([0], ends))
     #: Places that are a power of two behind another one.
     exact: dict[int, list[int]] = {}
-    for q in powers:
-        found = np.minimum(np.searchsorted(full, full - q), n)
-        for j in np.flatnonzero((full[found] == full - q) & (full >= q)).tolist():
-            exact.setdefault(j, []).append(int(found[j]))
-    best, back = [0] * (n + 1), [0] * (n + 1)
-    queue = deque([(0, 0)])  # (f(i) + p(i), i), values rising
-    first_at = 0
-    for j in range(1, n + 1):
-        p = at[j]
-        while first_at < p - width:
-            queue.popleft()
-            first_at = at[queue[0][1]]
-        value, i = queue[0]
-        low = value + width - p
-        for e in exact.get(j, ()):
-            if best[e] < low:
-                low, i = best[e], e
-        best[j] = low = low + pen[j] + SEQUENCE
+    for q in (1 << k for k in range(width.bit_length()) if 1 << k < width):
+        ask = np.arange(np.searchsorted(full, max(q, 0 if q >= LEAST_POWER else tail + q)), n + 1)
+        found = np.minimum(np.searchsorted(full, full[ask] - q), n)
+        for j, e in zip(ask[hit := full[found] == full[ask] - q].tolist(), found[hit].tolist(), strict=True):
+            exact.setdefault(j, []).append(e)
+    at, least = full.tolist(), [0] * (n + 1)  # least: f(j) + p(j)
+    back = [0] * (n + 1)
+    queue = deque([0])
+    append, drop, shift = queue.append, queue.pop, queue.popleft
+    first, gone, get = 0, width, exact.get
+    for j, (p, cost) in enumerate(zip(at[1:], (costs + SEQUENCE).tolist(), strict=True), 1):
+        while gone < p:  # the front is more than the width away
+            shift()
+            first = queue[0]
+            gone = at[first] + width
+        i, low = first, least[first] + width
+        if (others := get(j)) is not None:
+            for e in others:
+                if least[e] - at[e] + p < low:
+                    i, low = e, least[e] - at[e] + p
+        least[j] = low = low + cost
         back[j] = i
-        low += p
-        while queue and queue[-1][0] >= low:
-            queue.pop()
-        queue.append((low, j))
-        first_at = at[queue[0][1]]
+        while queue and least[queue[-1]] >= low:
+            drop()
+        if not queue:
+            first, gone = j, p + width
+        append(j)
     out, j = [], n
     while j:
         out.append(j - 1)
@@ -121,20 +125,17 @@ class Packer:
 
     def candidates(self, last: bool) -> tuple[np.ndarray, np.ndarray]:
         """Places to cut the held tokens at, and what each costs."""
-        width, total = self.width, self.held
+        total = self.held
         ends = np.cumsum([len(ids) - done for _, done, ids in self.docs])
-        inner, lo = [], 0
-        for (_, done, ids), hi in zip(self.docs, ends.tolist(), strict=True):
-            inner.append(self.places.sentences(ids[done:]) + lo)
-            lo = hi
-        sentence = np.concatenate(inner)
+        sentence = self.places.sentences(np.concatenate([ids[done:] for _, done, ids in self.docs]))
+        sentence = sentence[np.flatnonzero(np.diff(sentence // STEP, append=total))]  # the last one of each step
         natural = np.union1d(ends, sentence)
         before = np.concatenate(([0], natural[:-1]))
         far = np.flatnonzero(natural - before > LONGEST)
-        each = [np.arange(a + 1, b) for a, b in zip(before[far].tolist(), natural[far].tolist(), strict=True)]
+        more = [np.arange(a + STEP, b, STEP) for a, b in zip(before[far].tolist(), natural[far].tolist(), strict=True)]
         if last:
-            each.append(np.arange(max(1, total - width), total))
-        at = np.union1d(natural, np.concatenate(each)) if each else natural
+            more.append(np.arange(max(1, total - self.width), total))
+        at = np.union1d(natural, np.concatenate(more)) if more else natural
         cost = np.full(len(at), WORD)
         cost[np.searchsorted(at, sentence)] = SENTENCE
         cost[np.searchsorted(at, ends)] = 0
@@ -145,7 +146,7 @@ class Packer:
         if not self.docs:
             return
         at, cost = self.candidates(last)
-        until = at[cuts(at, cost, self.width)]
+        until = at[cuts(at, cost, self.width, self.held - self.width if last else self.held)]
         if not last:
             until = until[until <= self.held - 2 * self.width]
         k, done, left = 0, self.docs[0][1], []
