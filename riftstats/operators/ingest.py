@@ -14,8 +14,8 @@ PRIMARY, SECONDARY, SHARDS, SHARD_PATH = 0, 1, 2, 5000
 
 
 def short_patch(version: Column) -> Column:
-    """The first two parts of a version."""
-    return F.concat_ws(".", F.slice(F.split(version, r"\."), 1, 2))
+    """The first two parts of a version, null if it is blank."""
+    return F.array_join(F.slice(F.split(blank_to_null(version), r"\."), 1, 2), ".")
 
 
 def match_headers(raw: DataFrame) -> DataFrame:
@@ -52,29 +52,30 @@ def match_facts(raw: DataFrame, known: DataFrame, mode: str = "strict") -> DataF
     return rows.drop("n_listed", "_known")
 
 
-def participant_runes(raw: DataFrame) -> DataFrame:
-    """Rune selections of raw matches, numbered within their tree."""
-    rows = raw.select(F.col("m.matchId").alias("match_id"), F.explode("m.participants").alias("p")).select("match_id", F.col("p.participantId").alias("participant_id"), F.col("p.perks").alias("k"))
+def participant_runes(raw: DataFrame, *carried: str) -> DataFrame:
+    """Rune selections of raw matches, numbered within their tree; other columns of
+    raw go along if they are named."""
+    rows = raw.select(*carried, F.col("m.matchId").alias("match_id"), F.explode("m.participants").alias("p")).select(*carried, "match_id", F.col("p.participantId").alias("participant_id"), F.col("p.perks").alias("k"))
     named = lambda name: F.get(F.filter("k.styles", lambda s: s["description"] == name), 0)
     rows = rows.withColumn("a", F.coalesce(named("primaryStyle"), F.get("k.styles", 0)))
     rows = rows.withColumn("b", F.coalesce(named("subStyle"), F.get(F.filter("k.styles", lambda s: s["style"] != F.col("a.style")), 0)))
 
     def tree(n: int, style: str) -> DataFrame:
         kept = F.filter(F.transform(f"{style}.selections", lambda s: s["perk"]), lambda x: x != 0)
-        return rows.select("match_id", "participant_id", F.lit(n).alias("tree"), F.posexplode(kept).alias("idx", "rune_id"), F.col(f"{style}.style").alias("style_id"))
+        return rows.select(*carried, "match_id", "participant_id", F.lit(n).alias("tree"), F.posexplode(kept).alias("idx", "rune_id"), F.col(f"{style}.style").alias("style_id"))
 
-    shards = rows.select("match_id", "participant_id", F.lit(SHARDS).alias("tree"), F.posexplode(F.array("k.statPerks.offense", "k.statPerks.flex", "k.statPerks.defense")).alias("idx", "rune_id"), F.lit(0).alias("style_id")).where("rune_id <> 0")
+    shards = rows.select(*carried, "match_id", "participant_id", F.lit(SHARDS).alias("tree"), F.posexplode(F.array("k.statPerks.offense", "k.statPerks.flex", "k.statPerks.defense")).alias("idx", "rune_id"), F.lit(0).alias("style_id")).where("rune_id <> 0")
     return tree(PRIMARY, "a").unionByName(tree(SECONDARY, "b")).unionByName(shards)
 
 
-def participant_items(raw: DataFrame) -> DataFrame:
-    rows = raw.select(F.col("m.matchId").alias("match_id"), F.explode("m.participants").alias("p"))
-    return rows.select("match_id", F.col("p.participantId").alias("participant_id"), F.posexplode(F.array(*[f"p.item{i}" for i in range(7)])).alias("slot", "item_id")).where("item_id <> 0")
+def participant_items(raw: DataFrame, *carried: str) -> DataFrame:
+    rows = raw.select(*carried, F.col("m.matchId").alias("match_id"), F.explode("m.participants").alias("p"))
+    return rows.select(*carried, "match_id", F.col("p.participantId").alias("participant_id"), F.posexplode(F.array(*[f"p.item{i}" for i in range(7)])).alias("slot", "item_id")).where("item_id <> 0")
 
 
-def match_bans(raw: DataFrame) -> DataFrame:
-    teams = raw.select(F.col("m.matchId").alias("match_id"), F.explode("m.teams").alias("t"))
-    return teams.select("match_id", F.col("t.teamId").alias("team_id"), F.explode("t.bans").alias("b")).select("match_id", "team_id", F.col("b.pickTurn").alias("pick_turn"), F.col("b.championId").alias("champion_id")).where("champion_id > 0")
+def match_bans(raw: DataFrame, *carried: str) -> DataFrame:
+    teams = raw.select(*carried, F.col("m.matchId").alias("match_id"), F.explode("m.teams").alias("t"))
+    return teams.select(*carried, "match_id", F.col("t.teamId").alias("team_id"), F.explode("t.bans").alias("b")).select(*carried, "match_id", "team_id", F.col("b.pickTurn").alias("pick_turn"), F.col("b.championId").alias("champion_id")).where("champion_id > 0")
 
 
 def conform_queue(matches: DataFrame) -> DataFrame:
@@ -92,13 +93,27 @@ def patch_dimension(versions: DataFrame, matches: DataFrame, patches: DataFrame,
     return every.crossJoin(F.broadcast(newest)).select("patch", "released_at", (F.col("patch") == F.col("newest")).alias("is_active"))
 
 
-def upserted(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows over current ones; `change` tells inserted, updated, same."""
+def last_of_each(rows: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """One row a key: the newest, of equally new ones that with the largest values."""
+    values = [c for c in rows.columns if c not in keys and c != newest]
+    if not values and not newest:
+        return rows.distinct()
+    order = Window.partitionBy(*keys).orderBy(*([F.desc(newest)] if newest else []), *[F.desc(c) for c in values])
+    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def upserted(current: DataFrame, incoming: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """Incoming rows over current ones, of several incoming rows of a key the one
+    with the highest `newest`; `change` tells inserted, updated, same. Keys may be
+    null, which is a value of its own."""
+    incoming = last_of_each(incoming, keys, newest)
     values = [c for c in incoming.columns if c not in keys]
-    now, then = F.struct(*[f"n.{c}" for c in values]), F.struct(*[f"c.{c}" for c in values])
-    joined = current.withColumn("_c", F.lit(1)).alias("c").join(incoming.withColumn("_n", F.lit(1)).alias("n"), keys, "full")
-    change = F.when(F.col("_c").isNull(), "inserted").when(F.col("_n").isNull(), "kept").when(now.eqNullSafe(then), "same").otherwise("updated")
-    return joined.select(*keys, *[F.when(F.col("_n").isNull(), F.col(f"c.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in values], change.alias("change"))
+    now, then = (F.struct(*[f"{side}.{c}" for c in values]) for side in "nc")
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    joined = current.withColumn("_c", F.lit(1)).alias("c").join(incoming.withColumn("_n", F.lit(1)).alias("n"), on, "full")
+    same = now.eqNullSafe(then) if values else F.lit(True)
+    change = F.when(F.col("_c").isNull(), "inserted").when(F.col("_n").isNull(), "kept").when(same, "same").otherwise("updated")
+    return joined.select(*[F.when(F.col("_n").isNull(), F.col(f"c.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in (*keys, *values)], change.alias("change"))
 
 
 def rune_versions(perks: DataFrame, styles: DataFrame, current: DataFrame) -> DataFrame:
@@ -135,12 +150,14 @@ def item_versions(raw_items: DataFrame, current: DataFrame) -> DataFrame:
 
 def upsert_summoners(current: DataFrame, incoming: DataFrame, mentioned: DataFrame) -> DataFrame:
     """The newest row of each puuid, names trimmed and with upper-case keys;
-    puuids that are only mentioned become stubs that keep an old timestamp."""
-    cols = ["puuid", "summoner_id", "game_name", "tag_line", "platform_region", "updated_at"]
-    both = current.select(*cols, F.lit(0).alias("_new")).unionByName(incoming.select(*cols, F.lit(1).alias("_new")))
+    puuids that are only mentioned become stubs that keep an old timestamp. The
+    result may be the current table of the next run."""
+    cols = ["puuid", "summoner_id", "game_name", "tag_line", "platform_region", "updated_at", "is_stub"]
+    whole = lambda df, new: df.withColumns({c: v for c, v in {"summoner_id": F.lit(None).cast("long"), "is_stub": F.lit(False)}.items() if c not in df.columns}).select(*cols, F.lit(new).alias("_new"))
+    both = whole(current, 0).unionByName(whole(incoming, 1))
     both = both.withColumn("puuid", blank_to_null(F.col("puuid"))).where("puuid is not null")
     order = Window.partitionBy("puuid").orderBy(F.desc("updated_at"), F.desc("summoner_id"), F.desc("_new"))
-    rows = both.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("puuid", F.trim("game_name").alias("game_name"), F.trim("tag_line").alias("tag_line"), "platform_region", "updated_at", F.lit(False).alias("is_stub"))
+    rows = both.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("puuid", F.trim("game_name").alias("game_name"), F.trim("tag_line").alias("tag_line"), "platform_region", "updated_at", "is_stub")
     stubs = mentioned.select(blank_to_null(F.col("puuid")).alias("puuid")).where("puuid is not null").distinct().join(rows, "puuid", "left_anti")
     none = F.lit(None).cast("string")
     rows = rows.unionByName(stubs.select("puuid", none.alias("game_name"), none.alias("tag_line"), none.alias("platform_region"), F.lit(0).cast("long").alias("updated_at"), F.lit(True).alias("is_stub")))
@@ -150,17 +167,27 @@ def upsert_summoners(current: DataFrame, incoming: DataFrame, mentioned: DataFra
 RANK_VALUES = ["tier", "division", "league_points", "wins", "losses"]
 
 
+RANK_KEY = ["puuid", "queue_type"]
+
+
 def upsert_ranks(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    return upserted(current.select("puuid", "queue_type", *RANK_VALUES), incoming.select("puuid", "queue_type", *RANK_VALUES), ["puuid", "queue_type"])
+    """Current ranks after the incoming observations, the newest (by updated_at, if
+    they have it) of each player and queue."""
+    new = last_of_each(incoming, RANK_KEY, "updated_at" if "updated_at" in incoming.columns else None)
+    return upserted(current.select(*RANK_KEY, *RANK_VALUES), new.select(*RANK_KEY, *RANK_VALUES), RANK_KEY)
 
 
 def rank_history(current: DataFrame, incoming: DataFrame, history: DataFrame) -> DataFrame:
-    """Current rows that the incoming ones change and that history hasn't yet."""
-    key = ["puuid", "queue_type"]
-    now = F.struct(*[f"n.{c}" for c in RANK_VALUES])
-    then = F.struct(*[f"c.{c}" for c in RANK_VALUES])
-    old = current.alias("c").join(incoming.alias("n"), key).where(~now.eqNullSafe(then)).select(*key, *[F.col(f"c.{c}").alias(c) for c in RANK_VALUES])
-    return old.join(history, [*key, *RANK_VALUES], "left_anti")
+    """States that a later one replaces and that history hasn't yet, each once. The
+    current row and the incoming observations of a player and queue are one
+    sequence, in the order of updated_at (if they have it)."""
+    at = F.col("updated_at") if "updated_at" in incoming.columns else F.lit(0)
+    seen = current.select(*RANK_KEY, *RANK_VALUES, F.lit(0).alias("_new"), F.lit(0).cast("long").alias("_at")).unionByName(incoming.select(*RANK_KEY, *RANK_VALUES, F.lit(1).alias("_new"), at.cast("long").alias("_at")))
+    state = F.struct(*RANK_VALUES)
+    after = F.lead(state).over(Window.partitionBy(*RANK_KEY).orderBy("_new", "_at", *RANK_VALUES))
+    replaced = seen.withColumn("_after", after).where(F.col("_after").isNotNull() & ~state.eqNullSafe(F.col("_after"))).select(*RANK_KEY, *RANK_VALUES).distinct()
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*RANK_KEY, *RANK_VALUES)]
+    return replaced.alias("r").join(history.alias("h"), same, "left_anti")
 
 
 def insert_new_matches(existing: DataFrame, incoming: DataFrame, patch: str | None = None, history_scope: bool = True) -> DataFrame:
@@ -190,6 +217,12 @@ def timeline_snapshots(matches: DataFrame, participants: DataFrame, frames: Data
     return rows.select("match_id", "participant_id", F.lit(minute).alias("minute_mark"), F.col("total_gold").alias("gold"), "xp", "cs", "level", "timestamp_ms", flags.alias("quality_flags"))
 
 
+def replaced(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows after new ones, which replace all that their keys had: snapshots of a
+    match and minute mark, rune selections of a participant."""
+    return current.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*current.columns))
+
+
 def backfill_rune_selections(runes: DataFrame, versions: DataFrame) -> DataFrame:
     """New trees, styles and places of participants whose rows have all lost
     them (tree 0, place 0, style 0)."""
@@ -224,8 +257,9 @@ def backfill_match_status(matches: DataFrame, participants: DataFrame, now_ms: i
 
 def fold_fetch_attempts(attempts: DataFrame, now_ms: int, delays: list[int] = MATCH_DELAYS, most: int = MAX_MATCH_FAILURES, state: DataFrame | None = None) -> DataFrame:
     """State of each match after its log of attempts (match_id, match_date, at,
-    ok). Failures count since the last success; the n-th waits delays[n - 1]. An
-    earlier state (as returned) goes on; attempts up to its last one are in it."""
+    ok). Failures count since the last success, up to `most`, which is final; the
+    n-th waits delays[n - 1]. An earlier state (as returned) goes on; attempts up to
+    its last one are in it."""
     if state is not None:
         then = state.select("match_id", F.col("last_attempt_at").alias("_then"))
         attempts = attempts.join(then, "match_id", "left").where("_then is null or at > _then").drop("_then")
@@ -237,6 +271,7 @@ def fold_fetch_attempts(attempts: DataFrame, now_ms: int, delays: list[int] = MA
         n, s = (lambda c: F.col(f"n.{c}")), (lambda c: F.col(f"s.{c}"))
         kept = F.when(n("last_success_at").isNull(), F.coalesce(s("failures"), F.lit(0))).otherwise(0)
         got = got.alias("n").join(state.alias("s"), "match_id", "full").select("match_id", F.coalesce(n("match_date"), s("match_date")).alias("match_date"), (kept + F.coalesce(n("failures"), F.lit(0))).alias("failures"), *[F.coalesce(n(c), s(c)).alias(c) for c in ("last_attempt_at", "last_success_at")])
+    got = got.withColumn("failures", F.least("failures", F.lit(most).cast("long")))
     old = F.lit(now_ms) - F.col("match_date") > RETENTION_DAYS * DAY
     status = F.when(old, OUTSIDE_RETENTION).when(F.col("failures") == 0, SUCCESS).when(F.col("failures") >= most, PERMANENT_FAILURE).otherwise(TEMPORARY_FAILURE)
     wait = F.get(F.array(*[F.lit(d) for d in delays]), F.least(F.col("failures"), F.lit(len(delays))).cast("int") - 1)
@@ -249,29 +284,49 @@ NOT_APPLICABLE, MAX_TIMELINE_FAILURES, MAX_TIMELINE_DELAY = 4, 4, 300
 ROUTED_PLATFORMS = ["BR1", "EUN1", "EUW1", "JP1", "KR", "LA1", "LA2", "ME1", "NA1", "OC1", "PBE1", "PH2", "RU", "SG2", "TH2", "TR1", "TW2", "VN2"]
 
 
-def fold_timeline_attempts(attempts: DataFrame, most: int = MAX_TIMELINE_FAILURES) -> DataFrame:
-    """Timeline state of each match after its log of attempts (match_id, queue_id,
-    at, ok). Matches outside of ranked solo are not applicable; a match id whose
-    platform has no route fails for good; the first success is final, so is the
-    `most`-th failure before it; the n-th failure waits 30 seconds times 2^(n-1),
-    300 at most."""
-    failures = F.count_if(~F.col("ok")).over(Window.partitionBy("match_id").orderBy("at", "ok").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = attempts.withColumn("_nth", failures)
-    got = rows.groupBy("match_id").agg(
-        F.max("queue_id").alias("queue_id"), F.min("at").alias("_began"), F.max("at").alias("_last"), F.min(F.when(F.col("ok"), F.col("at"))).alias("_ok"),
-        F.min(F.when(~F.col("ok") & (F.col("_nth") == most), F.col("at"))).alias("_out"), F.count_if(~F.col("ok")).alias("_failed"),
-    )
+def timeline_state(attempts: DataFrame, most: int = MAX_TIMELINE_FAILURES) -> DataFrame:
+    """What a log of attempts (match_id, queue_id, at, ok) says of each match, in a
+    bounded form that merges: match_id, queue_id, began, last, ok_at (the first
+    success) and failed_at (the `most` earliest failures)."""
+    nth = F.count_if(~F.col("ok")).over(Window.partitionBy("match_id").orderBy("at", "ok").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    early = F.when(~F.col("ok") & (F.col("_nth") <= most), F.col("at"))
+    return attempts.withColumn("_nth", nth).groupBy("match_id").agg(F.max("queue_id").alias("queue_id"), F.min("at").alias("began"), F.max("at").alias("last"), F.min(F.when(F.col("ok"), F.col("at"))).alias("ok_at"), F.array_sort(F.collect_list(early)).alias("failed_at"))
+
+
+def merged_timeline_states(states: list[DataFrame], most: int = MAX_TIMELINE_FAILURES) -> DataFrame:
+    """The states of logs that have no attempt in common as the state of all of
+    them, in any order and nesting."""
+    rows = states[0]
+    for other in states[1:]:
+        rows = rows.unionByName(other)
+    failed = F.slice(F.array_sort(F.flatten(F.collect_list("failed_at"))), 1, most)
+    return rows.groupBy("match_id").agg(F.max("queue_id").alias("queue_id"), F.min("began").alias("began"), F.max("last").alias("last"), F.min("ok_at").alias("ok_at"), failed.alias("failed_at"))
+
+
+def timeline_status(states: DataFrame, most: int = MAX_TIMELINE_FAILURES) -> DataFrame:
+    """Status, retry count and next attempt of each state. Matches outside of ranked
+    solo are not applicable; a match id whose platform has no route fails for good;
+    the first success is final, so is the `most`-th failure before it; the n-th
+    failure waits 30 seconds times 2^(n-1), 300 at most."""
     ranked = F.coalesce(F.col("queue_id") == RANKED_SOLO, F.lit(False))
     routed = match_platform(F.col("match_id")).isin(ROUTED_PLATFORMS)
-    out = F.col("_out").isNotNull() & (F.col("_ok").isNull() | (F.col("_out") < F.col("_ok")))
-    status = F.when(~ranked, NOT_APPLICABLE).when(~routed | out, PERMANENT_FAILURE).when(F.col("_ok").isNotNull(), SUCCESS).otherwise(TEMPORARY_FAILURE)
-    count = F.when(~ranked, 0).when(~routed | out, most).when(F.col("_ok").isNotNull(), 0).otherwise(F.col("_failed"))
-    last = F.when(~ranked, F.col("_last")).when(~routed, F.col("_began")).when(out, F.col("_out")).when(F.col("_ok").isNotNull(), F.col("_ok")).otherwise(F.col("_last"))
-    got = got.select("match_id", status.alias("status"), count.cast("int").alias("retry_count"), last.alias("last_attempt_at"))
+    gone = F.get("failed_at", F.lit(most - 1))
+    out = F.coalesce(gone.isNotNull() & (F.col("ok_at").isNull() | (gone < F.col("ok_at"))), F.lit(False))
+    status = F.when(~ranked, NOT_APPLICABLE).when(~routed | out, PERMANENT_FAILURE).when(F.col("ok_at").isNotNull(), SUCCESS).otherwise(TEMPORARY_FAILURE)
+    count = F.when(~ranked, 0).when(~routed | out, most).when(F.col("ok_at").isNotNull(), 0).otherwise(F.size("failed_at"))
+    last = F.when(~ranked, F.col("last")).when(~routed, F.col("began")).when(out, gone).when(F.col("ok_at").isNotNull(), F.col("ok_at")).otherwise(F.col("last"))
+    got = states.select("match_id", status.alias("status"), count.cast("int").alias("retry_count"), last.alias("last_attempt_at"))
     wait = F.least(F.lit(MAX_TIMELINE_DELAY), 30 * F.pow(F.lit(2), F.col("retry_count") - 1)).cast("long")
     return got.withColumn("next_attempt_at", F.when(F.col("status") == TEMPORARY_FAILURE, F.col("last_attempt_at") + wait * 1000))
 
 
+def fold_timeline_attempts(attempts: DataFrame, most: int = MAX_TIMELINE_FAILURES, state: DataFrame | None = None) -> DataFrame:
+    """Timeline status of each match after a log of attempts, which goes on behind
+    an earlier state if there is one."""
+    own = timeline_state(attempts, most)
+    return timeline_status(own if state is None else merged_timeline_states([state, own], most), most)
+
+
 def advance_cursors(cursors: DataFrame, runs: DataFrame) -> DataFrame:
     """Backfill cursors after one run each: they only move back, stand still if
     the run stopped early or failed, and count runs that brought nothing.

@@ -50,8 +50,11 @@ def live_games(raw: DataFrame, players: DataFrame) -> DataFrame:
 def live_participants(live: DataFrame, summoners: DataFrame, ranks: DataFrame, matches: DataFrame, participants: DataFrame, winrates: DataFrame, compat: bool = False) -> DataFrame:
     """Players of live games (game_id, team_id, puuid, champion_id) with the newest
     summoner row of their puuid, its solo tier, division and points, win rate and
-    KDA over all queues (null without such a row), and the champion's win rate."""
+    KDA over all queues (null without such a row), and the champion's win rate. The
+    tables are reduced to the live players before anything is aggregated."""
     scale = 100.0 if compat else 1.0
+    asked = live.select("puuid").where("puuid is not null").distinct()
+    summoners, ranks, participants = (df.join(asked, "puuid", "left_semi") for df in (summoners, ranks, participants))
     known = summoners.groupBy("puuid").agg(F.max_by("game_name", F.struct("updated_at", "summoner_id")).alias("game_name"), F.lit(True).alias("_known"))
     solo = ranks.where(F.col("queue_type") == "RANKED_SOLO_5x5").select("puuid", "tier", "division", "league_points")
     played = participants.join(visible_matches(matches).select("match_id"), "match_id", "left_semi")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..operators import ingest as I
 from ..sources import raw as R
 from ..sources.fixtures import Tables
-from .common import Query, oracle
+from ..sources.versioned import VersionedTable
+from ..streaming.matches import id_part
+from .common import Query, folder, oracle
 
 NOW = 901_929_600_000
 
@@ -48,23 +50,34 @@ def perk_styles(t: Tables):
     return styles.join(stats, "patch").select("patch", ((F.col("path") - 8000) / 100).cast("int").alias("place"), F.col("path").cast("int").alias("style_id"), F.concat(F.lit("path "), "path").alias("style_name"), F.concat("slots", "stats").alias("slots"))
 
 
-def rune_versions(t: Tables):
-    """All patches; of the current rows some are missing, some differ and some are
-    of runes that nobody holds."""
-    r = F.col("rune_id")
-    now = I.rune_versions(perks(t), perk_styles(t), t.spark.createDataFrame([], "rune_id int, patch string, key string, name string, description string, path_id int, path_name string, slot int"))
+def fresh_runes(t: Tables):
+    return I.rune_versions(perks(t), perk_styles(t), t.spark.createDataFrame([], "rune_id int, patch string, key string, name string, description string, path_id int, path_name string, slot int"))
+
+
+def rune_sides(t: Tables):
+    """Current rows of all patches, of which some are missing, some differ and some
+    are of runes that nobody holds; and the fresh ones."""
+    r, now = F.col("rune_id"), fresh_runes(t)
     there = now.drop("change").where("rune_id % 3 <> 0").withColumn("name", F.when(r % 5 == 0, F.lit("old name")).otherwise(F.col("name")))
     gone = t.patches.select(F.lit(9999).alias("rune_id"), "patch", F.lit("k").alias("key"), F.lit("n").alias("name"), F.lit("d").alias("description"), F.lit(0).alias("path_id"), F.lit(None).cast("string").alias("path_name"), F.lit(0).alias("slot"))
-    return I.rune_versions(perks(t), perk_styles(t), there.unionByName(gone))
+    return there.unionByName(gone), now
 
 
-def item_versions(t: Tables):
+def rune_versions(t: Tables):
+    return I.rune_versions(perks(t), perk_styles(t), rune_sides(t)[0])
+
+
+def item_sides(t: Tables):
     """All patches, of each the known items that participants hold in it."""
     held = t.items.join(t.matches.select("match_id", "patch"), "match_id").select("patch", "item_id").distinct()
     v = t.item_versions.join(held, ["patch", "item_id"], "left_semi")
     dirty = v.select("item_id", "patch", F.when(F.col("in_store"), F.lit(None)).otherwise(F.lit(False)).alias("in_store"), F.when(F.col("price_total") > 0, F.col("price_total")).alias("price_total"), F.concat("builds_into", F.array(F.lit(0)), "builds_into").alias("builds_into"), F.concat("builds_from", F.array(F.lit(-1))).alias("builds_from"), F.concat(F.transform("tags", lambda x: F.concat(F.lit(" "), x)), F.array(F.lit("")), F.transform("tags", lambda x: F.upper(x))).alias("tags"))
     current = t.item_versions.where("item_id % 4 <> 0").withColumn("price_total", F.when(F.col("item_id") % 6 == 0, F.col("price_total") + 1).otherwise(F.col("price_total")))
-    got = I.item_versions(dirty, current)
+    return dirty, current
+
+
+def item_versions(t: Tables):
+    got = I.item_versions(*item_sides(t))
     return got.withColumns({c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("builds_into", "builds_from", "tags")})
 
 
@@ -79,19 +92,119 @@ def current_ranks(t: Tables):
 
 
 def incoming_ranks(t: Tables):
+    """The newest observation of each rank, and of each fifth one two earlier ones."""
     changed = t.ranks.withColumn("league_points", F.col("league_points") + F.when(F.col("wins") % 4 == 0, 7).otherwise(0))
-    return renamed(changed, "wins % 2 = 0", "N_")
+    fifth = changed.where("wins % 5 = 0")
+    earlier = lambda n: fifth.withColumn("league_points", F.col("league_points") + 100 * n).withColumn("updated_at", F.col("updated_at") - n)
+    return renamed(earlier(1).unionByName(changed).unionByName(earlier(2)), "wins % 2 = 0", "N_")
 
 
-def rank_history(t: Tables):
+def had_ranks(t: Tables):
     had = t.ranks.withColumn("losses", F.when(F.col("wins") % 8 == 0, F.col("losses")).otherwise(F.col("losses") + 1))
-    return I.rank_history(current_ranks(t), incoming_ranks(t), had.select("puuid", "queue_type", *I.RANK_VALUES))
+    return had.select(*I.RANK_KEY, *I.RANK_VALUES)
 
 
-def upsert_summoners(t: Tables):
+def rank_history(t: Tables):
+    return I.rank_history(current_ranks(t), incoming_ranks(t), had_ranks(t))
+
+
+def summoner_sides(t: Tables):
     current = renamed(t.summoners, "summoner_id % 3 <> 0", "C_")
     incoming = t.summoners.withColumn("game_name", F.concat(F.lit("  "), "game_name", F.lit("2 "))).withColumn("updated_at", F.col("updated_at") + F.when(F.col("summoner_id") % 4 == 0, -1000).otherwise(1000))
-    return I.upsert_summoners(current, renamed(incoming, "summoner_id % 2 = 0", "N_"), t.participants)
+    return current, renamed(incoming, "summoner_id % 2 = 0", "N_")
+
+
+def upsert_summoners(t: Tables):
+    return I.upsert_summoners(*summoner_sides(t), t.participants)
+
+
+def by_puuid(t: Tables, at: str) -> VersionedTable:
+    return VersionedTable(t.spark, at, F.pmod(F.xxhash64("puuid"), F.lit(8)))
+
+
+def merged_twice(table: VersionedTable, current, incoming, keys: list[str], newest: str | None = None):
+    """The table after the incoming rows, which are merged once more: nothing may
+    change by that."""
+    table.replace(current)
+    table.merge(incoming, keys, newest)
+    version = table.pointer()["version"]
+    table.merge(incoming, keys, newest)
+    if table.pointer()["version"] != version:
+        raise RuntimeError("a second merge of the same rows has changed the table")
+    return table.read()
+
+
+def sink_rune_versions(t: Tables):
+    kept, _ = rune_sides(t)
+    return merged_twice(VersionedTable(t.spark, folder(t.spark), F.col("patch")), kept, fresh_runes(t).drop("change"), ["rune_id", "patch"])
+
+
+def sink_item_versions(t: Tables):
+    dirty, current = item_sides(t)
+    new = I.item_versions(dirty, current.where("false")).drop("change")
+    got = merged_twice(VersionedTable(t.spark, folder(t.spark), F.col("patch")), current.select(*new.columns), new, ["item_id", "patch"])
+    return got.withColumns({c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("builds_into", "builds_from", "tags")})
+
+
+def sink_ranks(t: Tables):
+    """History first, then the ranks, so that a run that stops in between can start
+    again; both once more change nothing."""
+    at, state = folder(t.spark), [*I.RANK_KEY, *I.RANK_VALUES]
+    ranks, history = by_puuid(t, f"{at}/ranks"), by_puuid(t, f"{at}/history")
+    ranks.replace(current_ranks(t).select(*state))
+    history.replace(had_ranks(t))
+    seen = incoming_ranks(t)
+    incoming = I.last_of_each(seen, I.RANK_KEY, "updated_at").select(*state)
+    for _ in range(2):
+        names = ranks.names_in(incoming)
+        history.merge(I.rank_history(ranks.read(names), seen, history.read(names)), state)
+        ranks.merge(incoming, I.RANK_KEY)
+        seen = incoming  # the run again, which knows the last states only
+    both = ranks.read().withColumn("kind", F.lit("current")).unionByName(history.read().withColumn("kind", F.lit("history")))
+    return both
+
+
+def sink_summoners(t: Tables):
+    current, incoming = summoner_sides(t)
+    table = by_puuid(t, folder(t.spark))
+    none = current.where("false")
+    table.replace(I.upsert_summoners(current, none, none))
+    for _ in range(2):
+        names = table.names_in(incoming.select("puuid").unionByName(t.participants.select("puuid")))
+        changed = table.rewrite(I.upsert_summoners(table.read(names), incoming, t.participants))
+    if changed:
+        raise RuntimeError("a second run over the same rows has changed the table")
+    return table.read()
+
+
+def sink_timeline_snapshots(t: Tables):
+    """Snapshots over earlier ones of the same marks, also of participants that
+    aren't there any more, and of another mark, which stay."""
+    new = I.timeline_snapshots(t.matches, t.participants, with_lost_puuids(t)).withColumn("part", id_part(F.col("match_id")))
+    table = VersionedTable(t.spark, folder(t.spark), F.col("part"))
+    stale = new.withColumn("gold", F.lit(-1).cast(new.schema["gold"].dataType))
+    gone = stale.withColumn("participant_id", F.lit(99).cast(new.schema["participant_id"].dataType)).distinct()
+    other = stale.withColumn("minute_mark", F.lit(10).cast(new.schema["minute_mark"].dataType))
+    table.replace(stale.unionByName(gone).unionByName(other))
+    for _ in range(2):
+        changed = table.rewrite(I.replaced(table.read(table.names_in(new)), new, ["match_id", "minute_mark"]))
+    if changed:
+        raise RuntimeError("a second run over the same rows has changed the table")
+    return table.read().drop("part")
+
+
+def sink_rune_selections(t: Tables):
+    """All selections by patch, those of participants that had lost them repaired."""
+    stored = t.runes.select("patch", "match_id", "participant_id", "rune_id", "tree", "idx", "style_id")
+    table = VersionedTable(t.spark, folder(t.spark), F.col("patch"))
+    table.replace(stored)
+    for _ in range(2):
+        rows = table.read()
+        repaired = I.backfill_rune_selections(rows, t.rune_versions).join(rows.select("match_id", "patch").distinct(), "match_id")
+        changed = table.rewrite(I.replaced(table.read(table.names_in(repaired)), repaired, ["match_id", "participant_id"]))
+    if changed:
+        raise RuntimeError("a second run over the same rows has changed the table")
+    return table.read()
 
 
 def match_sides(t: Tables):
@@ -132,6 +245,13 @@ def timeline_attempts(t: Tables):
     return m.select("match_id", "queue_id", (F.col("match_date") + F.col("n") * 60_000).alias("at"), ok.alias("ok"))
 
 
+def merged_timeline_logs(t: Tables):
+    """The state of a log that came in three parts, folded apart and merged."""
+    log = timeline_attempts(t)
+    parts = [I.timeline_state(log.where(F.col("at") % 3 == k)) for k in (2, 0, 1)]
+    return I.timeline_status(I.merged_timeline_states([I.merged_timeline_states(parts[:2]), parts[2]]))
+
+
 def cursors(t: Tables):
     return t.summoners.where("summoner_id % 4 <> 0").select("puuid", F.lit("history").alias("scope"), F.when(F.col("summoner_id") % 5 != 0, F.lit(800_000_000)).cast("long").alias("before_epoch_s"), (F.col("summoner_id") % 3).cast("int").alias("noop_runs"), F.lit(1).alias("version"))
 
@@ -156,6 +276,18 @@ FACTS = "p.match_id, m.match_date, m.duration, m.patch, m.queue_id, p.participan
 BLANK = "(p.match_key % 71 = 0 AND p.participant_id = 1)"
 UNKNOWN = "(cast(replace(p.puuid, 'P_', '') as int) % 500 = 7)"
 TABLES = ("participants", "matches")
+
+
+def without_change(name: str) -> str:
+    return f"SELECT * EXCLUDE (change) FROM ({QUERIES[name][1]})"
+
+
+#: The states of each rank in their order, and those that history gets.
+RANKS_SQL = """obs AS (SELECT CASE WHEN wins % 3 = 0 THEN 'C_' ELSE '' END || puuid AS puuid, queue_type, tier, division, league_points, wins, losses, 0 AS n FROM ranks
+    UNION ALL SELECT CASE WHEN wins % 2 = 1 THEN 'N_' ELSE '' END || puuid, queue_type, tier, division, league_points + CASE WHEN wins % 4 = 0 THEN 7 ELSE 0 END + CASE WHEN k < 3 THEN 100 * (3 - k) ELSE 0 END, wins, losses, k FROM ranks, (SELECT unnest([1, 2, 3]) AS k) WHERE k = 3 OR wins % 5 = 0),
+  sq AS (SELECT *, lead(league_points) OVER (PARTITION BY puuid, queue_type ORDER BY n) AS nxt FROM obs),
+  hi AS (SELECT DISTINCT puuid, queue_type, tier, division, league_points, wins, losses FROM sq WHERE nxt <> league_points
+    EXCEPT SELECT puuid, queue_type, tier, division, league_points, wins, CASE WHEN wins % 8 = 0 THEN losses ELSE losses + 1 END FROM ranks)"""
 QUERIES: dict[str, Query] = {
     "match_facts": (lambda t: I.match_facts(raw(t), known(t)), oracle(TABLES, f"bad AS (SELECT DISTINCT match_id FROM participants p WHERE {BLANK} OR {UNKNOWN}) SELECT {FACTS}, false AS is_stub FROM participants p JOIN matches m ON p.match_id = m.match_id WHERE p.match_id NOT IN (SELECT match_id FROM bad)")),
     "match_facts_lenient": (lambda t: I.match_facts(raw(t), known(t), "lenient"), oracle(TABLES, f"one AS (SELECT 1) SELECT {FACTS}, {UNKNOWN} AS is_stub FROM participants p JOIN matches m ON p.match_id = m.match_id WHERE NOT {BLANK}")),
@@ -199,7 +331,7 @@ QUERIES: dict[str, Query] = {
         oracle(("ranks",), """cur AS (SELECT * REPLACE (CASE WHEN wins % 3 = 0 THEN 'C_' ELSE '' END || puuid AS puuid) FROM ranks), inc AS (SELECT * REPLACE (CASE WHEN wins % 2 = 1 THEN 'N_' ELSE '' END || puuid AS puuid, league_points + CASE WHEN wins % 4 = 0 THEN 7 ELSE 0 END AS league_points) FROM ranks)
           SELECT coalesce(i.puuid, c.puuid) AS puuid, coalesce(i.queue_type, c.queue_type) AS queue_type, coalesce(i.tier, c.tier) AS tier, coalesce(i.division, c.division) AS division, coalesce(i.league_points, c.league_points) AS league_points, coalesce(i.wins, c.wins) AS wins, coalesce(i.losses, c.losses) AS losses, CASE WHEN c.puuid IS NULL THEN 'inserted' WHEN i.puuid IS NULL THEN 'kept' WHEN i.league_points = c.league_points THEN 'same' ELSE 'updated' END AS change FROM cur c FULL JOIN inc i ON c.puuid = i.puuid AND c.queue_type = i.queue_type"""),
     ),
-    "rank_history": (rank_history, oracle(("ranks",), "one AS (SELECT 1) SELECT puuid, queue_type, tier, division, league_points, wins, losses FROM ranks WHERE wins % 3 <> 0 AND wins % 4 = 0 AND wins % 8 <> 0")),
+    "rank_history": (rank_history, oracle(("ranks",), RANKS_SQL + " SELECT * FROM hi")),
     "insert_new_matches": (insert_new_matches, oracle(("matches",), "one AS (SELECT 1) SELECT match_id, match_date, patch, queue_id, queue_type FROM matches WHERE match_key % 3 <> 0 AND match_key % 5 <> 0 AND queue_id <> 0")),
     "timeline_snapshots": (
         lambda t: I.timeline_snapshots(t.matches, t.participants, with_lost_puuids(t)),
@@ -219,7 +351,7 @@ QUERIES: dict[str, Query] = {
         oracle(("matches",), """lg AS (SELECT match_id, match_date + 86400000000 AS match_date, match_key, status, retry_count, unnest(range(0, retry_count + 1)) AS n FROM matches),
           lo AS (SELECT *, match_date + n * 60000 AS tried, (n = retry_count AND status = 1) OR (n = 1 AND match_key % 3 = 0) AS ok FROM lg), ls AS (SELECT *, max(tried) FILTER (WHERE ok) OVER (PARTITION BY match_id) AS ok_at FROM lo),
           fo AS (SELECT match_id, max(match_date) AS match_date, count(*) FILTER (WHERE NOT ok AND (ok_at IS NULL OR tried > ok_at)) AS failures, max(tried) AS last_attempt_at, max(ok_at) AS last_success_at FROM ls GROUP BY 1),
-          st AS (SELECT *, CASE WHEN 978307200000 - match_date > 63072000000 THEN 4 WHEN failures = 0 THEN 1 WHEN failures >= 5 THEN 3 ELSE 2 END AS status FROM fo)
+          st AS (SELECT *, CASE WHEN 978307200000 - match_date > 63072000000 THEN 4 WHEN failures = 0 THEN 1 WHEN failures >= 5 THEN 3 ELSE 2 END AS status FROM (SELECT * REPLACE (least(failures, 5) AS failures) FROM fo))
           SELECT *, CASE WHEN status = 2 THEN last_attempt_at + 1000 * CASE failures WHEN 1 THEN 30 WHEN 2 THEN 60 WHEN 3 THEN 120 ELSE 300 END END AS next_attempt_at FROM st"""),
     ),
     "fold_timeline_attempts": (
@@ -247,5 +379,24 @@ QUERIES: dict[str, Query] = {
         oracle(("rune_versions", "runes"), "held AS (SELECT * FROM rune_versions WHERE (patch, rune_id) IN (SELECT (patch, rune_id) FROM runes)) SELECT patch, rune_id, path_id, CASE WHEN path_id = 5000 THEN 1000 ELSE 0 END + slot * 100 + row_number() OVER (PARTITION BY patch, path_id, slot ORDER BY rune_id) - 1 AS order_key FROM held"),
     ),
 }
+QUERIES |= {
+    "sink_rune_versions": (sink_rune_versions, without_change("rune_versions")),
+    "sink_item_versions": (sink_item_versions, without_change("item_versions")),
+    "sink_summoners": (sink_summoners, QUERIES["upsert_summoners"][1]),
+    "sink_ranks": (
+        sink_ranks,
+        oracle(("ranks",), RANKS_SQL + """, al AS (SELECT puuid, queue_type, tier, division, league_points, wins, losses, 'current' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY puuid, queue_type ORDER BY n DESC) AS back FROM obs) WHERE back = 1
+          UNION ALL SELECT *, 'history' FROM hi UNION ALL SELECT puuid, queue_type, tier, division, league_points, wins, CASE WHEN wins % 8 = 0 THEN losses ELSE losses + 1 END, 'history' FROM ranks) SELECT * FROM al"""),
+    ),
+    "sink_timeline_snapshots": (
+        sink_timeline_snapshots,
+        f"SELECT * FROM ({QUERIES['timeline_snapshots'][1]}) UNION ALL SELECT match_id, participant_id, 10, -1, xp, cs, level, timestamp_ms, quality_flags FROM ({QUERIES['timeline_snapshots'][1]})",
+    ),
+    "sink_rune_selections": (
+        sink_rune_selections,
+        oracle(("runes",), f"rp AS ({QUERIES['backfill_rune_selections'][1]}), al AS (SELECT patch, match_id, participant_id, rune_id, tree, idx, style_id FROM runes WHERE match_key % 19 <> 0 UNION ALL SELECT x.patch, rp.match_id, rp.participant_id, rp.rune_id, rp.tree, rp.idx, rp.style_id FROM rp JOIN (SELECT DISTINCT match_id, patch FROM runes) x ON rp.match_id = x.match_id) SELECT * FROM al"),
+    ),
+    "merged_timeline_logs": (merged_timeline_logs, QUERIES["fold_timeline_attempts"][1]),
+}
 #: The names that the queries over all rows had beside those over some.
 QUERIES |= {"upsert_all_summoners": QUERIES["upsert_summoners"], "upsert_all_ranks": QUERIES["upsert_ranks"]}

@@ -64,10 +64,11 @@ def age_sql(then: str) -> str:
 
 
 def live_rows(t: Tables):
-    """Players that are in a game as teams of it: by the game's id and parity."""
+    """Players that are in a game as teams of it: ten neighbouring numbers share a
+    game, parity is the team."""
     last = L.live_state_latest(t.live_snapshots, NOW).where("state = 'in_game'")
     n = F.regexp_replace("puuid", "P_", "").cast("int")
-    return last.select((F.col("game_id") % 40).alias("game_id"), F.when(n % 2 == 1, 100).otherwise(200).alias("team_id"), "puuid", (n % 50 + 1).cast("int").alias("champion_id"))
+    return last.select(F.floor(n / 10).alias("game_id"), F.when(n % 2 == 1, 100).otherwise(200).alias("team_id"), "puuid", (n % 50 + 1).cast("int").alias("champion_id"))
 
 
 def live_summoners(t: Tables):
@@ -82,10 +83,11 @@ def live_participants(t: Tables):
 
 
 LATEST = "lst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY puuid, platform_region ORDER BY observed_at DESC, event_id DESC) AS n FROM live_snapshots) WHERE n = 1)"
-LIVE = f"""{RANKED}, {SOLO}, {WINRATES}, {LATEST}, lv AS (SELECT game_id % 40 AS game_id, CASE WHEN cast(replace(puuid, 'P_', '') as int) % 2 = 1 THEN 100 ELSE 200 END AS team_id, puuid, cast(replace(puuid, 'P_', '') as int) % 50 + 1 AS champion_id FROM lst WHERE state = 'in_game'),
+LIVE = f"""{RANKED}, {SOLO}, {WINRATES}, {LATEST}, lv AS (SELECT cast(replace(puuid, 'P_', '') as bigint) // 10 AS game_id, CASE WHEN cast(replace(puuid, 'P_', '') as int) % 2 = 1 THEN 100 ELSE 200 END AS team_id, puuid, cast(replace(puuid, 'P_', '') as int) % 50 + 1 AS champion_id FROM lst WHERE state = 'in_game'),
   st AS (SELECT puuid, count(*) FILTER (WHERE win) / count(*) AS recent_win_rate, (avg(kills) + avg(assists)) / greatest(1, avg(deaths)) AS recent_kda FROM participants WHERE match_id IN (SELECT match_id FROM matches WHERE status <> 3) GROUP BY 1),
   cw AS (SELECT champion_id, sum(win_rate * games) / sum(games) AS champion_win_rate FROM wr GROUP BY 1),
   lp AS (SELECT l.*, k.game_name, s.tier, s.division, s.league_points, st.recent_win_rate, st.recent_kda, cw.champion_win_rate FROM lv l LEFT JOIN (SELECT * FROM summoners WHERE summoner_id % 29 <> 0) k ON l.puuid = k.puuid LEFT JOIN (SELECT * FROM ranks WHERE queue_type = 'RANKED_SOLO_5x5') s ON k.puuid = s.puuid LEFT JOIN st ON k.puuid = st.puuid LEFT JOIN cw ON l.champion_id = cw.champion_id)"""
+LIVE_PARTICIPANTS = oracle((*MORE, "live_snapshots", "summoners"), f"{LIVE} SELECT game_id, team_id, puuid, champion_id, game_name, tier, division, league_points, round(recent_win_rate, 6) AS recent_win_rate, round(recent_kda, 6) AS recent_kda, round(champion_win_rate, 6) AS champion_win_rate FROM lp")
 TIER_INDEX = "list_position(['IRON', 'BRONZE', 'SILVER', 'GOLD', 'PLATINUM', 'EMERALD', 'DIAMOND', 'MASTER', 'GRANDMASTER', 'CHALLENGER'], tier)"
 
 
@@ -177,10 +179,10 @@ QUERIES: dict[str, Query] = {
     ),
     "live_games": (
         lambda t: L.live_games(raw_live(t), t.summoners.select("puuid")),
-        oracle(("live_snapshots", "summoners"), f"""{LATEST}, lv AS (SELECT game_id % 40 AS game_id, CASE WHEN cast(replace(puuid, 'P_', '') as int) % 2 = 1 THEN 100 ELSE 200 END AS team_id, puuid, cast(replace(puuid, 'P_', '') as int) % 50 + 1 AS champion_id FROM lst WHERE state = 'in_game')
+        oracle(("live_snapshots", "summoners"), f"""{LATEST}, lv AS (SELECT cast(replace(puuid, 'P_', '') as bigint) // 10 AS game_id, CASE WHEN cast(replace(puuid, 'P_', '') as int) % 2 = 1 THEN 100 ELSE 200 END AS team_id, puuid, cast(replace(puuid, 'P_', '') as int) % 50 + 1 AS champion_id FROM lst WHERE state = 'in_game')
           SELECT s.puuid, CASE WHEN a.puuid IS NULL THEN 'offline' ELSE 'in_game' END AS state, a.game_id, CASE WHEN a.puuid IS NOT NULL THEN 420 END AS queue_id, a.game_id * 1000 AS started_at, a.game_id * 7 AS game_length, b.puuid AS participant_puuid, b.team_id, b.champion_id FROM summoners s LEFT JOIN lv a ON s.puuid = a.puuid LEFT JOIN lv b ON a.game_id = b.game_id"""),
     ),
-    "live_participants": (lambda t: rounded(live_participants(t)), oracle((*MORE, "live_snapshots", "summoners"), f"{LIVE} SELECT game_id, team_id, puuid, champion_id, game_name, tier, division, league_points, round(recent_win_rate, 6) AS recent_win_rate, round(recent_kda, 6) AS recent_kda, round(champion_win_rate, 6) AS champion_win_rate FROM lp")),
+    "live_participants": (lambda t: rounded(live_participants(t)), LIVE_PARTICIPANTS),
     "live_team_analysis": (
         lambda t: rounded(L.live_team_analysis(live_participants(t))),
         oracle((*MORE, "live_snapshots", "summoners"), f"""{LIVE}, tm AS (SELECT game_id, team_id, coalesce(avg(recent_win_rate), 0.5) AS recent, coalesce(avg(champion_win_rate), 0.5) AS champion, coalesce(avg({TIER_INDEX}), 3.0) AS rank FROM lp GROUP BY 1, 2),

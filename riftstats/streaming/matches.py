@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from ..functions.exprs import OUTSIDE_RETENTION
+from ..functions.exprs import OUTSIDE_RETENTION, PERMANENT_FAILURE, SUCCESS, TEMPORARY_FAILURE
 from ..operators import ingest as I
 from ..operators.ingest import DAY, MATCH_DELAYS, MAX_MATCH_FAILURES, RETENTION_DAYS, short_patch
+from ..operators.live import OTHER_POLL_SECONDS, POLL_SECONDS, live_participants
 from ..sources.raw import parse
+from ..sources.versioned import VersionedTable
 
 
 def landed(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame | None:
@@ -28,57 +30,95 @@ def landed(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame
         return spark.createDataFrame([], ddl) if ddl else None
 
 
+#: Numbers of matches whose ids are kept together, and parts of ids without a number.
+IDS_TOGETHER, ID_PARTS = 1_000_000, 64
+
+
+def id_part(match_id: F.Column) -> F.Column:
+    """The part of the landed ids that an id belongs to: its platform and the range
+    of its number. Ids of new matches lie close together, so a batch meets few
+    parts, however many matches have landed before."""
+    number = F.regexp_extract(match_id, "^([A-Za-z0-9]+)_([0-9]{1,15})$", 2)
+    near = F.concat_ws("-", F.regexp_extract(match_id, "^([A-Za-z0-9]+)_", 1), F.floor(number.cast("long") / IDS_TOGETHER))
+    return F.when(number != "", near).otherwise(F.concat(F.lit("x"), F.pmod(F.xxhash64(match_id), F.lit(ID_PARTS)).cast("string")))
+
+
+#: Tables that new_matches lands; all but the ids are partitioned by patch.
+LANDED = ("matches", "participants", "runes", "items", "bans")
+
+
+def landing_table(spark: SparkSession, sink: str, name: str) -> VersionedTable:
+    if name == "ids":
+        return VersionedTable(spark, f"{sink}/ids", id_part(F.col("match_id")), "match_id string")
+    return VersionedTable(spark, f"{sink}/{name}", F.col("patch"))
+
+
 def new_matches(lines: DataFrame, sink: str, checkpoint: str, known: DataFrame | None = None) -> DataStreamWriter:
     """Raw match lines to the sink's tables matches, participants, runes, items and
     bans, each match once, however old: repeats within a batch collapse, others
-    meet the ids that earlier batches landed in the same patches, so no state
-    grows. known: players so far; others become stubs, blank ones are dropped.
-    A batch's rows stand in a folder of their own, which a retry overwrites."""
+    meet the ids that earlier batches landed in the same parts, so no state grows
+    and nothing is late. known: players so far; others become stubs, blank ones are
+    dropped. A match without a version has no patch (null).
+
+    A batch's raw rows are written first and everything is made from them. The ids
+    come last; a batch that is run again overwrites its raw rows, which are the
+    same, and passes over the tables that it has reached. Folders of a partition
+    are rewritten as one from time to time, so a batch opens a bounded number."""
     rows = parse(lines).select(F.col("m.matchId").alias("match_id"), short_patch(F.col("m.gameVersion")).alias("patch"), "m")
 
     def land(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        patches = [r.patch for r in batch.select("patch").distinct().collect()]  # a few of the game's versions
-        before = landed(spark, f"{sink}/matches", "match_id string, patch string, batch long").where(F.col("patch").isin(patches) & (F.col("batch") < n)).select("match_id")
-        batch.dropDuplicates(["match_id"]).join(before, "match_id", "left_anti").select("m").write.mode("overwrite").parquet(f"{sink}/raw/batch={n}")
-        raw = spark.read.schema(batch.select("m").schema).parquet(f"{sink}/raw/batch={n}")
+        at = f"{sink}/raw/batch={n}"
+        batch.dropDuplicates(["match_id"]).write.mode("overwrite").parquet(at)
+        fresh = spark.read.schema(batch.schema).parquet(at)
+        ids = landing_table(spark, sink, "ids")
+        if ids.pointer()["label"] >= n:
+            return
+        raw = fresh.join(ids.read(ids.names_in(fresh)), "match_id", "left_anti").select("patch", "m")
         players = known if known is not None else spark.createDataFrame([], "puuid string")
-        put = lambda df, name: df.write.mode("overwrite").partitionBy(*[c for c in df.columns if c == "patch"]).parquet(f"{sink}/{name}/batch={n}")
-        put(I.match_facts(raw, players, "lenient").drop("match_date", "duration", "patch", "queue_id", "end_of_game_result"), "participants")
-        put(I.participant_runes(raw), "runes")
-        put(I.participant_items(raw), "items")
-        put(I.match_bans(raw), "bans")
-        put(I.match_headers(raw), "matches")  # last: its ids say what has been landed
+        put = lambda df, name: landing_table(spark, sink, name).append(df, n)
+        put(I.match_facts(raw, players, "lenient").drop("match_date", "duration", "queue_id", "end_of_game_result"), "participants")
+        put(I.participant_runes(raw, "patch"), "runes")
+        put(I.participant_items(raw, "patch"), "items")
+        put(I.match_bans(raw, "patch"), "bans")
+        put(I.match_headers(raw), "matches")
+        ids.append(raw.select("m.matchId").toDF("match_id"), n)
 
     return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def landed_table(spark: SparkSession, sink: str, name: str) -> DataFrame:
-    """One of the sink's tables."""
-    df = spark.read.parquet(f"{sink}/{name}").drop("batch")
-    return df.withColumn("patch", F.col("patch").cast("string")) if "patch" in df.columns else df
+    """One of the sink's tables. Participants, items and bans are partitioned by
+    their match's patch, which isn't a column of theirs."""
+    df = landing_table(spark, sink, name).read()
+    return df.drop("patch") if name in ("participants", "items", "bans") else df
+
+
+def with_state_store(spark: SparkSession) -> None:
+    """Operators with timers need the RocksDB state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 STATE = "match_date long, last_attempt_at long, last_success_at long, failed_at array<long>"
 OUT = "match_id string, failures int, last_attempt_at long, last_success_at long, status int, next_attempt_at long"
 
 
-def fetch_state(attempts: DataFrame, now_ms: int | None = None, forget_ms: int | None = None) -> DataFrame:
-    """State of each match after each batch of attempts (match_id, at, ok, and with
-    now_ms, which puts old matches outside of retention, match_date), whatever
-    the order in which they come: kept are the last success, the failures after it
-    and the latest attempt. With forget_ms
-    a match is forgotten when it had no attempt for so long (processing time, so
-    for triggers that go on: such a query never ends with what is there)."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        if state.hasTimedOut:
-            state.remove()
-            return
-        date, last, good, failed = state.get if state.exists else (None, None, None, [])
-        failed = np.array(failed, np.int64)
-        for f in frames:
-            if now_ms is not None:
+class FetchState(StatefulProcessor):
+    """Folds a match's attempts; forgets it keep_ms behind its last one."""
+
+    def __init__(self, now_ms: int | None, keep_ms: int, most: int):
+        self.now_ms, self.keep_ms, self.most = now_ms, keep_ms, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("attempts", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        date, last, good, failed = self.state.get() if self.state.exists() else (None, None, None, [])
+        before = last
+        failed = np.array(failed if failed is not None else [], np.int64)
+        for f in rows:
+            if self.now_ms is not None:
                 date = max([int(f["match_date"].max())] + [date] * (date is not None))
             at, ok = f["at"].to_numpy(np.int64), f["ok"].to_numpy(bool)
             last = max([int(at.max())] + [last] * (last is not None))
@@ -87,17 +127,101 @@ def fetch_state(attempts: DataFrame, now_ms: int | None = None, forget_ms: int |
             failed = np.concatenate((failed, at[~ok]))
             if good is not None:
                 failed = failed[failed > good]
-        state.update((date, last, good, failed.tolist()))
-        if forget_ms is not None:
-            state.setTimeoutDuration(forget_ms)
+            failed = np.sort(failed)[-self.most :]  # earlier ones don't change the outcome
+        self.state.update((date, last, good, failed.tolist()))
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.keep_ms)
+            self.handle.registerTimer(last + self.keep_ms)
         failures = len(failed)
-        status = 1 if not failures else 3 if failures >= MAX_MATCH_FAILURES else 2
-        if date is not None and now_ms - date > RETENTION_DAYS * DAY:
+        status = SUCCESS if not failures else PERMANENT_FAILURE if failures >= self.most else TEMPORARY_FAILURE
+        if date is not None and self.now_ms - date > RETENTION_DAYS * DAY:
             status = OUTSIDE_RETENTION
-        wait = MATCH_DELAYS[min(failures, len(MATCH_DELAYS)) - 1] * 1000 if status == 2 else None
+        wait = MATCH_DELAYS[min(failures, len(MATCH_DELAYS)) - 1] * 1000 if status == TEMPORARY_FAILURE else None
         yield pd.DataFrame({"match_id": [key[0]], "failures": [failures], "last_attempt_at": [last], "last_success_at": pd.array([good], "Int64"), "status": [status], "next_attempt_at": pd.array([None if wait is None else last + wait], "Int64")})
 
-    return attempts.groupBy("match_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def fetch_state(attempts: DataFrame, now_ms: int | None = None, keep_ms: int = RETENTION_DAYS * DAY, late: str = "7 days", most: int = MAX_MATCH_FAILURES) -> DataFrame:
+    """State of each match after each batch of attempts (match_id, at, ok, and with
+    now_ms, which puts old matches outside of retention, match_date), whatever
+    the order in which they come up to `late` behind the newest; older ones are
+    dropped. Kept of a match are the last success, the latest attempt and at most
+    `most` failures after the success; all is forgotten once the watermark is
+    keep_ms behind its last attempt."""
+    with_state_store(attempts.sparkSession)
+    timed = attempts.withColumn("_at", F.timestamp_millis("at")).withWatermark("_at", late)
+    return timed.groupBy("match_id").transformWithStateInPandas(FetchState(now_ms, keep_ms, most), OUT, "update", "EventTime")
+
+
+SEEN = "state string, game_id long, observed_at long, event_id long"
+POLL = "puuid string, platform_region string, state string, game_id long, observed_at long, event_id long, next_poll_at long, is_due boolean"
+
+
+class LivePolls(StatefulProcessor):
+    """Keeps each player's latest observation, with a timer for the next look."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", SEEN)
+
+    def row(self, key: tuple, last: tuple, due: bool) -> pd.DataFrame:
+        state, game, at, event = last
+        return pd.DataFrame({"puuid": [key[0]], "platform_region": [key[1]], "state": [state], "game_id": pd.array([game], "Int64"), "observed_at": [at], "event_id": [event], "next_poll_at": [self.next(last)], "is_due": [due]})
+
+    @staticmethod
+    def next(last: tuple) -> int:
+        return last[2] + POLL_SECONDS.get(last[0], OTHER_POLL_SECONDS) * 1000
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        was = tuple(self.last.get()) if self.last.exists() else None
+        last = was
+        for f in rows:
+            f = f.sort_values(["observed_at", "event_id"]).iloc[-1]
+            new = (f["state"], None if pd.isna(f["game_id"]) else int(f["game_id"]), int(f["observed_at"]), int(f["event_id"]))
+            if last is None or new[2:] > last[2:]:
+                last = new
+        if last != was:
+            if was is not None:
+                self.handle.deleteTimer(self.next(was))
+            self.last.update(last)
+            self.handle.registerTimer(self.next(last))
+            yield self.row(key, last, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.last.exists():
+            yield self.row(key, tuple(self.last.get()), True)
+
+    def close(self) -> None:
+        pass
+
+
+def live_states(snapshots: DataFrame, late: str = "5 minutes") -> DataFrame:
+    """Each player's latest observation whenever it changes (is_due false), in
+    whatever order rows come up to `late` behind the newest, and again when the
+    watermark passes its next_poll_at before a newer one has come (is_due true).
+    One row a player is kept."""
+    with_state_store(snapshots.sparkSession)
+    timed = snapshots.withColumn("_at", F.timestamp_millis("observed_at")).withWatermark("_at", late)
+    return timed.groupBy("puuid", "platform_region").transformWithStateInPandas(LivePolls(), POLL, "update", "EventTime")
+
+
+def live_enriched(games: DataFrame, path: str, checkpoint: str, summoners: DataFrame, ranks: DataFrame, matches: DataFrame, participants: DataFrame, winrates: DataFrame) -> DataStreamWriter:
+    """A stream of live games' players (game_id, team_id, puuid, champion_id) beside
+    tables: each batch is written with what live_participants adds, for which ranks
+    and statistics are reduced to the batch's players first. A batch that is run
+    again overwrites what it wrote."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        live_participants(batch, summoners, ranks, matches, participants, winrates).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return games.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def arrivals(matches: DataFrame, width: str = "30 minutes", slide: str = "15 minutes", late: str = "1 hour") -> DataFrame:
