@@ -8,7 +8,7 @@ much text its own element holds. A bidirectional LSTM in numpy reads the whole
 sequence and labels every block as main text or not; its label is the decision.
 
 It is trained on the driver from at most TRAIN_PAGES pages of the table (by hash
-of id and page, none beyond TRAIN_CHARS) that mark their article themselves: blocks
+of id and page, none beyond TRAIN_CHARS or nested deeper than TRAIN_DEPTH) that mark their article themselves: blocks
 inside <article> or <main>, but in none of the parts that BOILERPLATE names, are
 main text. BOILERPLATE labels the training blocks and is no input. Each page is
 also shown in other forms: the article's tag renamed or left out, blocks of the
@@ -19,8 +19,9 @@ of these forms every class name is replaced by a made-up one and elements such a
 
 Cases: a null or empty page, or one of markup only, has an empty text and 0
 characters; if no page of the sample marks an article the labels fall back to
-blocks outside BOILERPLATE; a page of any length is read whole; unclosed tags and
-cut-off pages are read as far as they go; repeated rows give repeated results;
+blocks outside BOILERPLATE; a page of any length and depth is read whole: elements
+are kept once, with a link to their parent, and vectors and LSTM steps of very many
+blocks are made in slices; unclosed tags and cut-off pages are read as far as they go; repeated rows give repeated results;
 null ids are carried; an empty table gives an empty result; other columns are not
 read.
 """
@@ -31,6 +32,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,10 @@ from pyspark.sql import functions as F
 
 from .base import map_batches
 
-TRAIN_PAGES, TRAIN_CHARS = 150, 200_000
+TRAIN_PAGES, TRAIN_CHARS, TRAIN_DEPTH = 150, 200_000, 200
+#: Padded steps that are scored together; blocks of a longer page whose vectors are
+#: there at once.
+STEPS_AT_ONCE, SLICE = 16_384, 4_096
 PATH_DIMS, WORD_DIMS, EXTRA, HIDDEN = 96, 64, 13, 16
 EPOCHS, BATCH, RATE, SEED, FORMS = 14, 30, 0.02, 5, 4
 #: Elements that don't end a block, that hold no text, and that
@@ -64,11 +69,37 @@ Element = tuple[int, str, tuple[str, ...]]
 Block = tuple[tuple[Element, ...], str, int]
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks in page order."""
-    out: list[Block] = []
-    stack: list[Element] = []
+class Tree:
+    """Elements with a link to their parent (-1 for none), so that a path of any
+    depth is kept once. Parents come before their children."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+        self.element: list[Element] = []
+
+    def add(self, parent: int, element: Element) -> int:
+        self.parent.append(parent)
+        self.element.append(element)
+        return len(self.parent) - 1
+
+    def path(self, node: int) -> tuple[Element, ...]:
+        out = []
+        while node >= 0:
+            out.append(self.element[node])
+            node = self.parent[node]
+        return tuple(out[::-1])
+
+
+#: Innermost open element, text, characters inside links.
+Leaf = tuple[int, str, int]
+
+
+def parsed(page: str | None) -> tuple[Tree, list[Leaf]]:
+    """The leaf blocks in page order, with the tree of their elements."""
+    tree, out = Tree(), []
+    stack: list[int] = []
     run: list[str] = []
+    opened: Counter[str] = Counter()
     linked = link = silent = count = 0
 
     def close() -> None:
@@ -76,20 +107,24 @@ def blocks(page: str | None) -> list[Block]:
         if run:
             text = SPACE.sub(" ", entities.unescape("".join(run))).strip()
             if text:
-                out.append((tuple(stack), text, linked))
+                out.append((stack[-1] if stack else -1, text, linked))
             run.clear()
         linked = 0
 
+    def top() -> str:
+        return tree.element[stack[-1]][1] if stack else ""
+
     def pop() -> str:
         nonlocal silent
-        tag = stack.pop()[1]
+        tag = tree.element[stack.pop()][1]
+        opened[tag] -= 1
         silent -= tag in SILENT
         return tag
 
     for m in TOKEN.finditer(page or ""):
         _, end, tag, attrs, text = m.groups()
         if text is not None:
-            if stack and stack[-1][1] == "head" and text.strip():
+            if top() == "head" and text.strip():
                 pop()
             if not silent:
                 run.append(text)
@@ -107,25 +142,58 @@ def blocks(page: str | None) -> list[Block]:
         close()
         link = 0
         if end:
-            if any(t == tag for _, t, _ in stack):
+            if opened[tag]:
                 while pop() != tag:
                     pass
             continue
-        if stack and stack[-1][1] == "head" and tag not in HEAD:
+        if top() == "head" and tag not in HEAD:
             pop()
         if tag in VOID or attrs.endswith("/"):
             continue
-        while stack and (stack[-1][1] == "p" or (tag == stack[-1][1] and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
+        while stack and (top() == "p" or (tag == top() and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
             pop()
-        if tag == "body":
-            silent = 0
-            stack = [s for s in stack if s[1] not in SILENT]
+        if tag == "body" and silent:  # what hides text is over; what is open above it stays open
+            above = []
+            while silent:
+                element = tree.element[stack[-1]]
+                if pop() not in SILENT:
+                    above.append(element)
+            for element in reversed(above):
+                opened[element[1]] += 1
+                stack.append(tree.add(stack[-1] if stack else -1, element))
         names = {n for g in NAMES.findall(attrs) for x in g if x for n in SPLIT.split(x.lower()) if n}
         count += 1
-        stack.append((count, tag, tuple(sorted(names))))
+        stack.append(tree.add(stack[-1] if stack else -1, (count, tag, tuple(sorted(names)))))
+        opened[tag] += 1
         silent += tag in SILENT
     close()
-    return out
+    return tree, out
+
+
+def blocks(page: str | None) -> list[Block]:
+    """The leaf blocks in page order, each with its whole path (for training)."""
+    tree, leaves = parsed(page)
+    return [(tree.path(node), text, linked) for node, text, linked in leaves]
+
+
+def depth_of(tree: Tree) -> int:
+    """How deep elements are nested at most."""
+    depth = [0] * len(tree.parent)
+    for k, p in enumerate(tree.parent):
+        depth[k] = 1 + (depth[p] if p >= 0 else 0)
+    return max(depth, default=0)
+
+
+def as_tree(page: list[Block]) -> tuple[Tree, list[Leaf]]:
+    """Blocks with paths as a tree and leaves."""
+    tree, known, out = Tree(), {}, []
+    for path, text, linked in page:
+        node = -1
+        for element in path:
+            at = known.get((node, element))
+            node = known.setdefault((node, element), tree.add(node, element)) if at is None else at
+        out.append((node, text, linked))
+    return tree, out
 
 
 def boilerplate(path: tuple[Element, ...]) -> bool:
@@ -162,36 +230,64 @@ def holder(path: tuple[Element, ...]) -> int:
     return i
 
 
-def vectors(page: list[Block], words: Words) -> np.ndarray:
-    x = np.zeros((len(page), PATH_DIMS + WORD_DIMS + EXTRA), np.float32)
-    cells: dict[str, int] = {}
-    holders = [holder(path) for path, _, _ in page]
-    own = [path[i][0] if path else 0 for (path, _, _), i in zip(page, holders, strict=True)]
-    held: dict[int, int] = {}
-    number: dict[int, int] = {}
-    for n, (_, text, linked) in zip(own, page, strict=True):
-        held[n] = held.get(n, 0) + max(0, len(text) - linked)
-        number[n] = number.get(n, 0) + 1
-    total = max(1, sum(held.values()))
-    top = max(held, key=lambda n: (held[n], -n))
-    like = next((tuple(e[1:] for e in path[: i + 1]) for (path, _, _), i, n in zip(page, holders, own, strict=True) if n == top), ())
-    for i, (path, text, linked) in enumerate(page):
-        for j, (_, tag, names) in enumerate(path):
+class Vectors:
+    """The vectors of a page's blocks, made for one slice of them at a time. All that
+    depends on an element's path is found once an element, from its parent's."""
+
+    def __init__(self, tree: Tree, page: list[Leaf], words: Words):
+        self.page, self.words = page, words
+        n = len(tree.parent)
+        self.cells: list[int] = [0] * (n + 1)  # those of the element, as bits; the last entry is that of no element
+        self.outer: list[int] = [0] * (n + 1)  # those of all elements around it
+        self.depth, self.holder, self.sign, self.at = [-1] * (n + 1), [-1] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
+        self.number, self.leaf = [0] * (n + 1), [False] * (n + 1)
+        bits: dict[str, int] = {}
+        signs: dict[tuple[int, str, tuple[str, ...]], int] = {}
+        for k, (p, (number, tag, names)) in enumerate(zip(tree.parent, tree.element, strict=True)):
+            own = 0
             for name in (tag, *names):
-                n = cells.get(name)
-                if n is None:
-                    n = cells[name] = zlib.crc32(name.encode()) % PATH_DIMS
-                x[i, n] = 1.0 if j < len(path) - 1 else 1.5
-        parts = text.split(" ")
-        counts = np.bincount(np.fromiter(map(words.__getitem__, parts), np.int64, len(parts)), minlength=WORD_DIMS)
-        x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts * (0.6 / np.sqrt(counts @ counts))
-        at = next((j for j, e in enumerate(path) if e[0] == top), -1)
-        depth = holders[i] - at
-        x[i, -EXTRA:] = (
-            min(np.log1p(len(text)) / 6, 2), min(linked / len(text), 1), text[-1] in ".!?…:\"'»”", i / len(page), 1, at >= 0, own[i] == top, min(depth, 4) / 4 if at >= 0 else 1,
-            tuple(e[1:] for e in path[: holders[i] + 1]) == like, held[own[i]] / total, np.log1p(number[own[i]]) / 4, len(parts) <= 3, path[-1][1] in LEAVES if path else 0,
-        )
-    return x
+                if name not in bits:
+                    bits[name] = 1 << zlib.crc32(name.encode()) % PATH_DIMS
+                own |= bits[name]
+            self.cells[k], self.outer[k] = own, self.outer[p] | self.cells[p]
+            self.number[k], self.depth[k], self.leaf[k] = number, self.depth[p] + 1, tag in LEAVES
+            self.holder[k] = self.holder[p] if p >= 0 and tag in LEAVES else k
+            self.sign[k] = signs.setdefault((self.sign[p], tag, names), len(signs))
+        held: dict[int, int] = {}
+        numbers: dict[int, int] = {}
+        self.own = [self.number[self.holder[node]] for node, _, _ in page]
+        for own, (_, text, linked) in zip(self.own, page, strict=True):
+            held[own] = held.get(own, 0) + max(0, len(text) - linked)
+            numbers[own] = numbers.get(own, 0) + 1
+        self.held, self.numbers, self.total = held, numbers, max(1, sum(held.values()))
+        self.top = max(held, key=lambda n: (held[n], -n), default=0)
+        self.like = next((self.sign[self.holder[node]] for own, (node, _, _) in zip(self.own, page, strict=True) if own == self.top), -1)
+        for k, p in enumerate(tree.parent):  # how deep the element with most text lies around or at this one
+            self.at[k] = self.at[p] if p >= 0 and self.at[p] >= 0 else self.depth[k] if self.number[k] == self.top else -1
+
+    def __len__(self) -> int:
+        return len(self.page)
+
+    def rows(self, lo: int, hi: int) -> np.ndarray:
+        part = self.page[lo:hi]
+        x = np.zeros((len(part), PATH_DIMS + WORD_DIMS + EXTRA), np.float32)
+        spread = lambda masks: np.unpackbits(np.frombuffer(b"".join(masks[node].to_bytes(PATH_DIMS // 8, "little") for node, _, _ in part), np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        own = spread(self.cells)
+        x[:, :PATH_DIMS] = np.where(own, 1.5, spread(self.outer))
+        for i, (node, text, linked) in enumerate(part):
+            parts = text.split(" ")
+            counts = np.bincount(np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts)), minlength=WORD_DIMS)
+            x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts * (0.6 / np.sqrt(counts @ counts))
+            holder, at, number = self.holder[node], self.at[node], self.own[lo + i]
+            x[i, -EXTRA:] = (
+                min(np.log1p(len(text)) / 6, 2), min(linked / len(text), 1), text[-1] in ".!?…:\"'»”", (lo + i) / len(self.page), 1, at >= 0, number == self.top, min(self.depth[holder] - at, 4) / 4 if at >= 0 else 1,
+                self.sign[holder] == self.like, self.held[number] / self.total, np.log1p(self.numbers[number]) / 4, len(parts) <= 3, self.leaf[node],
+            )
+        return x
+
+
+def vectors(page: list[Block], words: Words) -> np.ndarray:
+    return Vectors(*as_tree(page), words).rows(0, len(page))
 
 
 class Lstm:
@@ -206,12 +302,12 @@ class Lstm:
     def params(self) -> list[np.ndarray]:
         return [self.w, self.u, self.b]
 
-    def forward(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """x: (steps, pages, size) to (steps, pages, HIDDEN)."""
+    def forward(self, x: np.ndarray, keep: bool = False, state: list[np.ndarray] | None = None) -> tuple[np.ndarray, list]:
+        """x: (steps, pages, size) to (steps, pages, HIDDEN). state: cell and output
+        to go on from, which are replaced by those at the end."""
         steps, n, _ = x.shape
         given = x @ self.w + self.b
-        h = np.zeros((n, HIDDEN), np.float32)
-        c = np.zeros((n, HIDDEN), np.float32)
+        c, h = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out, tape = np.empty((steps, n, HIDDEN), np.float32), []
         for t in range(steps):
             z = given[t] + h @ self.u
@@ -225,6 +321,8 @@ class Lstm:
             out[t] = h
             if keep:
                 tape.append((i, f, o, g, was, before, tc))
+        if state is not None:
+            state[:] = c, h
         return out, tape
 
     def backward(self, x: np.ndarray, tape: list, dh_out: np.ndarray) -> list[np.ndarray]:
@@ -274,6 +372,43 @@ class Labeller:
         p = 1 / (1 + np.exp(-(h @ self.v + self.v0)))
         return [p[:n, i] for i, n in enumerate(lengths)]
 
+    def score_long(self, page: Vectors) -> np.ndarray:
+        """As score for one page, of whose vectors only a slice is there at a time.
+        What is kept of a block are the outputs of one direction and its share of
+        the decision."""
+        n, slices = len(page), range(0, len(page), SLICE)
+        start = lambda: [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+        total, state = np.empty(n, np.float32), start()
+        for lo in slices:
+            x = page.rows(lo, lo + SLICE)
+            total[lo : lo + len(x)] = self.there.forward(x[:, None], state=state)[0][:, 0] @ self.v[:HIDDEN] + x @ self.v[2 * HIDDEN :]
+        state = start()
+        for lo in reversed(slices):
+            x = page.rows(lo, lo + SLICE)[::-1]
+            total[lo : lo + len(x)] += (self.back.forward(x[:, None], state=state)[0][:, 0] @ self.v[HIDDEN : 2 * HIDDEN])[::-1]
+        return 1 / (1 + np.exp(-(total + self.v0)))
+
+    def score_all(self, pages: list[Vectors]) -> list[np.ndarray]:
+        """score() of all pages, in batches whose padded steps are bounded; a page
+        beyond the bound is scored alone in slices."""
+        out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
+        some: list[int] = []
+
+        def flush() -> None:
+            for i, p in zip(some, self.score([pages[i].rows(0, len(pages[i])) for i in some]) if some else (), strict=True):
+                out[i] = p
+            some.clear()
+
+        for i in sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i])):
+            if len(pages[i]) > STEPS_AT_ONCE:
+                out[i] = self.score_long(pages[i])
+                continue
+            if len(some) == 64 or (len(some) + 1) * len(pages[i]) > STEPS_AT_ONCE:
+                flush()
+            some.append(i)
+        flush()
+        return out
+
     def train(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS) -> None:
         params = [*self.there.params(), *self.back.params(), self.v, self.v0]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -369,6 +504,7 @@ def shown_otherwise(page: list[tuple[Block, bool]], others: list[str], rng: rand
 
 
 def fit(rows: list[str]) -> Labeller:
+    rows = [r for r in rows if depth_of(parsed(r)[0]) <= TRAIN_DEPTH]
     pages = [p for r in rows if (p := labelled(r)) is not None]
     if not pages:
         pages = [[(b, not boilerplate(b[0])) for b in blocks(r)] for r in rows]
@@ -399,13 +535,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            parsed = [blocks(p) for p in b.column(2).to_pylist()]
-            texts = [""] * len(parsed)
-            some = sorted((i for i, p in enumerate(parsed) if p), key=lambda i: len(parsed[i]))
-            for lo in range(0, len(some), 64):
-                part = some[lo : lo + 64]
-                for i, p in zip(part, model.value.score([vectors(parsed[i], words) for i in part]), strict=True):
-                    texts[i] = "\n".join(text for (_, text, _), q in zip(parsed[i], p.tolist(), strict=True) if q >= 0.5)
+            pages = [parsed(p) for p in b.column(2).to_pylist()]
+            scores = model.value.score_all([Vectors(tree, leaves, words) for tree, leaves in pages])
+            texts = ["\n".join(text for (_, text, _), q in zip(leaves, p.tolist(), strict=True) if q >= 0.5) for (_, leaves), p in zip(pages, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return map_batches(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), html_col), run, "page_id long, url string, text string, n_chars long")

@@ -333,3 +333,46 @@ def test_warc_against_sql(spark):
     assert sorted(df.columns) == sorted(want.columns)
     key = lambda r: tuple(str(r[c]) for c in df.columns)
     assert sorted(map(key, df.collect())) == sorted(key(dict(zip(want.columns, r, strict=True))) for r in want.fetchall())
+
+
+def test_very_long_and_deep_pages_are_bounded():
+    """100,000 blocks beside short pages, and 20,000 open elements: all blocks are
+    scored, with little memory and in time that grows in proportion."""
+    import time
+    import tracemalloc
+
+    model, words = html.Labeller(), html.Words()
+    short = [f"<main><p>one {i}</p><p>two.</p></main>" for i in range(63)]
+    long = "<main>" + "".join(f"<p>word {i} and more.</p>" for i in range(100_000))
+    pages = [html.Vectors(*html.parsed(p), words) for p in [long, *short]]
+    tracemalloc.start()
+    scores = model.score_all(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(s) for s in scores] == [100_000, *[2] * 63] and peak < 200_000_000
+    began = time.process_time()
+    tree, leaves = html.parsed("".join(f"<div>t{i} " for i in range(20_000)))
+    assert len(model.score_all([html.Vectors(tree, leaves, words)])[0]) == len(leaves) == html.depth_of(tree) == 20_000
+    assert time.process_time() - began < 10
+
+
+def test_slices_score_like_the_whole(monkeypatch):
+    model, words = html.Labeller(), html.Words()
+    page = html.Vectors(*html.parsed(ARTICLE * 3), words)
+    want = model.score([page.rows(0, len(page))])[0]
+    monkeypatch.setattr(html, "SLICE", 3)
+    assert abs(model.score_long(page) - want).max() < 1e-5
+    monkeypatch.setattr(html, "STEPS_AT_ONCE", 5)
+    got = model.score_all([page, html.Vectors(*html.parsed(""), words), html.Vectors(*html.parsed("<p>a<p>b"), words)])
+    assert [len(g) for g in got] == [len(page), 0, 2] and abs(got[0] - want).max() < 1e-5
+
+
+def test_a_body_ends_what_hides_text():
+    assert [t for _, t, _ in html.blocks("<div><svg><div><p>x<body><p>y</div>z")] == ["y", "z"]
+    path = html.blocks("<section><svg><div class='q'><body><p>y")[0][0]
+    assert [(tag, names) for _, tag, names in path] == [("section", ()), ("div", ("q",)), ("body", ()), ("p", ())]
+
+
+def test_deep_pages_are_not_trained_on():
+    deep = "<main>" + "<div>" * 5000 + "<p>deep text.</p>"
+    assert html.fit([deep]).v.tolist() == html.Labeller().v.tolist()
