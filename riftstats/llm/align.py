@@ -23,11 +23,10 @@ carried; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark import TaskContext
@@ -40,6 +39,8 @@ from .base import map_batches, written
 #: Pairs whose counts are sent to every executor at most (three numbers each);
 #: parts that each pair is dealt to beyond that.
 PAIRS_SENT, SALTS = 500_000, 64
+#: Pairs whose texts a task remembers.
+SPELT = 500_000
 #: A pair is one number: A's id times this, plus B's id.
 B_IDS = 1 << 24
 
@@ -58,8 +59,8 @@ class Pieces:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("\u2581", " ").encode("utf-8")
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text, num_threads=1)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 @lru_cache(maxsize=2)
@@ -67,39 +68,53 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-def slices(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
+def slices(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the last token of each group on both sides, in order."""
-    a_at, b_at = dict(zip(a_ends, range(len(a_ends)), strict=True)), dict(zip(b_ends, range(len(b_ends)), strict=True))
-    return [(a_at[e], b_at[e]) for e in sorted(a_at.keys() & b_at.keys())]
+    a_at, b_at = (dict(zip(ends.tolist(), range(len(ends)), strict=True)) for ends in (a_ends, b_ends))
+    common = sorted(a_at.keys() & b_at.keys())
+    return tuple(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (a_at, b_at))
+
+
+class Spelt(dict):
+    """A linked pair to its text, up to SPELT pairs."""
+
+    def __missing__(self, pair: int) -> str:
+        if len(self) >= SPELT:
+            self.clear()
+        self[pair] = text = f"{pair // B_IDS}|{pair % B_IDS}"
+        return text
 
 
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = bytebpe.load(a_path), load(b_path)
-        self.a_size, self.b_size = list(map(len, self.a.tokens)), list(map(len, self.b.tokens))
-        self.a_name, self.b_name = [str(i) for i in range(len(self.a.tokens))], [str(i) for i in range(len(self.b.tokens))]
-
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
-        """The ids of both sides, none if one of them doesn't keep the text."""
-        if not text:
-            return [], []
-        whole = b" " + text.encode("utf-8")
-        b = self.b.encode(text)
-        if b"".join(map(self.b.tokens.__getitem__, b)) != whole:
-            return [], []
-        a = self.a.encode_plain(" " + text)
-        return (a, b) if b"".join(map(self.a.tokens.__getitem__, a)) == whole else ([], [])
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
-        return slices(list(accumulate(map(self.a_size.__getitem__, a))), list(accumulate(map(self.b_size.__getitem__, b))))
-
-    def spelt(self, a: list[int], b: list[int], groups: list[tuple[int, int]]) -> str:
+        self.a_size, self.b_size = (np.array(list(map(len, side.tokens)), np.int64) for side in (self.a, self.b))
+        self.spelt_pairs = Spelt()
+
+    def tokens(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of both sides of each text, none if one of them doesn't keep it.
+        A's tokens are taken from the text one after another, so they are the text
+        if they are as long; B may change characters."""
+        none = np.zeros(0, np.int64)
+        for text, b in zip(texts, self.b.encode([t or "" for t in texts]), strict=True):
+            whole = b" " + (text or "").encode("utf-8")
+            if not text or b"".join(map(self.b.tokens.__getitem__, b)) != whole:
+                yield none, none
+                continue
+            a = self.a.encode_plain(" " + text).astype(np.int64)
+            yield (a, np.array(b, np.int64)) if int(self.a_size[a].sum()) == len(whole) else (none, none)
+
+    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return slices(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
+
+    def spelt(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> str:
         """The groups as a1,a2|b1;a3|b2,b3."""
-        a, b = list(map(self.a_name.__getitem__, a)), list(map(self.b_name.__getitem__, b))
-        out, i, j = [], 0, 0
-        for x, y in groups:
-            out.append(f"{a[x] if i == x else ','.join(a[i : x + 1])}|{b[y] if j == y else ','.join(b[j : y + 1])}")
-            i, j = x + 1, y + 1
+        out = list(map(self.spelt_pairs.__getitem__, (a[x] * B_IDS + b[y]).tolist()))
+        i, j = x + 1 - np.diff(x, prepend=-1), y + 1 - np.diff(y, prepend=-1)
+        several = np.flatnonzero((i < x) | (j < y))  # groups of more than a pair
+        a_ids, b_ids = a.tolist(), b.tolist()
+        for k, *at in np.stack((several, i[several], x[several] + 1, j[several], y[several] + 1), axis=1).tolist():
+            out[k] = f"{','.join(map(str, a_ids[at[0] : at[1]]))}|{','.join(map(str, b_ids[at[2] : at[3]]))}"
         return ";".join(out)
 
 
@@ -113,20 +128,19 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
             for lo in range(0, batch.num_rows, 32):
                 part = batch.slice(lo, 32)
                 numbers, digests, pairs, times, ends = [], [], [], [], [0]
-                for text in part.column(1).to_pylist():
+                for a, b in aligner.tokens(part.column(1).to_pylist()):
                     row += 1
-                    a, b = aligner.tokens(text)
-                    groups = aligner.groups(a, b)
-                    links = Counter([a[x] * B_IDS + b[y] for x, y in groups])
-                    digests.append(hashlib.sha256(aligner.spelt(a, b, groups).encode()).hexdigest() if a else "")
-                    numbers.append((row, len(a), len(b), len(groups), len(groups)))
-                    pairs += links.keys()
-                    times += links.values()
-                    ends.append(len(pairs))
+                    x, y = aligner.groups(a, b)
+                    own, count = np.unique(a[x] * B_IDS + b[y], return_counts=True)
+                    digests.append(hashlib.sha256(aligner.spelt(a, b, x, y).encode()).hexdigest() if len(a) else "")
+                    numbers.append((row, len(a), len(b), len(x), len(x)))
+                    pairs.append(own)
+                    times.append(count)
+                    ends.append(ends[-1] + len(own))
                 rows, *counts = ([n[c] for n in numbers] for c in range(5))
                 offsets = pa.array(ends, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), part.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(pairs, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))],
+                    [pa.array(rows, pa.int64()), part.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(pairs), pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times), pa.int32(), safe=True))],
                     names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
                 )
 

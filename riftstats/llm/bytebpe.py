@@ -40,9 +40,9 @@ class ByteVocabulary:
         """Ids of a text; special strings in it are special tokens."""
         return self.encoding.encode_to_numpy(text, allowed_special="all")
 
-    def encode_plain(self, text: str) -> list[int]:
+    def encode_plain(self, text: str) -> np.ndarray:
         """Ids of a text; special strings in it are ordinary text."""
-        return self.encoding.encode_ordinary(text)
+        return self.encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
 
 
 @lru_cache(maxsize=2)
