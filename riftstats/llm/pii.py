@@ -9,11 +9,14 @@ turn, so offsets are running sums of lengths and no Python is needed. The
 patterns are possessive and anchored to the start of a run, so a very long run
 of letters or digits is read once.
 
-The four base kinds (email, ip, card, phone) are kept whatever their score. Three
-kinds are added and kept only from MIN_SCORE on: `iban` (mod-97 confirmed),
-`phone_local` (no plus sign; needs a context word) and `secret` (a run of 20 to
-256 characters of keys, with letters and digits and the entropy of a random
-string; needs a context word).
+The four base kinds (email, ip, card, phone) are kept whatever their score. Others
+are added and kept only from MIN_SCORE on: `iban` (mod-97 confirmed), `phone_local`
+(no plus sign; needs a context word), `secret` (a run of 20 or more characters of
+keys, with letters and digits and the entropy of a random string; needs a context
+word), `token` (three dotted base64url parts, of which the first decodes to a JSON
+object), `key` (a prefix that issuers of keys use, and the entropy of a random
+string) and `assigned` (a value behind a word such as `password` and = or :, in
+quotes or with a digit).
 
 Cases: a null, empty or clean text has no spans and the counts 0; a text of any
 length is read whole (offsets are summed, never cut out of the text again); the digest of
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .base import free_name
 
-#: The kinds in their order, with the pattern of each.
+#: Names of values that aren't for others, and the kinds in their
+#: order with the pattern of each.
+NAMES = r"(?:password|passwd|passphrase|pwd|secret|(?:api|access|secret|private)[_-]?key|(?:auth|access|api)[_-]?token)"
 LOCAL = r"A-Za-z0-9._%+-"
 PATTERNS = {
     "email": rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -40,11 +45,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
     "phone_local": r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
-    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,256}+(?![A-Za-z0-9_/+-])",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+",
+    "token": r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?!\.?[A-Za-z0-9_-])",
+    "key": r"(?<![A-Za-z0-9_-])(?:gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk-|[sprw]k_live_|[sprw]k_test_|hf_|npm_|pypi-|AKIA|ASIA|AIza|SG\.)[A-Za-z0-9_.-]{14,}+",
+    "assigned": rf"""(?i)(?<=[=:\s"'])(?:(?<=(?<![A-Za-z0-9]){NAMES}["']?\s{{0,3}}[:=]\s{{0,3}}["'])[^"'\s]{{5,}}+(?=["'])|(?<=(?<![A-Za-z0-9]){NAMES}["']?\s{{0,3}}[:=]\s{{0,3}})(?=[^\s"',;0-9]*+[0-9])[^\s"',;]{{6,}}+)""",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Score of a confirmed proposal alone, and what a context word adds.
-START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "phone_local": 0.3, "secret": 0.3}
+START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "phone_local": 0.3, "secret": 0.3, "token": 0.8, "key": 0.8, "assigned": 0.7}
 CONTEXT = {
     "email": r"(?i)\b(e-?mail|mail|contact|write)\b",
     "ip": r"(?i)\b(ip|host|server|address|login)\b",
@@ -53,6 +61,9 @@ CONTEXT = {
     "iban": r"(?i)\b(iban|account|bank|transfer)\b",
     "phone_local": r"(?i)\b(phone|tel|call|mobile|fax)\b",
     "secret": r"(?i)(\b|_)(token|secret|key|api_?key|password|passwd|pwd|bearer|credentials?|authorization)\b",
+    "token": r"(?i)\b(token|jwt|bearer|authorization)\b",
+    "key": r"(?i)(\b|_)(token|secret|key|bearer|credentials?)\b",
+    "assigned": r"(?i)\b(login|user(name)?|account|credentials?)\b",
 }
 #: Not within an address such as "a@mail.example.com".
 DOUBT = r"(?i)(?<![\w.@-])(example|sample|dummy|placeholder|commit|checksum|digest|md5|sha[0-9]*)(?![\w@-]|\.\w)"
@@ -61,6 +72,8 @@ CONTEXT_BONUS, DOUBT_MALUS, CONTEXT_CHARS, MIN_SCORE = 0.3, 0.2, 40, 0.5
 SECRET_ENTROPY = 2.8
 #: Proposals whose offsets are summed up together.
 CHUNK = 256
+#: Code points of a block of the text that is redacted.
+BLOCK = 512
 MOST_NEAR = CONTEXT_CHARS // 5
 
 
@@ -101,6 +114,12 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.length(_digits(match)).between(9, 15)
     if kind == "iban":
         return mod97(match)
+    if kind == "token":
+        head = F.translate(F.substring_index(match, ".", 1), "-_", "+/")
+        json = F.try_to_binary(F.rpad(head, F.ceil(F.length(head) / 4) * 4, F.lit("=")), F.lit("base64")).cast("string")
+        return json.startswith("{") & F.get_json_object(json, "$").isNotNull()
+    if kind == "key":
+        return entropy(match) >= SECRET_ENTROPY
     if kind == "secret":
         return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (entropy(match) >= SECRET_ENTROPY)
     return F.lit(True)
@@ -179,20 +198,48 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), *added, F.size("pii").cast("long").alias("n_spans"), scores)
 
 
+def pieces(text: Column, spans: Column) -> Column:
+    """array<string>: the text between spans and <KIND> for each, in turn; spans that
+    overlap become one, named by the first. The text is cut into blocks of BLOCK code
+    points once, so that a span costs its gap and a block, not the text before it;
+    the places reached are carried within chunks of CHUNK spans and then over the
+    chunks."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    none = F.array().cast("array<string>")
+
+    def between(blocks: Column, lo: Column, hi: Column) -> Column:
+        i, j = F.floor(lo / BLOCK).cast("int"), F.floor(hi / BLOCK).cast("int")
+        first, last = F.coalesce(F.get(blocks, i), F.lit("")), F.coalesce(F.get(blocks, j), F.lit(""))
+        across = F.concat(F.substring(first, lo - i * BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, i + 2, j - i - 1), ""), F.substring(last, F.lit(1), hi - j * BLOCK))
+        return F.when(i == j, F.substring(first, lo - i * BLOCK + 1, hi - lo)).otherwise(across)
+
+    def chunk(blocks: Column, part: Column, at: Column) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            fresh = s["start"] >= a["at"]
+            more = F.array(between(blocks, a["at"], s["start"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], more)).otherwise(a["out"]).alias("out"))
+
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    def whole(blocks: Column) -> Column:
+        def cut(spans: Column) -> Column:
+            parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(spans) / CHUNK).cast("int") - 1), lambda c: F.slice(spans, c * CHUNK + 1, F.lit(CHUNK)))
+            return bound(parts, over)
+
+        def over(parts: Column) -> Column:
+            reached = F.aggregate(parts, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.greatest(F.element_at(a, -1), F.array_max(F.transform(p, lambda s: s["end"]))))))
+            made = lambda at: F.flatten(F.transform(parts, lambda p, i: chunk(blocks, p, F.get(at, i))))
+            return bound(reached, lambda at: F.concat(made(at), F.array(between(blocks, F.element_at(at, -1), F.length(text)))))
+
+        return bound(ordered, cut)
+
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), whole)
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by <KIND>; spans that overlap
     become one, named by the first. A text without spans is left as it is, and so
     is every other column, whatever its name."""
     kept, spans = docs.columns, free_name(docs, "pii")
-    found = find(docs, text_col, spans)
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col(text_col)
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        fresh = s["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(a["out"]).alias("out"))
-
-    clean = F.aggregate(ordered, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).select(*kept)
+    found, text = find(docs, text_col, spans), F.col(text_col)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, F.array_join(pieces(text, F.col(spans)), "")).otherwise(text)).select(*kept)
