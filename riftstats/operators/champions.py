@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import EMERALD_PLUS, GRADES, ROLES, SUCCESS, adaptive_minimum, effective_minimum, grade_of, grade_of_rate, grade_value, matchup_verdict, patch_order, rate, tier_scope, wilson
+from ..sources.versioned import VersionedTable
 from .scope import in_region, in_tiers, marked_tiers, ranked_rows, shared, solo_ranks, visible_matches
 
 #: Item classes that aren't completed builds, and items that are
@@ -67,31 +68,35 @@ def role_ranks(matches: DataFrame, participants: DataFrame, ranks: DataFrame, su
 
 def champion_winrates(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame, minimum: int | Sample = 100, scope: str | None = None, summoners: DataFrame | None = None, region: str | None = None) -> DataFrame:
     """Win, pick and ban rates by champion, role and tier. The pick rate is the
-    share of the champion's own rows; the ban rate looks at the group's matches."""
+    share of the champion's own rows; the ban rate looks at the group's matches.
+    Rows are counted once a match first, so that matches need no distinct count; the
+    place among the champions of a role and tier comes from the same groups."""
     rows = in_region(ranked_rows(matches, participants), summoners, region).join(solo_ranks(ranks), "puuid", "left").withColumn("rank_tier", F.coalesce("tier", F.lit("UNRANKED")))
     if tiers := tier_scope(scope):
         rows = rows.where(F.col("rank_tier").isin(tiers))
     banned = bans.select("match_id", "champion_id").distinct().withColumn("banned", F.lit(True))
-    rows = rows.join(banned, ["match_id", "champion_id"], "left")
-    groups = rows.groupBy("patch", "champion_id", F.col("team_position").alias("role"), "rank_tier").agg(
-        F.count("*").alias("games"), F.count_if("win").alias("wins"), F.count_distinct("match_id").alias("group_matches"), F.count_distinct(F.when(F.col("banned"), F.col("match_id"))).alias("banned_matches")
-    )
-    own = Window.partitionBy("patch", "champion_id")
-    groups = groups.withColumn("total", F.sum("games").over(own))
+    keys = ["patch", "champion_id", "role", "rank_tier"]
+    rows = rows.join(banned, ["match_id", "champion_id"], "left").withColumn("role", F.col("team_position"))
+    once = rows.groupBy("match_id", *keys).agg(F.count("*").alias("n"), F.count_if("win").alias("won"), F.bool_or("banned").alias("banned"))
+    groups = once.groupBy(*keys).agg(F.sum("n").alias("games"), F.sum("won").alias("wins"), F.count("*").alias("group_matches"), F.count_if("banned").alias("banned_matches"))
+    peers = Window.partitionBy("patch", "role", "rank_tier")
+    order = peers.orderBy((F.col("wins") / F.col("games")).desc(), F.desc("games"), "champion_id")
+    ranked = F.col("rank_tier") != "UNRANKED"
+    groups = groups.withColumn("role_rank", F.when(ranked, F.row_number().over(order))).withColumn("role_population", F.when(ranked, F.count("*").over(peers)))
+    groups = groups.withColumn("total", F.sum("games").over(Window.partitionBy("patch", "champion_id")))
     kept = keep_enough(sample_of(minimum).on(groups), effective_minimum(F.col("_minimum"), F.col("total"), 3), "patch", "champion_id")
-    place = role_ranks(matches, participants, ranks, summoners, region).select("patch", "role", "rank_tier", "champion_id", "role_rank", "role_population")
-    return kept.join(place, ["patch", "role", "rank_tier", "champion_id"], "left").select(
-        "patch", "champion_id", "role", "rank_tier", "games", "wins", rate(F.col("wins"), F.col("games")).alias("win_rate"), rate(F.col("games"), F.col("total")).alias("pick_rate"),
+    return kept.select(
+        *keys, "games", "wins", rate(F.col("wins"), F.col("games")).alias("win_rate"), rate(F.col("games"), F.col("total")).alias("pick_rate"),
         rate(F.col("banned_matches"), F.col("group_matches")).alias("ban_rate"), "role_rank", "role_population",
     )
 
 
-def tier_scores(rows: DataFrame, bans: DataFrame, minimum: int | Sample, floor: int = 5) -> DataFrame:
-    """Scores and grades of champions within each patch and scope.
-    rows: patch, match_id, champion_id, win, scopes (array of structs, those that
-    the row counts in). One pass: the rows of a match meet once with its bans, and
-    each scope's matches are counted as those of a null champion."""
-    keys = ["patch", *rows.schema["scopes"].dataType.elementType.names]
+def tier_counts(rows: DataFrame, bans: DataFrame) -> DataFrame:
+    """Games, wins and bans of champions within each patch and scope; a null
+    champion counts the scope's matches in `banned`. rows: patch, match_id,
+    champion_id, win, scopes (array of structs, those that the row counts in).
+    One pass: the rows of a match meet once with its bans. Counts of disjoint sets
+    of matches add up."""
     plays = rows.groupBy("patch", "match_id").agg(F.collect_list(F.struct("scopes", "champion_id", "win")).alias("played"))
     lost = bans.groupBy("match_id").agg(F.collect_set("champion_id").alias("banned"))
     seen = F.array_distinct(F.flatten(F.transform("played", lambda x: x["scopes"])))
@@ -102,8 +107,24 @@ def tier_scores(rows: DataFrame, bans: DataFrame, minimum: int | Sample, floor:
         F.flatten(F.transform(seen, lambda s: F.transform(banned, lambda c: entry(s, c, F.lit(None))))),
     )
     counts = plays.join(lost, "match_id", "left").select("patch", F.explode(entries).alias("e")).groupBy("patch", "e.s", "e.champion_id").agg(F.count("e.win").alias("games"), F.count_if("e.win").alias("wins"), F.count_if(F.col("e.win").isNull()).alias("banned"))
+    return counts.select("patch", "s.*", "champion_id", "games", "wins", "banned")
+
+
+#: The columns of tier_counts that add up.
+TIER_SUMS = ("games", "wins", "banned")
+
+
+def added_counts(counts: DataFrame) -> DataFrame:
+    """Counts of several sets of matches as those of all of them."""
+    keys = [c for c in counts.columns if c not in TIER_SUMS]
+    return counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TIER_SUMS])
+
+
+def scores_of(counts: DataFrame, minimum: int | Sample, floor: int = 5) -> DataFrame:
+    """Scores and grades of champions within each patch and scope, from counts."""
+    keys = [c for c in counts.columns if c not in (*TIER_SUMS, "champion_id")]
     whole = Window.partitionBy(*keys)
-    groups = counts.select("patch", "s.*", "champion_id", "games", "wins", "banned").withColumn("n_matches", F.max(F.when(F.col("champion_id").isNull(), F.col("banned"))).over(whole)).withColumn("participants", F.sum("games").over(whole)).where("games > 0")
+    groups = counts.withColumn("n_matches", F.max(F.when(F.col("champion_id").isNull(), F.col("banned"))).over(whole)).withColumn("participants", F.sum("games").over(whole)).where("games > 0")
     kept = keep_enough(sample_of(minimum).on(groups), effective_minimum(F.col("_minimum"), F.col("participants"), floor), *keys)
     share = rate(F.col("games"), F.col("participants"))
     scored = kept.select(
@@ -115,6 +136,10 @@ def tier_scores(rows: DataFrame, bans: DataFrame, minimum: int | Sample, floor:
     return scored.withColumn("place", F.row_number().over(order)).withColumn("grade", grade_of(place))
 
 
+def tier_scores(rows: DataFrame, bans: DataFrame, minimum: int | Sample, floor: int = 5) -> DataFrame:
+    return scores_of(tier_counts(rows, bans), minimum, floor)
+
+
 def tier_list(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame | None = None, role: str = "ALL", scope: str | None = None, minimum: int | Sample = 100) -> DataFrame:
     """Graded champions of every patch, for one role or all together."""
     rows = in_tiers(ranked_rows(matches, participants, role=role), ranks, scope)
@@ -302,14 +327,29 @@ def popular_champions(matches: DataFrame, participants: DataFrame, n: int = 100,
     return top.withColumn("place", F.row_number().over(Window.partitionBy("patch", "role").orderBy(*order))).where(F.col("place") <= per_role).drop("_n")
 
 
-def analytics_grid(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame, minimum: int | Sample = 100) -> DataFrame:
-    """Tier lists of every role and of all roles, for each tier, EMERALD_PLUS and
-    all players, in one pass: each row counts in each scope that it belongs to."""
+def grid_counts(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Counts of every role and of all roles, for each tier, EMERALD_PLUS and all
+    players, in one pass: each row counts in each scope that it belongs to."""
     rows = ranked_rows(matches, participants).join(solo_ranks(ranks), "puuid", "left")
     tiers = F.array_compact(F.array(F.lit("ALL"), F.col("tier"), F.when(F.col("tier").isin(EMERALD_PLUS), "EMERALD_PLUS")))
     roles = F.array(F.lit("ALL"), F.col("team_position"))
     scopes = F.flatten(F.transform(roles, lambda r: F.transform(tiers, lambda t: F.struct(r.alias("role"), t.alias("rank_scope")))))
-    return tier_scores(rows.select("patch", "match_id", "champion_id", "win", scopes.alias("scopes")), bans, minimum)
+    return tier_counts(rows.select("patch", "match_id", "champion_id", "win", scopes.alias("scopes")), bans)
+
+
+def analytics_grid(matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame, minimum: int | Sample = 100) -> DataFrame:
+    """Tier lists of every role and tier."""
+    return scores_of(grid_counts(matches, participants, bans, ranks), minimum)
+
+
+def refresh_grid(mart: VersionedTable, matches: DataFrame, participants: DataFrame, bans: DataFrame, ranks: DataFrame, batch: int) -> None:
+    """Adds a batch of new matches to a mart of grid counts, by patch. Read are the
+    batch's rows and the counts of its patches, however many matches have landed
+    before. A match lands once, and a batch that is applied again changes nothing.
+    Players count with the rank that they had when their match was added."""
+    own = matches.select("match_id").distinct()
+    new = grid_counts(matches, *(df.join(own, "match_id", "left_semi") for df in (participants, bans)), ranks)
+    mart.fold(new, added_counts, batch)
 
 
 def of_popular(mart: DataFrame, popular: DataFrame, per_role: int = 12) -> DataFrame:

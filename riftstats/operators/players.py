@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import age_bucket, cs_per_minute, kda, queue_family, queue_label, ranked_solo, rate, role_alias
 from .champions import rune_pages
-from .scope import visible_matches
+from .scope import shared, visible_matches
 
 #: Short names of platforms.
 PLATFORM_ALIASES = {"NA": "NA1", "EUW": "EUW1", "EUNE": "EUN1", "KR": "KR", "BR": "BR1", "LAN": "LA1", "LAS": "LA2", "OCE": "OC1", "JP": "JP1", "TR": "TR1"}
@@ -59,7 +59,9 @@ def packed_items(items: DataFrame) -> DataFrame:
 
 
 def match_history(matches: DataFrame, participants: DataFrame, items: DataFrame, runes: DataFrame, rune_versions: DataFrame, page: int = 1, size: int = 20, family: str | None = None, queue_ids: list[int] | None = None) -> DataFrame:
-    """One page of every player's matches, with totals, items and runes."""
+    """One page of every player's matches, with totals, items and runes. Places are
+    limited before rows are shuffled (the totals are counted apart), and items and
+    runes are reduced to the page's rows before they are gathered."""
     size = max(1, min(size, 100))
     own = visible_matches(matches)
     queue = F.when((F.col("queue_id") == 0), F.coalesce(F.col("queue_type").try_cast("int"), F.lit(0))).otherwise(F.col("queue_id"))
@@ -67,11 +69,14 @@ def match_history(matches: DataFrame, participants: DataFrame, items: DataFrame,
         own = own.where(queue_family(queue) == family.upper())
     if queue_ids:
         own = own.where(F.col("queue_id").isin(queue_ids) | F.col("queue_type").isin([str(q) for q in queue_ids]))
-    rows = participants.join(own.select("match_id", "match_date", "duration", queue.alias("queue")), "match_id")
-    whose = Window.partitionBy("puuid")
-    rows = rows.withColumn("place", F.row_number().over(whose.orderBy(F.desc("match_date"), F.desc("match_id"), "participant_id"))).withColumn("total", F.count("*").over(whose))
+    every = participants.join(own.select("match_id", "match_date", queue.alias("queue")), "match_id")
+    order = Window.partitionBy("puuid").orderBy(F.desc("match_date"), F.desc("match_id"), "participant_id")
+    rows = every.select("puuid", "match_id", "participant_id", "match_date", "champion_id", "win", "queue").withColumn("place", F.row_number().over(order))
     rows = rows.where((F.col("place") > (page - 1) * size) & (F.col("place") <= page * size))
+    rows = shared(rows.join(every.groupBy("puuid").agg(F.count("*").alias("total")), "puuid"))
     key = ["match_id", "participant_id"]
+    listed = rows.select(*key).distinct()
+    items, runes = (df.join(listed, key, "left_semi") for df in (items, runes))
     rows = rows.join(packed_items(items), key, "left").join(rune_pages(runes, rune_versions, "history"), key, "left")
     return rows.select(
         "puuid", "place", "total", F.ceil(F.col("total") / size).alias("pages"), "match_id", "match_date", "champion_id", "win", queue_label(F.col("queue")).alias("queue_label"), queue_family(F.col("queue")).alias("queue_family"),
@@ -93,8 +98,8 @@ def lane_alignment(matches: DataFrame, participants: DataFrame) -> DataFrame:
     rows = participants.join(visible_matches(matches).select("match_id"), "match_id", "left_semi").withColumn("role", role_alias(F.col("team_position")))
     nth = F.row_number().over(Window.partitionBy("match_id", "team_id", "role").orderBy("participant_id"))
     rows = rows.withColumn("nth", nth)
-    side = lambda team, name: rows.where(F.col("team_id") == team).select("match_id", "role", "nth", F.col("puuid").alias(f"{name}_puuid"), F.col("champion_id").alias(f"{name}_champion"))
-    both = side(100, "blue").join(side(200, "red"), ["match_id", "role", "nth"], "full")
+    of = lambda team, c: F.max(F.when(F.col("team_id") == team, F.col(c)))
+    both = rows.where(F.col("team_id").isin(100, 200)).groupBy("match_id", "role", "nth").agg(of(100, "puuid").alias("blue_puuid"), of(100, "champion_id").alias("blue_champion"), of(200, "puuid").alias("red_puuid"), of(200, "champion_id").alias("red_champion"))
     known = F.array_position(F.array(*[F.lit(r) for r in ("TOP", "JUNGLE", "MIDDLE", "BOTTOM", "UTILITY")]), F.col("role"))
     rank = F.when(F.col("role") == "UNKNOWN", 99).when(known > 0, known).otherwise(50)
     return both.withColumn("lane", F.row_number().over(Window.partitionBy("match_id").orderBy(rank, "role", "nth")))

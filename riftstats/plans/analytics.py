@@ -5,7 +5,8 @@ from __future__ import annotations
 from ..operators import champions as C
 from ..operators.ingest import timeline_snapshots
 from ..sources.fixtures import Tables
-from .common import EFF, GRADE, RANKED, SOLO, Query, oracle, rounded
+from ..sources.versioned import VersionedTable
+from .common import EFF, GRADE, RANKED, SOLO, Query, folder, oracle, rounded
 
 RR, MORE = ("participants", "matches"), ("participants", "matches", "bans", "ranks")
 MIN, EARLY_MIN = 45, 20
@@ -46,6 +47,16 @@ def pro(t: Tables):
     return t.matches, t.participants, t.pro_roster, t.summoners
 
 
+def incremental_grid(t: Tables):
+    """The grid from a mart that got the matches in three batches, one of them twice."""
+    from pyspark.sql import functions as F
+
+    mart = VersionedTable(t.spark, folder(t.spark), F.col("patch"))
+    for n in (0, 1, 1, 2):
+        C.refresh_grid(mart, t.matches.where(F.pmod("match_key", F.lit(3)) == n), t.participants, t.bans, t.ranks, n)
+    return C.scores_of(mart.read(), MIN)
+
+
 def frequency(t: Tables):
     return C.item_frequency(t.matches, t.participants, t.items, t.item_versions)
 
@@ -252,3 +263,4 @@ QUERIES: dict[str, Query] = {
           FROM rr r LEFT JOIN solo s ON r.puuid = s.puuid JOIN (SELECT match_id, participant_id, 'item' AS kind, item_id AS unit FROM items UNION SELECT match_id, participant_id, 'rune', rune_id FROM runes) u ON r.match_id = u.match_id AND r.participant_id = u.participant_id GROUP BY 1, 2, 3, 4, 5, 6"""),
     ),
 }
+QUERIES["incremental_grid"] = (lambda t: rounded(incremental_grid(t)), QUERIES["analytics_grid"][1])

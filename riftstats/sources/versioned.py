@@ -16,12 +16,13 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.ingest import upserted
+from ..operators.merging import upserted
 
 #: Folders of a partition from which it is rewritten as one when it is appended to.
 MOST_FOLDERS = 8
@@ -154,6 +155,15 @@ class VersionedTable:
             out[r.change] = out.get(r.change, 0) + r["count"]
         return out
 
+    def fold(self, rows: DataFrame, merged: Callable[[DataFrame], DataFrame], label: int | None = None) -> None:
+        """Replaces the partitions that rows belong to by merged(what they hold, with
+        rows behind it), which stays in these partitions: counts that add up."""
+        was = self.pointer()
+        if label is not None and label <= was["label"]:
+            return
+        old = self.read(self.names_in(rows)) if was["schema"] else rows.where("false")
+        self.replace(merged(old.select(*rows.columns).unionByName(rows)), label)
+
     def rewrite(self, rows: DataFrame) -> list[str]:
         """As replace, but only the partitions whose rows differ are switched; their
         names."""
