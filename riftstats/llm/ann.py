@@ -131,6 +131,9 @@ class Setting(NamedTuple):
 
 #: For tables with nothing to tune on.
 PLAIN = Setting(4, 4, 1.3, 72)
+#: For tables that no setting of the grid serves: cells so wide that one holds all
+#: vectors, and all of its neighbours are visited, so that nothing is missed.
+WHOLE = Setting(1, 1, 1e6, 3)
 
 
 def unit_rows(rows: list) -> np.ndarray:
@@ -154,7 +157,7 @@ def visit_ranks(at: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 def tuned(index: DataFrame, queries: DataFrame, k: int) -> Setting:
     """The cheapest setting of the grid that finds enough of the true neighbours of
-    the sampled queries; the most thorough one if none does."""
+    the sampled queries; if none does, the one that looks at every vector."""
     place = F.xxhash64("id")
     sample = queries.withColumn("dim", F.size("v")).orderBy(place, "id").limit(TUNED_QUERIES).collect()
     if not sample:
@@ -202,7 +205,7 @@ def tuned(index: DataFrame, queries: DataFrame, k: int) -> Setting:
                     reranked = np.searchsorted(all_work, probes) / len(range(0, len(q), 2)) / len(pool) * n
                     found.append((float((least < probes).mean()), reranked + VISIT_WORK * tables * probes, Setting(tables, hashes, width, probes)))
     good = [f for f in found if f[0] >= TUNED_RECALL]
-    return min(good, key=lambda f: (f[1], f[2]))[2] if good else max(found, key=lambda f: (f[0], -f[1]))[2]
+    return min(good, key=lambda f: (f[1], f[2]))[2] if good else WHOLE
 
 
 def units(index: DataFrame, queries: DataFrame, block: int) -> DataFrame:

@@ -69,6 +69,18 @@ def checked_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def join_by_key(rows: DataFrame, side: DataFrame, key: str, n: str, how: str = "inner", sent: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined to a narrow table with one row a key and the number `n` of rows that
+    have it (left out of the result). The `sent` most frequent keys are sent out, so
+    that none of them is one task's; the others, of which each is rare then, meet
+    their rows by a shuffle."""
+    if side.count() <= sent:
+        return rows.join(F.broadcast(side.drop(n)), key, how)
+    often = F.broadcast(cut(side.orderBy(F.desc(n), key).limit(sent)).drop(n))
+    rest = rows.join(often.select(key), key, "left_anti").join(side.drop(n), key, how)
+    return rows.join(often, key).unionByName(rest)
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
     return df.mapInArrow(f, schema)

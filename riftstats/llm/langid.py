@@ -157,8 +157,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     picked = [r[0] for r in ids.select(id_col).collect()]  # at most PER_LANG a language
     if not picked:
         return None
-    rows = own.where(F.col(id_col).isin(picked)).select(id_col, lang_col, text_col).dropDuplicates([id_col]).collect()
-    rows = [(r[1], r[2]) for r in sorted(rows, key=lambda r: r[0])]
+    one = F.min_by(F.struct(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), F.struct(F.xxhash64(text_col), lang_col))  # of an id with several texts always the same
+    rows = own.where(F.col(id_col).isin(picked)).groupBy(id_col).agg(one.alias("one")).collect()
+    rows = [(r.one.lang, r.one.text) for r in sorted(rows, key=lambda r: r[0])]
     return Model(rows)
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, map_batches
+from .base import cut, join_by_key, map_batches
 
 BITS, TAU, SHINGLE, SEED = 64, 3, 3, 42
 #: Distinct fingerprints of one key that are joined pairwise; larger keys are
@@ -319,18 +319,19 @@ def components(edges: DataFrame, most: int = 60, sent: int = SENT_ROWS) -> DataF
 
 
 def grouped(each: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
-    """fp, root and component_id of every distinct fingerprint of `each`."""
-    prints = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """fp, root, component_id and number of rows `n` of every distinct fingerprint of
+    `each`."""
+    prints = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     # rows whose ids are all null need a node of their own: the fingerprint stands in
     root = components(links(prints.select("fp", F.col("fp").alias("node")), plan(prints, tau), tau, block))
-    group = cut(prints.join(root, prints.fp == root.node, "left").select(F.coalesce("root", "fp").alias("u"), F.col("least").alias("v"), "fp"))
-    return with_least(group, group.count()).select("fp", F.col("u").alias("root"), F.col("m").alias("component_id"))
+    group = cut(prints.join(root, prints.fp == root.node, "left").select(F.coalesce("root", "fp").alias("u"), F.col("least").alias("v"), "fp", "n"))
+    return with_least(group, group.count()).select("fp", F.col("u").alias("root"), F.col("m").alias("component_id"), "n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, block: int = BLOCK) -> DataFrame:
     """doc_id, fp and component_id of every document."""
     each = cut(fingerprints(docs, id_col, text_col))
-    return each.join(grouped(each, tau, block), "fp").select("doc_id", "fp", "component_id")
+    return join_by_key(each, cut(grouped(each, tau, block).drop("root")), "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def survivors(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, block: int = BLOCK) -> DataFrame:

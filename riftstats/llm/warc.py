@@ -40,14 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import checked_side, map_batches, shared_dir
+from .base import cut, join_by_key, map_batches, shared_dir
 
 SEGMENT_BYTES, CHUNK_BYTES, MIN_BYTES = 32 << 10, 8 << 10, 100
 MARK = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of one archive file at most.
-FILE_RECORDS = 500_000
+#: Bytes of one archive file before compression: a record holds a segment at most.
+FILE_BYTES = 512 << 20
 
 
 def cut_points(data: bytes, step: int) -> Iterator[tuple[int, int]]:
@@ -127,13 +127,14 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, r
 
 def planned(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, refers_to of every page. Only digests that
-    repeat are joined to the pages, so payloads are shuffled only where these are
-    too many to be sent out."""
+    repeat are joined to the pages, and the most frequent of them are sent out:
+    payloads are shuffled only where repeats are too many for that, and then no
+    payload is common."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= MIN_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    first = rows.where(F.octet_length("payload") >= MIN_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    return rows.join(checked_side(first), "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    return join_by_key(rows, cut(first), "digest", "n", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
 def write(pages: DataFrame, path: str, date: datetime | None = None) -> None:
@@ -154,7 +155,7 @@ def write(pages: DataFrame, path: str, date: datetime | None = None) -> None:
                         lines, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
 
-    map_batches(planned(pages), run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).mode("errorifexists").text(path)
+    map_batches(planned(pages), run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_BYTES // SEGMENT_BYTES).mode("errorifexists").text(path)
 
 
 class Broken(ValueError):

@@ -196,3 +196,27 @@ def test_decontamination_empty(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, bench).count() == 0
     assert decontaminate.contaminated(docs, spark.createDataFrame([(1, "some test item text of words")], "item_id long, text string")).count() == 0
+
+
+def test_vectors_that_no_hash_separates_are_all_looked_at(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TUNED_RECALL", 2.0)  # more than any setting finds
+    vectors = rows(np.random.default_rng(3), 300)
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 50 = 0")
+    index = ann.valid(df, "vec_id", "embedding")
+    assert ann.tuned(index, ann.valid(queries, "vec_id", "embedding"), 5) == ann.WHOLE
+    got: dict = {}
+    for r in sorted(ann.nearest(df, queries).collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute(vectors, [v for v in vectors if v[0] % 50 == 0])
+
+
+def test_frequent_keys_are_sent_out(spark):
+    from riftstats.llm.base import join_by_key
+
+    left = spark.createDataFrame([(k, i) for k, n in (("a", 50), ("b", 3), ("c", 1), ("z", 1)) for i in range(n)], "key string, i int")
+    side = spark.createDataFrame([("a", 1, 50), ("b", 2, 3), ("c", 3, 1)], "key string, v int, n int")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(side.drop("n"), "key", how).collect()))
+        for sent in (1, 100):
+            assert sorted(map(str, join_by_key(left, side, "key", "n", how, sent).collect())) == want
