@@ -129,14 +129,15 @@ def platform_of(text: Column) -> Column:
 def find_by_name(wanted: DataFrame, summoners: DataFrame) -> DataFrame:
     """The player of each (request, game_name, tag_line, platform): by trimmed
     upper-case key first, then as written, then by upper case as stored."""
-    w = wanted.select("request", "game_name", "tag_line", platform_of(F.col("platform")).alias("platform_region"))
-    p = summoners.select("puuid", F.col("game_name").alias("g"), F.col("tag_line").alias("t"), "platform_region", "updated_at")
     norm = lambda c: F.upper(F.trim(c))
-    first = w.join(p.where(F.col("g") == F.trim("g")), (norm("g") == norm("game_name")) & (norm("t") == norm("tag_line")) & (w.platform_region == p.platform_region)).select("request", "puuid", "updated_at", F.lit(1).alias("priority"))
-    second = w.join(p, (F.col("g") == F.col("game_name")) & (F.col("t") == F.col("tag_line")) & (w.platform_region == p.platform_region)).select("request", "puuid", "updated_at", F.lit(2).alias("priority"))
-    third = w.join(p, (F.upper("g") == F.upper("game_name")) & (F.upper("t") == F.upper("tag_line")) & (w.platform_region == p.platform_region)).select("request", "puuid", "updated_at", F.lit(3).alias("priority"))
+    w = wanted.select("request", "game_name", "tag_line", platform_of(F.col("platform")).alias("platform_region"), norm("game_name").alias("_g"), norm("tag_line").alias("_t"))
+    p = summoners.select("puuid", F.col("game_name").alias("g"), F.col("tag_line").alias("t"), "platform_region", "updated_at", norm("game_name").alias("_g"), norm("tag_line").alias("_t"))
+    as_written = (F.col("g") == F.col("game_name")) & (F.col("t") == F.col("tag_line"))
+    in_capitals = (F.upper("g") == F.upper("game_name")) & (F.upper("t") == F.upper("tag_line"))
+    priority = F.when(F.col("g") == F.trim("g"), 1).when(as_written, 2).when(in_capitals, 3)
+    found = w.join(p, ["_g", "_t", "platform_region"]).withColumn("priority", priority).where("priority is not null")
     order = Window.partitionBy("request").orderBy("priority", F.desc("updated_at"), "puuid")
-    return first.unionByName(second).unionByName(third).withColumn("_n", F.row_number().over(order)).where("_n = 1").select("request", "puuid", "priority")
+    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("request", "puuid", "priority")
 
 
 def queue_facets(matches: DataFrame, participants: DataFrame) -> DataFrame:

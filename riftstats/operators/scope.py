@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from ..functions.exprs import SUCCESS, ranked_solo, tier_scope, visible
 def shared(df: DataFrame) -> DataFrame:
     """df, written once to the folder that driver and executors share if the session
     names one (spark.checkpoint.dir), so that a plan that reads it several times
-    doesn't compute it again; df itself otherwise."""
+    doesn't compute it again; df itself otherwise, with a warning."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         if not (folder := spark.conf.get("spark.checkpoint.dir", "")):
+            warnings.warn("spark.checkpoint.dir isn't set: shared inputs are computed several times", stacklevel=2)
             return df
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

@@ -51,6 +51,11 @@ def wanted(s):
     return s.select(F.col("summoner_id").alias("request"), F.when(k == 0, F.concat(F.lit(" "), F.lower("game_name"))).when(k == 1, F.col("game_name")).otherwise(F.upper("game_name")).alias("game_name"), F.col("tag_line"), F.when(F.col("platform_region") == "NA1", "n-a").otherwise(F.lower("platform_region")).alias("platform"))
 
 
+def stored_names(t: Tables):
+    """Players, some of whose names are stored with a blank before them."""
+    return t.summoners.withColumn("game_name", F.when(F.col("summoner_id") % 5 == 0, F.concat(F.lit(" "), "game_name")).otherwise(F.col("game_name")))
+
+
 def profile(t: Tables):
     got = P.player_profile(t.summoners, t.ranks, t.matches, t.participants, PLAYERS_NOW)
     pick = lambda c, f: F.concat_ws(",", F.transform(c, lambda x: x[f].cast("string")))
@@ -162,8 +167,11 @@ QUERIES: dict[str, Query] = {
           FROM summoners s LEFT JOIN (SELECT * FROM ranks WHERE queue_type = 'RANKED_SOLO_5x5') a ON s.puuid = a.puuid LEFT JOIN (SELECT * FROM ranks WHERE queue_type = 'RANKED_FLEX_SR') b ON s.puuid = b.puuid LEFT JOIN ov ON s.puuid = ov.puuid LEFT JOIN ch ON s.puuid = ch.puuid LEFT JOIN rc ON s.puuid = rc.puuid"""),
     ),
     "find_by_name": (
-        lambda t: P.find_by_name(wanted(t.summoners), t.summoners),
-        oracle(("summoners",), "one AS (SELECT 1) SELECT a.summoner_id AS request, arg_min(b.puuid, (1, -b.updated_at, b.puuid)) AS puuid, 1 AS priority FROM summoners a JOIN summoners b ON upper(a.game_name) = upper(b.game_name) AND upper(a.tag_line) = upper(b.tag_line) AND a.platform_region = b.platform_region GROUP BY 1"),
+        lambda t: P.find_by_name(wanted(stored_names(t)), stored_names(t)),
+        oracle(("summoners",), """st AS (SELECT summoner_id, puuid, CASE WHEN summoner_id % 5 = 0 THEN ' ' ELSE '' END || game_name AS g, tag_line AS t, platform_region AS r, updated_at FROM summoners),
+          wd AS (SELECT summoner_id AS request, CASE summoner_id % 3 WHEN 0 THEN ' ' || lower(g) WHEN 1 THEN g ELSE upper(g) END AS g, t, r FROM st),
+          fd AS (SELECT request, puuid, updated_at, CASE WHEN b.g = trim(b.g) THEN 1 WHEN b.g = a.g AND b.t = a.t THEN 2 WHEN upper(b.g) = upper(a.g) AND upper(b.t) = upper(a.t) THEN 3 END AS priority FROM wd a JOIN st b ON upper(trim(a.g)) = upper(trim(b.g)) AND upper(trim(a.t)) = upper(trim(b.t)) AND a.r = b.r)
+          SELECT request, arg_min(puuid, (priority, -updated_at, puuid)) AS puuid, min(priority) AS priority FROM fd WHERE priority IS NOT NULL GROUP BY 1"""),
     ),
     "queue_facets": (
         lambda t: P.queue_facets(t.matches, t.participants),
