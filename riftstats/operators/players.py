@@ -106,13 +106,16 @@ def lane_alignment(matches: DataFrame, participants: DataFrame) -> DataFrame:
 
 
 def player_profile(summoners: DataFrame, ranks: DataFrame, matches: DataFrame, participants: DataFrame, now_ms: int) -> DataFrame:
-    """Newest ranks, overview, best champions and last games of every player."""
+    """Newest ranks, overview, best champions and last games of every player, and the
+    ages of the profile, of the solo rank and of the statistics (that of the last
+    match in any queue)."""
     newest = ranks.groupBy("puuid", "queue_type").agg(F.max_by(F.struct("tier", "division", "league_points", "wins", "losses", "updated_at"), "updated_at").alias("r"))
     of = lambda q, name: newest.where(F.col("queue_type") == q).select("puuid", F.col("r").alias(name))
     champions = player_champions(matches, participants, 5).groupBy("puuid").agg(F.array_sort(F.collect_list(F.struct("place", "champion_id", "games", "win_rate_pct"))).alias("champions"))
     recent = recent_performance(matches, participants, 10).groupBy("puuid").agg(F.array_sort(F.collect_list(F.struct("place", "match_id", "champion_id", "win"))).alias("recent"))
     out = summoners.select("puuid", "game_name", "tag_line", "summoner_level", age_bucket(F.col("updated_at"), now_ms).alias("profile_age"))
-    for part in (of("RANKED_SOLO_5x5", "solo"), of("RANKED_FLEX_SR", "flex"), player_overview(matches, participants), champions, recent):
+    last = participants.select("puuid", "match_id").join(visible_matches(matches).select("match_id", "match_date"), "match_id").groupBy("puuid").agg(age_bucket(F.max("match_date"), now_ms).alias("stats_age"))
+    for part in (of("RANKED_SOLO_5x5", "solo"), of("RANKED_FLEX_SR", "flex"), player_overview(matches, participants), champions, recent, last):
         out = out.join(part, "puuid", "left")
     return out.withColumn("rank_age", age_bucket(F.col("solo.updated_at"), now_ms)).withColumn("solo_win_rate", rate(F.col("solo.wins"), F.col("solo.wins") + F.col("solo.losses")))
 

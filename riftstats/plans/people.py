@@ -59,7 +59,7 @@ def stored_names(t: Tables):
 def profile(t: Tables):
     got = P.player_profile(t.summoners, t.ranks, t.matches, t.participants, PLAYERS_NOW)
     pick = lambda c, f: F.concat_ws(",", F.transform(c, lambda x: x[f].cast("string")))
-    flat = got.select("puuid", "game_name", "tag_line", "summoner_level", "profile_age", F.col("solo.tier").alias("solo_tier"), F.col("flex.tier").alias("flex_tier"), "games", "win_rate_pct", "kda_ratio", pick("champions", "champion_id").alias("champions"), pick("recent", "match_id").alias("recent"), "rank_age", "solo_win_rate")
+    flat = got.select("puuid", "game_name", "tag_line", "summoner_level", "profile_age", F.col("solo.tier").alias("solo_tier"), F.col("flex.tier").alias("flex_tier"), "games", "win_rate_pct", "kda_ratio", pick("champions", "champion_id").alias("champions"), pick("recent", "match_id").alias("recent"), "rank_age", "stats_age", "solo_win_rate")
     return rounded(flat)
 
 
@@ -162,9 +162,9 @@ QUERIES: dict[str, Query] = {
         profile,
         oracle((*RR, "summoners", "ranks"), f"""{RG}, ov AS (SELECT puuid, {MEASURES} FROM rg GROUP BY puuid), ch AS (SELECT puuid, string_agg(cast(champion_id as string), ',' ORDER BY place) AS champions FROM (SELECT *, row_number() OVER (PARTITION BY puuid ORDER BY games DESC, wins DESC, champion_id) AS place FROM (SELECT puuid, champion_id, count(*) AS games, count(*) FILTER (WHERE win) AS wins FROM rg GROUP BY 1, 2)) WHERE place <= 5 GROUP BY 1),
           rc AS (SELECT puuid, string_agg(match_id, ',' ORDER BY place) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY puuid ORDER BY match_date DESC, match_id DESC, participant_id) AS place FROM rg) WHERE place <= 10 GROUP BY 1)
-          SELECT s.puuid, s.game_name, s.tag_line, s.summoner_level, {age_sql('s.updated_at')} AS profile_age, a.tier AS solo_tier, b.tier AS flex_tier, ov.games, ov.win_rate_pct, ov.kda_ratio, coalesce(ch.champions, '') AS champions, coalesce(rc.recent, '') AS recent, {age_sql('a.updated_at')} AS rank_age,
+          SELECT s.puuid, s.game_name, s.tag_line, s.summoner_level, {age_sql('s.updated_at')} AS profile_age, a.tier AS solo_tier, b.tier AS flex_tier, ov.games, ov.win_rate_pct, ov.kda_ratio, coalesce(ch.champions, '') AS champions, coalesce(rc.recent, '') AS recent, {age_sql('a.updated_at')} AS rank_age, {age_sql('pl.played')} AS stats_age,
             CASE WHEN a.wins + a.losses > 0 THEN round(a.wins / (a.wins + a.losses), 6) ELSE 0 END AS solo_win_rate
-          FROM summoners s LEFT JOIN (SELECT * FROM ranks WHERE queue_type = 'RANKED_SOLO_5x5') a ON s.puuid = a.puuid LEFT JOIN (SELECT * FROM ranks WHERE queue_type = 'RANKED_FLEX_SR') b ON s.puuid = b.puuid LEFT JOIN ov ON s.puuid = ov.puuid LEFT JOIN ch ON s.puuid = ch.puuid LEFT JOIN rc ON s.puuid = rc.puuid"""),
+          FROM summoners s LEFT JOIN (SELECT * FROM ranks WHERE queue_type = 'RANKED_SOLO_5x5') a ON s.puuid = a.puuid LEFT JOIN (SELECT * FROM ranks WHERE queue_type = 'RANKED_FLEX_SR') b ON s.puuid = b.puuid LEFT JOIN ov ON s.puuid = ov.puuid LEFT JOIN ch ON s.puuid = ch.puuid LEFT JOIN rc ON s.puuid = rc.puuid LEFT JOIN (SELECT p.puuid, max(m.match_date) AS played FROM participants p JOIN matches m ON p.match_id = m.match_id WHERE m.status <> 3 GROUP BY 1) pl ON s.puuid = pl.puuid"""),
     ),
     "find_by_name": (
         lambda t: P.find_by_name(wanted(stored_names(t)), stored_names(t)),
