@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riftstats.operators import champions as C
 from riftstats.operators import players as P
+from riftstats.operators.ingest import timeline_snapshots
 from riftstats.sources.bucketed import BY_MATCH, by_match, write_buckets
 from riftstats.sources.fixtures import Tables
 from riftstats.sources.jdbc import Source
@@ -99,6 +100,11 @@ def test_joins_by_match_need_no_exchange(bucketed):
     assert "Exchange" not in plan(rows)
     detail = P.match_detail(b["matches"], b["participants"], b["items"], b["runes"], t.rune_versions)
     assert scans_without_exchange(detail, {"matches", "participants", "items"}) == []
+    units = C.unit_win_percents(b["matches"], b["participants"], b["items"], b["runes"], t.ranks)
+    assert scans_without_exchange(units, {"items", "runes"}) == []  # the rows themselves look up the players' ranks first
+    snap = timeline_snapshots(b["matches"], b["participants"], b["frames"]).join(b["matches"].select("match_id", (F.col("match_date") + 1).alias("derived_at")), "match_id")
+    lanes = C.lane_matchups(b["matches"], b["participants"], snap, None, None, 30)
+    assert scans_without_exchange(lanes, {"matches", "participants", "frames"}) == []
     frames = b["frames"].withColumn("gold", F.col("total_gold"))
     joined = C.ranked_rows(b["matches"], b["participants"]).join(frames.select("match_id", "participant_id", "gold"), ["match_id", "participant_id"], "left").join(b["bans"].select("match_id").distinct(), "match_id", "left_semi")
     assert "Exchange" not in plan(joined)
