@@ -99,6 +99,12 @@ def with_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def after_epoch(ms: str) -> F.Column:
+    """Epoch milliseconds as a time above the watermark that a stream begins with,
+    which is the epoch: rows up to it would count as late."""
+    return F.timestamp_millis(F.greatest(F.col(ms), F.lit(1)))
+
+
 STATE = "match_date long, last_attempt_at long, last_success_at long, failed_at array<long>"
 OUT = "match_id string, failures int, last_attempt_at long, last_success_at long, status int, next_attempt_at long"
 
@@ -156,7 +162,7 @@ def fetch_state(attempts: DataFrame, now_ms: int | None = None, keep_ms: int = R
     `most` failures after the success; all is forgotten once the watermark is
     keep_ms behind its last attempt."""
     with_state_store(attempts.sparkSession)
-    timed = attempts.withColumn("_at", F.timestamp_millis("at")).withWatermark("_at", late)
+    timed = attempts.withColumn("_at", after_epoch("at")).withWatermark("_at", late)
     return timed.groupBy("match_id").transformWithStateInPandas(FetchState(now_ms, keep_ms, most), OUT, "update", "EventTime")
 
 
@@ -208,7 +214,7 @@ def live_states(snapshots: DataFrame, late: str = "5 minutes") -> DataFrame:
     watermark passes its next_poll_at before a newer one has come (is_due true).
     One row a player is kept."""
     with_state_store(snapshots.sparkSession)
-    timed = snapshots.withColumn("_at", F.timestamp_millis("observed_at")).withWatermark("_at", late)
+    timed = snapshots.withColumn("_at", after_epoch("observed_at")).withWatermark("_at", late)
     return timed.groupBy("puuid", "platform_region").transformWithStateInPandas(LivePolls(), POLL, "update", "EventTime")
 
 
