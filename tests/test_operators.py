@@ -1,5 +1,7 @@
 """Hand-written cases: thresholds, ties, quirks and empty scopes."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from riftstats.functions import exprs as X
@@ -211,3 +213,57 @@ def test_plans_shuffle_no_more_than_they_need(spark):
         assert exchanges(C.unit_win_percents(m, p, items, runes, ranks)) <= 8
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def empty_tables(spark):
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    m = none("match_id string, match_key long, match_date long, duration int, patch string, queue_id int, queue_type string, status int, fetched_at long")
+    p = none("match_id string, participant_id int, team_id int, puuid string, champion_id int, team_position string, win boolean, kills int, deaths int, assists int, vision_score int, damage int, minions int, neutral int, gold_earned int")
+    return m, p, none("match_id string, champion_id int"), none("puuid string, queue_type string, tier string"), none("match_id string, participant_id int, slot int, item_id int"), none("match_id string, participant_id int, patch string, tree int, idx int, rune_id int, style_id int, tree_kind int")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_page_of_histories_is_limited_early(spark, monkeypatch):
+    """Places are limited before the shuffle, and items and runes are reduced to the
+    page's rows before they are gathered."""
+    monkeypatch.setattr(P, "shared", lambda df: df)
+    m, p, _, _, items, runes = empty_tables(spark)
+    versions = spark.createDataFrame([], "rune_id int, patch string, path_id int, slot int")
+    text = plan_of(P.match_history(m, p, items, runes, versions))
+    assert "WindowGroupLimit" in text
+    for part in text.split("partial_collect_list")[1:]:
+        assert "LeftSemi" in part
+
+
+def test_win_rates_read_participants_once_without_expanding(spark):
+    m, p, bans, ranks, _, _ = empty_tables(spark)
+    text = plan_of(C.champion_winrates(m, p, bans, ranks))
+    assert "Expand" not in text and text.count("vision_score") == plan_of(p).count("vision_score")
+
+
+def test_grid_counts_of_batches_add_up(spark, tmp_path):
+    """Counts of batches in any split, one applied twice, are those of all; a batch
+    reads and switches the partitions of its own patches only."""
+    from riftstats.sources.versioned import VersionedTable
+
+    rng = random.Random(9)
+    matches = [(f"m{i}", i, i, 900, f"14.{i % 3}", 420, "", 1, i) for i in range(60)]
+    people = [(f"m{i}", k, 100 + 100 * (k % 2), f"p{rng.randrange(9)}", rng.randrange(5), rng.choice(["TOP", "JUNGLE"]), bool(k % 2), 1, 1, 1, 1, 1, 1, 1, 1) for i in range(60) for k in range(4)]
+    m0, p0, b0, r0, *_ = empty_tables(spark)
+    m, p = spark.createDataFrame(matches, m0.schema), spark.createDataFrame(people, p0.schema)
+    b = spark.createDataFrame([(f"m{i}", rng.randrange(5)) for i in range(60) for _ in range(2)], b0.schema)
+    r = spark.createDataFrame([(f"p{i}", "RANKED_SOLO_5x5", "GOLD" if i % 2 else "MASTER") for i in range(7)], r0.schema)
+    mart = VersionedTable(spark, f"file://{tmp_path}/mart", F.col("patch"))
+    for n, (lo, hi) in enumerate([(0, 10), (10, 41), (41, 60)]):
+        for _ in range(2):
+            C.refresh_grid(mart, m.where(f"match_key >= {lo} and match_key < {hi}"), p, b, r, n)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(mart.read().select("patch", "role", "rank_scope", "champion_id", "games", "wins", "banned")) == rows(C.grid_counts(m, p, b, r).select("patch", "role", "rank_scope", "champion_id", "games", "wins", "banned"))
+    assert rows(C.scores_of(mart.read(), 3)) == rows(C.analytics_grid(m, p, b, r, 3))
+    before = mart.pointer()["parts"]
+    C.refresh_grid(mart, spark.createDataFrame([("new", 99, 1, 900, "14.1", 420, "", 1, 1)], m0.schema), p.where("match_id = 'm1'").withColumn("match_id", F.lit("new")), b, r, 3)
+    after = mart.pointer()["parts"]
+    assert [n for n in after if after[n] != before[n]] == ["k14.1"]
