@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Match status codes and queue ids by family.
+#: Match status codes, queue ids by family and their labels, rank tiers
+#: in their order and those of the group Emerald+, roles and grades.
 UNFETCHED, SUCCESS, TEMPORARY_FAILURE, PERMANENT_FAILURE, OUTSIDE_RETENTION = 0, 1, 2, 3, 4
 RANKED_SOLO, RANKED_FLEX = 420, 440
 QUEUE_FAMILIES = {
