@@ -91,12 +91,19 @@ def current_ranks(t: Tables):
     return renamed(t.ranks, "wins % 3 <> 0", "C_")
 
 
+def changed_ranks(t: Tables):
+    return t.ranks.withColumn("league_points", F.col("league_points") + F.when(F.col("wins") % 4 == 0, 7).otherwise(0))
+
+
 def incoming_ranks(t: Tables):
-    """The newest observation of each rank, and of each fifth one two earlier ones."""
-    changed = t.ranks.withColumn("league_points", F.col("league_points") + F.when(F.col("wins") % 4 == 0, 7).otherwise(0))
-    fifth = changed.where("wins % 5 = 0")
+    return renamed(changed_ranks(t), "wins % 2 = 0", "N_")
+
+
+def observed_ranks(t: Tables):
+    """The incoming ranks, and of each fifth one two earlier observations."""
+    fifth = changed_ranks(t).where("wins % 5 = 0")
     earlier = lambda n: fifth.withColumn("league_points", F.col("league_points") + 100 * n).withColumn("updated_at", F.col("updated_at") - n)
-    return renamed(earlier(1).unionByName(changed).unionByName(earlier(2)), "wins % 2 = 0", "N_")
+    return renamed(earlier(1).unionByName(earlier(2)), "wins % 2 = 0", "N_").unionByName(incoming_ranks(t))
 
 
 def had_ranks(t: Tables):
@@ -105,7 +112,7 @@ def had_ranks(t: Tables):
 
 
 def rank_history(t: Tables):
-    return I.rank_history(current_ranks(t), incoming_ranks(t), had_ranks(t))
+    return I.rank_history(current_ranks(t), observed_ranks(t), had_ranks(t))
 
 
 def summoner_sides(t: Tables):
@@ -153,7 +160,7 @@ def sink_ranks(t: Tables):
     ranks, history = by_puuid(t, f"{at}/ranks"), by_puuid(t, f"{at}/history")
     ranks.replace(current_ranks(t).select(*state))
     history.replace(had_ranks(t))
-    seen = incoming_ranks(t)
+    seen = observed_ranks(t)
     incoming = I.last_of_each(seen, I.RANK_KEY, "updated_at").select(*state)
     for _ in range(2):
         names = ranks.names_in(incoming)
@@ -327,7 +334,7 @@ QUERIES: dict[str, Query] = {
           SELECT puuid, game_name, tag_line, platform_region, updated_at, false AS is_stub, upper(game_name) AS name_key, upper(tag_line) AS tag_key FROM nw UNION ALL SELECT DISTINCT puuid, NULL, NULL, NULL, 0, true, NULL, NULL FROM participants WHERE puuid NOT IN (SELECT puuid FROM nw)"""),
     ),
     "upsert_ranks": (
-        lambda t: I.upsert_ranks(current_ranks(t), incoming_ranks(t)),
+        lambda t: I.upsert_ranks(current_ranks(t), observed_ranks(t)),
         oracle(("ranks",), """cur AS (SELECT * REPLACE (CASE WHEN wins % 3 = 0 THEN 'C_' ELSE '' END || puuid AS puuid) FROM ranks), inc AS (SELECT * REPLACE (CASE WHEN wins % 2 = 1 THEN 'N_' ELSE '' END || puuid AS puuid, league_points + CASE WHEN wins % 4 = 0 THEN 7 ELSE 0 END AS league_points) FROM ranks)
           SELECT coalesce(i.puuid, c.puuid) AS puuid, coalesce(i.queue_type, c.queue_type) AS queue_type, coalesce(i.tier, c.tier) AS tier, coalesce(i.division, c.division) AS division, coalesce(i.league_points, c.league_points) AS league_points, coalesce(i.wins, c.wins) AS wins, coalesce(i.losses, c.losses) AS losses, CASE WHEN c.puuid IS NULL THEN 'inserted' WHEN i.puuid IS NULL THEN 'kept' WHEN i.league_points = c.league_points THEN 'same' ELSE 'updated' END AS change FROM cur c FULL JOIN inc i ON c.puuid = i.puuid AND c.queue_type = i.queue_type"""),
     ),

@@ -53,7 +53,7 @@ def wanted(s):
 
 def stored_names(t: Tables):
     """Players, some of whose names are stored with a blank before them."""
-    return t.summoners.withColumn("game_name", F.when(F.col("summoner_id") % 5 == 0, F.concat(F.lit(" "), "game_name")).otherwise(F.col("game_name")))
+    return t.summoners.withColumn("game_name", F.when((F.col("summoner_id") % 5 == 0) & (F.col("summoner_id") % 3 != 0), F.concat(F.lit(" "), "game_name")).otherwise(F.col("game_name")))
 
 
 def profile(t: Tables):
@@ -168,7 +168,7 @@ QUERIES: dict[str, Query] = {
     ),
     "find_by_name": (
         lambda t: P.find_by_name(wanted(stored_names(t)), stored_names(t)),
-        oracle(("summoners",), """st AS (SELECT summoner_id, puuid, CASE WHEN summoner_id % 5 = 0 THEN ' ' ELSE '' END || game_name AS g, tag_line AS t, platform_region AS r, updated_at FROM summoners),
+        oracle(("summoners",), """st AS (SELECT summoner_id, puuid, CASE WHEN summoner_id % 5 = 0 AND summoner_id % 3 <> 0 THEN ' ' ELSE '' END || game_name AS g, tag_line AS t, platform_region AS r, updated_at FROM summoners),
           wd AS (SELECT summoner_id AS request, CASE summoner_id % 3 WHEN 0 THEN ' ' || lower(g) WHEN 1 THEN g ELSE upper(g) END AS g, t, r FROM st),
           fd AS (SELECT request, puuid, updated_at, CASE WHEN b.g = trim(b.g) THEN 1 WHEN b.g = a.g AND b.t = a.t THEN 2 WHEN upper(b.g) = upper(a.g) AND upper(b.t) = upper(a.t) THEN 3 END AS priority FROM wd a JOIN st b ON upper(trim(a.g)) = upper(trim(b.g)) AND upper(trim(a.t)) = upper(trim(b.t)) AND a.r = b.r)
           SELECT request, arg_min(puuid, (priority, -updated_at, puuid)) AS puuid, min(priority) AS priority FROM fd WHERE priority IS NOT NULL GROUP BY 1"""),
