@@ -58,10 +58,12 @@ def packed_items(items: DataFrame) -> DataFrame:
     return listed.select("match_id", "participant_id", F.slice(F.concat(F.transform("i", lambda x: x["item_id"]), F.array_repeat(F.lit(0), SLOTS)), 1, SLOTS).alias("items"))
 
 
-def match_history(matches: DataFrame, participants: DataFrame, items: DataFrame, runes: DataFrame, rune_versions: DataFrame, page: int = 1, size: int = 20, family: str | None = None, queue_ids: list[int] | None = None) -> DataFrame:
+def match_history(matches: DataFrame, participants: DataFrame, items: DataFrame, runes: DataFrame, rune_versions: DataFrame, page: int = 1, size: int = 20, family: str | None = None, queue_ids: list[int] | None = None, short: bool = False) -> DataFrame:
     """One page of every player's matches, with totals, items and runes. Places are
     limited before rows are shuffled (the totals are counted apart), and items and
-    runes are reduced to the page's rows before they are gathered."""
+    runes are reduced to the page's rows before they are gathered; with `short`,
+    for players who have hardly more matches than a page, they are gathered as they
+    are, since there is little to reduce."""
     size = max(1, min(size, 100))
     own = visible_matches(matches)
     queue = F.when((F.col("queue_id") == 0), F.coalesce(F.col("queue_type").try_cast("int"), F.lit(0))).otherwise(F.col("queue_id"))
@@ -73,10 +75,12 @@ def match_history(matches: DataFrame, participants: DataFrame, items: DataFrame,
     order = Window.partitionBy("puuid").orderBy(F.desc("match_date"), F.desc("match_id"), "participant_id")
     rows = every.select("puuid", "match_id", "participant_id", "match_date", "champion_id", "win", "queue").withColumn("place", F.row_number().over(order))
     rows = rows.where((F.col("place") > (page - 1) * size) & (F.col("place") <= page * size))
-    rows = shared(rows.join(every.groupBy("puuid").agg(F.count("*").alias("total")), "puuid"))
+    rows = rows.join(every.groupBy("puuid").agg(F.count("*").alias("total")), "puuid")
     key = ["match_id", "participant_id"]
-    listed = rows.select(*key).distinct()
-    items, runes = (df.join(listed, key, "left_semi") for df in (items, runes))
+    if not short:
+        rows = shared(rows)
+        listed = rows.select(*key).distinct()
+        items, runes = (df.join(listed, key, "left_semi") for df in (items, runes))
     rows = rows.join(packed_items(items), key, "left").join(rune_pages(runes, rune_versions, "history"), key, "left")
     return rows.select(
         "puuid", "place", "total", F.ceil(F.col("total") / size).alias("pages"), "match_id", "match_date", "champion_id", "win", queue_label(F.col("queue")).alias("queue_label"), queue_family(F.col("queue")).alias("queue_family"),
