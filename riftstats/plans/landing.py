@@ -13,7 +13,7 @@ from ..sources import raw as R
 from ..sources.fixtures import Tables
 from ..sources.versioned import VersionedTable
 from ..streaming.matches import id_part
-from .common import Query, folder, oracle
+from .common import Query, folder, oracle, written
 
 NOW = 901_929_600_000
 
@@ -207,8 +207,8 @@ def sink_rune_selections(t: Tables):
     table.replace(stored)
     for _ in range(2):
         rows = table.read()
-        repaired = I.backfill_rune_selections(rows, t.rune_versions).join(rows.select("match_id", "patch").distinct(), "match_id")
-        changed = table.rewrite(I.replaced(table.read(table.names_in(repaired)), repaired, ["match_id", "participant_id"]))
+        repaired = written(I.backfill_rune_selections(rows, t.rune_versions).join(rows.where(I.placeless()).select("match_id", "patch").distinct(), "match_id"))
+        changed = table.rewrite(I.replaced(table.read(table.names_in(repaired)), repaired, ["match_id", "participant_id"], I.placeless()))
     if changed:
         raise RuntimeError("a second run over the same rows has changed the table")
     return table.read()

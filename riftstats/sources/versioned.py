@@ -39,6 +39,18 @@ def part_names(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("k"), F.regexp_replace(value.cast("string"), "[^A-Za-z0-9.-]", "_")), F.lit(NO_VALUE))
 
 
+def fingerprints(rows: DataFrame, columns: list[str]) -> dict[str, tuple]:
+    """Of each partition the number of its rows and sums over two 64-bit hashes of
+    each row, which tell other rows in any order, repeats included (by 128 bits),
+    without moving a row. A null and its absence hash alike, so nulls are marked."""
+    values = [F.struct(*[F.col(c) for c in columns]), F.struct(*[F.col(c).isNull() for c in columns])]
+    halves = []
+    for hashed in (F.xxhash64(*values), F.xxhash64(F.lit("again"), *values)):
+        # in halves, so that sums of any number of rows fit
+        halves += [hashed.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(hashed, 32)]
+    return {r[0]: tuple(r)[1:] for r in rows.groupBy(IN_PART).agg(F.count("*"), *[F.sum(h) for h in halves]).collect()}
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, part: Column | None = None, ddl: str | None = None, most_folders: int = MOST_FOLDERS):
         """part: what rows are partitioned by (all are one partition without it);
@@ -176,7 +188,8 @@ class VersionedTable:
         changed = names
         if was["schema"] is not None:
             old = self.read(names).select(*rows.columns).withColumn(IN_PART, self.part)
-            changed = sorted(r[0] for r in staged.exceptAll(old).unionByName(old.exceptAll(staged)).select(IN_PART).distinct().collect())
+            now, then = (fingerprints(df, rows.columns) for df in (staged, old))
+            changed = sorted(n for n in now if now[n] != then.get(n))
         if changed:
             parts = was["parts"] | {n: [f"{folder}/{IN_PART}={n}"] for n in changed}
             self._switch({"version": was["version"] + 1, "label": was["label"], "schema": rows.schema.jsonValue(), "parts": parts})

@@ -227,3 +227,26 @@ def test_live_rows_reduce_the_tables_first(spark):
     assert text.count("LeftSemi") >= 4 and stats
     below = text.split("AS recent_kda", 1)[1]
     assert "LeftSemi" in below
+
+
+def test_partitions_are_compared_without_moving_rows(spark, table, monkeypatch):
+    """Repeats, nulls and values that change columns count as other rows; partitions
+    are compared by sums, not by a shuffle of both sides."""
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "exceptAll", None)
+    frame = lambda *r: spark.createDataFrame(list(r), ROWS)
+    one, none = ("1", 1, "a"), ("1", None, "b")
+    table.replace(frame(one, one, none, ("2", 2, None)))
+    assert table.rewrite(frame(none, one, one, ("2", 2, None))) == []
+    for other in (frame(one, none), frame(one, none, none), frame(one, one, ("1", 0, "b")), frame(one, one, none, one)):
+        table.replace(frame(one, one, none))
+        assert table.rewrite(other) == ["k1"] and rows(table.read([part_name("1")])) == rows(other)
+    assert table.rewrite(frame(("2", None, "2"))) == ["k2"] and table.rewrite(frame(("2", 2, None))) == ["k2"]
+
+
+def test_replaced_rows_among_some(spark):
+    old = spark.createDataFrame([("a", 10, 1, 1), ("a", 15, 1, 1), ("b", None, 1, 1)], "match_id string, minute_mark int, participant_id int, gold int")
+    new = spark.createDataFrame([("a", 15, 1, 5)], old.schema)
+    got = I.replaced(old, new, ["match_id", "minute_mark"], F.col("minute_mark") == 15)
+    assert rows(got) == rows(I.replaced(old, new, ["match_id", "minute_mark"])) == [("a", 10, 1, 1), ("a", 15, 1, 5), ("b", None, 1, 1)]
