@@ -188,13 +188,14 @@ def sink_timeline_snapshots(t: Tables):
     """Snapshots over earlier ones of the same marks, also of participants that
     aren't there any more, and of another mark, which stay."""
     new = I.timeline_snapshots(t.matches, t.participants, with_lost_puuids(t)).withColumn("part", id_part(F.col("match_id")))
+    new = written(new)
     table = VersionedTable(t.spark, folder(t.spark), F.col("part"))
     stale = new.withColumn("gold", F.lit(-1).cast(new.schema["gold"].dataType))
     gone = stale.withColumn("participant_id", F.lit(99).cast(new.schema["participant_id"].dataType)).distinct()
     other = stale.withColumn("minute_mark", F.lit(10).cast(new.schema["minute_mark"].dataType))
     table.replace(stale.unionByName(gone).unionByName(other))
     for _ in range(2):
-        changed = table.rewrite(I.replaced(table.read(table.names_in(new)), new, ["match_id", "minute_mark"]))
+        changed = table.rewrite(I.replaced(table.read(table.names_in(new)), new, ["match_id", "minute_mark"], F.col("minute_mark") == 15))
     if changed:
         raise RuntimeError("a second run over the same rows has changed the table")
     return table.read().drop("part")
