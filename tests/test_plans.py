@@ -24,3 +24,21 @@ def test_tables_of_participants_meet_where_their_match_is(tables):
         plan = plan_of(query(tables))
         assert "Exchange hashpartitioning(match_id" in plan
         assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(match_id" in x and "participant_id" in x]
+
+
+def test_repeated_documents_come_from_one_rendering(spark, tmp_path, monkeypatch):
+    """Documents come in two batches, each third one again, without a shuffle of texts."""
+    from pyspark.sql import DataFrame
+
+    from riftstats.plans import streams
+
+    def unwanted(*_):
+        raise AssertionError("texts are dealt out")
+
+    docs = spark.range(99).selectExpr("repeat(cast(id as string), cast(id % 3 + 1 as int)) value").coalesce(3)
+    want = sorted([r.value for r in docs.collect()] + [r.value for r in docs.where("length(value) % 3 = 0").collect()])
+    monkeypatch.setattr(DataFrame, "repartition", unwanted)
+    sizes = []
+    lines = streams.repeated(docs, str(tmp_path))
+    lines.writeStream.foreachBatch(lambda b, n: sizes.append(sorted(r.value for r in b.collect()))).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert len(sizes) == 2 and sorted(sizes[0] + sizes[1]) == want
