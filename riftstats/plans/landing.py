@@ -355,11 +355,11 @@ QUERIES: dict[str, Query] = {
         oracle(TABLES, f"hv AS (SELECT *, status = 0 AND match_id IN (SELECT match_id FROM participants) AS fix FROM matches) SELECT match_id, CASE WHEN fix THEN 1 ELSE status END AS status, CASE WHEN fix THEN {NOW} ELSE fetched_at END AS fetched_at, fix AS was_backfilled FROM hv"),
     ),
     "fold_fetch_attempts": (
-        lambda t: I.fold_fetch_attempts(attempts(t), 978_307_200_000),
+        lambda t: I.fold_fetch_attempts(attempts(t), 978_307_200_000, every=True),
         oracle(("matches",), """lg AS (SELECT match_id, match_date + 86400000000 AS match_date, match_key, status, retry_count, unnest(range(0, retry_count + 1)) AS n FROM matches),
           lo AS (SELECT *, match_date + n * 60000 AS tried, (n = retry_count AND status = 1) OR (n = 1 AND match_key % 3 = 0) AS ok FROM lg), ls AS (SELECT *, max(tried) FILTER (WHERE ok) OVER (PARTITION BY match_id) AS ok_at FROM lo),
           fo AS (SELECT match_id, max(match_date) AS match_date, count(*) FILTER (WHERE NOT ok AND (ok_at IS NULL OR tried > ok_at)) AS failures, max(tried) AS last_attempt_at, max(ok_at) AS last_success_at FROM ls GROUP BY 1),
-          st AS (SELECT *, CASE WHEN 978307200000 - match_date > 63072000000 THEN 4 WHEN failures = 0 THEN 1 WHEN failures >= 5 THEN 3 ELSE 2 END AS status FROM (SELECT * REPLACE (least(failures, 5) AS failures) FROM fo))
+          st AS (SELECT *, CASE WHEN 978307200000 - match_date > 63072000000 THEN 4 WHEN failures = 0 THEN 1 WHEN failures >= 5 THEN 3 ELSE 2 END AS status FROM fo)
           SELECT *, CASE WHEN status = 2 THEN last_attempt_at + 1000 * CASE failures WHEN 1 THEN 30 WHEN 2 THEN 60 WHEN 3 THEN 120 ELSE 300 END END AS next_attempt_at FROM st"""),
     ),
     "fold_timeline_attempts": (
