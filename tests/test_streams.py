@@ -132,3 +132,20 @@ def test_a_retried_batch_writes_once(spark, tmp_path):
     assert got.count() == 10
     again = S.run_to_table(query, spark, f"{tmp_path}/out", f"{tmp_path}/state2", "append")  # the same batch once more
     assert again.count() == 10
+
+
+def test_all_failures_are_counted(spark, tmp_path):
+    """Also those beyond the limit, over several batches and parts of ids, where the
+    watermark has turned earlier ones into a number and a success comes later on."""
+    parts = [[(f"NA1_{m}", m * 100 + k, False) for m in (1, 5000, 9) for k in range(8)] + [("odd", 7, False)], [("NA1_1", 1_000_000, False), ("odd", 1_000_001, False)], [("NA1_1", 1_000_500, True), ("NA1_1", 1_000_501, False), ("NA1_9", 1_000_600, False)]]
+    schema = "match_id string, at long, ok boolean"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        calls = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        got = S.run_to_table(S.fetch_state(calls, keep_ms=10**9, late="0 seconds", every=True), spark, f"{tmp_path}/out", f"{tmp_path}/state", "update")
+    rows = spark.createDataFrame([r for p in parts for r in p], schema).withColumn("match_date", F.lit(0).cast("long"))
+    want = {r.match_id: tuple(r) for r in I.fold_fetch_attempts(rows, 0, every=True).select(*COLUMNS).collect()}
+    last = {}
+    for r in got.orderBy("batch").select(*COLUMNS).collect():
+        last[r.match_id] = tuple(r)
+    assert last == want and {k: v[1] for k, v in want.items()} == {"NA1_1": 1, "NA1_5000": 8, "NA1_9": 9, "odd": 2}
