@@ -44,3 +44,14 @@ def test_regions(tables):
     got = plain(pro(region="cn"))
     assert got and got == plain(C.pro_recent_matches(t.matches, t.participants, china, t.summoners, t.items))
     assert {r.team_position for r in pro(role="jungle").collect()} == {"JUNGLE"}
+
+
+def test_live_games_hold_all_their_players(tables):
+    """Each player of a game gets every player of it, whatever their number."""
+    from riftstats.operators import live as L
+
+    last = L.live_state_latest(tables.live_snapshots, people.NOW).where("state = 'in_game'")
+    known = last.join(tables.summoners.select("puuid"), "puuid", "left_semi").selectExpr("puuid", "game_id % 40 game_id")
+    want = known.join(last.selectExpr("game_id % 40 game_id", "puuid participant_puuid"), "game_id").select("puuid", "game_id", "participant_puuid")
+    got = registry.ALL["live_games"][0](tables).where("state = 'in_game'").select("puuid", "game_id", "participant_puuid")
+    assert want.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
