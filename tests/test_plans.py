@@ -42,3 +42,20 @@ def test_repeated_documents_come_from_one_rendering(spark, tmp_path, monkeypatch
     lines = streams.repeated(docs, str(tmp_path))
     lines.writeStream.foreachBatch(lambda b, n: sizes.append(sorted(r.value for r in b.collect()))).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert len(sizes) == 2 and sorted(sizes[0] + sizes[1]) == want
+
+
+@pytest.mark.parametrize("name", ["match_facts", "match_facts_lenient", "participant_runes", "participant_items", "match_bans"])
+def test_documents_are_rendered_and_read_once(tables, name):
+    plan = landing.QUERIES[name][0](tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert len([x for x in plan.splitlines() if "Window [row_number()" in x]) <= 2  # players are derived once
+
+
+def test_documents_of_carried_rows_are_those_of_tables(spark):
+    from riftstats.sources import raw
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    whole = raw.render(t.matches, t.participants, t.bans, t.items, t.runes)
+    carried = raw.documents(t.drafts, t.players)
+    assert carried.count() > 1000
+    assert whole.exceptAll(carried).count() == carried.exceptAll(whole).count() == 0
