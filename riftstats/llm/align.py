@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' tokens of the same texts.
 
 Each text is encoded by a byte-level tokenizer A and a piece tokenizer B. The
-cumulative ends of each side's tokens, in bytes, go into a dictionary from end to
-index; the intersection of the two key sets, sorted, slices both id lists into
+cumulative ends of A's tokens, in bytes, go into a dictionary from end to index;
+B's ends, in order, are looked up in it, and those found slice both id lists into
 groups. A link joins an A and a B token whose byte ranges end together: the last
 tokens of each slice. A pair of ids is counted over all links of the corpus.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,6 @@ from .base import map_batches, written
 #: Pairs whose counts are sent to every executor at most (three numbers each);
 #: parts that each pair is dealt to beyond that.
 PAIRS_SENT, SALTS = 500_000, 64
-#: Pairs whose texts a task remembers.
-SPELT = 500_000
 #: A pair is one number: A's id times this, plus B's id.
 B_IDS = 1 << 24
 
@@ -70,26 +69,19 @@ def load(path: str) -> Pieces:
 
 def slices(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the last token of each group on both sides, in order."""
-    a_at, b_at = (dict(zip(ends.tolist(), range(len(ends)), strict=True)) for ends in (a_ends, b_ends))
-    common = sorted(a_at.keys() & b_at.keys())
-    return tuple(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (a_at, b_at))
-
-
-class Spelt(dict):
-    """A linked pair to its text, up to SPELT pairs."""
-
-    def __missing__(self, pair: int) -> str:
-        if len(self) >= SPELT:
-            self.clear()
-        self[pair] = text = f"{pair // B_IDS}|{pair % B_IDS}"
-        return text
+    a_at = dict(zip(a_ends.tolist(), range(len(a_ends)), strict=True))
+    at = np.fromiter(map(a_at.get, b_ends.tolist(), repeat(-1)), np.int64, len(b_ends))
+    y = np.flatnonzero((at >= 0) & (np.diff(b_ends, append=-1) != 0))  # of tokens that end together the last one
+    return at[y], y
 
 
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = bytebpe.load(a_path), load(b_path)
         self.a_size, self.b_size = (np.array(list(map(len, side.tokens)), np.int64) for side in (self.a, self.b))
-        self.spelt_pairs = Spelt()
+        # ids with what follows them: within A's side and behind it, within B's side and behind it
+        sides = ((self.a_size, ","), (self.a_size, "|"), (self.b_size, ","), (self.b_size, ";"))
+        self.spelt_ids = np.array([f"{i}{mark}" for size, mark in sides for i in range(len(size))], object)
 
     def tokens(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The ids of both sides of each text, none if one of them doesn't keep it.
@@ -108,14 +100,17 @@ class Aligner:
         return slices(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
 
     def spelt(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> str:
-        """The groups as a1,a2|b1;a3|b2,b3."""
-        out = list(map(self.spelt_pairs.__getitem__, (a[x] * B_IDS + b[y]).tolist()))
-        i, j = x + 1 - np.diff(x, prepend=-1), y + 1 - np.diff(y, prepend=-1)
-        several = np.flatnonzero((i < x) | (j < y))  # groups of more than a pair
-        a_ids, b_ids = a.tolist(), b.tolist()
-        for k, *at in np.stack((several, i[several], x[several] + 1, j[several], y[several] + 1), axis=1).tolist():
-            out[k] = f"{','.join(map(str, a_ids[at[0] : at[1]]))}|{','.join(map(str, b_ids[at[2] : at[3]]))}"
-        return ";".join(out)
+        """The groups as a1,a2|b1;a3|b2,b3: each id is put behind the other side's ids of
+        the groups before it (B's behind A's of its own group too)."""
+        if not len(x):
+            return ""
+        n_a, n_b, out = len(self.a_size), len(self.b_size), np.empty(len(a) + len(b), np.int64)
+        a_text, b_text = a.copy(), b + 2 * n_a
+        a_text[x] += n_a
+        b_text[y] += n_b
+        out[np.arange(len(a)) + np.repeat(np.append(0, y[:-1] + 1), np.diff(x, prepend=-1))] = a_text
+        out[np.arange(len(b)) + np.repeat(x + 1, np.diff(y, prepend=-1))] = b_text
+        return "".join(self.spelt_ids[out].tolist())[:-1]
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

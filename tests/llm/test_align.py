@@ -80,3 +80,27 @@ def test_empty(spark):
     assert align.align(spark.createDataFrame([], SCHEMA), BYTE, PIECE).collect() == []
     got = align.align(spark.createDataFrame([(1, None, "", 0, 0)], SCHEMA), BYTE, PIECE).collect()
     assert [tuple(r) for r in got] == [(1, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_slices_and_spelling():
+    """Against the plain forms, also with ends that several tokens of a side share."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    aligner = align.Aligner(BYTE, PIECE)
+    for _ in range(300):
+        a_ends, b_ends = (np.cumsum(np.append(rng.integers(0, 4, rng.integers(0, 12)), 1)) for _ in "ab")
+        a_ends[-1] = b_ends[-1] = max(a_ends[-1], b_ends[-1])
+        a, b = rng.integers(0, 50_000, len(a_ends)), rng.integers(0, 32_000, len(b_ends))
+        a_at, b_at = ({e: i for i, e in enumerate(ends.tolist())} for ends in (a_ends, b_ends))
+        common = sorted(a_at.keys() & b_at.keys())
+        x, y = align.slices(a_ends, b_ends)
+        assert (x.tolist(), y.tolist()) == ([a_at[e] for e in common], [b_at[e] for e in common])
+        want = [(a[i:p], b[j:q]) for i, p, j, q in zip([0, *x[:-1] + 1], x + 1, [0, *y[:-1] + 1], y + 1, strict=True)]
+        assert aligner.spelt(a, b, x, y) == ";".join(f"{','.join(map(str, s))}|{','.join(map(str, t))}" for s, t in want)
+
+
+def test_texts_of_pairs_are_not_remembered():
+    """Spelling takes a table of ids, whose size doesn't grow with the pairs seen."""
+    aligner = align.Aligner(BYTE, PIECE)
+    assert len(aligner.spelt_ids) == 2 * (len(aligner.a_size) + len(aligner.b_size))
