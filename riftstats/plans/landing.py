@@ -55,10 +55,10 @@ def fresh_runes(t: Tables):
     return I.rune_versions(perks(t), perk_styles(t), t.spark.createDataFrame([], "rune_id int, patch string, key string, name string, description string, path_id int, path_name string, slot int"))
 
 
-def rune_sides(t: Tables):
+def rune_sides(t: Tables, now=None):
     """Current rows of all patches, of which some are missing, some differ and some
     are of runes that nobody holds; and the fresh ones."""
-    r, now = F.col("rune_id"), fresh_runes(t)
+    r, now = F.col("rune_id"), fresh_runes(t) if now is None else now
     there = now.drop("change").where("rune_id % 3 <> 0").withColumn("name", F.when(r % 5 == 0, F.lit("old name")).otherwise(F.col("name")))
     gone = t.patches.select(F.lit(9999).alias("rune_id"), "patch", F.lit("k").alias("key"), F.lit("n").alias("name"), F.lit("d").alias("description"), F.lit(0).alias("path_id"), F.lit(None).cast("string").alias("path_name"), F.lit(0).alias("slot"))
     return there.unionByName(gone), now
@@ -143,13 +143,14 @@ def merged_twice(table: VersionedTable, current, incoming, keys: list[str], newe
 
 
 def sink_rune_versions(t: Tables):
-    kept, _ = rune_sides(t)
-    return merged_twice(VersionedTable(t.spark, folder(t.spark), F.col("patch")), kept, fresh_runes(t).drop("change"), ["rune_id", "patch"])
+    kept, new = rune_sides(t, written(fresh_runes(t)))
+    return merged_twice(VersionedTable(t.spark, folder(t.spark), F.col("patch")), kept, new.drop("change"), ["rune_id", "patch"])
 
 
 def sink_item_versions(t: Tables):
     dirty, current = item_sides(t)
-    new = I.item_versions(dirty, current.where("false")).drop("change")
+    # the few versions are written once: each look at them would derive all items of all matches again
+    new = written(I.item_versions(dirty, current.where("false")).drop("change"))
     got = merged_twice(VersionedTable(t.spark, folder(t.spark), F.col("patch")), current.select(*new.columns), new, ["item_id", "patch"])
     return got.withColumns({c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("builds_into", "builds_from", "tags")})
 
@@ -177,9 +178,10 @@ def sink_summoners(t: Tables):
     table = by_puuid(t, folder(t.spark))
     none = current.where("false")
     table.replace(I.upsert_summoners(current, none, none))
+    mentioned = written(t.participants.select("puuid").distinct())
     for _ in range(2):
-        names = table.names_in(incoming.select("puuid").unionByName(t.participants.select("puuid")))
-        changed = table.rewrite(I.upsert_summoners(table.read(names), incoming, t.participants))
+        names = table.names_in(incoming.select("puuid").unionByName(mentioned))
+        changed = table.rewrite(I.upsert_summoners(table.read(names), incoming, mentioned))
     if changed:
         raise RuntimeError("a second run over the same rows has changed the table")
     return table.read()

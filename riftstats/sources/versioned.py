@@ -173,8 +173,14 @@ class VersionedTable:
         was = self.pointer()
         if label is not None and label <= was["label"]:
             return
-        old = self.read(self.names_in(rows)) if was["schema"] else rows.where("false")
-        self.replace(merged(old.select(*rows.columns).unionByName(rows)), label)
+        if not was["schema"]:
+            return self.replace(merged(rows), label)
+        # staged once, as what rows derive from may be much larger than they are
+        folder, names = self._stage(rows)
+        if not names:
+            return self.replace(rows, label)
+        new = self._read([f"{folder}/{IN_PART}={n}" for n in names], rows.schema)
+        self.replace(merged(self.read(names).select(*rows.columns).unionByName(new)), label)
 
     def rewrite(self, rows: DataFrame) -> list[str]:
         """As replace, but only the partitions whose rows differ are switched; their

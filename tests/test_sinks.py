@@ -250,3 +250,36 @@ def test_replaced_rows_among_some(spark):
     new = spark.createDataFrame([("a", 15, 1, 5)], old.schema)
     got = I.replaced(old, new, ["match_id", "minute_mark"], F.col("minute_mark") == 15)
     assert rows(got) == rows(I.replaced(old, new, ["match_id", "minute_mark"])) == [("a", 10, 1, 1), ("a", 15, 1, 5), ("b", None, 1, 1)]
+
+
+@pytest.mark.parametrize("name", ["sink_item_versions", "sink_rune_versions", "sink_summoners"])
+def test_what_is_merged_is_derived_once(spark, monkeypatch, name):
+    """Looks at incoming rows read what was written, not the matches' players again."""
+    from riftstats.plans import landing
+    from riftstats.sources.fixtures import Tables
+    from riftstats.sources.versioned import VersionedTable
+
+    seen, names_in = [], VersionedTable.names_in
+    monkeypatch.setattr(VersionedTable, "names_in", lambda table, rows: seen.append(rows.inputFiles()) or names_in(table, rows))
+    landing.QUERIES[name][0](Tables(spark, "/root/testdata/sf0.001"))
+    assert seen and not [f for files in seen for f in files if "lineitem" in f]
+
+
+def test_folded_rows_are_derived_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from riftstats.sources.versioned import VersionedTable
+
+    looked = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        looked.add(1)
+        return x
+
+    table = VersionedTable(spark, f"file://{tmp_path}/t", F.col("k"))
+    added = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"))
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "k string, n long")
+    table.fold(rows, added, 0)
+    table.fold(rows.withColumn("n", F.udf(look, "long")("n")), added, 1)
+    assert looked.value == 3
+    assert sorted(map(tuple, table.read().collect())) == [("a", 2), ("b", 10)]
