@@ -238,6 +238,39 @@ def test_a_page_of_histories_is_limited_early(spark, monkeypatch):
         assert "LeftSemi" in part
 
 
+def test_carried_items_and_runes_give_the_histories_of_tables(spark):
+    """Also with places lost, repeated or null, unknown runes and patches, empty slots,
+    more items than slots, and players without any."""
+    rng = random.Random(4)
+    m, p, _, _, items, runes = empty_tables(spark)
+    matches = [(f"m{i}", i, i % 7, 900, rng.choice(["14.1", "14.2", "15.9"]), rng.choice([420, 440, 0]), rng.choice(["420", "x"]), rng.choice([1, 3]), i) for i in range(40)]
+    people = [(f"m{i}", k, 100, f"p{rng.randrange(6)}", k, "TOP", bool(k % 2), *[1] * 8) for i in range(40) for k in range(1, 6)]
+    held = [(f"m{i}", k, slot, rng.choice([0, 7, 8, 9])) for i in range(40) for k in range(1, 6) if (i + k) % 4 for slot in range(rng.randrange(10))]
+    worn = []
+    for i in range(40):
+        for k in range(1, 6):
+            lost, none = rng.random() < 0.3, rng.random() < 0.2
+            for tree, idx in [] if none else [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (2, 3)]:
+                place = (0, 0, 0) if lost else (rng.choice([tree] * 30 + [None]), rng.choice([idx] * 30 + [0, None]), rng.choice([8000, 8000, 8100, 0, 0, None]))
+                worn.append((f"m{i}", k, matches[i][4], place[0], place[1], rng.choice([8001, 8002, 8101, 8102, 8201, 5001, 5002, 77, None]), place[2], tree))
+    m, p = spark.createDataFrame(matches, m.schema), spark.createDataFrame(people, p.schema)
+    items, runes = spark.createDataFrame(held, items.schema), spark.createDataFrame(worn, runes.schema)
+    versions = [(r, v, r // 100 * 100 if r > 7000 else 5000, r % 10) for r in (8001, 8002, 8101, 8102, 5001, 5002) for v in ("14.1", "14.2") if (r, v) != (8002, "14.2")]
+    versions = spark.createDataFrame([*versions, (8201, "14.1", None, None)], "rune_id int, patch string, path_id int, slot int")
+    key = ["match_id", "participant_id"]
+    of_items = items.groupBy(*key).agg(F.collect_list(F.struct("slot", "item_id")).alias("items"))
+    of_runes = runes.groupBy(*key).agg(F.collect_list(F.struct("tree", "idx", "rune_id", "style_id")).alias("runes"))
+    carried = lambda rows: rows.join(of_items, key, "left").join(of_runes, key, "left")
+    for more in ({}, {"page": 2, "size": 3, "queue_ids": [420]}, {"family": "ranked_flex"}):
+        want = P.match_history(m, p, items, runes, versions, **more).collect()
+        got = P.match_history(m, p, None, None, versions, carried=carried, **more).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 10
+        counts = {}
+        for x in p.join(P.visible_matches(m), "match_id").where("queue_id = 440" if "family" in more else "queue_id = 420 or queue_type = '420'" if more else "true").collect():
+            counts[x.puuid] = counts.get(x.puuid, 0) + 1
+        assert all(x.total == counts[x.puuid] for x in got)
+
+
 def test_win_rates_read_participants_once_without_expanding(spark):
     m, p, bans, ranks, _, _ = empty_tables(spark)
     text = plan_of(C.champion_winrates(m, p, bans, ranks))
