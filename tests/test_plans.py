@@ -53,12 +53,12 @@ def test_documents_are_rendered_and_read_once(tables, name):
 
 @pytest.mark.parametrize("name", ["match_history", "match_history_ranked_page2", "match_history_family"])
 def test_histories_derive_players_once(tables, name):
-    """Items and runes come from the page's rows; places and totals share an exchange."""
+    """Items and runes come from the page's rows; places and totals share an exchange and a sort."""
     df = people.QUERIES[name][0](tables)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_linenumber#") and len([x for x in plan.splitlines() if "Relation [l_orderkey" in x]) == 1
     assert len([x for x in plan.splitlines() if "Window [row_number()" in x]) == 3  # two of the players, one of the page
-    assert plan_of(df).count("Exchange hashpartitioning(puuid") == 1
+    assert plan_of(df).count("Exchange hashpartitioning(puuid") == plan_of(df).count("Sort [puuid") == 1
 
 
 def test_documents_of_carried_rows_are_those_of_tables(spark):
