@@ -1,5 +1,8 @@
 """Streams whose rows come from many files, in no order, and in many frames."""
 
+import json
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +152,58 @@ def test_all_failures_are_counted(spark, tmp_path):
     for r in got.orderBy("batch").select(*COLUMNS).collect():
         last[r.match_id] = tuple(r)
     assert last == want and {k: v[1] for k, v in want.items()} == {"NA1_1": 1, "NA1_5000": 8, "NA1_9": 9, "odd": 2}
+
+
+def test_packed_rows_render_as_documents(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    drafts = t.drafts.withColumn("patch", F.when(F.col("match_key") % 3 > 0, F.col("patch")))  # some documents have no version
+    want, got = R.documents(drafts, t.players), R.rendered(R.packed(drafts, t.players))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def document(n, copy=0):
+    """A match of ten players, two of whom are unknown (one of them everywhere), and one blank."""
+    people = [{"participantId": i + 1, "puuid": " " if i == 4 else "new" if i == 7 else f"new{n}" if i == 8 else f"P{i}", "teamId": 100, "championId": 1 + i, "kills": copy, "item0": 1001, "perks": {"styles": [], "statPerks": {"offense": 5001, "flex": 5002, "defense": 5003}}} for i in range(10)]
+    return json.dumps({"matchId": f"NA1_{n}", "gameCreation": n, "gameVersion": f"14.{n % 3}.1", "participants": people, "teams": []})
+
+
+def disk(at):
+    return sum(os.path.getsize(f"{d}/{f}") for d, _, files in os.walk(at) for f in files)
+
+
+def test_landing_leaves_the_tables_only(spark, tmp_path):
+    """Raw rows of a batch go when its tables are there, and no document is dealt out:
+    of a batch that repeats its matches, little more than their ids is shuffled."""
+    known = spark.createDataFrame([(f"P{i}",) for i in range(10)], "puuid string")
+    docs = [document(n) for n in range(600)]
+    status = spark.sparkContext._jsc.sc().statusStore()
+    for part in (docs[:400] + docs[:300], docs[200:]):
+        spark.createDataFrame([(x,) for x in part], "value string").repartition(3).write.mode("append").text(f"{tmp_path}/in")
+        began = status.executorList(False).apply(0).totalShuffleWrite()
+        S.drained(S.new_matches(spark.readStream.text(f"{tmp_path}/in"), f"{tmp_path}/sink", f"{tmp_path}/state", known).start())
+        assert status.executorList(False).apply(0).totalShuffleWrite() - began < disk(f"{tmp_path}/in") / 10
+    assert not os.path.exists(f"{tmp_path}/sink/raw/batch=0") and not os.path.exists(f"{tmp_path}/sink/raw/batch=1")
+    matches, people, runes = (S.landed_table(spark, f"{tmp_path}/sink", x) for x in ("matches", "participants", "runes"))
+    assert sorted(r.match_id for r in matches.collect()) == sorted(f"NA1_{n}" for n in range(600))
+    assert people.count() == 600 * 9 and runes.count() == 600 * 30 and "in_part" not in runes.columns
+    assert {r.puuid for r in people.where("is_stub").collect()} == {"new", *(f"new{n}" for n in range(600))}
+
+
+def test_a_landed_batch_run_again_changes_nothing(spark, tmp_path):
+    """Also where the batch before it broke off between its tables, with raw rows there."""
+    spark.createDataFrame([(document(n % 50, n // 50),) for n in range(120)], "value string").repartition(3).write.text(f"{tmp_path}/in")
+    land = lambda state: S.drained(S.new_matches(spark.readStream.text(f"{tmp_path}/in"), f"{tmp_path}/sink", f"{tmp_path}/{state}").start())
+    rows = lambda: {name: sorted(map(str, S.landed_table(spark, f"{tmp_path}/sink", name).collect())) for name in ("matches", "participants", "runes", "items", "bans")}
+    land("a")
+    once = rows()
+    assert len(once["matches"]) == 50 and len(once["participants"]) == 450 and all("is_stub=True" in r for r in once["participants"])
+    land("b")
+    assert rows() == once
+    for name in ("ids", "items"):  # these weren't reached
+        os.remove(f"{tmp_path}/sink/{name}/CURRENT")
+        crc = f"{tmp_path}/sink/{name}/.CURRENT.crc"
+        if os.path.exists(crc):
+            os.remove(crc)
+    os.makedirs(f"{tmp_path}/sink/raw/batch=0/rows")
+    land("c")
+    assert rows() == once and not os.path.exists(f"{tmp_path}/sink/raw/batch=0")
